@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from foliant.llm import decontamination, mixing, sharding, simhash
+from foliant.llm import decontamination, mixing, sharding, simhash, toxicity
 from foliant.llm.common import Scratch, table
 
 #: Why there is no SQL: a trained network and a 64-bit hash vote decide what stays.
 ORACLE_SQL = None
 
 
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the network rejects as toxic go."""
+    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
+
+
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component stays."""
     return simhash.keep_one(docs)
@@ -30,7 +35,7 @@ def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.shard(docs)
 
 
-STAGES = [("simhash near-dedup", near_copies), ("decontamination", decontaminated), ("mixing", mixed), ("sharding", sharded)]
+STAGES = [("toxicity", clean), ("simhash near-dedup", near_copies), ("decontamination", decontaminated), ("mixing", mixed), ("sharding", sharded)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

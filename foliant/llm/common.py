@@ -61,3 +61,23 @@ def unit(*parts: Column | str, seed: int = 0) -> Column:
     """A number in [0, 1) with 52 bits from the MD5 of the parts, the same in any engine."""
     key = F.concat_ws("|", F.lit(str(seed)), *[(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts])
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
+
+
+#: Bits of the largest bit map that is broadcast (32 MB); beyond what it holds well it only lets more rows through.
+MAX_BITMAP_BITS = 1 << 28
+
+
+def bitmap(hashes: DataFrame, column: str, n: int) -> bytes:
+    """A bit for each long in ``column`` by its lowest bits, in about 16 bits a value, at most MAX_BITMAP_BITS.
+
+    Built by partial aggregation; the driver gets one row of 4 kB for each 32,768 bits.
+    """
+    bits = 1 << 15
+    while bits < min(16 * max(n, 1), MAX_BITMAP_BITS):
+        bits *= 2
+    out = bytearray(bits // 8)
+    at = F.col(column).bitwiseAND(F.lit(bits - 1))
+    rows = hashes.select(at.alias("at")).groupBy(F.floor(F.col("at") / 32768).alias("part")).agg(F.bitmap_construct_agg(F.pmod("at", F.lit(32768))).alias("bits"))
+    for r in rows.toLocalIterator():
+        out[r["part"] * 4096 : r["part"] * 4096 + 4096] = r["bits"]
+    return bytes(out)

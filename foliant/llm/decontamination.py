@@ -11,13 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import checkpoint
+from foliant.llm.common import bitmap, checkpoint
 
 WINDOW = 13
 #: Shingles that are broadcast as they are (at most 64 bytes each here); beyond it a bit map of fixed size goes out.
 MAX_SHINGLES = 200_000
 MAX_SHINGLE_BYTES = 16_000_000
-BITMAP_BITS = 1 << 26
 
 #: What words are made of. Digits, letters (lower-cased) and every byte from 0x80.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -37,8 +36,8 @@ class Members:
         if self.items is not None:
             known = self.items
             return [k for k, c in enumerate(candidates) if c in known]
-        bits, crc = self.bits, zlib.crc32
-        return [k for k, c in enumerate(candidates) if bits[(h := crc(c) % BITMAP_BITS) >> 3] >> (h & 7) & 1]
+        bits, crc, last = self.bits, zlib.crc32, len(self.bits) * 8 - 1
+        return [k for k, c in enumerate(candidates) if bits[(h := crc(c) & last) >> 3] >> (h & 7) & 1]
 
 
 def members(shingles: DataFrame) -> Members:
@@ -46,13 +45,7 @@ def members(shingles: DataFrame) -> Members:
     n, size = shingles.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("shingle")), F.lit(0))).first()
     if n <= MAX_SHINGLES and size <= MAX_SHINGLE_BYTES:
         return Members([bytes(r["shingle"]) for r in shingles.collect()])
-    byte = F.floor(F.pmod(F.crc32("shingle"), F.lit(BITMAP_BITS)) / 8)
-    bit = F.expr(f"shiftleft(1, cast(pmod(crc32(shingle), {BITMAP_BITS}) % 8 as int))")
-    out = bytearray(BITMAP_BITS // 8)
-    # At most BITMAP_BITS / 8 rows, whatever the number of shingles.
-    for r in shingles.groupBy(byte.cast("int").alias("at")).agg(F.bit_or(bit).alias("value")).toLocalIterator():
-        out[r["at"]] = r["value"]
-    return Members(None, bytes(out))
+    return Members(None, bitmap(shingles.select(F.crc32("shingle").alias("crc")), "crc", n))
 
 
 def windows(items: DataFrame, *, item: str = "item_id", text: str = "text", size: int = WINDOW) -> DataFrame:
