@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from foliant.llm import ann, decontamination, lines, mixing, secrets, sharding, simhash, suffixes, toxicity
+from foliant.llm import ann, decontamination, lines, lm, mixing, secrets, sharding, simhash, suffixes, toxicity
 from foliant.llm.common import table
 
 
@@ -45,6 +45,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.dedup_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
@@ -55,7 +59,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_ann, op3_secrets, op4_simhash, op5_decontamination, op6_sharding, op7_toxicity, op8_line_dedup, op10_suffix_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_mixing, op2_ann, op3_secrets, op4_simhash, op5_decontamination, op6_sharding, op7_toxicity, op8_line_dedup, op9_lm_scoring, op10_suffix_dedup, pipeline)}
 
 
 OP1_SQL = """
