@@ -34,7 +34,7 @@ def query_terms(text: Column) -> Column:
 
 def is_positive(token: Column) -> Column:
     """The sign hash is even exactly if an odd number of the token's codes are odd (its seed is odd, as is the prime)."""
-    return F.pmod(F.length(F.regexp_replace(token, "[^13579acegikmoqsuwy_/]", "")), F.lit(2)) == 1
+    return F.pmod(F.length(F.regexp_replace(token, "[^13579acegikmoqsuwy_/-]", "")), F.lit(2)) == 1
 
 
 def token_weight(token: Column) -> Column:

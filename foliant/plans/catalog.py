@@ -496,12 +496,12 @@ def matmul(spark, d):
     """Second moments of the vectors by label: a product of matrices in coordinate form."""
     c = table(spark, d, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("i", "v")).where("i < 8")
     a, b = c.select("label", "vec_id", "i", "v"), c.select("label", "vec_id", F.col("i").alias("j"), F.col("v").alias("w"))
-    return a.join(b, ["label", "vec_id"]).groupBy("label", "i", "j").agg(F.round(F.sum(F.col("v").cast("double") * F.col("w").cast("double")), 4).alias("s"))
+    return a.join(b, ["label", "vec_id"]).groupBy("label", "i", "j").agg((F.round(F.sum(F.col("v").cast("double") * F.col("w").cast("double")), 4) + 0.0).alias("s"))
 
 
 @query
 def argmax(spark, d):
-    return arrays_of(spark, d).select("vec_id", vx.argmax(F.col("v")).alias("at"))
+    return arrays_of(spark, d).select("vec_id", vx.argmax(F.col("v")).alias("place"))
 
 
 @query
@@ -511,7 +511,7 @@ def clamp_tail(spark, d):
 
 @query
 def swiglu(spark, d):
-    return arrays_of(spark, d).select("vec_id", F.posexplode(vx.swiglu(F.col("v"), F.reverse("v"))).alias("pos", "x")).select("vec_id", "pos", F.round("x", 6).alias("x"))
+    return arrays_of(spark, d).select("vec_id", F.posexplode(vx.swiglu(F.col("v"), F.reverse("v"))).alias("pos", "x")).select("vec_id", "pos", (F.round("x", 6) + 0.0).alias("x"))
 
 
 @query
@@ -528,7 +528,7 @@ def heads(spark, d):
 
 @query
 def rotary(spark, d):
-    return arrays_of(spark, d).select("vec_id", F.posexplode(vx.rotate_pairs(F.col("v"), 3)).alias("pos", "x")).select("vec_id", "pos", F.round("x", 5).alias("x"))
+    return arrays_of(spark, d).select("vec_id", F.posexplode(vx.rotate_pairs(F.col("v"), 3)).alias("pos", "x")).select("vec_id", "pos", (F.round("x", 5) + 0.0).alias("x"))
 
 
 # Scalars
