@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.functions import hashing, intents, quality
+from foliant.functions import hashing
 from foliant.operators import answer, embedding, export, layout, profile, search
 
 NOT_READY = "The language model is not loaded yet, so this answer uses retrieval only.\n\n"
@@ -82,17 +82,22 @@ class Engine:
         return export.kids(self.chunks, self.pages)
 
 
-#: SQL functions, as expressions that Catalyst inlines. They work on columns, not inside lambdas.
-SQL_FUNCTIONS = {
-    "fnv1a": (hashing.fnv1a, "bigint"), "doc_tokens": (hashing.tokens, "array<string>"), "query_terms": (hashing.query_terms, "array<string>"), "is_noisy": (quality.is_noisy, "boolean"),
-    "is_formula_heavy": (quality.is_formula_heavy, "boolean"), "readability": (quality.readability, "double"), "clean_query": (intents.clean_query, "string"),
-}
+_WS = r"[\\s\\x{a0}\\p{Z}\\x{feff}]"
+_COLLAPSED = f"trim(regexp_replace(t, '{_WS}+', ' '))"
+_WORDS = "regexp_extract_all(lower(t), '([a-z0-9][a-z0-9_/.:-]+)', 1)"
+_TOKENS = f"concat({_WORDS}, flatten(transform(filter({_WORDS}, w -> length(w) >= 3), w -> transform(sequence(1, length(w) - 2), k -> substring(w, k, 3)))))"
+#: Name, parameters, result and body: Catalyst inlines them. They work on columns, not inside lambdas.
+SQL_FUNCTIONS = [
+    ("fnv1a", "t STRING", "BIGINT", f"aggregate(transform(filter(split(t, ''), c -> c <> ''), c -> bigint(ascii(c))), bigint({hashing.FNV_SEED}), (h, c) -> ((h ^ c) * {hashing.FNV_PRIME}) & {hashing.MASK})"),
+    ("doc_tokens", "t STRING", "ARRAY<STRING>", _TOKENS),
+    ("query_terms", "t STRING", "ARRAY<STRING>", f"array_distinct(filter({_TOKENS}, x -> length(x) > 2))"),
+    ("hamming", "a ARRAY<BIGINT>, b ARRAY<BIGINT>", "INT", "aggregate(zip_with(a, b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"),
+    ("pack_signature", "v ARRAY<FLOAT>", "ARRAY<BIGINT>", "transform(sequence(0, int(ceil(size(v) / 32)) - 1), w -> aggregate(sequence(0, 31), 0L, (s, b) -> s + if(get(v, w * 32 + b) >= 0, shiftleft(1L, b), 0L)))"),
+    ("is_noisy", "t STRING", "BOOLEAN", f"length({_COLLAPSED}) < 40 OR regexp_count({_COLLAPSED}, '[.]') / length({_COLLAPSED}) > 0.1 OR regexp_count({_COLLAPSED}, '[a-zA-Z]') / length({_COLLAPSED}) < 0.35"),
+    ("dot_product", "a ARRAY<DOUBLE>, b ARRAY<DOUBLE>", "DOUBLE", "aggregate(zip_with(a, b, (x, y) -> x * y), 0D, (s, x) -> s + x)"),
+]
 
 
 def register_functions(spark: SparkSession) -> None:
-    """Temporary SQL functions with the bodies of the column builders."""
-    for name, (build, returns) in SQL_FUNCTIONS.items():
-        probe = spark.range(1).select(F.lit("x").alias("t")).select(build(F.col("t")).alias("v"))
-        body = probe._jdf.queryExecution().analyzed().expressions().apply(0).child().sql()
-        body = body.replace("`", "")
-        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}(t STRING) RETURNS {returns} RETURN {body}")
+    for name, params, returns, body in SQL_FUNCTIONS:
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {returns} RETURN {body}")
