@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ LENGTH, HEAD = 200, 64
 #: Windows that are hashed at once; bounds the memory of a task (about 100 bytes each).
 PIECE = 1 << 20
 PLACE_BITS = 21
+#: A suffix with more differing surroundings than this is compared passage by passage; others in buckets of about so many.
+HOT_KINDS, KINDS_PER_BUCKET = 2000, 3000
 
 _RNG = np.random.default_rng(977)
 _BYTES = _RNG.integers(0, 2**64, (2, 256), dtype=np.uint64)
@@ -108,13 +111,6 @@ class Sampler:
     def _joined(own: list[tuple[int, int, bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         return np.frombuffer(b"".join(p for _, _, p in own), np.uint8), np.array([len(p) for _, _, p in own]), np.array([k for k, _, _ in own]), np.array([a for _, a, _ in own])
 
-    def passages(self, region: bytes, lead: int) -> np.ndarray:
-        """A hash for each passage of a run; it holds the suffix's place in the passage."""
-        data = np.frombuffer(region, np.uint8)
-        n = len(data) - self.length + 1
-        found = self.regions.parts(self.regions.prefix(data), slice(0, n), slice(self.length, self.length + n), slice(0, n))
-        return mixed(found + mixed(np.arange(lead, lead - n, -1).astype(np.uint64) + np.uint64(7)))
-
 
 def _texts(column: pa.Array) -> list[bytes]:
     return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column]
@@ -136,12 +132,12 @@ def suffix_runs(docs: DataFrame, length: int) -> DataFrame:
 class SuffixFamily:
     """Levels of sorted runs of sampled suffixes: (head, n, low, high), with the least and greatest region hash.
 
-    Each new batch gets its own sorted run; two runs of one level are merged into one of the next, so a
+    Each new batch gets its own sorted run; ``fanout`` runs of one level are merged into one of the next, so a
     suffix is rewritten a logarithmic number of times. Suffixes are ordered by the hash of their head: only
     equality of passages matters, and hashed order deals hot text evenly.
     """
 
-    def __init__(self, scratch: Scratch, *, fanout: int = 2):
+    def __init__(self, scratch: Scratch, *, fanout: int = 4):
         self.scratch, self.fanout, self.levels, self.written = scratch, fanout, [], 0
 
     @staticmethod
@@ -170,7 +166,7 @@ class SuffixFamily:
         return self.merged([r for level in self.levels for _, r in level])
 
 
-def repeated_spans(texts: DataFrame, scratch: Scratch, *, length: int = LENGTH, batches: int = 4) -> DataFrame:
+def repeated_spans(texts: DataFrame, scratch: Scratch, *, length: int = LENGTH, batches: int = 4, hot_kinds: int = HOT_KINDS) -> DataFrame:
     """(text_a, text_b, spans): for each text, by two hashes, the first and last starts of passages found anywhere else.
 
     ``texts`` has text_a, text_b and body (binary). Three steps: the family counts sampled suffixes over all texts;
@@ -197,6 +193,10 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, *, length: int = LENGTH,
                     h = head & np.uint64(len(bits) * 8 - 1)
                     passed.append((bits[(h >> np.uint64(3)).astype(np.int64)] >> (h & np.uint64(7)).astype(np.uint8)) & 1 > 0)
                 keep = np.flatnonzero(passed[0])
+                # One copy of each surrounding a batch is enough to compare.
+                once = np.zeros(len(head), bool)
+                once[np.unique(region, return_index=True)[1]] = True
+                passed[1] &= once
                 begins = np.cumsum(lengths) - lengths
                 piece = np.searchsorted(begins, first[keep], side="right") - 1
                 body_of = [data[f : f + k + length - 1].tobytes() if m else None for f, k, m in zip(first[keep].tolist(), n[keep].tolist(), passed[1][keep].tolist(), strict=True)]
@@ -207,33 +207,88 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, *, length: int = LENGTH,
                 )
 
     found = scratch.write(texts.mapInArrow(listed, "text_a long, text_b int, head long, region long, start long, n int, lead int, bytes binary"), "found")
-    kinds = found.groupBy("head", "region").agg(F.count(F.lit(1)).alias("times"), F.max("n").alias("n"))
-    whole = kinds.where("times >= 2").select("head", "region")
-    # One copy of each differing surrounding is enough to compare: copies collapse before the shuffle.
-    around = found.where("bytes is not null").groupBy("head", "region", "lead", "bytes").agg(F.count(F.lit(1)).alias("times"))
-    around = scratch.write(around, "around")
+    kinds = scratch.write(found.groupBy("head", "region").agg(F.count(F.lit(1)).alias("times"), F.max("n").alias("n")), "kinds")
+    around = found.where("bytes is not null").select("head", "region", "lead", "bytes")
+    hot = around.groupBy("head").agg(F.count(F.lit(1)).alias("kinds")).where(F.col("kinds") > hot_kinds).select("head", F.lit(True).alias("hot"))
+    # A marker without bytes says that a surrounding occurs once.
+    rows = around.unionByName(kinds.where("times = 1").select("head", "region", F.lit(None).cast("int").alias("lead"), F.lit(None).cast("binary").alias("bytes")))
+    rows = scratch.write(rows.join(hot, "head", "left"), "rows")
+    n_rows = rows.where("hot is null").count()
+    bucket = F.pmod(F.xxhash64("head"), F.lit(max(1, n_rows // KINDS_PER_BUCKET))).cast("int")
+    few = rows.where("hot is null").drop("hot").groupBy(bucket.alias("bucket")).applyInArrow(_compared(length), "head long, region long, lo int, hi int")
+    part = few.unionByName(_hot_compared(rows.where("hot").drop("hot"), length))
+    verdicts = scratch.write(part.unionByName(kinds.where("times >= 2").select("head", "region", F.lit(0).alias("lo"), (F.col("n") - 1).alias("hi"))), "verdicts")
+    places = found.select("text_a", "text_b", "head", "region", "start")
+    met = places.join(verdicts, ["head", "region"]).select("text_a", "text_b", F.struct((F.col("start") + F.col("lo")).alias("lo"), (F.col("start") + F.col("hi")).alias("hi")).alias("span"))
+    return met.groupBy("text_a", "text_b").agg(F.collect_set("span").alias("spans"))  # copies of a text collapse before the shuffle
+
+
+def _passages(sampler: Sampler, leads: np.ndarray, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(surrounding, number of the passage in it, hash) of all passages; the hash holds the suffix's place in the passage."""
+    which, nth, hashes = [], [], []
+    for at in range(0, len(bodies), 2000):
+        part, lead = bodies[at : at + 2000], leads[at : at + 2000]
+        data, lengths = np.frombuffer(b"".join(part), np.uint8), np.array([len(p) for p in part])
+        count = lengths - sampler.length + 1
+        own = np.repeat(np.arange(len(part)), count)
+        k = np.arange(len(own)) - np.repeat(np.cumsum(count) - count, count)
+        start = np.repeat(np.cumsum(lengths) - lengths, count) + k
+        found = sampler.regions.parts(sampler.regions.prefix(data), start, start + sampler.length, start)
+        which.append(own + at)
+        nth.append(k)
+        hashes.append(mixed(found + mixed((lead[own] - k).astype(np.uint64) + np.uint64(7))))
+    return np.concatenate(which), np.concatenate(nth), np.concatenate(hashes)
+
+
+def _compared(length: int):
+    """Passages that two surroundings of a suffix share, as runs in those surroundings that occur once."""
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        full = pc.is_valid(group.column("bytes")).to_numpy(zero_copy_only=False)
+        head, region = group.column("head").to_numpy(), group.column("region").to_numpy()
+        places = np.flatnonzero(full)
+        places = places[np.unique(region[places], return_index=True)[1]]
+        none = pa.table({"head": pa.array([], pa.int64()), "region": pa.array([], pa.int64()), "lo": pa.array([], pa.int32()), "hi": pa.array([], pa.int32())})
+        if not len(places):
+            return none
+        sampler = Sampler(length, min(HEAD, length // 2))
+        bodies = [x.as_buffer().to_pybytes() for x in group.column("bytes").take(pa.array(places)).combine_chunks()]
+        which, nth, hashes = _passages(sampler, group.column("lead").take(pa.array(places)).to_numpy().astype(np.int64), bodies)
+        keys = mixed(hashes + mixed(head[places].view(np.uint64))[which])
+        inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)[1:]
+        once = np.isin(region[places], region[~full])
+        hit = (counts[inverse] >= 2) & once[which]
+        which, nth = which[hit], nth[hit]
+        if not len(which):
+            return none
+        new = np.concatenate(([True], (which[1:] != which[:-1]) | (nth[1:] != nth[:-1] + 1)))
+        first = np.flatnonzero(new)
+        last = np.concatenate((first[1:] - 1, [len(which) - 1]))
+        own = places[which[first]]
+        return pa.table({"head": pa.array(head[own]), "region": pa.array(region[own]), "lo": pa.array(nth[first].astype(np.int32)), "hi": pa.array(nth[last].astype(np.int32))})
+
+    return run
+
+
+def _hot_compared(rows: DataFrame, length: int) -> DataFrame:
+    """The same for suffixes with very many surroundings: passages one by one, without gathering a suffix's in one task."""
 
     def single(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(length, min(HEAD, length // 2))
         for batch in parts:
-            for k in range(0, batch.num_rows, 2000):
-                part = batch.slice(k, 2000)
-                hashes = [sampler.passages(r.as_buffer().to_pybytes(), lead.as_py()) for r, lead in zip(part.column(3), part.column(2), strict=True)]
-                counts = np.array([len(h) for h in hashes])
-                row = np.repeat(np.arange(part.num_rows), counts)
-                nth = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
-                if len(row):
-                    yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), part.column(1).take(pa.array(row)), pa.array(np.concatenate(hashes).view(np.int64)), pa.array(nth.astype(np.int32)), part.column(4).take(pa.array(row))], names=["head", "region", "passage", "nth", "times"])
-
-    # A passage's hash stands beside its suffix's own hash: together they name it.
-    passages = scratch.write(around.mapInArrow(single, "head long, region long, passage long, nth int, times long"), "passages")
+            for at in range(0, batch.num_rows, 2000):
+                part = batch.slice(at, 2000)
+                bodies = [x.as_buffer().to_pybytes() for x in part.column(3)]
+                which, nth, hashes = _passages(sampler, part.column(2).to_numpy().astype(np.int64), bodies)
+                own = pa.array(which)
+                yield pa.RecordBatch.from_arrays([part.column(0).take(own), part.column(1).take(own), pa.array(hashes.view(np.int64)), pa.array(nth.astype(np.int32))], names=["head", "region", "passage", "nth"])
+
+    distinct = rows.where("bytes is not null").groupBy("head", "region", "lead", "bytes").agg(F.count(F.lit(1)).alias("times")).drop("times")
+    passages = distinct.mapInArrow(single, "head long, region long, passage long, nth int")
     shared = passages.groupBy("head", "passage").agg(F.count(F.lit(1)).alias("kinds")).where("kinds >= 2").select("head", "passage")
-    part = passages.where("times = 1").join(shared, ["head", "passage"]).groupBy("head", "region").agg(F.collect_set("nth").alias("nths"))  # at most LENGTH each
-    places = found.select("text_a", "text_b", "head", "region", "start", "n")
-    in_whole = places.join(whole, ["head", "region"]).select("text_a", "text_b", F.col("start").alias("lo"), (F.col("start") + F.col("n") - 1).alias("hi"))
-    in_part = places.join(part, ["head", "region"]).select("text_a", "text_b", "start", F.explode("nths").alias("nth")).select("text_a", "text_b", (F.col("start") + F.col("nth")).alias("lo"), (F.col("start") + F.col("nth")).alias("hi"))
-    both = in_whole.unionByName(in_part).groupBy("text_a", "text_b", "lo", "hi").agg(F.count(F.lit(1)).alias("times"))
-    return both.groupBy("text_a", "text_b").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    once = rows.where("bytes is null").select("head", "region")
+    return passages.join(shared, ["head", "passage"]).join(once, ["head", "region"], "left_semi").select("head", "region", F.col("nth").alias("lo"), F.col("nth").alias("hi"))
 
 
 def union_spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +299,7 @@ def union_spans(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return lo[new], far[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(lo) - 1]))]
 
 
-def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, batches: int = 4) -> DataFrame:
+def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, batches: int = 4, hot_kinds: int = HOT_KINDS) -> DataFrame:
     """Each whole text, as UTF-8 bytes, without the bytes in any passage of ``length`` that also starts elsewhere.
 
     Returns the key, n_bytes, n_removed, n_spans (maximal removed runs) and kept (the bytes left).
@@ -256,8 +311,8 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     scratch = Scratch(docs.sparkSession)
     keyed = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_a"), F.hash(text).alias("text_b"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("body"))
-    spans = scratch.write(repeated_spans(keyed.select("text_a", "text_b", "body"), scratch, length=length, batches=batches), "spans")
-    for name in ("found", "around", "passages"):
+    spans = scratch.write(repeated_spans(keyed.select("text_a", "text_b", "body"), scratch, length=length, batches=batches, hot_kinds=hot_kinds), "spans")
+    for name in ("found", "kinds", "rows", "verdicts"):
         scratch.drop(name)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
