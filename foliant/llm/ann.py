@@ -16,8 +16,10 @@ SAMPLE_ROWS, MAX_LISTS, CHUNK_ROWS, CHUNK_QUERIES = 20_000, 1024, 8192, 2048
 #: Columns of a block, and how sure a test must be before it abandons a candidate (in standard deviations).
 BLOCK, CONFIDENCE = 16, 2.1
 #: The recall that the number of probed lists is chosen for, on queries from the sample.
-TARGET_RECALL, TUNING_QUERIES = 0.97, 256
+TARGET_RECALL, TUNING_QUERIES = 0.95, 256
 TILE_QUERIES, TILE_ROWS = 64, 512
+#: Sample rows that bound each query's k-th distance before any list is scanned.
+SEED_ROWS = 4096
 
 
 class Index:
@@ -29,7 +31,7 @@ class Index:
 
     def __init__(self, sample: np.ndarray, bound: float, n_rows: int, k: int, seed: int = 0):
         rng = np.random.default_rng(seed)
-        self.bound = bound
+        self.bound, self.seeds = bound, sample[:SEED_ROWS]
         self.rotation = np.linalg.qr(rng.standard_normal((sample.shape[1] + 1, sample.shape[1] + 1)))[0]
         lists = int(max(1, min(MAX_LISTS, np.sqrt(n_rows), len(sample) // 20)))
         x = self.lift(sample)
@@ -52,6 +54,16 @@ class Index:
             out[a : a + 4096] = np.argsort(d, axis=1, kind="stable")[:, : out.shape[1]]
         return out
 
+    def farthest(self, q: np.ndarray, k: int) -> np.ndarray:
+        """A distance that the k-th nearest row cannot exceed: that of the k-th nearest sample row."""
+        if len(self.seeds) < k:
+            return np.full(len(q), np.inf)
+        out = np.empty(len(q))
+        for a in range(0, len(q), 1024):
+            s = q[a : a + 1024] @ self.seeds.T
+            out[a : a + 1024] = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
+        return np.maximum(0, (q * q).sum(1) + self.bound - 2 * out) + 1e-12
+
     def _tuned(self, sample: np.ndarray, x: np.ndarray, k: int) -> int:
         """The fewest lists that hold TARGET_RECALL of the sample's own neighbours of sample queries."""
         q = sample[:: max(1, len(sample) // TUNING_QUERIES)][:TUNING_QUERIES]
@@ -68,7 +80,7 @@ def matrix(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
 
 
-def adaptive_scan(q: np.ndarray, x: np.ndarray, q_lift: np.ndarray, x_lift: np.ndarray, ids: np.ndarray, bound: float, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def adaptive_scan(q: np.ndarray, x: np.ndarray, q_lift: np.ndarray, x_lift: np.ndarray, ids: np.ndarray, bound: float, k: int, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query, row, score) of the k best rows of each query, larger inner product first, then smaller id.
 
     Distances grow block by block of rotated columns. After each block a candidate whose partial
@@ -78,7 +90,7 @@ def adaptive_scan(q: np.ndarray, x: np.ndarray, q_lift: np.ndarray, x_lift: np.n
     blocks = [(a, width if b + BLOCK > width else b) for a, b in ((a, a + BLOCK) for a in range(0, max(1, width - BLOCK + 1), BLOCK))]
     for a in range(0, len(q), TILE_QUERIES):
         qs, ql = q[a : a + TILE_QUERIES], q_lift[a : a + TILE_QUERIES]
-        far = np.full(len(qs), np.inf)
+        far = np.full(len(qs), np.inf) if start is None else start[a : a + TILE_QUERIES].copy()
         best_i, best_j, best_s = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         for b in range(0, len(x), TILE_ROWS):
             xl = x_lift[b : b + TILE_ROWS]
@@ -88,7 +100,11 @@ def adaptive_scan(q: np.ndarray, x: np.ndarray, q_lift: np.ndarray, x_lift: np.n
             i, j = np.nonzero(part <= limit[:, None] * (1 + 1e-9))
             d = part[i, j]
             for lo, hi in blocks[1:]:
-                d = d + ((ql[i, lo:hi] - xl[j, lo:hi]) ** 2).sum(1)
+                if 16 * len(i) > part.size:  # many are left: the block's distances of the whole tile are cheaper than gathering
+                    a_, b_ = ql[:, lo:hi], xl[:, lo:hi]
+                    d = d + ((a_ * a_).sum(1)[:, None] + (b_ * b_).sum(1)[None, :] - 2 * a_ @ b_.T)[i, j]
+                else:
+                    d = d + ((ql[i, lo:hi] - xl[j, lo:hi]) ** 2).sum(1)
                 limit = far * (hi / width) * (1 + (CONFIDENCE / np.sqrt(hi) if hi < width else 0)) ** 2
                 near = d <= limit[i] * (1 + 1e-9)
                 i, j, d = i[near], j[near], d[near]
@@ -100,7 +116,7 @@ def adaptive_scan(q: np.ndarray, x: np.ndarray, q_lift: np.ndarray, x_lift: np.n
             top = rank < k
             best_i, best_j, best_s, rank = best_i[top], best_j[top], best_s[top], rank[top]
             last = rank == k - 1
-            far[best_i[last]] = np.maximum(0, (qs[best_i[last]] ** 2).sum(1) + bound - 2 * best_s[last]) + 1e-12
+            far[best_i[last]] = np.minimum(far[best_i[last]], np.maximum(0, (qs[best_i[last]] ** 2).sum(1) + bound - 2 * best_s[last]) + 1e-12)
         found_q.append(best_i + a)
         found_x.append(best_j)
         found_s.append(best_s)
@@ -186,7 +202,7 @@ def search(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vecto
         q, x = matrix(left.column("v").combine_chunks(), width), matrix(right.column("v").combine_chunks(), width)
         ids = right.column("ids").combine_chunks()
         smallest = ids.flatten().to_numpy()[(ids.offsets.to_numpy() - ids.offsets[0].as_py())[:-1]]
-        i, j, s = adaptive_scan(q, x, index.lift(q, query=True), index.lift(x), smallest, index.bound, k + 1)
+        i, j, s = adaptive_scan(q, x, index.lift(q, query=True), index.lift(x), smallest, index.bound, k + 1, index.farthest(q, k + 1))
         return pa.table({"a": left.column("a").take(pa.array(i)), "b": left.column("b").take(pa.array(i)), "ids": ids.take(pa.array(j)), "first_id": pa.array(smallest[j]), "score": pa.array(s)})
 
     met = asks.groupBy("list", "c", "t").cogroup(rows.groupBy("list", "c", "t")).applyInArrow(scan, "a long, b int, ids array<long>, first_id long, score double")
