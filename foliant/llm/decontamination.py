@@ -168,8 +168,8 @@ def hits(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The documents that are not contaminated, unchanged. Rows are told apart by key and text."""
-    digest = F.xxhash64(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63))), F.col(text))
-    slim = docs.select(digest.alias("digest"), F.col(text).alias("text"))
+    digest = F.xxhash64(F.coalesce(docs[key].cast("long"), F.lit(-(2**63))), docs[text])
+    slim = docs.select(digest.alias("digest"), docs[text].alias("text"))
     bad = hits(slim, items, key="digest", text="text", **options).where("contaminated").select(F.col("digest").alias("bad")).distinct()
     bad = checkpoint(bad)
-    return docs.join(bad, digest == F.col("bad"), "left_anti")
+    return docs.join(bad, digest == bad["bad"], "left_anti")

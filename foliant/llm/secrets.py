@@ -43,7 +43,7 @@ class Novelty:
 
     def __init__(self) -> None:
         primed = zstandard.ZstdCompressionDict(IDENTIFIERS, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-        self.compressor = zstandard.ZstdCompressor(level=5, dict_data=primed, write_content_size=False)
+        self.compressor = zstandard.ZstdCompressor(level=3, dict_data=primed, write_content_size=False)
 
     def __call__(self, text: str, start: int, end: int) -> float:
         around = text[max(0, start - CONTEXT_AROUND) : start] + "\n" + text[end : end + CONTEXT_AROUND]

@@ -192,21 +192,22 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width:
     kept = named.where("doc_id = component_id").groupBy("component_id").agg(F.min("fp").alias("fp")).withColumnRenamed("component_id", "keep_id")
     rows = fps.groupBy(F.col("doc_id").alias("keep_id")).agg(F.count(F.lit(1)).alias("n"))
     kept = checkpoint(kept.join(rows, "keep_id"))
-    own = F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)))
-    single = docs.join(kept.where("n = 1").select("keep_id"), own == F.col("keep_id"), "left_semi")
+    own = F.coalesce(docs[key].cast("long"), F.lit(-(2**63)))
+    alone = kept.where("n = 1").select("keep_id")
+    single = docs.join(alone, own == alone["keep_id"], "left_semi")
     repeated = kept.where("n > 1").select("keep_id", F.col("fp").alias("keep_fp"))
     if not repeated.take(1):
         return single
     # Keys that repeat are rare; only their rows are fingerprinted again, with all their columns.
-    rest = docs.join(repeated.select("keep_id").distinct(), own == F.col("keep_id"), "left_semi")
-    digest = F.xxhash64(own, F.col(text))
-    slim = rest.select(own.alias("doc_id"), F.col(text).alias("text"), digest.alias("digest"))
-    marked = slim.select("doc_id", "digest").distinct().join(
-        slim.mapInArrow(_keyed(width, seed), "doc_id long, digest long, fp long").distinct(), ["doc_id", "digest"]
-    )
-    chosen = marked.join(repeated, (F.col("doc_id") == F.col("keep_id")) & (F.col("fp") == F.col("keep_fp"))).groupBy("keep_id").agg(F.min("digest").alias("keep_digest"))
-    wanted = rest.join(chosen, (own == F.col("keep_id")) & (digest == F.col("keep_digest"))).withColumn("_at", F.row_number().over(Window.partitionBy("keep_id").orderBy(F.lit(0))))
-    return single.unionByName(wanted.where("_at = 1").select(*docs.columns))
+    rest = docs.join(repeated, own == repeated["keep_id"], "left_semi")
+    digest = F.xxhash64(own, docs[text])
+    slim = rest.select(own.alias("doc_id"), docs[text].alias("text"), digest.alias("digest"))
+    marked = slim.mapInArrow(_keyed(width, seed), "doc_id long, digest long, fp long").distinct()
+    chosen = marked.join(repeated, (marked["doc_id"] == repeated["keep_id"]) & (marked["fp"] == repeated["keep_fp"])).groupBy("doc_id").agg(F.min("digest").alias("keep_digest"))
+    chosen = chosen.withColumnRenamed("doc_id", "chosen_id")
+    wanted = rest.join(chosen, (own == chosen["chosen_id"]) & (digest == chosen["keep_digest"]))
+    wanted = wanted.select(*[docs[c] for c in docs.columns], F.row_number().over(Window.partitionBy(chosen["chosen_id"]).orderBy(F.lit(0))).alias("__nth"))
+    return single.unionByName(wanted.where(F.col("__nth") == 1).drop("__nth"))
 
 
 def _keyed(width: int, seed: int):
