@@ -44,7 +44,9 @@ def _move(nodes: DataFrame, room: list[int], n_shards: int, n_buckets: int, turn
     hash buckets of the groups in proportion to what they ask, so no task sees all who ask for a shard.
     """
     mass = nodes.groupBy("grp", "shard").agg(F.sum("w").alias("mass")).withColumn("rank", F.struct("mass", F.xxhash64("grp", "shard")))
-    roomy = mass.where(_pick(room, F.col("shard")) > 0)
+    # A shard with less room than the group's largest cell would hold up the group's moves.
+    most = nodes.groupBy("grp").agg(F.max("w").alias("most"))
+    roomy = mass.join(most, "grp").where(_pick(room, F.col("shard")) >= F.col("most")).drop("most")
     goal = roomy.groupBy("grp").agg(F.max(F.struct("rank", F.col("shard").alias("to"))).alias("best")).select("grp", F.col("best.to").alias("to"), F.col("best.rank").alias("held"))
     here = mass.join(goal, "grp").where("held > rank").select("grp", "shard", "to")
     whole = nodes.groupBy("grp").agg(F.sum("w").alias("whole"))
