@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import Scratch, checkpoint
+from foliant.llm.runs import Levels
 
 #: What is stripped from a line's ends, as a set of bytes.
 BLANKS = b" \t\n\x0b\x0c\r"
@@ -44,74 +45,29 @@ def line_hashes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, "doc_id long, hash binary")
 
 
-class LineRuns:
-    """An index of line hashes as levels of sorted runs in the shared folder.
+def line_runs(scratch: Scratch, *, fanout: int = 4) -> Levels:
+    """An index of line hashes: in how many documents a line is found, and the last of them. Documents of different batches are different documents."""
+    return Levels(scratch, "lines", "hash", {"n_docs": "sum", "last_doc": "max"}, fanout=fanout)
 
-    A run has (hash, n_docs, last_doc) sorted by hash and dealt by it. ``add`` merge-joins a batch with
-    every run, to tell which of its lines are known, and writes the batch's own run at level 0. When a level
-    holds ``fanout`` runs they are compacted into one of the next level, so a hash is rewritten
-    a logarithmic number of times. Documents of different batches are different documents.
-    """
 
-    def __init__(self, scratch: Scratch, *, fanout: int = 4):
-        self.scratch, self.fanout = scratch, fanout
-        self.levels: list[list[tuple[str, DataFrame]]] = []
-        self.written = 0
-
-    @staticmethod
-    def _summed(rows: DataFrame) -> DataFrame:
-        return rows.groupBy("hash").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
-
-    def _write(self, run: DataFrame, level: int) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        name = f"run{self.written}"
-        self.written += 1
-        self.levels[level].append((name, self.scratch.write(run.sortWithinPartitions("hash"), name)))
-        if len(self.levels[level]) >= self.fanout:
-            old, self.levels[level] = self.levels[level], []
-            self._write(self._summed(self._union([r for _, r in old])), level + 1)
-            for gone, _ in old:
-                self.scratch.drop(gone)
-
-    @staticmethod
-    def _union(runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for r in runs[1:]:
-            out = out.unionByName(r)
-        return out
-
-    def runs(self) -> list[DataFrame]:
-        return [r for level in self.levels for _, r in level]
-
-    def new_lines(self, batch: DataFrame) -> DataFrame:
-        """The batch's (doc_id, hash) that no run has: a merge anti-join with each."""
-        for run in self.runs():
-            batch = batch.join(run.select("hash"), "hash", "left_anti")
-        return batch
-
-    def add(self, batch: DataFrame) -> None:
-        """``batch``: distinct (doc_id, hash)."""
-        self._write(batch.groupBy("hash").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc")), 0)
-
-    def merged(self) -> DataFrame:
-        runs = self.runs()
-        return runs[0] if len(runs) == 1 else self._summed(self._union(runs))
+def per_line(batch: DataFrame) -> DataFrame:
+    """(hash, n_docs, last_doc) of distinct (doc_id, hash)."""
+    return batch.groupBy("hash").agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("last_doc"))
 
 
 def repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3, batches: int = 4, fanout: int = 4) -> DataFrame:
     """(doc_id, hashes): the line hashes each document loses, for documents that lose any; checkpointed.
 
-    The table goes into the runs in batches by key hash. Whether a line is found in ``min_docs`` documents is
-    known only after the last batch, so documents are joined with the compacted runs then.
+    The table goes into the runs in batches by key hash; each is anti-joined with the runs before it. Whether a line
+    is found in ``min_docs`` documents is known only after the last batch, so documents are joined with the lines then.
     """
     scratch = Scratch(docs.sparkSession)
     pairs = line_hashes(docs, key=key, text=text, min_chars=min_chars).where("doc_id is not null").distinct()
     pairs = scratch.write(pairs.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), "pairs")
-    index = LineRuns(scratch, fanout=fanout)
+    index = line_runs(scratch, fanout=fanout)
     for b in range(batches):
-        index.add(pairs.where(F.col("batch") == b).drop("batch"))
-    often = index.merged().where(F.col("n_docs") >= min_docs).select("hash", "last_doc")
+        index.add(per_line(pairs.where(F.col("batch") == b)))
+    often = index.all().where(F.col("n_docs") >= min_docs).select("hash", "last_doc")
     lost = pairs.join(often, "hash").where("doc_id <> last_doc").groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))
     lost = checkpoint(lost.withColumnRenamed("doc_id", "lost_id"))
     scratch.drop()

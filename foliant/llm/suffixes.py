@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import Scratch, bitmap
+from foliant.llm.runs import Levels
 
 #: Bytes of a passage, and of the head of a suffix. Of each LENGTH - HEAD + 1 heads in a row the least is sampled,
 #: so every passage of LENGTH bytes holds a sampled suffix, at the same place wherever the passage stands.
@@ -129,41 +130,18 @@ def suffix_runs(docs: DataFrame, length: int) -> DataFrame:
     return docs.mapInArrow(run, "head long, region long")
 
 
-class SuffixFamily:
+def suffix_family(scratch: Scratch, *, fanout: int = 4) -> Levels:
     """Levels of sorted runs of sampled suffixes: (head, n, low, high), with the least and greatest region hash.
 
-    Each new batch gets its own sorted run; ``fanout`` runs of one level are merged into one of the next, so a
-    suffix is rewritten a logarithmic number of times. Suffixes are ordered by the hash of their head: only
-    equality of passages matters, and hashed order deals hot text evenly.
+    Each new batch is merge-scanned against the levels for suffixes they have; those they lack become its own run.
+    Suffixes are ordered by the hash of their head: only equality of passages matters, and hashed order deals
+    hot text evenly.
     """
+    return Levels(scratch, "suffixes", "head", {"n": "sum", "low": "min", "high": "max"}, fanout=fanout)
 
-    def __init__(self, scratch: Scratch, *, fanout: int = 4):
-        self.scratch, self.fanout, self.levels, self.written = scratch, fanout, [], 0
 
-    @staticmethod
-    def merged(runs: list[DataFrame]) -> DataFrame:
-        out = runs[0]
-        for r in runs[1:]:
-            out = out.unionByName(r)
-        return out if len(runs) == 1 else out.groupBy("head").agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high"))
-
-    def _write(self, run: DataFrame, level: int) -> None:
-        while len(self.levels) <= level:
-            self.levels.append([])
-        name = f"suffixes{self.written}"
-        self.written += 1
-        self.levels[level].append((name, self.scratch.write(run.sortWithinPartitions("head"), name)))
-        if len(self.levels[level]) >= self.fanout:
-            old, self.levels[level] = self.levels[level], []
-            self._write(self.merged([r for _, r in old]), level + 1)
-            for gone, _ in old:
-                self.scratch.drop(gone)
-
-    def add(self, suffixes: DataFrame) -> None:
-        self._write(suffixes.groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.min("region").alias("low"), F.max("region").alias("high")), 0)
-
-    def all(self) -> DataFrame:
-        return self.merged([r for level in self.levels for _, r in level])
+def per_head(suffixes: DataFrame) -> DataFrame:
+    return suffixes.groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.min("region").alias("low"), F.max("region").alias("high"))
 
 
 def repeated_spans(texts: DataFrame, scratch: Scratch, *, length: int = LENGTH, batches: int = 4, hot_kinds: int = HOT_KINDS) -> DataFrame:
@@ -174,12 +152,14 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, *, length: int = LENGTH,
     decide); where all passages around a suffix are the same everywhere the run counts as a whole, and only where
     they differ are its passages compared one by one.
     """
-    family = SuffixFamily(scratch)
+    family = suffix_family(scratch)
     for b in range(batches):
-        family.add(suffix_runs(texts.where(F.pmod("text_a", F.lit(batches)) == b).select("body"), length))
-    often = family.all().where("n >= 2")
+        family.add(per_head(suffix_runs(texts.where(F.pmod("text_a", F.lit(batches)) == b).select("body"), length)))
+    often = scratch.write(family.all().where("n >= 2"), "often")
+    family.drop()
     n_often, n_mixed = often.agg(F.count(F.lit(1)), F.count(F.when(F.col("low") != F.col("high"), 1))).first()
     maps = [np.frombuffer(bitmap(often.where(c).select("head"), "head", n), np.uint8) for c, n in (("true", n_often), ("low <> high", n_mixed))]
+    scratch.drop("often")
     sent = texts.sparkSession.sparkContext.broadcast(maps)
 
     def listed(batches_: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

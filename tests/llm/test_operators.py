@@ -401,16 +401,33 @@ def test_line_runs_compact(spark):
     from foliant.llm.common import Scratch
 
     scratch = Scratch(spark)
-    index = lines.LineRuns(scratch, fanout=2)
+    index = lines.line_runs(scratch, fanout=2)
     for b in range(5):
-        batch = spark.createDataFrame([(b * 10 + k, bytes([k % 3])) for k in range(4)], "doc_id long, hash binary").distinct()
-        assert index.new_lines(batch).count() == (4 if b == 0 else 0)
-        index.add(batch)
+        batch = spark.createDataFrame([(b * 10 + k, bytes([k % 3])) for k in range(4)] + [(b * 10, bytes([10 + b]))], "doc_id long, hash binary").distinct()
+        rows = lines.per_line(batch)
+        assert {bytes(r["hash"])[0] for r in index.new(rows).collect()} == ({0, 1, 2, 10} if b == 0 else {10 + b})
+        if b:
+            assert {bytes(r["hash"])[0] for r in index.known(rows).collect()} == {0, 1, 2}
+        index.add(rows)
     assert [len(x) for x in index.levels] == [1, 0, 1]
-    assert {bytes(r["hash"])[0]: (r["n_docs"], r["last_doc"]) for r in index.merged().collect()} == {0: (10, 43), 1: (5, 41), 2: (5, 42)}
+    held = [bytes(r["hash"]) for run in index.runs() for r in run.collect()]
+    assert len(held) == len(set(held)) == 8  # a line lies in one run
+    want = {0: (10, 43), 1: (5, 41), 2: (5, 42)} | {10 + b: (1, b * 10) for b in range(5)}
+    assert {bytes(r["hash"])[0]: (r["n_docs"], r["last_doc"]) for r in index.all().collect()} == want
     scratch.drop()
 
 
+def test_levels_combine(spark):
+    from foliant.llm.common import Scratch
+
+    scratch = Scratch(spark)
+    family = suffixes.suffix_family(scratch)
+    for regions in ([(1, 5), (1, 7), (2, 9)], [(1, 3), (3, 4)], [(3, 8)], []):
+        family.add(suffixes.per_head(spark.createDataFrame(regions, "head long, region long")))
+    assert {tuple(r) for r in family.all().collect()} == {(1, 3, 3, 7), (2, 1, 9, 9), (3, 2, 4, 8)}
+    family.drop()
+
+
 # 9
 
 
