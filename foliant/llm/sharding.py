@@ -96,10 +96,11 @@ def shard(docs: DataFrame, *, n_shards: int = 24, rounds: int = 6, key: str = "d
     nodes = checkpoint(nodes.withColumn("whole", F.sum("w").over(Window.partitionBy("grp"))))
     total, linked_rows, linked_cells = nodes.agg(F.coalesce(F.sum("w"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("whole") > 1, F.col("w"))), F.lit(0)), F.count(F.when(F.col("whole") > 1, 1))).first()
     n_buckets = max(4, -(-total // (n_shards * ROWS_PER_BUCKET)))
+    at_once = partitions(spark)  # tasks that number rows side by side
     seats = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
 
     # Linked cells start round robin; a cell that finds no seat is broken up with the unlinked rows.
-    linked = _numbered(nodes.where("whole > 1").select("grp", "salt", "w"), [], ["grp", "salt"], max(4, -(-linked_cells // ROWS_PER_BUCKET)), "_k")
+    linked = _numbered(nodes.where("whole > 1").select("grp", "salt", "w"), [], ["grp", "salt"], max(at_once, -(-linked_cells // ROWS_PER_BUCKET)), "_k")
     linked = linked.select("grp", "salt", "w", F.pmod("_k", F.lit(n_shards)).cast("int").alias("shard"))
     w = Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     linked = checkpoint(linked)
@@ -124,7 +125,7 @@ def shard(docs: DataFrame, *, n_shards: int = 24, rounds: int = 6, key: str = "d
     room = [seats[s] - loads.get(s, 0) for s in range(n_shards)]
     placed = slim.join(linked.select("grp", "salt", F.col("shard").cast("int").alias("shard")), ["grp", "salt"], "left")
     placed = checkpoint(placed)
-    free = _numbered(placed.where("shard is null").drop("shard"), [], ["row"], max(4, -(-sum(room) // ROWS_PER_BUCKET)), "_k")
+    free = _numbered(placed.where("shard is null").drop("shard"), [], ["row"], max(at_once, -(-sum(room) // ROWS_PER_BUCKET)), "_k")
     ends, at = [], 0
     for r in room:
         ends.append(at := at + r)
@@ -135,6 +136,6 @@ def shard(docs: DataFrame, *, n_shards: int = 24, rounds: int = 6, key: str = "d
     mass = placed.groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("mass"))
     home = mass.groupBy("grp").agg(F.max(F.struct("mass", (-F.col("shard")).alias("less"))).alias("top")).select("grp", (-F.col("top.less")).alias("home"))
     apart = mass.join(home, "grp").where("shard <> home").select("grp", "shard", F.lit(True).alias("cut"))
-    out = _numbered(placed, ["shard"], ["doc_id", "row"], n_buckets, "slot")
+    out = _numbered(placed, ["shard"], ["doc_id", "row"], max(n_buckets, -(-at_once // n_shards)), "slot")
     out = out.join(apart, ["grp", "shard"], "left")
     return out.select(F.col("doc_id").alias(key), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.coalesce("cut", F.lit(False)).alias("cut"))
