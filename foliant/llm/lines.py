@@ -15,6 +15,8 @@ from foliant.llm.runs import Levels
 #: What is stripped from a line's ends, as a set of bytes.
 BLANKS = b" \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: A line in more than one of so many of all (document, line) pairs is hot.
+HOT_PARTS = 1000
 
 
 def line_key(line: bytes) -> bytes:
@@ -67,8 +69,12 @@ def repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     index = line_runs(scratch, fanout=fanout)
     for b in range(batches):
         index.add(per_line(pairs.where(F.col("batch") == b)))
-    often = index.all().where(F.col("n_docs") >= min_docs).select("hash", "last_doc")
-    lost = pairs.join(often, "hash").where("doc_id <> last_doc").groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))
+    often = scratch.write(index.all().where(F.col("n_docs") >= min_docs), "often")
+    # Fewer than HOT_PARTS lines can be in over 1/HOT_PARTS of all pairs; they are sent out, and no task gathers one's documents.
+    hot_line = F.col("n_docs") * HOT_PARTS > pairs.count()
+    hot = often.where(hot_line).select("hash", "last_doc")  # below HOT_PARTS rows
+    rest = pairs.join(F.broadcast(hot.select("hash")), "hash", "left_anti").join(often.where(~hot_line).select("hash", "last_doc"), "hash")
+    lost = pairs.join(F.broadcast(hot), "hash").unionByName(rest).where("doc_id <> last_doc").groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))
     lost = checkpoint(lost.withColumnRenamed("doc_id", "lost_id"))
     scratch.drop()
     return lost

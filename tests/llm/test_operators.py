@@ -397,6 +397,15 @@ def test_lines_awkward(spark):
     assert sorted(r["n_dropped"] for r in lines.dedup_lines(once).collect()) == [0, 0, 2, 2]
 
 
+def test_hot_and_other_lines(spark, monkeypatch):
+    rows = [(k, f"{LINE} {k % 2}\n{LINE} common") for k in range(8)] + [(9, LINE + " once")]
+    want = sorted(map(tuple, lines.dedup_lines(awkward(spark, rows)).collect()))
+    assert [r[2] for r in want] == [2] * 6 + [1, 0, 0]
+    for parts in (0, 4):  # no line is hot; the common line is
+        monkeypatch.setattr(lines, "HOT_PARTS", parts)
+        assert sorted(map(tuple, lines.dedup_lines(awkward(spark, rows)).collect())) == want
+
+
 def test_line_runs_compact(spark):
     from foliant.llm.common import Scratch
 
