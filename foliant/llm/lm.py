@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,9 +18,11 @@ from foliant.llm.words import identity_lower, split
 #: The network's words; all others share one class. Words whose counts go to all tasks (bounded, a few megabytes).
 VOCABULARY, FREQUENT = 2047, 131_072
 DIMS, HIDDEN, CLASSES = 16, 16, 48
-#: Bounds of the training sample: documents and characters of each.
+#: Bounds of the sample that the network starts from: documents and characters of each. All training rows follow.
 SAMPLE_DOCS, SAMPLE_CHARS = 1500, 8000
 STREAMS, STEPS, EPOCHS, RATE = 64, 20, 2, 0.01
+#: The pass over all training rows: rounds, buckets wanted in each, words of a bucket (least, most), streams and steps.
+ROUNDS, BUCKETS, BUCKET_WORDS, WIDE_STREAMS, WIDE_STEPS = 3, 240, (500_000, 4_000_000), 512, 10
 #: Texts that run side by side, and states that wait for the output layer at most (window of carried state).
 SLICE_DOCS, PENDING = 5000, 150_000
 END = b""
@@ -111,47 +114,67 @@ class Model:
     def gates(self) -> np.ndarray:
         return self.p["emb"] @ self.p["w"] + self.p["b"]
 
-    def fit(self, texts: list[np.ndarray], epochs: int = EPOCHS, seed: int = 0) -> float:
-        """Truncated backpropagation over parallel streams of whole texts; returns the last mean loss."""
-        rng, opt, loss = np.random.default_rng(seed), gru.Adam(self.p, RATE), 0.0
+    def fit(self, texts: list[np.ndarray], epochs: int = EPOCHS, seed: int = 0, streams: int = STREAMS, steps: int = STEPS, rates: tuple[float, float] = (RATE, 0.1 * RATE)) -> float:
+        """Truncated backpropagation over parallel streams of whole texts; returns the last mean loss.
+
+        Every word trains once an epoch; those that do not fill all streams are a stream of their own.
+        """
+        rng, opt, loss = np.random.default_rng(seed), gru.Adam(self.p, rates[0]), 0.0
         end = self.ids.get(END, 0)
         for epoch in range(epochs):
             line = np.concatenate([np.append(texts[k], end) for k in rng.permutation(len(texts))]) if texts else np.zeros(0, int)
-            steps = len(line) // STREAMS
-            if steps < 2:
-                return loss
-            grid = line[: steps * STREAMS].reshape(STREAMS, steps).T
-            h, before, losses = np.zeros((STREAMS, HIDDEN), np.float32), np.full(STREAMS, end), []
-            for t in range(0, steps - 1, STEPS):
-                opt.rate = RATE * (1 - 0.9 * (epoch + t / steps) / epochs)
-                want = grid[t : t + STEPS]
-                read = np.concatenate((before[None], want[:-1]))
-                table = self.gates()
-                states, kept, start = np.empty((len(want), STREAMS, HIDDEN), np.float32), [], []
-                for k in range(len(want)):
-                    fresh = read[k] == end
-                    h_new, cache = gru.step(table[read[k]], h, self.p["u"], self.p["c"])
-                    h = np.where(fresh[:, None], np.float32(0), h_new)  # a text starts from the zero state
-                    states[k] = h
-                    kept.append(cache)
-                    start.append(fresh)
-                g = {n: np.zeros_like(v) for n, v in self.p.items()}
-                lp, d_h = self.log_probs(states.reshape(-1, HIDDEN), want.ravel(), g)
-                losses.append(-lp.mean())
-                d_states, carry = d_h.reshape(states.shape), np.zeros((STREAMS, HIDDEN), np.float32)
-                d_table = np.zeros_like(table)
-                for k in range(len(want) - 1, -1, -1):
-                    d = np.where(start[k][:, None], np.float32(0), d_states[k] + carry)
-                    d_g, d_u, d_c, carry = _back(d, kept[k], self.p["u"])
-                    np.add.at(d_table, read[k], d_g)
-                    g["u"] += d_u
-                    g["c"] += d_c
-                g["emb"], g["w"], g["b"] = d_table @ self.p["w"].T, self.p["emb"].T @ d_table, d_table.sum(0)
-                opt.update(g)
-                before = want[-1]
-            loss = float(np.mean(losses))
+            wide = max(1, min(streams, len(line) // 2))
+            full = len(line) // wide * wide
+            losses, sizes = [], []
+            for part, width in ((line[:full], wide), (line[full:], 1)):
+                grid = part.reshape(width, -1).T
+                h, before = np.zeros((width, HIDDEN), np.float32), np.full(width, end)
+                for t in range(0, len(grid), steps):
+                    opt.rate = rates[0] + (rates[1] - rates[0]) * (epoch + (t / len(grid) if width == wide else 1)) / epochs
+                    want = grid[t : t + steps]
+                    g, lp, h = self._gradients(want, before, h, end)
+                    losses.append(-lp.mean())
+                    sizes.append(want.size)
+                    opt.update(g)
+                    before = want[-1]
+            loss = float(np.average(losses, weights=sizes)) if losses else loss
         return loss
 
+    def _gradients(self, want: np.ndarray, before: np.ndarray, h: np.ndarray, end: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """Gradients of the mean loss over ``want`` (time, stream), its ln P, and the last states."""
+        n = want.shape[1]
+        read = np.concatenate((before[None], want[:-1]))
+        table = self.gates()
+        states, kept, start = np.empty((len(want), n, HIDDEN), np.float32), [], []
+        for k in range(len(want)):
+            fresh = read[k] == end
+            h_new, cache = gru.step(table[read[k]], h, self.p["u"], self.p["c"])
+            h = np.where(fresh[:, None], np.float32(0), h_new)  # a text starts from the zero state
+            states[k] = h
+            kept.append(cache)
+            start.append(fresh)
+        g = {name: np.zeros_like(v) for name, v in self.p.items()}
+        lp, d_h = self.log_probs(states.reshape(-1, HIDDEN), want.ravel(), g)
+        d_states, carry = d_h.reshape(states.shape), np.zeros((n, HIDDEN), np.float32)
+        d_table = np.zeros_like(table)
+        for k in range(len(want) - 1, -1, -1):
+            d = np.where(start[k][:, None], np.float32(0), d_states[k] + carry)
+            d_g, d_u, d_c, carry = _back(d, kept[k], self.p["u"])
+            np.add.at(d_table, read[k], d_g)
+            g["u"] += d_u
+            g["c"] += d_c
+        g["emb"], g["w"], g["b"] = d_table @ self.p["w"].T, self.p["emb"].T @ d_table, d_table.sum(0)
+        return g, lp, h
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([v.ravel() for v in self.p.values()])
+
+    def load(self, flat: np.ndarray) -> None:
+        at = 0
+        for name, v in self.p.items():
+            self.p[name] = flat[at : at + v.size].reshape(v.shape).astype(np.float32)
+            at += v.size
+
     def score(self, ids: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """ln P of each whole text; its state is carried from its first word to its end, however long it is."""
         lengths = np.diff(starts)
@@ -201,6 +224,52 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT) -> list[tuple[bytes,
     return sorted(((bytes(r["word"]), r["n"]) for r in counts.where(level >= least).collect()), key=lambda x: (-x[1], x[0]))
 
 
+def fit_all(model: Model, training: DataFrame, n_words: int, scratch: Scratch, *, key: str = "doc_id", text: str = "text", seed: int = 0) -> int:
+    """Fit ``model`` on each whole text of ``training`` once; returns how many words and ends were read.
+
+    Rows fall by hash into ROUNDS rounds of buckets. The buckets of a round start from the same parameters and train
+    side by side; the mean of theirs, weighted by words, starts the next round. The number of buckets follows the
+    number of words only, and rows are sorted within one, so the result does not depend on the cluster.
+    """
+    spark, seen = training.sparkSession, 0
+    size = min(max(n_words / (ROUNDS * BUCKETS), BUCKET_WORDS[0]), BUCKET_WORDS[1])
+    n = max(1, int(np.ceil(n_words / ROUNDS / size)))
+    h = F.xxhash64(F.col(key), F.col(text), F.lit(seed))
+    rows = training.select(h.alias("h"), F.col(text).alias("text"))
+    for k in range(ROUNDS):
+        sent = spark.sparkContext.broadcast(model)
+        rates = tuple(0.5 * RATE * (1 - 0.9 * x / ROUNDS) for x in (k, k + 1))
+
+        def run(batches: Iterator[pa.RecordBatch], sent=sent, rates=rates) -> Iterator[pa.RecordBatch]:
+            net, table, texts = sent.value, identity_lower(), []
+            vocab = pa.array(net.words, pa.binary())
+            for batch in batches:
+                for at in range(0, batch.num_rows, SLICE_DOCS):
+                    ws = split(batch.column(0).slice(at, SLICE_DOCS), table)
+                    own = pc.fill_null(pc.index_in(ws.distinct.cast(pa.binary()), value_set=vocab), -1).to_numpy(zero_copy_only=False).astype(np.int32) + 1
+                    ids = own[ws.ids] if len(own) else np.zeros(0, np.int32)
+                    texts += [ids[a:b] for a, b in zip(ws.starts, ws.starts[1:], strict=False)]
+            if texts:
+                new = copy.deepcopy(net)  # the worker's next bucket starts from the same parameters
+                words = sum(map(len, texts)) + len(texts)
+                new.fit(texts, 1, seed, int(min(WIDE_STREAMS, max(STREAMS, words // 1000))), WIDE_STEPS, rates)
+                yield pa.RecordBatch.from_arrays([pa.array([words], pa.int64()), pa.array([new.flat().tobytes()], pa.binary())], names=["words", "params"])
+
+        turn = rows.where(F.pmod("h", F.lit(ROUNDS)) == k)
+        dealt = turn.repartitionById(n, F.pmod(F.shiftrightunsigned("h", 20), F.lit(n)).cast("int")).sortWithinPartitions("h", "text").select("text")
+        fitted = scratch.write(dealt.mapInArrow(run, "words long, params binary"), f"fit{k}")
+        total, mass = np.zeros(model.flat().size), 0
+        for r in fitted.orderBy("words", "params").toLocalIterator():  # a few hundred kB a bucket, one after the other
+            total += r["words"] * np.frombuffer(r["params"], np.float32).astype(np.float64)
+            mass += r["words"]
+        if mass:
+            model.load(total / mass)
+        seen += mass
+        scratch.drop(f"fit{k}")
+        sent.unpersist()
+    return seen
+
+
 def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, frequent: int = FREQUENT, sample_docs: int = SAMPLE_DOCS, seed: int = 0) -> DataFrame:
     """log10 probabilities of whole texts by smoothed word counts (base_score) and by the network (score).
 
@@ -211,7 +280,7 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabular
     * Null, empty and blank texts are one end. A null key trains. Repeated rows count and are scored each.
     * Without training rows all counts are 0 and the network stays as initialised. Empty tables give empty results.
 
-    Counts cover all training rows. The most frequent words' counts are sent to all tasks (a bounded table), the
+    Counts and the network's fit cover all training rows; a sample only sets where the fit starts. The most frequent words' counts are sent to all tasks (a bounded table), the
     other words of each text meet their counts in a join, in which no word is frequent.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
@@ -230,6 +299,7 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabular
     words = split(pa.array([r["text"] for r in drawn], pa.string()), identity_lower())
     own = np.array([model.ids.get(w, 0) for w in words.distinct.cast(pa.binary()).to_pylist()], np.int64)
     model.fit([own[words.ids[a:b]] for a, b in zip(words.starts, words.starts[1:], strict=False)], seed=seed)
+    fit_all(model, training, n_all, scratch, key=key, text=text, seed=seed)
 
     sent = spark.sparkContext.broadcast((pa.array(names, pa.binary()), np.array([n for _, n in top], np.float64), model))
     rest_log = float(np.log10(n_rest + v_rest + 1))

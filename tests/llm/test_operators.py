@@ -477,6 +477,25 @@ def test_lm_learns_and_carries_state():
     assert whole[1] == pytest.approx(m.log_probs(np.zeros((1, lm.HIDDEN), np.float32), np.array([m.ids[b""]]))[0][0], rel=1e-4)
 
 
+def test_lm_fits_all_rows(spark, monkeypatch):
+    """Long texts, and rows beyond the starting sample, train; nothing is left over."""
+    from foliant.llm.common import Scratch
+
+    monkeypatch.setattr(lm, "BUCKET_WORDS", (3000, 3000))
+    rows = [(k, "alpha beta " * (5000 if k == 3 else 20) + "gamma" * (k % 2)) for k in range(300)] + [(None, "delta"), (900, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    training = docs.where(~lm.held_out(docs["doc_id"]))
+    want = sum(len((r["text"] or "").split()) + 1 for r in training.collect())
+    model = lm.Model([b"alpha", b"beta", b"", b"gamma", b"delta"], np.array([0.0, 100, 100, 50, 20, 1]))
+    before = model.flat()
+    assert lm.fit_all(model, training, want, Scratch(spark)) == want
+    assert np.abs(model.flat() - before).max() > 0
+    # only long texts show that these two words take turns
+    shown = [(k, "common words here " * 3 + ("left right " * 4000 if k < 40 else "")) for k in range(80)]
+    r = lm.score(spark.createDataFrame([*shown, (1000, "left right " * 100)], "doc_id long, text string")).where("doc_id = 1000").first()
+    assert r["score"] / r["n_tokens"] > -0.15
+
+
 def test_lm_awkward(spark):
     out = lm.score(awkward(spark)).collect()
     assert len(out) == len(AWKWARD) and all(r["n_tokens"] == 1 for r in out if r["doc_id"] in (1, 2, 3))
