@@ -107,6 +107,14 @@ def test_ann_recall(spark):
     assert all(s == pytest.approx(float(exact[q] @ exact[i]), abs=1e-12) for q, g in got.items() for i, s in g)
 
 
+def test_ann_leaves_no_hole(spark):
+    """Each query gets min(20, candidates) rows, also where a true neighbour is missed."""
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    asked = v.where("vec_id % 20 = 0")
+    n = dict(ann.search(v, asked).groupBy("query_id").count().collect())
+    assert n == {r["vec_id"]: 20 for r in asked.select("vec_id").collect()}
+
+
 def test_ann_awkward(spark):
     rows = [(k, [1.0, 0.0, float(k == 25)]) for k in range(40)] + [(100, None), (101, [0.0, 0.0, 0.0]), (102, [1.0, None, 0.0]), (103, [float("nan"), 1.0, 1.0]), (104, [1.0]), (None, [1.0, 1.0, 1.0]), (40, [5.0, 0.0, 0.0]), (60, [-1.0, 0.0, 0.0]), (60, [-1.0, 0.0, 0.0])]
     v = spark.createDataFrame([(i, x, "extra") for i, x in rows], "vec_id long, embedding array<float>, score string")
