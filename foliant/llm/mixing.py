@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from foliant.llm.common import n_bytes, partitions, unit
 
-#: The largest mean number of copies; beyond it the weights are refused, not clipped.
-MAX_RATE = 100_000.0
+#: The largest mean that one draw inverts; a larger one is the sum of independent draws of at most DRAW_RATE each.
+MAX_RATE, DRAW_RATE = 100_000.0, 1000.0
+#: Copies that are listed at a time.
+LEVEL = 65_536
 
 
 def poisson_cdf(rate: Column) -> Column:
@@ -47,9 +49,8 @@ def source_rates(docs: DataFrame, weights: DataFrame | None = None, *, source: s
     totals = weighted.agg(F.sum("source_bytes").cast("double").alias("all_bytes"), F.sum(usable).alias("all_weight"))
     target = F.lit(float(epochs)) * F.col("all_bytes") * usable / F.col("all_weight")
     rate = F.when((F.col("source_bytes") > 0) & (F.col("all_weight") > 0), target / F.col("source_bytes")).otherwise(F.lit(0.0))
-    refused = F.raise_error(F.lit(f"a source would be repeated over {MAX_RATE:.0f} times"))
     # totals is one row
-    return weighted.join(F.broadcast(totals), F.lit(True)).withColumn("rate", F.when(rate > MAX_RATE, refused.cast("double")).otherwise(rate)).select("mix_source", "source_bytes", "source_rows", "weight", "rate")
+    return weighted.join(F.broadcast(totals), F.lit(True)).withColumn("rate", rate).select("mix_source", "source_bytes", "source_rows", "weight", "rate")
 
 
 def mix(docs: DataFrame, weights: DataFrame | None = None, *, key: str = "doc_id", source: str = "source", text: str = "text", epochs: float = 1.0, seed: int = 0, shuffle: bool = True) -> DataFrame:
@@ -60,6 +61,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, key: str = "doc_id
 
     * The count inverts the Poisson distribution at a number made from the hash of key and seed, so a
       run again, or on another cluster, gives the same copies. Rows that repeat a key get the same count.
+    * No rate is refused: above MAX_RATE the count is the sum of draws at numbers made from key, draw and seed.
     * Null sources are a source of their own; null and empty texts have no bytes and go with their source.
     * Empty tables give empty results. Columns of the input named as the added ones are replaced.
 
@@ -67,17 +69,25 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, key: str = "doc_id
     if their measured size allows, otherwise the join splits a hot source's rows among tasks.
     """
     added = ["mix_rate", "mix_copies", "mix_copy", "mix_key"]
-    docs = docs.drop(*added, "mix_source", "mix_cdf", "mix_u")
+    docs = docs.drop(*added, "mix_source", "mix_cdf", "mix_draws", "mix_u", "mix_block")
     cols = docs.columns
-    rates = source_rates(docs, weights, source=source, text=text, epochs=epochs).select("mix_source", F.col("rate").alias("mix_rate"), poisson_cdf(F.col("rate")).alias("mix_cdf"))
+    draws = F.when(F.col("rate") > MAX_RATE, F.ceil(F.col("rate") / DRAW_RATE)).otherwise(F.lit(1)).cast("long")
+    rates = source_rates(docs, weights, source=source, text=text, epochs=epochs).select("mix_source", F.col("rate").alias("mix_rate"), draws.alias("mix_draws"), poisson_cdf(F.col("rate") / draws).alias("mix_cdf"))
+    several = F.aggregate(
+        F.sequence(F.lit(1).cast("long"), F.col("mix_draws")), F.lit(0).cast("long"),
+        lambda n, i: n + F.aggregate("mix_cdf", F.struct(F.lit(0).cast("long").alias("n"), unit(key, i, seed=seed).alias("u")), lambda a, p: F.struct((a["n"] + (p <= a["u"]).cast("long")).alias("n"), a["u"].alias("u")), lambda a: a["n"]),
+    )
     counted = (
         docs.join(rates, docs[source].eqNullSafe(rates["mix_source"]))
         .withColumn("mix_u", unit(key, seed=seed))
-        .withColumn("mix_copies", F.when(F.col("mix_rate") > 0, F.size(F.filter("mix_cdf", lambda p: p <= F.col("mix_u")))).otherwise(0))
+        .withColumn("mix_copies", F.when(F.col("mix_rate") <= 0, F.lit(0)).when(F.col("mix_draws") > 1, several).otherwise(F.size(F.filter("mix_cdf", lambda p: p <= F.col("mix_u")))).cast("long"))
         .where("mix_copies > 0")
         .select(*cols, "mix_rate", "mix_copies")
     )
-    out = counted.select("*", F.explode(F.sequence(F.lit(1), F.col("mix_copies"))).alias("mix_copy"))
+    # Two levels, so no array grows with a document's copies: blocks, then the copies of each.
+    out = counted.withColumn("mix_block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("mix_copies") - 1) / LEVEL))))
+    first = F.col("mix_block") * LEVEL
+    out = out.select(*cols, "mix_rate", "mix_copies", F.explode(F.sequence(first + 1, F.least(first + LEVEL, F.col("mix_copies")))).alias("mix_copy"))
     out = out.withColumn("mix_key", F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"order{seed}"), F.col(key).cast("string"), F.col("mix_copy").cast("string"))), 1, 13), 16, 10).cast("long"))
     if not shuffle:
         return out

@@ -83,6 +83,13 @@ def test_poisson_cdf(spark, rate):
     assert np.allclose(cdf, want, atol=1e-9) and cdf[-1] == pytest.approx(1, abs=1e-9)
 
 
+def test_mixing_refuses_no_rate(spark):
+    docs = spark.createDataFrame([(1, "x" * 600_000, "large"), (2, "y", "small")], "doc_id long, text string, source string")
+    got = mixing.mix(docs).where("doc_id = 2").agg(F.count("*"), F.countDistinct("mix_copy"), F.min("mix_copy"), F.max("mix_copy"), F.max("mix_copies")).first()
+    n = got[0]
+    assert got == (n, n, 1, n, n) and abs(n - 300_000.5) < 6 * math.sqrt(300_000)
+
+
 # 2
 
 
