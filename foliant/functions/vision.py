@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Sizes, and the mean and deviation of each channel.
@@ -55,6 +55,21 @@ def prepare(image: Column, size: int = IMAGE_SIZE, patch: int = PATCH) -> Column
     return run(image)
 
 
+def prepare_rows(images: DataFrame, key: str, image: str = "image", size: int = IMAGE_SIZE, patch: int = PATCH, at_a_time: int = 64) -> DataFrame:
+    """(key, width, height, rows, cols, tokens, pixels) like ``prepare``, a few images at a time: a whole Arrow batch of pixels would not fit a task."""
+    flat = images.select(key, f"{image}.width", f"{image}.height", f"{image}.data")
+
+    def run(parts):
+        for part in parts:
+            for a in range(0, len(part), at_a_time):
+                some = part.iloc[a : a + at_a_time]
+                out = pd.DataFrame([plan(np.frombuffer(bytes(d), np.uint8).reshape(h, w, 4), size, patch) for w, h, d in zip(some["width"], some["height"], some["data"], strict=True)])
+                out.insert(0, key, some[key].to_numpy())
+                yield out
+
+    return flat.mapInPandas(run, f"{key} {images.schema[key].dataType.simpleString()}, {PLAN[7:-1]}")
+
+
 def gradient(width: Column, height: Column) -> Column:
     """A test image whose red grows to the right and green downwards."""
 

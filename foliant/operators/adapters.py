@@ -15,6 +15,8 @@ from foliant.operators.embedding import hash_project
 RANK, ALPHA = 8, 16
 SCALE = ALPHA / RANK * 0.04
 B_SCALE = 0.1
+#: Matrices that a task holds before it hands them on.
+FRAMES = 128
 
 
 def seed_of(name: str, seed: int = FNV_SEED) -> int:
@@ -50,6 +52,9 @@ def derive(metas: DataFrame, *, layers: int, hidden: int, heads: int, kv_heads:
                 for name, m in (("A", a), ("B", b)):
                     i, j = np.indices(m.shape)
                     frames.append(pd.DataFrame({"doc_id": d, "layer": layer, "proj": p, "mat": name, "i": i.ravel(), "j": j.ravel(), "value": m.ravel().astype(np.float64), "weight": w}))
+                if len(frames) >= FRAMES:
+                    yield pd.concat(frames)
+                    frames = []
             yield pd.concat(frames) if frames else pd.DataFrame(columns=["doc_id", "layer", "proj", "mat", "i", "j", "value", "weight"])
 
     return work.mapInPandas(run, "doc_id long, layer int, proj string, mat string, i int, j int, value double, weight double")

@@ -636,17 +636,17 @@ def markdown_html(spark, d):
 
 @query
 def vision_patches(spark, d):
-    from foliant.functions.vision import gradient, prepare
+    from foliant.functions.vision import gradient, prepare_rows
 
-    images = table(spark, d, "part").where("p_partkey <= 50").select("p_partkey", gradient(F.col("p_size") + 3, F.col("p_size") * 2 + 1).alias("image"))
-    return images.select("p_partkey", prepare(F.col("image")).alias("v")).select("p_partkey", "v.rows", "v.cols", "v.tokens", F.size("v.pixels").alias("n_values"))
+    images = table(spark, d, "part").select("p_partkey", gradient(F.col("p_size") + 3, F.col("p_size") * 2 + 1).alias("image"))
+    return prepare_rows(images, "p_partkey").select("p_partkey", "rows", "cols", "tokens", F.size("pixels").alias("n_values"))
 
 
 @query
 def lora_adapters(spark, d):
     from foliant.operators.adapters import derive
 
-    e = table(spark, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("meta"), F.lit(1.0).alias("weight"))
+    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("meta"), F.lit(1.0).alias("weight"))
     return derive(e, layers=2, hidden=32, heads=4, kv_heads=2, head_dim=8).groupBy("layer", "proj", "mat").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.abs("value")), 4).alias("mass"))
 
 

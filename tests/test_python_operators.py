@@ -238,3 +238,14 @@ def test_engine(spark, tmp_path):
     made = e.ask(m, generator=lambda r: r.select("query_id", F.lit(0).alias("pass"), F.lit("Made.").alias("text"), F.lit(False).alias("hit_limit")))
     assert {r["conv_id"]: r["mode"] for r in made.collect()}[1] == "webgpu"
     assert e.profiles().count() == 2 and e.sections().count() >= 2
+
+
+def test_queries_cover_whole_tables(spark):
+    from foliant.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    n = spark.read.parquet(f"{sf}/part.parquet").count()
+    assert n > 50 and catalog.vision_patches(spark, sf).count() == n
+    vectors = spark.read.parquet(f"{sf}/embeddings.parquet").count()
+    first = catalog.lora_adapters(spark, sf).where("layer = 0 and proj = 'q' and mat = 'A'").first()
+    assert first["n"] == vectors * adapters.RANK * 32
