@@ -360,17 +360,19 @@ def truncated_answer(spark, d):
 
 @query
 def merge_continuation(spark, d):
+    """The halves of each whole text, which share 20 characters around its middle."""
     t = F.col("text")
-    docs = table(spark, d, "documents").where(F.length(t) > 60)
-    left, right = F.substring(t, 1, 40), F.upper(F.substring(t, 21, 60))
+    docs, mid = table(spark, d, "documents"), F.floor(F.length(t) / 2).cast("int")
+    left, right = F.substring(t, F.lit(1), mid + 10), F.upper(F.substring(t, F.greatest(mid - 9, F.lit(1)), F.length(t)))
     return docs.select("doc_id", quality.merge_continuation(left, right).alias("merged"))
 
 
 @query
 def continuation_fold(spark, d):
-    """Documents cut in three overlapping passes, merged again."""
+    """Whole documents cut in three passes, each with 20 characters of the next, merged again."""
     t = F.col("text")
-    docs = table(spark, d, "documents").where(F.length(t) > 90).select(F.col("doc_id").alias("query_id"), F.explode(F.array(*[F.struct(F.lit(k).alias("pass"), F.substring(t, 1 + 30 * k, 50).alias("text")) for k in range(3)])).alias("p"))
+    third = F.ceil(F.length(t) / 3).cast("int")
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("query_id"), F.explode(F.array(*[F.struct(F.lit(k).alias("pass"), F.substring(t, third * k + 1, third + 20).alias("text")) for k in range(3)])).alias("p"))
     return answer.fold_passes(docs.select("query_id", "p.pass", "p.text", F.lit(True).alias("hit_limit")))
 
 

@@ -249,3 +249,17 @@ def test_queries_cover_whole_tables(spark):
     vectors = spark.read.parquet(f"{sf}/embeddings.parquet").count()
     first = catalog.lora_adapters(spark, sf).where("layer = 0 and proj = 'q' and mat = 'A'").first()
     assert first["n"] == vectors * adapters.RANK * 32
+
+
+def test_continuations_cover_whole_texts(spark):
+    from foliant.plans import catalog
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    merged = {r["doc_id"]: r["merged"] for r in catalog.merge_continuation(spark, sf).collect()}
+    assert merged.keys() == texts.keys()
+    letters = lambda s: "".join(s.upper().split())
+    assert sum(letters(merged[i]) == letters(t) for i, t in texts.items()) > 0.9 * len(texts)
+    folded = {r["query_id"]: r["text"] for r in catalog.continuation_fold(spark, sf).collect()}
+    assert folded.keys() == texts.keys()
+    assert any(len(t) > 200 and letters(folded[i]) == letters(t) for i, t in texts.items())
