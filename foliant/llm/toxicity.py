@@ -160,8 +160,8 @@ def sample(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     """(text, toxic): a bounded, hash-ordered draw of labelled rows that may train."""
     own = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).cast("long").alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     drawn = own.where("toxic = 1").orderBy(F.xxhash64("label_id"), "label_id").limit(2 * per_class).unionByName(own.where("toxic = 0").orderBy(F.xxhash64("label_id"), "label_id").limit(2 * per_class))
-    # at most 4 * per_class ids
-    met = docs.where(F.col(text).isNotNull() & (F.length(text) <= max_chars)).join(F.broadcast(drawn), F.col(key).cast("long") == F.col("label_id")).select("label_id", F.col(text).alias("text"), "toxic")
+    rows = docs.select(F.col(key).cast("long").alias("label_id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    met = rows.join(F.broadcast(drawn), "label_id")  # at most 4 * per_class ids are sent out
     return met.where("toxic = 1").orderBy("label_id", "text").limit(per_class).unionByName(met.where("toxic = 0").orderBy("label_id", "text").limit(per_class))
 
 
@@ -198,15 +198,23 @@ def score(docs: DataFrame, net: Network, *, key: str = "doc_id", text: str = "te
 def toxicity(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Train on labelled rows that may train, score every whole text.
 
-    Returns ``doc_id``, held_out, score and predicted (1 from ``threshold``). Labels that are null train
-    nothing; without any label all scores are those of the untrained network.
+    Returns ``doc_id``, held_out, score and predicted (1 from ``threshold``).
+
+    * Labels or keys that are null train nothing; a key with several labels is toxic if one says so. Without any
+      label all scores are those of the untrained network.
+    * Null, empty and blank texts score as a window of padding. Rows that repeat a key or text score alike.
+    * Empty documents give an empty result; other columns of both tables are ignored, whatever their names.
     """
     scored = score(docs, fit(docs, labels, key=key, text=text), key=key, text=text)
     return scored.select(F.col("doc_id").alias(key), F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The documents scored below ``threshold``, unchanged and in place: texts pass through the scorer once."""
+    """The documents scored below ``threshold``, unchanged and in place: texts pass through the scorer once.
+
+    Null and empty texts are judged by the score of padding, repeated rows alike, and all columns stay, whatever their
+    names. An empty table gives an empty result.
+    """
     net = fit(docs, labels, key=key, text=text)
     params, at, schema = net.p, docs.columns.index(text), docs.schema
 
