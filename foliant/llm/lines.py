@@ -9,14 +9,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import Scratch, checkpoint
+from foliant.llm.common import Scratch, checkpoint, join_hot
 from foliant.llm.runs import Levels
 
 #: What is stripped from a line's ends, as a set of bytes.
 BLANKS = b" \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: A line in more than one of so many of all (document, line) pairs is hot.
-HOT_PARTS = 1000
 
 
 def line_key(line: bytes) -> bytes:
@@ -65,16 +63,13 @@ def repeated_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     """
     scratch = Scratch(docs.sparkSession)
     pairs = line_hashes(docs, key=key, text=text, min_chars=min_chars).where("doc_id is not null").distinct()
-    pairs = scratch.write(pairs.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), "pairs")
+    pairs = scratch.write(pairs.withColumn("batch", F.pmod(F.xxhash64("doc_id"), F.lit(batches)).cast("int")), "pairs", by="batch")
     index = line_runs(scratch, fanout=fanout)
     for b in range(batches):
         index.add(per_line(pairs.where(F.col("batch") == b)))
     often = scratch.write(index.all().where(F.col("n_docs") >= min_docs), "often")
-    # Fewer than HOT_PARTS lines can be in over 1/HOT_PARTS of all pairs; they are sent out, and no task gathers one's documents.
-    hot_line = F.col("n_docs") * HOT_PARTS > pairs.count()
-    hot = often.where(hot_line).select("hash", "last_doc")  # below HOT_PARTS rows
-    rest = pairs.join(F.broadcast(hot.select("hash")), "hash", "left_anti").join(often.where(~hot_line).select("hash", "last_doc"), "hash")
-    lost = pairs.join(F.broadcast(hot), "hash").unionByName(rest).where("doc_id <> last_doc").groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))
+    met = join_hot(pairs.select("doc_id", "hash"), often, ["hash"], "n_docs", pairs.count())
+    lost = met.where("doc_id <> last_doc").groupBy("doc_id").agg(F.collect_list("hash").alias("hashes"))
     lost = checkpoint(lost.withColumnRenamed("doc_id", "lost_id"))
     scratch.drop()
     return lost
@@ -90,6 +85,7 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min
     * Null and empty texts are one empty line. A text with nothing left keeps the empty string.
     * Rows that repeat a key are one document: their lines count once and stay or go together.
       Rows with a null key lose nothing and count for nothing. Empty tables give empty results.
+    * Bytes that are not UTF-8 stay as they are. Columns other than key and text are ignored, whatever their names.
     """
     lost = repeated_lines(docs, key=key, text=text, min_chars=min_chars, min_docs=min_docs, batches=batches)
 
@@ -103,12 +99,13 @@ def dedup_lines(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min
                     gone = set(gone.as_py())
                     lines = [x for x in lines if len(k := line_key(x)) < min_chars or _hash(k) not in gone]
                 n_dropped.append(n_lines[-1] - len(lines))
-                kept.append(b"\n".join(lines).decode())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_lines", "n_dropped", "kept"])
+                kept.append(b"\n".join(lines))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_lines", "n_dropped", "kept"])
 
     slim = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
     joined = slim.join(lost, slim["doc_id"] == lost["lost_id"], "left").select("doc_id", "text", "hashes")
-    return joined.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept string")
+    out = joined.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, kept binary")
+    return out.withColumn("kept", F.col("kept").cast("string"))  # the engine's cast keeps bytes that are not UTF-8
 
 
 def sql_line_key(line: Column) -> Column:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import checkpoint
+from foliant.llm.common import checkpoint, join_hot
 
 #: Fingerprints of a block; a task compares two blocks.
 BLOCK = 16_384
@@ -173,12 +173,14 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 def with_components(fps: DataFrame, radius: int) -> DataFrame:
     """(doc_id, fp, component_id) of checkpointed (doc_id, fp)."""
-    firsts = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    firsts = checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("times")))
+    total = firsts.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
     roots = components(links(firsts.select("fp"), radius=radius))
-    rooted = firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
+    rooted = checkpoint(firsts.join(roots, firsts["fp"] == roots["node"], "left").select("fp", "first_id", "times", F.coalesce("root", "fp").alias("root")))
     smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = rooted.join(smallest, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = checkpoint(rooted.join(smallest, "root").select("fp", "component_id", "times"))
+    # Copies share a fingerprint: hot ones are sent out rather than gathered.
+    return join_hot(fps, named, ["fp"], "times", total).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 4, radius: int = 4, seed: int = 42) -> DataFrame:
@@ -201,7 +203,7 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width:
     # Keys that repeat are rare; only their rows are fingerprinted again, with all their columns.
     rest = docs.join(repeated, own == repeated["keep_id"], "left_semi")
     digest = F.xxhash64(own, docs[text])
-    slim = rest.select(own.alias("doc_id"), docs[text].alias("text"), digest.alias("digest"))
+    slim = rest.select(own.alias("doc_id"), docs[text].cast("binary").alias("text"), digest.alias("digest"))
     marked = slim.mapInArrow(_keyed(width, seed), "doc_id long, digest long, fp long").distinct()
     chosen = marked.join(repeated, (marked["doc_id"] == repeated["keep_id"]) & (marked["fp"] == repeated["keep_fp"])).groupBy("doc_id").agg(F.min("digest").alias("keep_digest"))
     chosen = chosen.withColumnRenamed("doc_id", "chosen_id")
@@ -213,7 +215,7 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width:
 def _keyed(width: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fps = np.fromiter((fingerprint(t.as_py().encode() if t.is_valid else None, width=width, seed=seed) for t in batch.column(1)), np.uint64, batch.num_rows)
+            fps = np.fromiter((fingerprint(t.as_py() if t.is_valid else None, width=width, seed=seed) for t in batch.column(1)), np.uint64, batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fps.view(np.int64))], names=["doc_id", "digest", "fp"])
 
     return run
