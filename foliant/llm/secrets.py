@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The patterns and least lengths of the base kinds.
@@ -69,8 +70,8 @@ def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty) -
     for m in CANDIDATE.finditer(text):
         s, e = m.span()
         what = m.group()
-        if what.isalpha() or what.isdigit() or not any(c.isdigit() for c in what):
-            continue
+        if what.isdigit() or not (any(c.isdigit() for c in what) or (what != what.lower() and what != what.upper())):
+            continue  # words of one case and plain numbers
         while at < len(taken) and taken[at][1] <= s:
             at += 1
         if any(a < e and s < b for a, b in taken[max(0, at - 2) : at + 3]) or not SENSITIVE.search(text, max(0, s - CONTEXT_BEFORE), s):
@@ -90,6 +91,7 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
     Returns ``doc_id``, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end in code points,
     end exclusive, by start, then kind) and n_novel.
 
+    * Bytes that are not UTF-8 count as replacement characters, as a decoder puts them.
     * A null text counts as empty; empty texts have no spans and the digest of the empty string.
     * Each row is scanned by itself: repeated rows give repeated results, an empty table none, and
       other columns are ignored. Nothing is shuffled; memory is bounded by one Arrow batch.
@@ -100,7 +102,7 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
         for batch in batches:
             rows = []
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                t = t.as_py() or ""
+                t = (t.as_py() or b"").decode("utf-8", "replace")
                 base = base_spans(t)
                 more = novel_spans(t, base, novelty)
                 count = [sum(1 for x in base if x[1] == k) for k in range(3)]
@@ -109,6 +111,4 @@ def scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFra
             types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=SCHEMA.names)
 
-    from pyspark.sql import functions as F
-
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, SCHEMA)
