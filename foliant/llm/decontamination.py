@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,6 +18,8 @@ WINDOW = 13
 #: Shingles that are broadcast as they are (at most 64 bytes each here); beyond it a bit map of fixed size goes out.
 MAX_SHINGLES = 200_000
 MAX_SHINGLE_BYTES = 16_000_000
+#: A shingle that occurs more often than this is hot.
+HOT_SHINGLE = 10_000
 
 #: What words are made of. Digits, letters (lower-cased) and every byte from 0x80.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -63,7 +66,8 @@ def windows(items: DataFrame, *, item: str = "item_id", text: str = "text", size
                     names=["item_id", "window", "n", "spots"],
                 )
 
-    return items.select(F.col(item).cast("long").alias("item_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, "item_id long, window binary, n int, spots array<struct<offset:int,shingle:binary>>")
+    named = items.where(F.col(item).isNotNull()).select(F.col(item).cast("long").alias("item_id"), F.col(text).cast("binary").alias("text"))
+    return named.mapInArrow(run, "item_id long, window binary, n int, spots array<struct<offset:int,shingle:binary>>")
 
 
 def shingle_counts(docs: DataFrame, known: Members, text: str = "text") -> DataFrame:
@@ -84,10 +88,14 @@ def shingle_counts(docs: DataFrame, known: Members, text: str = "text") -> DataF
     return docs.select(F.col(text).cast("binary").alias("text")).mapInArrow(run, "shingle binary, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
 
 
-def candidates(docs: DataFrame, known: Members, singles: bool, key: str, text: str, size: int) -> DataFrame:
-    """One row a document: its number of words and, at each known shingle, the words around it."""
+def candidates(docs: DataFrame, known: Members, hot: Members, spread: int, singles: bool, key: str, text: str, size: int) -> DataFrame:
+    """One row a document: its number of words and, at each known shingle, the words around it.
+
+    A hot shingle's places are dealt to ``spread`` salts, in turn; all others have salt 0.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
         for batch in batches:
             n_words, spots = [], []
             for t in batch.column(1):
@@ -97,11 +105,14 @@ def candidates(docs: DataFrame, known: Members, singles: bool, key: str, text: s
                 if singles:
                     at += [(k, ws[k]) for k in known.found(ws)]
                 n_words.append(len(ws))
-                spots.append([{"pos": k, "shingle": s, "before": b" ".join(ws[max(0, k - size + 1) : k]), "after": b" ".join(ws[k : k + size]), "left": min(k, size - 1), "right": min(size, len(ws) - k)} for k, s in at])
-            kind = pa.list_(pa.struct([("pos", pa.int32()), ("shingle", pa.binary()), ("before", pa.binary()), ("after", pa.binary()), ("left", pa.int32()), ("right", pa.int32())]))
+                salts = [0] * len(at)
+                for k in hot.found([s for _, s in at]):
+                    salts[k] = turn = (turn + 1) % spread
+                spots.append([{"salt": salt, "pos": k, "shingle": s, "before": b" ".join(ws[max(0, k - size + 1) : k]), "after": b" ".join(ws[k : k + size]), "left": min(k, size - 1), "right": min(size, len(ws) - k)} for salt, (k, s) in zip(salts, at, strict=True)])
+            kind = pa.list_(pa.struct([("salt", pa.int32()), ("pos", pa.int32()), ("shingle", pa.binary()), ("before", pa.binary()), ("after", pa.binary()), ("left", pa.int32()), ("right", pa.int32())]))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(spots, kind)], names=["doc_id", "n_words", "spots"])
 
-    kind = "doc_id long, n_words long, spots array<struct<pos:int,shingle:binary,before:binary,after:binary,left:int,right:int>>"
+    kind = "doc_id long, n_words long, spots array<struct<salt:int,pos:int,shingle:binary,before:binary,after:binary,left:int,right:int>>"
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")).mapInArrow(run, kind)
 
 
@@ -130,6 +141,7 @@ def hits(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
 
     * Null and wordless texts have no words and are clean; null or wordless items have no windows.
     * An item of fewer words than ``size`` is one window; a single word is its own shingle.
+    * Items with a null id cannot be named and take no part.
     * Items with equal windows each count; repeated items count once an item_id. Rows that repeat a
       document are judged by themselves. Empty tables on either side are fine; other columns are ignored.
 
@@ -143,13 +155,21 @@ def hits(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
     prefix = checkpoint(ranked.groupBy("window", "n").agg(F.min(F.struct("often", "shingle", "offset")).alias("rare")).select("window", "n", "rare.shingle", "rare.offset", "rare.often"))
     chosen = prefix.select("shingle").distinct()
     singles = bool(prefix.where("n = 1").take(1))
-    rows = checkpoint(candidates(docs, members(chosen), singles, key, text, size).withColumn("row", F.monotonically_increasing_id()))
-    found = rows.select("row", F.explode("spots").alias("s")).select("row", "s.*").withColumn("salt", F.pmod(F.xxhash64("row", "pos"), F.lit(spread)).cast("int"))
-    # Only pairs that are common in the corpus get salted copies.
-    salted = prefix.withColumn("salt", F.explode(F.when(F.col("often") > 10_000, F.sequence(F.lit(0), F.lit(spread - 1))).otherwise(F.array(F.lit(0)))))
-    common = chosen.join(prefix.where("often > 10000").select("shingle").distinct().withColumn("common", F.lit(True)), "shingle", "left")
-    found = found.join(common, "shingle").withColumn("salt", F.when(F.col("common"), F.col("salt")).otherwise(0)).drop("common")
-    met = found.join(salted.drop("often"), ["shingle", "salt"]).where((F.col("offset") <= F.col("left")) & (F.col("n") - F.col("offset") <= F.col("right")))
+    hot = members(prefix.where(F.col("often") > HOT_SHINGLE).select("shingle").distinct())
+    rows = checkpoint(candidates(docs, members(chosen), hot, spread, singles, key, text, size).withColumn("row", F.monotonically_increasing_id()))
+    found = rows.select("row", F.explode("spots").alias("s")).select("row", "s.*")
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            salted = np.zeros(batch.num_rows, np.int32)
+            salted[hot.found(batch.column(1).to_pylist())] = 1
+            at = np.repeat(np.arange(batch.num_rows), np.where(salted, spread, 1))
+            salt = np.arange(len(at)) - np.searchsorted(at, at)
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(at)) for c in batch.columns], pa.array(salt.astype(np.int32))], names=["n", "shingle", "offset", "window", "salt"])
+
+    # The same test as for the places decides which windows get a copy for each salt.
+    salted = prefix.select("n", "shingle", "offset", "window").mapInArrow(dealt, "n int, shingle binary, offset int, window binary, salt int")
+    met = found.join(salted, ["shingle", "salt"]).where((F.col("offset") <= F.col("left")) & (F.col("n") - F.col("offset") <= F.col("right")))
     seen = met.join(wins.select("item_id", "window"), "window").select("row", "pos", "before", "after", "offset", "window", "n", "item_id")
     at = checkpoint(seen.mapInPandas(_verify, "row long, start long, n long, item_id long"))
     # Words covered: what each occurrence adds behind the farthest end before it.
@@ -167,7 +187,11 @@ def hits(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The documents that are not contaminated, unchanged. Rows are told apart by key and text."""
+    """The documents that are not contaminated, unchanged, with all their columns, whatever their names.
+
+    Rows are told apart by key and text, so repeated rows go or stay together. Null and empty texts are clean; a null key
+    is a key. Empty documents give an empty result, and an empty benchmark keeps all.
+    """
     digest = F.xxhash64(F.coalesce(docs[key].cast("long"), F.lit(-(2**63))), docs[text])
     slim = docs.select(digest.alias("digest"), docs[text].alias("text"))
     bad = hits(slim, items, key="digest", text="text", **options).where("contaminated").select(F.col("digest").alias("bad")).distinct()
