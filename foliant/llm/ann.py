@@ -67,7 +67,10 @@ class Index:
     def _tuned(self, sample: np.ndarray, x: np.ndarray, k: int) -> int:
         """The fewest lists that hold TARGET_RECALL of the sample's own neighbours of sample queries."""
         q = sample[:: max(1, len(sample) // TUNING_QUERIES)][:TUNING_QUERIES]
-        top = np.argsort(-(q @ sample.T), axis=1, kind="stable")[:, : k + 1]
+        scores = q @ sample.T
+        own = np.arange(0, len(sample), max(1, len(sample) // TUNING_QUERIES))[: len(q)]
+        scores[np.arange(len(q)), own] = -np.inf  # a query is no neighbour of its own
+        top = np.argsort(-scores, axis=1, kind="stable")[:, : max(1, min(k, len(sample) - 1))]
         of = self.lists_of(x, 1)[:, 0]
         order = self.lists_of(self.lift(q, query=True), len(self.centres))
         place = np.empty_like(order)
@@ -159,7 +162,9 @@ def search(vectors: DataFrame, queries: DataFrame, *, key: str = "vec_id", vecto
     first = clean.distinct().withColumn("r", F.row_number().over(own)).where(F.col("r") <= k + 1)
     reps = checkpoint(first.groupBy("a", "b", "v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids")))
     n, bound = reps.agg(F.count(F.lit(1)), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))).first()
-    drawn = reps.orderBy(F.xxhash64("a", F.lit(1)), "a", "b").limit(SAMPLE_ROWS).select("v").toArrow().column("v").combine_chunks()
+    # A share by hash first, so tasks hand on little more than the sample; it holds too few rows with no more than chance.
+    share = F.shiftrightunsigned(F.xxhash64("a", F.lit(1)), 1) < F.lit(int(min(2**63 - 1, 2**63 * (1.05 * SAMPLE_ROWS + 200) / max(n, 1))))
+    drawn = reps.where(share).orderBy(F.xxhash64("a", F.lit(1)), "a", "b").limit(SAMPLE_ROWS).select("v").toArrow().column("v").combine_chunks()
     index = Index(matrix(drawn, width), bound * (1 + 1e-12), n, k)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
