@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +19,6 @@ from foliant.llm.words import identity_lower, split
 #: The network's words; all others share one class. Words whose counts go to all tasks (bounded, a few megabytes).
 VOCABULARY, FREQUENT = 2047, 131_072
 DIMS, HIDDEN, CLASSES = 16, 16, 48
-#: Bounds of the sample that the network starts from: documents and characters of each. All training rows follow.
-SAMPLE_DOCS, SAMPLE_CHARS = 1500, 8000
 STREAMS, STEPS, EPOCHS, RATE = 64, 20, 2, 0.01
 #: The pass over all training rows: rounds, buckets wanted in each, words of a bucket (least, most), streams and steps.
 ROUNDS, BUCKETS, BUCKET_WORDS, WIDE_STREAMS, WIDE_STEPS = 3, 240, (500_000, 4_000_000), 512, 10
@@ -61,7 +60,7 @@ class Model:
         mass = np.sqrt(np.maximum(counts[1:], 1).astype(np.float64))
         cls = np.minimum((np.cumsum(mass) - mass) / mass.sum() * CLASSES, CLASSES - 1).astype(int) if len(words) else np.zeros(0, int)
         cls = np.unique(cls, return_inverse=True)[1] + 1
-        self.words, self.cls = words, np.concatenate(([0], cls))
+        self.words, self.cls = words, np.concatenate(([0], cls)).astype(np.int16)  # short integers are sorted by digits
         self.first = np.searchsorted(self.cls, np.arange(self.cls[-1] + 2))
         self.ids = {w: k + 1 for k, w in enumerate(words)}
         rng, v, c = np.random.default_rng(seed), len(words) + 1, self.cls[-1] + 1
@@ -77,38 +76,38 @@ class Model:
     def log_probs(self, h: np.ndarray, ids: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """ln P(id | h) = ln P(class | h) + ln P(word | class, h); with grads also the gradient of the mean loss by h."""
         p, rows, cls = self.p, np.arange(len(ids)), self.cls[ids]
-        a = h @ p["class_w"].T + p["class_b"]
-        a -= a.max(1, keepdims=True)
-        e = np.exp(a)
-        total = e.sum(1)
-        out = a[rows, cls] - np.log(total)
+        a = p["class_w"] @ h.T + p["class_b"][:, None]  # a column a word: maxima and sums run over whole rows
+        a -= a.max(0)
+        out = a[cls, rows]
+        e = np.exp(a, out=a)
+        total = e.sum(0)
+        out = out - np.log(total)
         scale, d_h = np.float32(1 / max(1, len(ids))), None
         if grads is not None:
-            d = e / total[:, None]
-            d[rows, cls] -= 1
-            d *= scale
-            grads["class_w"] += d.T @ h
-            grads["class_b"] += d.sum(0)
-            d_h = d @ p["class_w"]
+            d = np.multiply(e, scale / total, out=e)
+            d[cls, rows] -= scale
+            grads["class_w"] += d @ h
+            grads["class_b"] += d.sum(1)
+            d_h = d.T @ p["class_w"]
         order = np.argsort(cls, kind="stable")
-        edges = np.searchsorted(cls[order], np.arange(len(self.first)))
+        edges = np.concatenate(([0], np.cumsum(np.bincount(cls, minlength=len(self.first) - 1))))
         for k in range(len(self.first) - 1):
             own, (a0, a1) = order[edges[k] : edges[k + 1]], self.first[k : k + 2]
             if a1 - a0 < 2 or not len(own):
                 continue
             x, t, r = h[own], ids[own] - a0, np.arange(len(own))
-            s = x @ p["word_w"][a0:a1].T + p["word_b"][a0:a1]
-            s -= s.max(1, keepdims=True)
-            es = np.exp(s)
-            st = es.sum(1)
-            out[own] += s[r, t] - np.log(st)
+            s = p["word_w"][a0:a1] @ x.T + p["word_b"][a0:a1, None]
+            s -= s.max(0)
+            own_s = s[t, r]
+            es = np.exp(s, out=s)
+            st = es.sum(0)
+            out[own] += own_s - np.log(st)
             if grads is not None:
-                d = es / st[:, None]
-                d[r, t] -= 1
-                d *= scale
-                grads["word_w"][a0:a1] += d.T @ x
-                grads["word_b"][a0:a1] += d.sum(0)
-                d_h[own] += d @ p["word_w"][a0:a1]
+                d = np.multiply(es, scale / st, out=es)
+                d[t, r] -= scale
+                grads["word_w"][a0:a1] += d @ x
+                grads["word_b"][a0:a1] += d.sum(1)
+                d_h[own] += d.T @ p["word_w"][a0:a1]
         return out, d_h
 
     def gates(self) -> np.ndarray:
@@ -156,13 +155,18 @@ class Model:
         g = {name: np.zeros_like(v) for name, v in self.p.items()}
         lp, d_h = self.log_probs(states.reshape(-1, HIDDEN), want.ravel(), g)
         d_states, carry = d_h.reshape(states.shape), np.zeros((n, HIDDEN), np.float32)
-        d_table = np.zeros_like(table)
+        d_gates = np.empty((len(want), n, table.shape[1]), np.float32)
         for k in range(len(want) - 1, -1, -1):
             d = np.where(start[k][:, None], np.float32(0), d_states[k] + carry)
-            d_g, d_u, d_c, carry = _back(d, kept[k], self.p["u"])
-            np.add.at(d_table, read[k], d_g)
+            d_gates[k], d_u, d_c, carry = _back(d, kept[k], self.p["u"])
             g["u"] += d_u
             g["c"] += d_c
+        word = read.ravel().astype(np.uint16 if len(table) <= 65_536 else np.int64)
+        order = np.argsort(word, kind="stable")  # sums by word: equal words side by side
+        word = word[order]
+        first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+        d_table = np.zeros_like(table)
+        d_table[word[first]] = np.add.reduceat(d_gates.reshape(-1, table.shape[1])[order], first)
         g["emb"], g["w"], g["b"] = d_table @ self.p["w"].T, self.p["emb"].T @ d_table, d_table.sum(0)
         return g, lp, h
 
@@ -224,7 +228,18 @@ def frequent_words(counts: DataFrame, most: int = FREQUENT) -> list[tuple[bytes,
     return sorted(((bytes(r["word"]), r["n"]) for r in counts.where(level >= least).collect()), key=lambda x: (-x[1], x[0]))
 
 
-def fit_all(model: Model, training: DataFrame, n_words: int, scratch: Scratch, *, key: str = "doc_id", text: str = "text", seed: int = 0) -> int:
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sum of parameters, each weighted by its words, and the words."""
+    total, mass = None, 0
+    for batch in batches:
+        for w, x in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+            part = w * np.frombuffer(x.as_buffer(), np.float32).astype(np.float64)
+            total, mass = part if total is None else total + part, mass + w
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([mass], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["words", "params"])
+
+
+def fit_all(model: Model, training: DataFrame, n_words: int, *, key: str = "doc_id", text: str = "text", seed: int = 0) -> int:
     """Fit ``model`` on each whole text of ``training`` once; returns how many words and ends were read.
 
     Rows fall by hash into ROUNDS rounds of buckets. The buckets of a round start from the same parameters and train
@@ -253,24 +268,26 @@ def fit_all(model: Model, training: DataFrame, n_words: int, scratch: Scratch, *
                 new = copy.deepcopy(net)  # the worker's next bucket starts from the same parameters
                 words = sum(map(len, texts)) + len(texts)
                 new.fit(texts, 1, seed, int(min(WIDE_STREAMS, max(STREAMS, words // 1000))), WIDE_STEPS, rates)
-                yield pa.RecordBatch.from_arrays([pa.array([words], pa.int64()), pa.array([new.flat().tobytes()], pa.binary())], names=["words", "params"])
+                bucket = TaskContext.get().partitionId()
+                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([words], pa.int64()), pa.array([new.flat().tobytes()], pa.binary())], names=["bucket", "words", "params"])
 
         turn = rows.where(F.pmod("h", F.lit(ROUNDS)) == k)
         dealt = turn.repartitionById(n, F.pmod(F.shiftrightunsigned("h", 20), F.lit(n)).cast("int")).sortWithinPartitions("h", "text").select("text")
-        fitted = scratch.write(dealt.mapInArrow(run, "words long, params binary"), f"fit{k}")
+        fitted = dealt.mapInArrow(run, "bucket int, words long, params binary")
+        groups = int(np.ceil(np.sqrt(n)))
+        summed = fitted.repartitionById(groups, F.pmod("bucket", F.lit(groups))).sortWithinPartitions("bucket").mapInArrow(_summed, "words long, params binary")
         total, mass = np.zeros(model.flat().size), 0
-        for r in fitted.orderBy("words", "params").toLocalIterator():  # a few hundred kB a bucket, one after the other
-            total += r["words"] * np.frombuffer(r["params"], np.float32).astype(np.float64)
+        for r in summed.collect():  # as many as the root of the buckets, a few hundred kB each
+            total += np.frombuffer(r["params"], np.float64)
             mass += r["words"]
         if mass:
             model.load(total / mass)
         seen += mass
-        scratch.drop(f"fit{k}")
         sent.unpersist()
     return seen
 
 
-def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, frequent: int = FREQUENT, sample_docs: int = SAMPLE_DOCS, seed: int = 0) -> DataFrame:
+def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabulary: int = VOCABULARY, frequent: int = FREQUENT, seed: int = 0) -> DataFrame:
     """log10 probabilities of whole texts by smoothed word counts (base_score) and by the network (score).
 
     Returns the key, held_out, n_tokens (words and one end), n_known, train_tokens, base_score and score.
@@ -280,8 +297,9 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabular
     * Null, empty and blank texts are one end. A null key trains. Repeated rows count and are scored each.
     * Without training rows all counts are 0 and the network stays as initialised. Empty tables give empty results.
 
-    Counts and the network's fit cover all training rows; a sample only sets where the fit starts. The most frequent words' counts are sent to all tasks (a bounded table), the
-    other words of each text meet their counts in a join, in which no word is frequent.
+    Counts and the network's fit cover all training rows, and no text goes to the driver. The most frequent words' counts
+    are sent to all tasks (a bounded table), the other words of each text meet their counts in a join, in which no word
+    is frequent.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     training = docs.where(~held_out(F.col(key)))
@@ -295,11 +313,7 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabular
     known = sorted([*known, (END, ends[0]["n"] if ends else 0)], key=lambda x: (-x[1], x[0]))
     n_rest, v_rest = n_all - sum(n for _, n in known), v_all - sum(1 for _, n in known if n)
     model = Model([w for w, _ in known], np.array([n_rest] + [n for _, n in known], np.float64), seed)
-    drawn = training.where(F.length(text) <= SAMPLE_CHARS).select(F.xxhash64(F.col(key), F.col(text)).alias("h"), F.col(text).alias("text")).orderBy("h", "text").limit(sample_docs).collect()
-    words = split(pa.array([r["text"] for r in drawn], pa.string()), identity_lower())
-    own = np.array([model.ids.get(w, 0) for w in words.distinct.cast(pa.binary()).to_pylist()], np.int64)
-    model.fit([own[words.ids[a:b]] for a, b in zip(words.starts, words.starts[1:], strict=False)], seed=seed)
-    fit_all(model, training, n_all, scratch, key=key, text=text, seed=seed)
+    fit_all(model, training, n_all, key=key, text=text, seed=seed)
 
     sent = spark.sparkContext.broadcast((pa.array(names, pa.binary()), np.array([n for _, n in top], np.float64), model))
     rest_log = float(np.log10(n_rest + v_rest + 1))
