@@ -7,12 +7,16 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.llm.common import n_bytes, partitions, unit
+from foliant.llm.common import checkpoint, n_bytes, partitions, unit
 
 #: The largest mean that one draw inverts; a larger one is the sum of independent draws of at most DRAW_RATE each.
-MAX_RATE, DRAW_RATE = 100_000.0, 1000.0
+MAX_RATE, DRAW_RATE = 1000.0, 1000.0
 #: Copies that are listed at a time.
 LEVEL = 65_536
+#: Columns that ``mix`` adds.
+ADDED = ("mix_rate", "mix_copies", "mix_copy", "mix_key")
+#: Sources, and numbers in all their distributions, that are broadcast at most (32 MB).
+MAX_SOURCES, MAX_NUMBERS = 100_000, 1 << 22
 
 
 def poisson_cdf(rate: Column) -> Column:
@@ -65,14 +69,17 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, *, key: str = "doc_id
     * Null sources are a source of their own; null and empty texts have no bytes and go with their source.
     * Empty tables give empty results. Columns of the input named as the added ones are replaced.
 
-    Only one small row a source is shuffled before the documents are; Catalyst broadcasts these rows
-    if their measured size allows, otherwise the join splits a hot source's rows among tasks.
+    Sources' sums are partial before they are shuffled, a row a source and task. The rates are computed once; they are
+    broadcast when their count and size are within bounds, so documents move once, in the final shuffle. Beyond
+    the bounds documents meet their rates in a join whose hot sources adaptive execution splits.
     """
-    added = ["mix_rate", "mix_copies", "mix_copy", "mix_key"]
-    docs = docs.drop(*added, "mix_source", "mix_cdf", "mix_draws", "mix_u", "mix_block")
+    docs = docs.drop(*ADDED, "mix_source", "mix_cdf", "mix_draws", "mix_u", "mix_block")
     cols = docs.columns
     draws = F.when(F.col("rate") > MAX_RATE, F.ceil(F.col("rate") / DRAW_RATE)).otherwise(F.lit(1)).cast("long")
     rates = source_rates(docs, weights, source=source, text=text, epochs=epochs).select("mix_source", F.col("rate").alias("mix_rate"), draws.alias("mix_draws"), poisson_cdf(F.col("rate") / draws).alias("mix_cdf"))
+    rates = checkpoint(rates)
+    sources, numbers = rates.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("mix_cdf")), F.lit(0))).first()
+    rates = F.broadcast(rates) if sources <= MAX_SOURCES and numbers <= MAX_NUMBERS else rates.hint("merge")
     several = F.aggregate(
         F.sequence(F.lit(1).cast("long"), F.col("mix_draws")), F.lit(0).cast("long"),
         lambda n, i: n + F.aggregate("mix_cdf", F.struct(F.lit(0).cast("long").alias("n"), unit(key, i, seed=seed).alias("u")), lambda a, p: F.struct((a["n"] + (p <= a["u"]).cast("long")).alias("n"), a["u"].alias("u")), lambda a: a["n"]),

@@ -7,13 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from foliant.llm import ann, decontamination, lines, lm, mixing, secrets, sharding, simhash, suffixes, toxicity
+from foliant.llm import pipeline as corpus
 from foliant.llm.common import table
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "mix_copies", "mix_copy", "mix_key")
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "source", "mix_copies", "mix_copy", "mix_key", F.md5("text").alias("text_md5"))  # of the text as shuffled
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus_pipeline.run(spark, sf_dir)
+    return corpus.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -72,16 +73,16 @@ terms AS (
   FROM rated, range(0, 2000) AS r(k) WHERE rate > 0 AND k <= CAST(ceil(rate + 10 * sqrt(rate) + 40) AS INT)
 ),
 cdf AS (SELECT source, k, SUM(exp(log_p)) OVER (PARTITION BY source ORDER BY k) AS p FROM terms),
-drawn AS (SELECT doc_id, source, ('0x' || substr(md5('0|' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents),
-counted AS (SELECT d.doc_id, d.source, (SELECT COUNT(*) FROM cdf c WHERE c.source IS NOT DISTINCT FROM d.source AND c.p <= d.u) AS n FROM drawn d)
+drawn AS (SELECT doc_id, source, md5(text) AS text_md5, ('0x' || substr(md5('0|' || doc_id), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM documents),
+counted AS (SELECT d.doc_id, d.source, d.text_md5, (SELECT COUNT(*) FROM cdf c WHERE c.source IS NOT DISTINCT FROM d.source AND c.p <= d.u) AS n FROM drawn d)
 SELECT doc_id, source, CAST(n AS INT) AS mix_copies, CAST(c AS INT) AS mix_copy,
-       ('0x' || substr(md5('order0|' || doc_id || '|' || c), 1, 13))::BIGINT AS mix_key
-FROM (SELECT doc_id, source, n, unnest(range(1, n + 1)) AS c FROM counted)
+       ('0x' || substr(md5('order0|' || doc_id || '|' || c), 1, 13))::BIGINT AS mix_key, text_md5
+FROM (SELECT doc_id, source, text_md5, n, unnest(range(1, n + 1)) AS c FROM counted)
 """
 
 OP5_SQL = r"""
 WITH doc AS (SELECT doc_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM documents),
-item AS (SELECT item_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark),
+item AS (SELECT item_id, regexp_extract_all(translate(COALESCE(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
 win AS (
   SELECT DISTINCT item_id, list_slice(w, k, k + least(13, len(w)) - 1) AS win
   FROM (SELECT item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) AS k FROM item WHERE len(w) > 0)
@@ -112,4 +113,4 @@ FROM marked GROUP BY doc_id
 
 def oracle_sql() -> dict[str, str]:
     out = {"op1_mixing": OP1_SQL, "op5_decontamination": OP5_SQL, "op8_line_dedup": OP8_SQL}
-    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return out | ({"pipeline": corpus.ORACLE_SQL} if corpus.ORACLE_SQL else {})
