@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import checkpoint, n_bytes, partitions
+from foliant.llm.common import Scratch, checkpoint, n_bytes, partitions
 
 #: Copies of one text fall into at most so many cells; a cell moves as one.
 CELLS = 256
 #: About so many rows are numbered by one task.
 ROWS_PER_BUCKET = 50_000
+#: Columns that ``place`` adds.
+PLACED = ("size", "text_crc32", "law", "shard", "slot", "cut")
 
 
 def _numbered(df: DataFrame, by: list[str], order: list[str], n_buckets: int, name: str) -> DataFrame:
@@ -62,7 +64,7 @@ def _move(nodes: DataFrame, room: list[int], n_shards: int, n_buckets: int, turn
     return nodes.join(admitted, ["grp", "salt"], "left").select("grp", "salt", "w", F.coalesce("moved", "shard").alias("shard"))
 
 
-def shard(docs: DataFrame, *, n_shards: int = 24, rounds: int = 6, key: str = "doc_id", text: str = "text") -> DataFrame:
+def shard(docs: DataFrame, *, n_shards: int = 24, rounds: int = 6, key: str = "doc_id", text: str = "text", row: str | None = None) -> DataFrame:
     """Put documents into shards whose row counts are at most one apart, keeping equal texts together.
 
     Returns ``key``, size (bytes + 8), text_crc32, law ('rows'), shard, slot (from 0 without gaps),
@@ -77,7 +79,8 @@ def shard(docs: DataFrame, *, n_shards: int = 24, rounds: int = 6, key: str = "d
     * Null and empty texts are texts like any other, each a group of its own (null takes no bytes).
     * Rows that repeat key and text are copies too and get slots of their own.
     * Fewer rows than shards leave some shards empty; an empty table gives an empty result.
-    * Columns other than key and text are ignored.
+    * Columns other than key and text are ignored. ``row`` names a column of distinct longs that is returned too, by
+      which a caller can join the places back to whole rows.
 
     Texts are read once; after that only (key, size, checksum, 16-byte digest, row number) move.
     Iterations touch only groups of two or more, as cells of copies, and are checkpointed.
@@ -89,7 +92,7 @@ def shard(docs: DataFrame, *, n_shards: int = 24, rounds: int = 6, key: str = "d
         (n_bytes(body) + 8).alias("size"),
         F.crc32(F.coalesce(body.cast("binary"), F.lit(b""))).cast("long").alias("text_crc32"),
         F.when(body.isNull(), F.lit(b"null")).otherwise(F.unhex(F.md5(body.cast("binary")))).alias("grp"),
-        F.monotonically_increasing_id().alias("row"),
+        (F.col(row) if row else F.monotonically_increasing_id()).alias("row"),
     )
     slim = checkpoint(slim.withColumn("salt", F.pmod(F.xxhash64("row"), F.lit(CELLS)).cast("int")))
     nodes = slim.groupBy("grp", "salt").agg(F.count(F.lit(1)).alias("w"))
@@ -138,4 +141,15 @@ def shard(docs: DataFrame, *, n_shards: int = 24, rounds: int = 6, key: str = "d
     apart = mass.join(home, "grp").where("shard <> home").select("grp", "shard", F.lit(True).alias("cut"))
     out = _numbered(placed, ["shard"], ["doc_id", "row"], max(n_buckets, -(-at_once // n_shards)), "slot")
     out = out.join(apart, ["grp", "shard"], "left")
-    return out.select(F.col("doc_id").alias(key), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.coalesce("cut", F.lit(False)).alias("cut"))
+    return out.select(F.col("doc_id").alias(key), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.coalesce("cut", F.lit(False)).alias("cut"), *([F.col("row").alias(row)] if row else []))
+
+
+def place(docs: DataFrame, *, n_shards: int = 24, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents, unchanged, with their size, text_crc32, law, shard, slot and cut.
+
+    Columns of the input named as the added ones are replaced. Nulls, empty texts, repeated rows and empty tables as in
+    ``shard``: every row is returned once. Rows are numbered in a written table, then meet their places by that number.
+    """
+    rows = Scratch(docs.sparkSession).write(docs.drop(*PLACED, "shard_row").withColumn("shard_row", F.monotonically_increasing_id()), "numbered")
+    places = checkpoint(shard(rows, n_shards=n_shards, key=key, text=text, row="shard_row").select("shard_row", *PLACED))
+    return rows.join(places, "shard_row").drop("shard_row")
