@@ -1,51 +1,5 @@
-"""A training corpus from ``documents``: toxic texts go, near copies go, contaminated texts go, sources are mixed, rows are sharded."""
+"""The corpus pipeline: ``STAGES`` of (name, function), ``run(spark, sf_dir)`` and ``ORACLE_SQL``; its body is in the subpackage."""
 
-from __future__ import annotations
+from foliant.llm.pipeline import ORACLE_SQL, STAGES, run
 
-from pyspark.sql import DataFrame, SparkSession
-
-from foliant.llm import decontamination, mixing, sharding, simhash, toxicity
-from foliant.llm.common import Scratch, table
-
-#: Why there is no SQL: a trained network and a 64-bit hash vote decide what stays.
-ORACLE_SQL = None
-
-
-def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the network rejects as toxic go."""
-    return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
-
-
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component stays."""
-    return simhash.keep_one(docs)
-
-
-def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a benchmark share of a twentieth or more go."""
-    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-
-
-def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources weigh the same; a document is repeated or left out by its Poisson count."""
-    return mixing.mix(docs).select(*docs.columns)
-
-
-def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return sharding.shard(docs)
-
-
-STAGES = [("toxicity", clean), ("simhash near-dedup", near_copies), ("decontamination", decontaminated), ("mixing", mixed), ("sharding", sharded)]
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; each result but the last is written and read again."""
-    scratch = Scratch(spark)
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = scratch.write(docs, f"stage{k}")
-            if k:
-                scratch.drop(f"stage{k - 1}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
