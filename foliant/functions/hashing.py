@@ -43,6 +43,8 @@ def token_weight(token: Column) -> Column:
 
 
 def keyword_overlap(terms: Column, text: Column) -> Column:
-    """The share of the terms that the lower-cased text contains."""
-    low = F.lower(text)
-    return F.when(F.size(terms) > 0, F.size(F.filter(terms, lambda t: F.contains(low, t))) / F.size(terms)).otherwise(F.lit(0.0))
+    """The share of the terms that the lower-cased text contains; the text is lower-cased once."""
+    from foliant.functions.vectors import let
+
+    share = let(F.lower(text), lambda low: F.size(F.filter(terms, lambda t: F.contains(low, t))) / F.size(terms))
+    return F.when(F.size(terms) > 0, share).otherwise(F.lit(0.0))

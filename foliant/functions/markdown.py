@@ -9,12 +9,20 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# TeX commands and what they become.
-GREEK = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi pi rho sigma tau upsilon phi chi psi omega Gamma Delta Theta Lambda Xi Pi Sigma Upsilon Phi Psi Omega".split()
-OPERATORS = {"times": "&times;", "cdot": "&sdot;", "pm": "&plusmn;", "leq": "&le;", "geq": "&ge;", "neq": "&ne;", "approx": "&asymp;", "sum": "&sum;", "prod": "&prod;", "int": "&int;", "infty": "&infin;", "partial": "&part;", "nabla": "&nabla;", "in": "&isin;", "to": "&rarr;", "rightarrow": "&rarr;", "leftarrow": "&larr;", "ldots": "&hellip;", "cdots": "&ctdot;"}
-FUNCTIONS = set("sin cos tan log ln exp max min lim softmax argmax argmin det dim".split())
-STYLES = {"mathbf": "bold", "mathrm": "normal", "mathit": "italic", "mathcal": "script", "mathbb": "double-struck", "operatorname": "normal"}
-TOKEN = re.compile(r"\s+|\\(?P<command>[A-Za-z]+|.)|(?P<number>[0-9][0-9.]*)|(?P<identifier>[A-Za-z]+)|(?P<symbol>.)", re.S)
+# TeX commands that are Greek letters, operators with their entities, functions set upright, and styles.
+GREEK = frozenset("alpha beta gamma delta eta epsilon zeta theta iota kappa lambda mu nu xi pi rho sigma tau phi chi psi omega".split())
+OPERATORS = {
+    "cdot": "&#x22C5;", "cdots": "&#x22EF;", "ldots": "&#x2026;", "times": "&#x00D7;", "pm": "&#x00B1;",
+    "leq": "&#x2264;", "le": "&#x2264;", "geq": "&#x2265;", "ge": "&#x2265;", "neq": "&#x2260;", "ne": "&#x2260;", "approx": "&#x2248;",
+    "to": "&#x2192;", "rightarrow": "&#x2192;", "leftarrow": "&#x2190;", "mapsto": "&#x21A6;",
+    "lceil": "&#x2308;", "rceil": "&#x2309;", "lfloor": "&#x230A;", "rfloor": "&#x230B;", "langle": "&#x27E8;", "rangle": "&#x27E9;",
+    "infty": "&#x221E;", "sum": "&#x2211;", "prod": "&#x220F;", "int": "&#x222B;", "partial": "&#x2202;", "mid": "|",
+    "forall": "&#x2200;", "exists": "&#x2203;", "in": "&#x2208;", "notin": "&#x2209;", "subseteq": "&#x2286;", "supseteq": "&#x2287;",
+    "cup": "&#x222A;", "cap": "&#x2229;", "land": "&#x2227;", "lor": "&#x2228;",
+}
+FUNCTIONS = frozenset("log ln sin cos tan max min exp BP".split())
+STYLES = {"mathrm": "normal", "operatorname": "normal", "mathit": "italic", "mathbf": "bold", "mathbb": "double-struck", "mathcal": "script"}
+TOKEN = re.compile(r"\s+|\\(?P<command>[A-Za-z]+|.?)|(?P<number>[0-9][0-9.]*)|(?P<identifier>[A-Za-z]+)|(?P<symbol>.)", re.S)
 
 
 def escape(text: str) -> str:
@@ -28,104 +36,118 @@ def safe_url(url: str) -> str | None:
     return url.strip() if not m or m[1].lower() in ("http", "https", "mailto") else None
 
 
-class Math:
-    """A recursive reader of one TeX expression."""
+EMPTY = "<mrow></mrow>"
+#: Commands that take arguments: how many, what is made of them, and whether a brace as the argument is a group.
+SHAPES: dict[str, tuple[int, str, bool]] = {"frac": (2, "<mfrac>{0}{1}</mfrac>", True), "sqrt": (1, "<msqrt>{0}</msqrt>", True), "left": (1, "{0}", False), "right": (1, "{0}", False)}
+SCRIPTS = {"_": "msub", "^": "msup", "_^": "msubsup"}
 
-    def __init__(self, source: str):
-        self.tokens = [(m.lastgroup, m[m.lastgroup]) for m in TOKEN.finditer(source) if m.lastgroup]
-        self.at = 0
 
-    def peek(self) -> str | None:
-        return self.tokens[self.at][1] if self.at < len(self.tokens) else None
+class Row:
+    """Open until its brace: nodes, each with the scripts that have been set on it."""
 
-    def group(self) -> str:
-        """What stands up to the closing brace, as one row."""
+    def __init__(self) -> None:
+        self.nodes: list[tuple[str, dict[str, str]]] = []
+
+    def add(self, node: str) -> None:
+        self.nodes.append((node, {}))
+
+    def html(self) -> str:
         out = []
-        while self.peek() not in (None, "}"):
-            out.append(self.scripted())
-        self.at += self.peek() == "}"
+        for base, scripts in self.nodes:
+            marks = "".join(m for m in "_^" if m in scripts)
+            tag = SCRIPTS.get(marks)
+            out.append(f"<{tag}>{base}{''.join(scripts[m] for m in marks)}</{tag}>" if tag else base)
         return f"<mrow>{''.join(out)}</mrow>"
 
-    def argument(self) -> str:
-        if self.peek() == "{":
-            self.at += 1
-            return self.group()
-        return self.primary()
-
-    def words(self) -> str:
-        """A braced argument as text."""
-        if self.peek() != "{":
-            return ""
-        self.at += 1
-        depth, out = 1, []
-        while self.at < len(self.tokens):
-            v = self.tokens[self.at][1]
-            self.at += 1
-            depth += (v == "{") - (v == "}")
-            if not depth:
-                break
-            out.append(v)
-        return re.sub(r"\s+([.,;:!?])", r"\1", " ".join(out))
-
-    def command(self, v: str) -> str:
-        if v == "frac":
-            return f"<mfrac>{self.argument()}{self.argument()}</mfrac>"
-        if v == "sqrt":
-            return f"<msqrt>{self.argument()}</msqrt>"
-        if v == "text":
-            return f"<mtext>{escape(self.words())}</mtext>"
-        if v in ("left", "right"):
-            return self.primary()
-        if v in STYLES:
-            content = self.words().strip()
-            return f'<mi mathvariant="{STYLES[v]}">{escape(content)}</mi>' if content else "<mrow></mrow>"
-        if v in GREEK:
-            return f"<mi>&{v};</mi>"
-        if v in OPERATORS:
-            return f"<mo>{OPERATORS[v]}</mo>"
-        return f'<mi mathvariant="normal">{escape(v)}</mi>' if v in FUNCTIONS else f"<mi>{escape(v)}</mi>"
-
-    def primary(self) -> str:
-        if self.at >= len(self.tokens):
-            return "<mrow></mrow>"
-        kind, v = self.tokens[self.at]
-        self.at += 1
-        if kind == "number":
-            return f"<mn>{v}</mn>"
-        if kind == "identifier":
-            return f'<mi mathvariant="normal">{v}</mi>' if v in FUNCTIONS else f"<mi>{v}</mi>"
-        if kind == "command":
-            return self.command(v)
-        if v == "{":
-            return self.group()
+
+class Slot:
+    """Waits for the arguments of a command, or for a script of a row's last node."""
+
+    def __init__(self, need: int, form: str = "{0}", grouped: bool = True, script: str = ""):
+        self.need, self.form, self.grouped, self.script, self.got = need, form, grouped, script, []
+
+
+def leaf(kind: str, v: str) -> str:
+    """One token by itself."""
+    if kind == "number":
+        return f"<mn>{v}</mn>"
+    if kind == "symbol":
         return "<mo>&#x2032;</mo>" if v == "'" else f"<mo>{escape(v)}</mo>"
+    if kind == "command" and v in GREEK:
+        return f"<mi>&{v};</mi>"
+    if kind == "command" and v in OPERATORS:
+        return f"<mo>{OPERATORS[v]}</mo>"
+    return f'<mi mathvariant="normal">{escape(v)}</mi>' if v in FUNCTIONS else f"<mi>{escape(v)}</mi>"
 
-    def scripted(self) -> str:
-        base, scripts = self.primary(), {}
-        while self.peek() in ("_", "^"):
-            kind = self.peek()
-            self.at += 1
-            scripts[kind] = self.argument()
-        if len(scripts) == 2:
-            return f"<msubsup>{base}{scripts['_']}{scripts['^']}</msubsup>"
-        if scripts:
-            (kind, s), = scripts.items()
-            tag = "msub" if kind == "_" else "msup"
-            return f"<{tag}>{base}{s}</{tag}>"
-        return base
-
-    def all(self) -> str:
-        out = []
-        while self.at < len(self.tokens):
-            out.append(self.scripted())
-        return f"<mrow>{''.join(out)}</mrow>"
+
+def closings(tokens: list[tuple[str, str]]) -> dict[int, int]:
+    """The place of each opening brace's partner; the end for those that are never closed."""
+    out, waiting = {}, []
+    for k, (_, v) in enumerate(tokens):
+        if v == "{":
+            waiting.append(k)
+        elif v == "}" and waiting:
+            out[waiting.pop()] = k
+    return out | dict.fromkeys(waiting, len(tokens))
+
+
+def plain_words(tokens: list[tuple[str, str]]) -> str:
+    return re.sub(r"\s+([.,;:!?])", r"\1", " ".join(v for _, v in tokens))
+
+
+def mathml(source: str) -> str:
+    """A TeX expression as one row, read token by token with a stack of rows and waiting slots."""
+    tokens = [(m.lastgroup, m[m.lastgroup]) for m in TOKEN.finditer(source) if m.lastgroup]
+    partner = closings(tokens)
+    stack: list[Row | Slot] = [Row()]
+
+    def give(node: str) -> None:
+        """Hand a finished node to what waits for it; a slot that is full is a finished node itself."""
+        while isinstance(top := stack[-1], Slot):
+            top.got.append(node)
+            if len(top.got) < top.need:
+                return
+            stack.pop()
+            if top.script:
+                stack[-1].nodes[-1][1][top.script] = node
+                return
+            node = top.form.format(*top.got)
+        stack[-1].add(node)
+
+    k = 0
+    while k < len(tokens):
+        kind, v = tokens[k]
+        top = stack[-1]
+        k += 1
+        if isinstance(top, Row) and v == "}" and len(stack) > 1:
+            stack.pop()
+            give(top.html())
+        elif isinstance(top, Row) and v in ("_", "^") and top.nodes:
+            stack.append(Slot(1, script=v))
+        elif v == "{" and (kind == "symbol" or isinstance(top, Slot) and top.grouped):
+            stack.append(Row())
+        elif kind == "command" and v in SHAPES:
+            stack.append(Slot(*SHAPES[v]))
+        elif kind == "command" and (v == "text" or v in STYLES):
+            words = ""
+            if k in partner:
+                words, k = plain_words(tokens[k + 1 : partner[k]]), partner[k] + 1
+            content = escape(words if v == "text" else words.strip())
+            give(f"<mtext>{content}</mtext>" if v == "text" else f'<mi mathvariant="{STYLES[v]}">{content}</mi>' if content else EMPTY)
+        else:
+            give(leaf(kind, v))
+    while len(stack) > 1:  # what the source leaves open
+        top = stack[-1]
+        if isinstance(top, Row):
+            stack.pop()
+            give(top.html())
+        else:
+            give(EMPTY)
+    return stack[0].html()
 
 
 def math(source: str, display: bool = False) -> str:
-    try:
-        return f'<math xmlns="http://www.w3.org/1998/Math/MathML"{" display=\"block\"" if display else ""}>{Math(source).all()}</math>'
-    except RecursionError:
-        return f"<code>{escape(source)}</code>"
+    return f'<math xmlns="http://www.w3.org/1998/Math/MathML"{" display=\"block\"" if display else ""}>{mathml(source)}</math>'
 
 
 def chip(ref: dict) -> str:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliant.functions.text import WS, collapse, count_of, cut, has, strip, strip_end, words_of, words_re
+from foliant.functions.vectors import let
 
 VERBS = ("is", "are", "was", "were", "has", "have", "can", "will", "define", "describe", "explain", "show", "mean", "refer", "state", "present", "propose", "use")
 CHUNK_VERBS = ("is", "are", "was", "were", "has", "have", "can", "will", "define", "present", "describe")
@@ -65,9 +66,11 @@ def merge_continuation(left: Column, right: Column) -> Column:
     """Append a continuation without the words it repeats (an overlap of 12 to 80 characters, case-blind)."""
     left, right = F.coalesce(left, F.lit("")), F.coalesce(right, F.lit(""))
     tail = F.regexp_replace(right, f"^{WS}+", "")
-    most = F.least(F.lit(80), F.length(left), F.length(tail))
-    sizes = F.when(most >= 12, F.sequence(most, F.lit(12), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    overlap = F.coalesce(F.get(F.filter(sizes, lambda n: F.lower(F.right(left, n)) == F.lower(F.left(tail, n))), F.lit(0)), F.lit(0))
+    # Only the ends that may overlap are compared, cut from the texts once.
+    ends = F.struct(F.right(left, F.lit(80)).alias("a"), F.left(tail, F.lit(80)).alias("b"))
+    most = lambda e: F.least(F.length(e["a"]), F.length(e["b"]))
+    sizes = lambda e: F.when(most(e) >= 12, F.sequence(most(e), F.lit(12), F.lit(-1))).otherwise(F.array().cast("array<int>"))
+    overlap = let(ends, lambda e: F.coalesce(F.get(F.filter(sizes(e), lambda n: F.lower(F.right(e["a"], n)) == F.lower(F.left(e["b"], n))), F.lit(0)), F.lit(0)))
     rest = F.when(overlap > 0, F.regexp_replace(F.substring(tail, overlap + 1, F.length(tail)), f"^{WS}+", "")).otherwise(tail)
     joined = F.when(has(rest, r"^[,.;:!?)/\]}]") | has(left, f"{WS}$") | has(right, f"^{WS}"), F.concat(left, rest)).otherwise(F.concat(left, F.lit(" "), rest))
     return F.when(strip(left) == "", tail).when(strip(right) == "", left).when(rest == "", left).otherwise(joined)

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once a row, however often the body's lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _d(x: Column) -> Column:
     return x.cast("double")
 
@@ -19,8 +26,7 @@ def norm_squared(a: Column) -> Column:
 
 
 def l2_normalize(a: Column) -> Column:
-    n = F.sqrt(norm_squared(a))
-    return F.when(n == 0, F.transform(a, _d)).otherwise(F.transform(a, lambda x: _d(x) / n))
+    return let(F.sqrt(norm_squared(a)), lambda n: F.transform(a, lambda x: F.when(n == 0, _d(x)).otherwise(_d(x) / n)))
 
 
 def add(a: Column, b: Column) -> Column:
@@ -45,14 +51,14 @@ def swiglu(gate: Column, value: Column) -> Column:
 
 def rms_norm(a: Column, weight: Column | None = None, epsilon: float = 1e-6) -> Column:
     scale = 1 / F.sqrt(norm_squared(a) / F.size(a) + epsilon)
-    return F.transform(a, lambda x: _d(x) * scale) if weight is None else F.zip_with(a, weight, lambda x, w: _d(x) * scale * _d(w))
+    return let(scale, lambda k: F.transform(a, lambda x: _d(x) * k) if weight is None else F.zip_with(a, weight, lambda x, w: _d(x) * k * _d(w)))
 
 
 def softmax(a: Column) -> Column:
     """Shifted by the maximum; if all weights vanish they are returned as they are."""
-    e = F.transform(a, lambda x: F.exp(_d(x) - _d(F.array_max(a))))
-    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
-    return F.when(total == 0, e).otherwise(F.transform(e, lambda x: x / total))
+    powers = let(_d(F.array_max(a)), lambda most: F.transform(a, lambda x: F.exp(_d(x) - most)))
+    total = lambda e: F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
+    return let(powers, lambda e: let(total(e), lambda t: F.transform(e, lambda x: F.when(t == 0, x).otherwise(x / t))))
 
 
 def argmax(a: Column) -> Column:
@@ -104,5 +110,8 @@ def pack_signature(a: Column, dims: int) -> Column:
     )
 
 
-def hamming(a: Column, b: Column) -> Column:
+def hamming(a: Column, b: Column, words: int | None = None) -> Column:
+    """Differing bits; with the number of words given, as a plain sum without lambdas."""
+    if words is not None:
+        return sum((F.bit_count(F.get(a, F.lit(k)).bitwiseXOR(F.get(b, F.lit(k)))) for k in range(1, words)), F.bit_count(F.get(a, F.lit(0)).bitwiseXOR(F.get(b, F.lit(0)))))
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)

@@ -18,6 +18,14 @@ def fitted(width: int, height: int, longest: int) -> tuple[int, int]:
     return max(1, int(np.floor(width * scale + 0.5))), max(1, int(np.floor(height * scale + 0.5)))
 
 
+def grid(width: Column, height: Column, longest: int = IMAGE_SIZE, patch: int = PATCH) -> Column:
+    """The struct (width, height, cols, rows, tokens) of ``fitted`` and of its patches, as a column."""
+    scale = F.lit(longest) / F.greatest(width, height)
+    w, h = (F.greatest(F.lit(1), F.floor(x * scale + 0.5)).cast("long") for x in (width, height))
+    cols, rows = F.ceil(w / patch).cast("long"), F.ceil(h / patch).cast("long")
+    return F.struct(w.alias("width"), h.alias("height"), cols.alias("cols"), rows.alias("rows"), (cols * rows).alias("tokens"))
+
+
 def _axis(source: int, target: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lower and upper sample and the weight of the upper, for each target place at its centre."""
     at = np.minimum(source - 1, (np.arange(target) + 0.5) * (source / target) - 0.5)

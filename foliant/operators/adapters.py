@@ -74,3 +74,18 @@ def apply_delta(y: Column, x: Column, a_rows: Column, b_rows: Column, scale: flo
 
 def memory_bytes(adapters: DataFrame) -> DataFrame:
     return adapters.groupBy("doc_id").agg((F.count(F.lit(1)) * 4).alias("bytes"))
+
+
+def matrices(adapters: DataFrame, scale: float = SCALE) -> dict[int, dict[str, tuple[float, np.ndarray, np.ndarray]]]:
+    """One combined adapter (layer, proj, mat, i, j, value) as ``Decoder.with_adapter`` takes it; a model's worth goes to the driver."""
+    out: dict[int, dict[str, tuple[float, np.ndarray, np.ndarray]]] = {}
+    rows = adapters.select("layer", "proj", "mat", "i", "j", "value").toPandas()
+    for (layer, proj), part in rows.groupby(["layer", "proj"]):
+        both = []
+        for name in "AB":
+            own = part[part["mat"] == name]
+            m = np.zeros((own["i"].max() + 1, own["j"].max() + 1))
+            m[own["i"], own["j"]] = own["value"]
+            both.append(m)
+        out.setdefault(int(layer), {})[proj] = (scale, *both)
+    return out

@@ -19,9 +19,10 @@ _MEMO_WORDS = 200_000
 def bucket_sums(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, bucket, weight): signed token weights by bucket, in twentieths, exact in any order."""
     toks = rows.select(*keys, F.explode(hashing.tokens(F.col(text))).alias("token"))
+    counted = toks.groupBy(*keys, "token").agg(F.count(F.lit(1)).alias("times"))  # each distinct token is hashed once a key
     signed = F.when(hashing.is_positive(F.col("token")), hashing.token_weight(F.col("token"))).otherwise(-hashing.token_weight(F.col("token")))
     bucket = F.pmod(hashing.fnv1a(F.col("token")), F.lit(schemas.TEXT_DIMS)).cast("int")
-    return toks.groupBy(*keys, bucket.alias("bucket")).agg(F.sum(signed).cast("long").alias("weight"))
+    return counted.groupBy(*keys, bucket.alias("bucket")).agg(F.sum(signed * F.col("times")).cast("long").alias("weight"))
 
 
 def layout_features(text: Column, bbox: Column, page_ratio: Column, block_count: Column, line_count: Column, is_fallback: Column, n_tokens: Column) -> Column:
@@ -49,15 +50,18 @@ def _slot(token: str) -> tuple[int, int]:
     return _fnv(token) % schemas.TEXT_DIMS, weight if sum(ord(c) & 1 for c in token) & 1 else -weight
 
 
-def text_vector(tokens: Column) -> Column:
-    """The 368 signed bucket sums of an array of tokens, unscaled. Narrow: one Arrow batch at a time, hashes memoised."""
+def unit_vector(tokens: Column, layout: Column) -> Column:
+    """The 368 signed bucket sums of an array of tokens and the layout features, scaled to unit length.
 
-    @F.pandas_udf("array<double>")
-    def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    Narrow: one Arrow batch at a time, hashes memoised. Squares are summed from the first to the last.
+    """
+
+    @F.pandas_udf("array<float>")
+    def run(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         memo: dict[str, tuple[int, int]] = {}
-        for part in parts:
+        for part, features in parts:
             out = []
-            for toks in part:
+            for toks, own in zip(part, features, strict=True):
                 slots = []
                 for t in toks if toks is not None else ():
                     if (s := memo.get(t)) is None:
@@ -66,10 +70,13 @@ def text_vector(tokens: Column) -> Column:
                         s = memo[t] = _slot(t)
                     slots.append(s)
                 at = np.array(slots, dtype=np.int64).reshape(-1, 2)
-                out.append(np.bincount(at[:, 0], at[:, 1], schemas.TEXT_DIMS) / 20.0)
+                raw = np.concatenate((np.bincount(at[:, 0], at[:, 1], schemas.TEXT_DIMS) / 20.0, np.asarray(own, np.float64)))
+                n = np.sqrt(np.cumsum(raw * raw)[-1])
+                out.append((raw / n if n else raw).astype(np.float32))
             yield pd.Series(out)
 
-    return run(tokens)
+    # Not to be copied into filters and other columns: it runs once a row.
+    return run.asNondeterministic()(tokens, layout)
 
 
 def embed(rows: DataFrame, page_count: Column | None = None) -> DataFrame:
@@ -78,14 +85,11 @@ def embed(rows: DataFrame, page_count: Column | None = None) -> DataFrame:
     ``page_count`` may be a column; without it the page ratio is 0. Token weights are summed exactly, so a bucket whose
     tokens cancel is exactly 0 and counts as positive.
     """
-    from foliant.functions.vectors import l2_normalize
-
     toks = rows.withColumn("_tokens", hashing.tokens(F.col("text")))
     ratio = F.lit(0.0) if page_count is None else F.when(page_count > 0, F.col("page_number") / page_count).otherwise(0.0)
     layout = layout_features(F.col("text"), F.col("bbox"), ratio, F.col("block_count"), F.col("line_count"), F.col("is_fallback"), F.size("_tokens"))
-    raw = toks.withColumn("_raw", F.concat(text_vector(F.col("_tokens")), layout))
-    out = raw.withColumn("vector", l2_normalize(F.col("_raw")).cast("array<float>"))
-    return out.withColumn("signature", signature(F.col("vector"))).drop("_tokens", "_raw")
+    out = toks.withColumn("vector", unit_vector(F.col("_tokens"), layout))
+    return out.withColumn("signature", signature(F.col("vector"))).drop("_tokens")
 
 
 def embed_queries(queries: DataFrame, text: str = "text") -> DataFrame:

@@ -23,7 +23,7 @@ def prefilter_score(distance: Column, boost: Column) -> Column:
 def _candidates(entries: DataFrame, queries: DataFrame, limit: int, order: list[str], keywords: bool) -> DataFrame:
     """Each query's ``8 * limit`` entries of least score. The queries are the broadcast side; a group limit cuts each
     query's rows inside every task, so only the best of each task are shuffled."""
-    pairs = entries.crossJoin(F.broadcast(queries))
+    pairs = entries.crossJoin(F.broadcast(queries))  # of a size that the caller has checked
     boost = keyword_overlap(F.col("q_terms"), F.col("text")) if keywords else F.lit(0.0)
     scored = pairs.withColumn("hamming", hamming(F.col("signature"), F.col("q_signature"))).withColumn("keyword_boost", boost)
     scored = scored.withColumn("score", prefilter_score(F.col("hamming"), F.col("keyword_boost")))
@@ -34,7 +34,29 @@ def _candidates(entries: DataFrame, queries: DataFrame, limit: int, order: list[
 def candidates(entries: DataFrame, queries: DataFrame, *, limit: int = LIMIT, order: list[str] | None = None) -> DataFrame:
     """The first stage alone, without keywords: each query's ``8 * limit`` nearest signatures."""
     q = queries.select("query_id", F.col("signature").alias("q_signature"))
-    return _candidates(entries, q, limit, order or ["doc_id", "page_number", "chunk_ord"], False).drop("q_signature")
+    return _in_parts(entries, q, limit, order or ["doc_id", "page_number", "chunk_ord"], False).drop("q_signature")
+
+
+def _in_parts(entries: DataFrame, q: DataFrame, limit: int, order: list[str], keywords: bool) -> DataFrame:
+    """Measure the queries first; beyond what may be broadcast they meet the entries part by part."""
+    width = F.size("q_signature") * 8 + 8
+    if "q_vector" in q.columns:
+        width = width + F.size("q_vector") * 8
+    if keywords:
+        width = width + F.aggregate("q_terms", F.lit(0), lambda s, t: s + F.length(t) + 16)
+    size = q.agg(F.coalesce(F.sum(width), F.lit(0)).alias("n")).first()["n"]
+    parts = max(1, -(-size // MAX_QUERY_BYTES))
+    found = _candidates(entries, q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == 0) if parts > 1 else q, limit, order, keywords)
+    for k in range(1, parts):
+        found = found.unionByName(_candidates(entries, q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k), limit, order, keywords))
+    return found
+
+
+def broadcastable(rows: DataFrame, text: Column | str | None = None) -> DataFrame:
+    """Rows for the small side of a join with every row: broadcast after a check of their size, else left to the engine."""
+    size = F.length(text) if text is not None else F.lit(64)
+    n = rows.agg(F.coalesce(F.sum(size + 64), F.lit(0)).alias("n")).first()["n"]
+    return F.broadcast(rows) if n <= MAX_QUERY_BYTES else rows
 
 
 def search(entries: DataFrame, queries: DataFrame, *, limit: int = LIMIT, order: list[str] | None = None, per_document: bool = False) -> DataFrame:
@@ -55,12 +77,7 @@ def search(entries: DataFrame, queries: DataFrame, *, limit: int = LIMIT, order:
         scored = scored.withColumn("score", prefilter_score(F.col("hamming"), F.col("keyword_boost")))
         found = scored.withColumn("candidate", F.row_number().over(Window.partitionBy("query_id").orderBy("score", *order))).where(F.col("candidate") <= OVERSAMPLE * limit).drop("q_doc")
     else:
-        width = F.size("q_vector") * 8 + F.size("q_signature") * 8 + (F.aggregate("q_terms", F.lit(0), lambda s, t: s + F.length(t) + 16) if keywords else F.lit(0))
-        size = q.agg(F.coalesce(F.sum(width), F.lit(0)).alias("n")).first()["n"]
-        parts = max(1, -(-size // MAX_QUERY_BYTES))
-        found = _candidates(entries, q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == 0) if parts > 1 else q, limit, order, keywords)
-        for k in range(1, parts):
-            found = found.unionByName(_candidates(entries, q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k), limit, order, keywords))
+        found = _in_parts(entries, q, limit, order, keywords)
     similarity = dot(F.col("vector"), F.col("q_vector")) + F.lit(RERANK_BOOST) * F.col("keyword_boost")
     ranked = found.withColumn("similarity", similarity).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "candidate")))
     return ranked.where(F.col("rank") <= limit).drop("q_vector", "q_signature", "q_terms")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions import hashing
-from foliant.operators import answer, embedding, export, layout, profile, search
+from foliant.operators import adapters, answer, embedding, export, layout, profile, search, weights
 
 NOT_READY = "The language model is not loaded yet, so this answer uses retrieval only.\n\n"
 
@@ -75,6 +75,32 @@ class Engine:
     def profiles(self) -> DataFrame:
         return profile.memory_prompts(profile.meta_groups(self.chunks), self.titles)
 
+    def encode(self, model_id: str | None = None, *, compile_weights: bool = True) -> tuple[DataFrame, DataFrame | None]:
+        """Profiles of all documents and, unless left out, the adapter matrices derived from them for a model's sizes.
+
+        Raises an error if there are no chunks or none with a vector.
+        """
+        if not self.chunks.take(1):
+            raise ValueError("there are no chunks to encode")
+        if compile_weights and not self.chunks.where(F.size("vector") > 0).take(1):
+            raise ValueError("no chunk has a vector; embed the chunks first")
+        if not compile_weights:
+            return self.profiles(), None
+        spark = self.chunks.sparkSession
+        sizes = weights.model_config(spark.createDataFrame([(model_id,)], "model_id string")).first()
+        grouped = profile.meta_groups(self.chunks)
+        mass = grouped.groupBy("doc_id", "group_ord").agg(F.sum(F.greatest("readability", F.lit(0.05))).alias("weight"))
+        metas = profile.meta_embeddings(grouped).join(mass, ["doc_id", "group_ord"])
+        made = adapters.derive(metas, layers=sizes["num_hidden_layers"], hidden=sizes["hidden_size"], heads=sizes["num_attention_heads"], kv_heads=sizes["num_key_value_heads"], head_dim=sizes["head_dim"])
+        return self.profiles(), made
+
+    def profile_status(self) -> DataFrame:
+        """(doc_id, status, num_groups, label) of every indexed document: 'ready' with a profile, else 'empty'."""
+        made = self.profiles().select("doc_id", "num_groups", F.length("memory_prompt").alias("chars"))
+        n = F.coalesce("num_groups", F.lit(0))
+        label = F.concat(F.lit("document profile · "), n.cast("string"), F.when(n == 1, " section · ").otherwise(" sections · "), F.coalesce("chars", F.lit(0)).cast("string"), F.lit(" chars"))
+        return self.titles.select("doc_id").distinct().join(made, "doc_id", "left").select("doc_id", F.when(F.col("chars").isNotNull(), "ready").otherwise("empty").alias("status"), n.alias("num_groups"), label.alias("label"))
+
     def sections(self) -> DataFrame:
         return layout.sections(self.chunks)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant import schemas
 from foliant.functions import hashing, intents, quality, text as tx, vectors as vx
-from foliant.operators import answer, embedding, export, layout, profile, search
+from foliant.operators import answer, embedding, export, layout, profile, search, weights
 from foliant.sources import files
 from foliant.streaming import sessions
 
@@ -125,6 +125,18 @@ def embed_norm(spark, d):
     return e.select("doc_id", "id", F.round(vx.norm_squared(F.col("vector")), 4).alias("norm"), F.size("vector").alias("dims"), F.size("signature").alias("words"))
 
 
+@query
+def embed_vectors(spark, d):
+    """Every component of the chunks' vectors that is not zero."""
+    e = embedding.embed(chunks_of(spark, d)).select("doc_id", "id", F.posexplode("vector").alias("pos", "v")).where("v <> 0")
+    return e.select("doc_id", "id", "pos", F.round(F.col("v").cast("double"), 6).alias("v"))
+
+
+@query
+def embed_signatures(spark, d):
+    return embedding.embed(chunks_of(spark, d)).select("doc_id", "id", *[F.get("signature", F.lit(k)).alias(f"word{k:02d}") for k in range(12)])
+
+
 @query
 def pack_signature(spark, d):
     sig = embedding.signature(F.col("embedding"), 64)
@@ -144,8 +156,8 @@ def vector_queries(spark, d):
 
 @query
 def hamming_matrix(spark, d):
-    q = vector_queries(spark, d).select("query_id", F.col("signature").alias("q"))
-    return vector_entries(spark, d).crossJoin(F.broadcast(q)).select("query_id", "vec_id", vx.hamming(F.col("signature"), F.col("q")).alias("hamming"))
+    q = search.broadcastable(vector_queries(spark, d).select("query_id", F.col("signature").alias("q")))
+    return vector_entries(spark, d).crossJoin(q).select("query_id", "vec_id", vx.hamming(F.col("signature"), F.col("q"), 2).alias("hamming"))
 
 
 @query
@@ -174,7 +186,7 @@ def benchmark_queries(spark, d):
 def keyword_overlap(spark, d):
     q = benchmark_queries(spark, d).select("query_id", hashing.query_terms(F.col("text")).alias("terms"))
     docs = table(spark, d, "documents").select("doc_id", "text")
-    pairs = docs.crossJoin(F.broadcast(q)).withColumn("overlap", hashing.keyword_overlap(F.col("terms"), F.col("text")))
+    pairs = docs.crossJoin(search.broadcastable(q, F.array_join("terms", " "))).withColumn("overlap", hashing.keyword_overlap(F.col("terms"), F.col("text")))
     return pairs.where("overlap > 0.5").select("query_id", "doc_id", F.round("overlap", 6).alias("overlap"))
 
 
@@ -187,7 +199,7 @@ def hybrid_text_search(spark, d):
 @query
 def query_snippet(spark, d):
     q = benchmark_queries(spark, d).select("query_id", F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("q"))
-    docs = table(spark, d, "documents").select("doc_id", "text").crossJoin(F.broadcast(q))
+    docs = table(spark, d, "documents").select("doc_id", "text").crossJoin(search.broadcastable(q, "q"))
     return docs.select("query_id", "doc_id", tx.snippet_for(F.col("text"), F.col("q")).alias("snippet"))
 
 
@@ -363,7 +375,7 @@ def merge_continuation(spark, d):
     """The halves of each whole text, which share 20 characters around its middle."""
     t = F.col("text")
     docs, mid = table(spark, d, "documents"), F.floor(F.length(t) / 2).cast("int")
-    left, right = F.substring(t, F.lit(1), mid + 10), F.upper(F.substring(t, F.greatest(mid - 9, F.lit(1)), F.length(t)))
+    left, right = F.substring(t, F.lit(1), mid + 10), F.translate(F.substring(t, F.greatest(mid - 9, F.lit(1)), F.length(t)), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     return docs.select("doc_id", quality.merge_continuation(left, right).alias("merged"))
 
 
@@ -387,7 +399,8 @@ def meta_groups(spark, d):
 @query
 def meta_embedding(spark, d):
     e = profile.meta_embeddings(profile.meta_groups(embedding.embed(chunks_of(spark, d))))
-    return e.select("doc_id", "group_ord", F.size("meta").alias("dims"), F.round(vx.norm_squared(F.col("meta")), 6).alias("norm"))
+    parts = e.select("doc_id", "group_ord", F.posexplode("meta").alias("pos", "v"))
+    return parts.select("doc_id", "group_ord", "pos", F.round("v", 6).alias("v")).where("v <> 0")
 
 
 def prompts_of(spark, d):
@@ -406,7 +419,7 @@ def profile_parse(spark, d):
 
 
 def profile_questions(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("query_id"), F.slice(intents.profile_terms(F.substring("text", 1, 200)), 1, 5).alias("terms"), F.array(F.lit(1)).alias("pages"), F.lit(1).alias("n_results"), F.lit(False).alias("broad"))
+    return table(spark, d, "documents").select("doc_id", F.col("doc_id").alias("query_id"), F.slice(intents.profile_terms(F.col("text")), 1, 5).alias("terms"), F.array(F.lit(1)).alias("pages"), F.lit(1).alias("n_results"), F.lit(False).alias("broad"))
 
 
 @query
@@ -465,11 +478,6 @@ def key_file_presence(spark, d):
     return files.key_file_presence(keys, there)
 
 
-@query
-def missing_anti_join(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
-
-
 # Arrays
 
 
@@ -496,9 +504,9 @@ def dot_products(spark, d):
 @query
 def matmul(spark, d):
     """Second moments of the vectors by label: a product of matrices in coordinate form."""
-    c = table(spark, d, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("i", "v")).where("i < 8")
-    a, b = c.select("label", "vec_id", "i", "v"), c.select("label", "vec_id", F.col("i").alias("j"), F.col("v").alias("w"))
-    return a.join(b, ["label", "vec_id"]).groupBy("label", "i", "j").agg((F.round(F.sum(F.col("v").cast("double") * F.col("w").cast("double")), 4) + 0.0).alias("s"))
+    c = table(spark, d, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("i", "v"))
+    a, b = c.select("label", "i", F.col("vec_id").alias("k"), F.col("v").alias("value")), c.select("label", F.col("vec_id").alias("k"), F.col("i").alias("j"), F.col("v").alias("value"))
+    return weights.multiply(a, b, ["label"]).select("label", "i", "j", (F.round("value", 4) + 0.0).alias("s"))
 
 
 @query
@@ -538,11 +546,10 @@ def rotary(spark, d):
 
 @query
 def resize_grid(spark, d):
-    w, h = F.col("p_size") * 7 + 3, F.col("p_size") * 5 + 11
-    scale = F.lit(336) / F.greatest(w, h)
-    rw, rh = F.greatest(F.lit(1), F.floor(w * scale + 0.5)), F.greatest(F.lit(1), F.floor(h * scale + 0.5))
-    cols, rows = F.ceil(rw / 14), F.ceil(rh / 14)
-    return table(spark, d, "part").select("p_partkey", rw.cast("long").alias("width"), rh.cast("long").alias("height"), cols.cast("long").alias("cols"), rows.cast("long").alias("rows"), (cols * rows).cast("long").alias("tokens"))
+    from foliant.functions.vision import grid
+
+    g = grid(F.col("p_size") * 7 + 3, F.col("p_size") * 5 + 11)
+    return table(spark, d, "part").select("p_partkey", g.alias("g")).select("p_partkey", *[F.col(f"g.{c}").alias(c) for c in ("width", "height", "cols", "rows", "tokens")])
 
 
 @query
@@ -590,7 +597,7 @@ def sanitize_generated(spark, d):
 
 @query
 def document_titles(spark, d):
-    t = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.concat(F.lit("  "), F.substring("text", 1, 20))).when(F.pmod("doc_id", F.lit(3)) == 1, F.lit("  "))
+    t = F.when(F.pmod("doc_id", F.lit(3)) == 0, F.concat(F.lit("  "), F.col("text"))).when(F.pmod("doc_id", F.lit(3)) == 1, F.lit("  "))
     return table(spark, d, "documents").select("doc_id", tx.title_of(t, F.when(F.pmod("doc_id", F.lit(2)) == 0, F.concat(F.col("doc_id").cast("string"), F.lit(".pdf"))), "Untitled").alias("title"))
 
 
@@ -615,7 +622,7 @@ def event_state(spark, d):
 
 @query
 def cumulative_text(spark, d):
-    m = table(spark, d, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"), F.substring("text", 1, 20).alias("text"))
+    m = table(spark, d, "conversations").select(F.col("conv_id").alias("request_id"), F.col("turn").alias("seq"), "text")
     return sessions.cumulative_text(m).select("request_id", "seq", "text_so_far")
 
 
@@ -652,6 +659,119 @@ def lora_adapters(spark, d):
     return derive(e, layers=2, hidden=32, heads=4, kv_heads=2, head_dim=8).groupBy("layer", "proj", "mat").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.abs("value")), 4).alias("mass"))
 
 
+# Tensor catalogues: a model a nation
+
+
+def models_of(spark, d):
+    n, prefix = F.col("n_nationkey"), F.concat(F.lit("m"), F.col("n_nationkey").cast("string"), F.lit("."))
+    named = [F.concat("prefix", F.lit(x)).alias(c) for c, x in (("embed_name", "embed_tokens.weight"), ("final_norm_name", "norm.weight"))]
+    m = table(spark, d, "nation").select(n.cast("int").alias("model"), prefix.alias("prefix"), (n % 4).cast("int").alias("num_hidden_layers"), (2 + n % 3).cast("int").alias("full_attention_interval"))
+    return m.select("*", *named, F.when(F.col("model") % 7 != 3, F.concat("prefix", F.lit("lm_head.weight"))).alias("head_name"))
+
+
+def required_of(spark, d):
+    m = models_of(spark, d)
+    return weights.required_names(m, weights.layer_plans(m))
+
+
+def manifest_of(spark, d):
+    """Every third model lacks the tensors whose place divides by eleven; convolutions have three dimensions, some of them wide."""
+    r = required_of(spark, d).where((F.col("model") % 3 > 0) | (F.col("ord") % 11 > 0))
+    wide = F.when(F.col("model") % 2 == 0, 4).otherwise(1)
+    shape = F.when(F.endswith("name", F.lit("conv1d.weight")), F.array(F.lit(8), F.lit(1), wide)).otherwise(F.array(F.lit(8), F.lit(4)))
+    return r.select("model", "name", "ord", (F.col("ord") * 70_000 * (F.col("model") + 1)).cast("long").alias("byte_length"), shape.alias("shape"))
+
+
+@query
+def layer_plans(spark, d):
+    return weights.layer_plans(models_of(spark, d))
+
+
+@query
+def required_tensors(spark, d):
+    return required_of(spark, d)
+
+
+@query
+def missing_tensors(spark, d):
+    return weights.missing_tensors(required_of(spark, d), manifest_of(spark, d))
+
+
+@query
+def runtime_status(spark, d):
+    return weights.runtime_status(models_of(spark, d), required_of(spark, d), manifest_of(spark, d), most=64 * 1024 * 1024)
+
+
+@query
+def tensor_lookup(spark, d):
+    """The prefix of each model's tensors, its first convolution, and whether its norms are stored shifted."""
+    m = manifest_of(spark, d)
+    conv = weights.first_by_suffix(m, "conv1d.weight").withColumnRenamed("name", "conv")
+    return weights.norm_shift(m).join(weights.text_prefix(m), "model", "left").join(conv, "model", "left")
+
+
+@query
+def shifted_norms(spark, d):
+    m = manifest_of(spark, d).join(weights.norm_shift(manifest_of(spark, d)), "model")
+    v = weights.shifted_weights(F.col("name"), F.array(F.lit(0.5), F.col("ord") / 2), F.col("shift"))
+    return m.select("model", "name", v[0].alias("first"), v[1].alias("second"))
+
+
+@query
+def stop_tokens(spark, d):
+    k = F.col("n_nationkey")
+    own = F.concat(F.lit('{"eos_token_id": '), F.when(k % 3 == 0, F.concat(F.lit("["), k.cast("string"), F.lit(", 7, 2]"))).when(k % 3 == 1, k.cast("string")).otherwise('"none"'), F.lit(', "text_config": {"eos_token_id": '), (k % 5).cast("string"), F.lit("}}"))
+    tok = F.concat(F.lit('{"eos_token_id": [2, '), (k + 1).cast("string"), F.lit("]}"))
+    return table(spark, d, "nation").select("n_nationkey", F.array_join(weights.stop_tokens(own, tok).cast("array<string>"), ",").alias("stop"))
+
+
+@query
+def config_summary(spark, d):
+    k = F.col("c_custkey")
+    config = F.when(k % 4 == 0, F.lit('{"architectures": ["TextForConditionalGeneration", "x"], "text_config": {"layer_types": ["linear_attention", "full"]}}')).when(k % 4 == 1, F.lit('{"model_type": "linear_attention"}')).when(k % 4 == 2, F.lit('{"architectures": ["Plain"], "layer_types": ["full"]}'))
+    s = weights.config_summary(config, F.when(k % 8 < 4, F.array(F.lit("linear_attention"))).otherwise(F.array().cast("array<string>")))
+    return table(spark, d, "customer").select("c_custkey", s["name"].alias("name"), F.array_join(s["unsupported"], ",").alias("unsupported"))
+
+
+@query
+def model_config(spark, d):
+    known = F.array(F.lit(weights.MODEL_SIZES[0][0]), F.lit(weights.MODEL_SIZES[1][0]), F.lit(weights.MODEL_SIZES[2][0]), F.lit("another"), F.lit(None))
+    return weights.model_config(table(spark, d, "supplier").select("s_suppkey", F.get(known, F.pmod("s_suppkey", F.lit(5)).cast("int")).alias("model_id"))).drop("model_id")
+
+
+@query
+def tensor_rows(spark, d):
+    """The vectors as tensors of 8 by 8: a row, the same as a vector, and a tap of a convolution."""
+    e, row = arrays_of(spark, d), F.pmod("vec_id", F.lit(8)).cast("int")
+    r = weights.row_of(F.col("v"), F.array(F.lit(8), F.lit(8)), row)
+    tap = weights.conv_kernel_at(F.col("v"), F.when(row % 2 == 0, F.array(F.lit(16), F.lit(1), F.lit(4))).otherwise(F.array(F.lit(16), F.lit(4))), row, F.lit(3))
+    return e.select("vec_id", F.size(r).alias("n"), F.round(r[0].cast("double"), 6).alias("first"), F.size(weights.row_of(F.col("v"), F.array(F.lit(64)), row)).alias("whole"), F.round(tap.cast("double"), 6).alias("tap"))
+
+
+@query
+def executor_status(spark, d):
+    k = F.col("s_suppkey")
+    s = weights.executor_status(k % 2 == 0, F.when(k % 5 == 0, F.concat(F.lit("failure "), k.cast("string"))))
+    return table(spark, d, "supplier").select("s_suppkey", s["status"].alias("status"), s["reason"].alias("reason"))
+
+
+@query
+def progress_text(spark, d):
+    k = F.col("event_id")
+    file = F.when(k % 3 == 0, F.concat(F.lit("models/part-"), (k % 7).cast("string"), F.lit(".bin")))
+    value = F.when(k % 4 == 0, (k % 100) / 100).when(k % 4 == 1, (k % 100).cast("double"))
+    percent = sessions.progress_percent(value, F.when(k % 5 > 0, k % 50), F.lit(50))
+    status = F.when(k % 2 == 0, F.lit("in_use_now")).otherwise(" ")
+    return table(spark, d, "events").select("event_id", percent.alias("percent"), sessions.progress_text(file, percent, status, "model").alias("shown"))
+
+
+@query
+def chat_log(spark, d):
+    m = table(spark, d, "conversations")
+    answers = m.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), "text")
+    return sessions.chat_log(m.where("role = 'user'").select("conv_id", "turn", "text"), answers).select("conv_id", "ord", "role", "text")
+
+
 # Relations on the star schema
 
 
@@ -698,5 +818,34 @@ def rel_distinct(spark, d):
     return table(spark, d, "orders").groupBy("o_orderpriority").agg(F.countDistinct("o_custkey").alias("n_customers"), F.sum_distinct(F.col("o_custkey") % 100).alias("s"))
 
 
+@query
+def rel_right(spark, d):
+    c = table(spark, d, "customer").where("c_acctbal > 5000").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    return c.join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "right").select("n_name", "n")
+
+
+@query
+def rel_cube(spark, d):
+    return table(spark, d, "lineitem").cube("l_returnflag", "l_linestatus").agg(F.count(F.lit(1)).alias("n"), F.grouping_id().cast("int").alias("level"))
+
+
+@query
+def rel_sql(spark, d):
+    """The same engine from SQL: views, a common table expression and a scalar subquery."""
+    for name in ("customer", "orders"):
+        table(spark, d, name).createOrReplaceTempView(f"foliant_{name}")
+    return spark.sql(
+        "WITH spent AS (SELECT o_custkey, SUM(o_totalprice) AS total FROM foliant_orders GROUP BY o_custkey) "
+        "SELECT c_custkey, ROUND(total, 2) AS total FROM spent JOIN foliant_customer ON c_custkey = o_custkey WHERE total > (SELECT 2 * AVG(total) FROM spent)"
+    )
+
+
+@query
+def rel_approx_distinct(spark, d):
+    """Whether the sketch is within a tenth of the exact number."""
+    n = table(spark, d, "orders").agg(F.approx_count_distinct("o_custkey", 0.02).alias("a"), F.countDistinct("o_custkey").alias("e"))
+    return n.select((F.abs(F.col("a") - F.col("e")) <= F.col("e") / 10).alias("near"), F.col("e").alias("n_customers"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

@@ -194,7 +194,7 @@ entry AS (
 )"""
 RANKED = f"""
 {ENTRIES},
-question AS (SELECT doc_id, {profile_terms("substr(text, 1, 200)")}[1:5] AS terms FROM documents),
+question AS (SELECT doc_id, {profile_terms("COALESCE(text, '')")}[1:5] AS terms FROM documents),
 rated AS (
   SELECT e.*, terms, COALESCE(list_sum(list_transform(list_filter(terms, lambda t: contains(lower(COALESCE(page_label, '') || ' ' || text), t)), lambda t: least(length(t), 6))), 0) - CASE WHEN page_number = 1 THEN 0.75 ELSE 0 END
     - CASE WHEN {noisy("text")} THEN 1.5 ELSE 0 END - CASE WHEN {formula("text")} THEN 1.25 ELSE 0 END + least(length(text) / 180, 1.0) AS score
@@ -211,16 +211,139 @@ def byte_units() -> str:
     return out + " END"
 
 
-def layout_features() -> str:
+def layout_values(n_blocks: str = "greatest(n, 1)") -> list[str]:
     flag = lambda w, v: f"CASE WHEN contains(text, '{w}') THEN {v} ELSE 0.0 END"
+    share = lambda p: f"CASE WHEN length(text) > 0 THEN {count_re('text', p)} / length(text) ELSE 0.0 END"
     f = [
-        "bx", "b_y", "bw", "bh", "0.0", "least(length(text) / 700, 1.0)", f"{count_re('text', '[0-9]')} / length(text)", f"{count_re('text', '[A-Z]')} / length(text)", "least(greatest(n, 1) / 18, 1.0)", "least(n / 32, 1.0)",
+        "bx", "b_y", "bw", "bh", "0.0", "least(length(text) / 700, 1.0)", share("[0-9]"), share("[A-Z]"), f"least({n_blocks} / 18, 1.0)", "least(n / 32, 1.0)",
         "CASE WHEN is_fallback THEN 1.0 ELSE 0.0 END", flag("table", 0.7), flag("figure", 0.6), flag("%", 0.3), flag("$", 0.3), f"least(len({toks('text')}) / 64, 1.0)",
     ]
-    return ", ".join(f"round(CAST({v} AS DOUBLE), 6) AS f{k:02d}" for k, v in enumerate(f))
+    return [f"CAST({v} AS DOUBLE)" for v in f]
+
+
+def layout_features() -> str:
+    return ", ".join(f"round({v}, 6) AS f{k:02d}" for k, v in enumerate(layout_values()))
+
+
+def embedded(source: str, key: str, name: str, n_blocks: str = "greatest(n, 1)") -> str:
+    """CTEs from ``source`` (key, text, box, n, is_fallback) to ``name``_vec: key, vec (floats) and sig (12 words)."""
+    return f"""
+{name}_tok AS (SELECT {key}, t, count(*) AS times FROM (SELECT {key}, unnest({toks("text")}) AS t FROM {source}) GROUP BY {key}, t),
+{name}_hash AS (SELECT t, list_reduce(list_transform(string_split(t, ''), lambda c: ascii(c)::BIGINT), lambda h, c: (xor(h, c) * 16777619) & 4294967295, 2166136261::BIGINT) % 368 AS bucket,
+  CASE WHEN list_sum(list_transform(string_split(t, ''), lambda c: ascii(c) % 2)) % 2 = 1 THEN 1 ELSE -1 END * CASE WHEN length(t) > 5 THEN 28 WHEN length(t) > 3 THEN 20 ELSE 13 END AS weight FROM (SELECT DISTINCT t FROM {name}_tok)),
+{name}_bucket AS (SELECT {key}, CAST(bucket AS INT) AS bucket, CAST(sum(times * weight) AS DOUBLE) / 20.0 AS w FROM {name}_tok JOIN {name}_hash USING (t) GROUP BY {key}, bucket),
+{name}_map AS (SELECT {key}, MAP(list(bucket), list(w)) AS m FROM {name}_bucket GROUP BY {key}),
+{name}_raw AS (SELECT {key}, list_concat(list_transform(range(0, 368), lambda k: COALESCE(m[k::INT], 0.0::DOUBLE)), [{", ".join(layout_values(n_blocks))}]) AS raw FROM {source} LEFT JOIN {name}_map USING ({key})),
+{name}_unit AS (SELECT {key}, list_transform(raw, lambda x: CAST(x / size AS FLOAT)) AS vec FROM (SELECT {key}, raw, sqrt(list_sum(list_transform(raw, lambda x: x * x))) AS size FROM {name}_raw)),
+{name}_vec AS (SELECT {key}, vec, list_transform(range(0, 12), lambda w: CAST(list_sum(list_transform(range(0, 32), lambda b: CASE WHEN vec[w * 32 + b + 1] >= 0 THEN 1::BIGINT << b ELSE 0 END)) AS BIGINT)) AS sig FROM {name}_unit)"""
+
+
+def merged(source: str) -> str:
+    """(key, m) of (key, l, r): l with what r adds to it."""
+    lead = lambda x: f"regexp_replace({x}, '^{WS}+', '')"
+    return f"""(SELECT key, CASE WHEN {strip("l")} = '' THEN tail WHEN {strip("r")} = '' OR rest = '' THEN l
+        WHEN regexp_matches(rest, '^[,.;:!?)/\\]}}]') OR regexp_matches(l, '{WS}$') OR regexp_matches(r, '^{WS}') THEN l || rest ELSE l || ' ' || rest END AS m
+      FROM (SELECT *, CASE WHEN o > 0 THEN {lead("substr(tail, o + 1)")} ELSE tail END AS rest
+        FROM (SELECT *, COALESCE(list_max(list_filter(range(12, most + 1), lambda k: lower(right(l, k)) = lower(left(tail, k)))), 0) AS o
+          FROM (SELECT *, least(80, length(l), length(tail)) AS most FROM (SELECT key, COALESCE(l, '') AS l, COALESCE(r, '') AS r, {lead("COALESCE(r, '')")} AS tail FROM {source})))))"""
+
+
+def broken_off(x: str) -> str:
+    t = strip(x)
+    return f"""({t} <> '' AND NOT regexp_matches({t}, '[.!?]["''”’\\])}}]*$') AND (regexp_matches({t}, '[:;,(\\[{{/-]$') OR regexp_matches({t}, '[A-Za-z0-9\\])}}]$')))"""
+
+
+EMBEDDED = f"{CHUNKS}, {embedded('chunk', 'doc_id, id', 'c')}"
+
+POOLED = f"""
+{REFS},
+pool_scored AS (SELECT *, CASE WHEN bad THEN 0.0 ELSE {readability("snippet")} END AS pool_score FROM kept),
+pool_ordered AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pool_score DESC, rank) AS o FROM pool_scored),
+pool_one AS (SELECT * FROM pool_ordered QUALIFY row_number() OVER (PARTITION BY query_id, page_number ORDER BY o) = 1),
+pool_five AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o) AS k FROM pool_one QUALIFY k <= 5),
+said AS (SELECT p.query_id, p.k, {clean("p.snippet")} AS c, {formula("p.snippet")} AS f, COALESCE('[ref:r' || ref.r || ']', '[p.' || p.page_number || ']') AS cite FROM pool_five p LEFT JOIN ref ON ref.query_id = p.query_id AND ref.id = p.id)"""
+QUESTION = "CASE doc_id % 4 WHEN 0 THEN 'Give me an overview' WHEN 1 THEN 'List all the points' WHEN 2 THEN 'What is the main result?' ELSE 'Where does it begin' END"
+
+ROLES = """
+model AS (SELECT CAST(n_nationkey AS INT) AS model, 'm' || n_nationkey || '.' AS prefix, CAST(n_nationkey % 4 AS INT) AS n_layers, CAST(2 + n_nationkey % 3 AS INT) AS every FROM nation),
+role AS (SELECT * FROM (VALUES
+  (0, 0, 'input_norm', 'input_layernorm.weight'), (0, 1, 'post_norm', 'post_attention_layernorm.weight'), (0, 2, 'gate', 'mlp.gate_proj.weight'), (0, 3, 'up', 'mlp.up_proj.weight'), (0, 4, 'down', 'mlp.down_proj.weight'),
+  (1, 5, 'qkv', 'linear_attn.in_proj_qkv.weight'), (1, 6, 'z', 'linear_attn.in_proj_z.weight'), (1, 7, 'b', 'linear_attn.in_proj_b.weight'), (1, 8, 'a', 'linear_attn.in_proj_a.weight'), (1, 9, 'conv', 'linear_attn.conv1d.weight'),
+  (1, 10, 'dt_bias', 'linear_attn.dt_bias'), (1, 11, 'a_log', 'linear_attn.A_log'), (1, 12, 'norm', 'linear_attn.norm.weight'), (1, 13, 'out', 'linear_attn.out_proj.weight'),
+  (2, 5, 'q', 'self_attn.q_proj.weight'), (2, 6, 'k', 'self_attn.k_proj.weight'), (2, 7, 'v', 'self_attn.v_proj.weight'), (2, 8, 'o', 'self_attn.o_proj.weight'), (2, 9, 'q_norm', 'self_attn.q_norm.weight'), (2, 10, 'k_norm', 'self_attn.k_norm.weight')
+) AS r(kind, nth, role, part)),
+layer AS (SELECT model, prefix, CAST(l AS INT) AS layer, (l + 1) % every <> 0 AS linear FROM (SELECT *, unnest(range(0, n_layers)) AS l FROM model)),
+plan AS (SELECT model, layer, linear, role, prefix || 'layers.' || layer || '.' || part AS name, CAST(layer * 100 + nth + 3 AS INT) AS ord FROM layer JOIN role ON kind = 0 OR kind = CASE WHEN linear THEN 1 ELSE 2 END),
+needed AS (
+  SELECT model, name, ord FROM plan UNION ALL SELECT model, prefix || 'embed_tokens.weight', 0 FROM model UNION ALL SELECT model, prefix || 'norm.weight', 1 FROM model UNION ALL SELECT model, prefix || 'lm_head.weight', 2 FROM model WHERE model % 7 <> 3
+),
+there AS (SELECT model, name, ord, ord * 70000 * (model + 1) AS bytes, name LIKE '%conv1d.weight' AND model % 2 = 0 AS wide FROM needed WHERE model % 3 > 0 OR ord % 11 > 0),
+shifted AS (SELECT model, max(wide) AS shift FROM there GROUP BY model)"""
 
 
 SQL: dict[str, str] = {
+    "hybrid_text_search": f"""{EMBEDDED},
+      asked AS (SELECT item_id, text, 0.5::DOUBLE AS bx, 0.5::DOUBLE AS b_y, 1.0::DOUBLE AS bw, 1.0::DOUBLE AS bh, 0 AS n, false AS is_fallback FROM benchmark WHERE item_id % 50 = 0),
+      {embedded("asked", "item_id", "q", "0")},
+      term AS (SELECT item_id, text AS query, {distinct_in_order("t")} AS terms FROM (SELECT item_id, text, list_filter({toks("text")}, lambda v: length(v) > 2) AS t FROM asked)),
+      pair AS (SELECT item_id, query, c.doc_id, c.id, c.page_number, c.chunk_ord, c.text, c_vec.vec, q_vec.vec AS qv, list_sum(list_transform(range(1, 13), lambda k: bit_count(xor(c_vec.sig[k], q_vec.sig[k])))) AS h,
+        CASE WHEN len(terms) > 0 THEN len(list_filter(terms, lambda t: contains(lower(c.text), t))) / len(terms) ELSE 0.0 END AS boost FROM chunk c JOIN c_vec USING (doc_id, id), q_vec JOIN term USING (item_id)),
+      near AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY h - 12.0 * boost, doc_id, page_number, chunk_ord) AS candidate FROM pair QUALIFY candidate <= 48),
+      rated AS (SELECT *, list_dot_product(list_transform(vec, lambda x: x::DOUBLE), list_transform(qv, lambda x: x::DOUBLE)) + 0.18 * boost AS similarity FROM near),
+      best AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY similarity DESC, candidate) AS rank, {collapse("text")} AS t FROM rated QUALIFY rank <= 6),
+      found AS (SELECT *, instr(lower(t), lower(query)) - 1 AS p FROM best)
+      SELECT item_id AS query_id, CAST(rank AS INT) AS rank, doc_id, id, round(similarity, 4) AS similarity, CASE WHEN query = '' OR p < 0 THEN substr(t, 1, 180)
+        ELSE CASE WHEN p > 60 THEN '...' ELSE '' END || substr(t, greatest(0, p - 60) + 1, least(length(t), p + length(query) + 90) - greatest(0, p - 60)) || CASE WHEN p + length(query) + 90 < length(t) THEN '...' ELSE '' END END AS snippet FROM found""",
+    "grounded_answer": f"""{POOLED},
+      cites AS (SELECT query_id, string_agg(cite, ' ' ORDER BY k) AS sources FROM (SELECT query_id, cite, min(k) AS k FROM said GROUP BY query_id, cite) GROUP BY query_id),
+      folded AS (SELECT query_id, string_agg(c, chr(10) || chr(10) ORDER BY k) AS summary, string_agg('• ' || cite || ' ' || substr(c, 1, 200), chr(10) ORDER BY k) AS listed, first(cite || ' ' || c ORDER BY k) AS best,
+        string_agg('• ' || cite || ' ' || substr(c, 1, 160), chr(10) ORDER BY k) FILTER (k BETWEEN 2 AND 3 AND NOT f) AS related FROM said GROUP BY query_id)
+      SELECT query_id, CASE query_id % 4 WHEN 0 THEN 'From the document:' || chr(10) || chr(10) || summary || chr(10) || chr(10) || 'Sources: ' || sources WHEN 1 THEN 'From the document:' || chr(10) || chr(10) || listed
+        ELSE CASE WHEN query_id % 4 = 2 THEN 'From the document on "main result":' || chr(10) || chr(10) ELSE '' END || best || COALESCE(chr(10) || chr(10) || 'Related:' || chr(10) || related, '') END AS text FROM folded JOIN cites USING (query_id)""",
+    "chat_requests": f"""{REFS},
+      top AS (SELECT k.query_id, k.rank, CASE WHEN ref.r IS NULL THEN '' ELSE '[ref:r' || ref.r || '] ' END || '[p.' || k.page_number || '] ' || {truncate("k.snippet", 220)} AS line FROM kept k LEFT JOIN ref ON ref.query_id = k.query_id AND ref.id = k.id QUALIFY row_number() OVER (PARTITION BY k.query_id ORDER BY k.rank) <= 5),
+      context AS (SELECT query_id, string_agg(line, chr(10) || chr(10) ORDER BY rank) AS found FROM top GROUP BY query_id)
+      SELECT doc_id AS query_id, 'Conversation so far:' || chr(10) || 'USER: Hello' || chr(10) || 'ASSISTANT: Hello.' || chr(10) || chr(10) || 'Question: ' || {QUESTION} || chr(10) || 'Document context:' || chr(10) || found || chr(10) || 'Write a concise answer grounded in the document.' AS content,
+        CASE WHEN doc_id % 4 = 0 THEN 192 ELSE 144 END AS max_tokens FROM documents JOIN context ON doc_id = query_id""",
+    "merge_continuation": f"""WITH cut AS (SELECT doc_id AS key, substr(text, 1, length(text) // 2 + 10) AS l, translate(substr(text, greatest(length(text) // 2 - 9, 1)), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS r FROM documents)
+      SELECT key AS doc_id, m AS merged FROM {merged("cut")}""",
+    "continuation_fold": f"""WITH cut AS (SELECT doc_id AS key, CAST(ceil(length(text) / 3) AS BIGINT) AS w, text FROM documents),
+      pass AS (SELECT key, substr(text, 1, w + 20) AS p0, substr(text, w + 1, w + 20) AS p1, substr(text, 2 * w + 1, w + 20) AS p2 FROM cut),
+      one AS (SELECT key, m, {strip("COALESCE(p0, '')")} = '' OR NOT {broken_off("m")} AS done, p1, p2 FROM {merged("(SELECT key, '' AS l, p0 AS r FROM pass)")} JOIN pass USING (key)),
+      two AS (SELECT key, CASE WHEN done THEN o.m ELSE n.m END AS m, CASE WHEN done THEN 1 ELSE 2 END AS used, done OR {strip("COALESCE(p1, '')")} = '' OR NOT {broken_off("n.m")} AS done, p2 FROM one o JOIN {merged("(SELECT key, m AS l, p1 AS r FROM one)")} n USING (key)),
+      three AS (SELECT key, CASE WHEN done THEN o.m ELSE n.m END AS m, CASE WHEN done THEN used ELSE used + 1 END AS used FROM two o JOIN {merged("(SELECT key, m AS l, p2 AS r FROM two)")} n USING (key))
+      SELECT key AS query_id, {strip("m")} AS text, CAST(used AS INT) AS passes FROM three""",
+    "layer_plans": f"WITH {ROLES} SELECT model, layer, linear, role, name, ord FROM plan",
+    "required_tensors": f"WITH {ROLES} SELECT model, name, ord FROM needed",
+    "missing_tensors": f"WITH {ROLES} SELECT n.model, n.name, n.ord FROM needed n LEFT JOIN there t ON t.model = n.model AND t.name = n.name WHERE t.name IS NULL",
+    "runtime_status": f"""WITH {ROLES},
+      total AS (SELECT n.model, CAST(COALESCE(sum(bytes), 0) AS BIGINT) AS n, min_by(n.name, n.ord) FILTER (t.name IS NULL) AS absent FROM needed n LEFT JOIN there t ON t.model = n.model AND t.name = n.name GROUP BY n.model),
+      shown AS (SELECT model, n, absent, {byte_units()} AS label FROM total),
+      reasoned AS (SELECT *, CASE WHEN model % 7 = 3 THEN 'lm-head-unavailable' WHEN absent IS NOT NULL THEN 'missing-tensors:' || absent WHEN n > 67108864 THEN 'cold-start-too-large:' || label ELSE 'interactive-ready' END AS reason FROM shown)
+      SELECT model, reason = 'interactive-ready' AS interactive, reason, n AS cold_start_bytes, label AS cold_start_label FROM reasoned""",
+    "tensor_lookup": f"""WITH {ROLES} SELECT s.model, shift, (SELECT min_by(replace(name, 'layers.0.input_layernorm.weight', ''), ord) FROM there t WHERE t.model = s.model AND name LIKE '%layers.0.input_layernorm.weight') AS prefix,
+      (SELECT min_by(name, ord) FROM there t WHERE t.model = s.model AND name LIKE '%conv1d.weight') AS conv FROM shifted s""",
+    "shifted_norms": f"""WITH {ROLES}, marked AS (SELECT t.model, t.name, t.ord, CASE WHEN shift AND regexp_matches(name, '[.](input_layernorm|post_attention_layernorm|q_norm|k_norm|norm)[.]weight$') THEN 1 ELSE 0 END AS plus FROM there t JOIN shifted USING (model))
+      SELECT model, name, 0.5::DOUBLE + plus AS first, ord / 2.0::DOUBLE + plus AS second FROM marked""",
+    "stop_tokens": f"""WITH k AS (SELECT n_nationkey, list_concat(list_concat(CASE n_nationkey % 3 WHEN 0 THEN [n_nationkey, 7, 2] WHEN 1 THEN [n_nationkey] ELSE [] END, [n_nationkey % 5]), [2, n_nationkey + 1]) AS t FROM nation)
+      SELECT n_nationkey, array_to_string({distinct_in_order("t")}, ',') AS stop FROM k""",
+    "config_summary": """SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'TextForConditionalGeneration' WHEN 1 THEN 'linear_attention' WHEN 2 THEN 'Plain' ELSE 'unknown' END AS name,
+      CASE c_custkey % 8 WHEN 0 THEN 'multimodal-conditional-generation' WHEN 4 THEN 'linear_attention,multimodal-conditional-generation' WHEN 5 THEN 'linear_attention' ELSE '' END AS unsupported FROM customer""",
+    "model_config": """SELECT s_suppkey, CASE s_suppkey % 5 WHEN 1 THEN 1536 WHEN 2 THEN 2560 ELSE 1024 END AS hidden_size, CASE s_suppkey % 5 WHEN 2 THEN 36 ELSE 28 END AS num_hidden_layers, CASE s_suppkey % 5 WHEN 2 THEN 32 ELSE 16 END AS num_attention_heads,
+      8 AS num_key_value_heads, CASE s_suppkey % 5 WHEN 1 THEN 96 WHEN 2 THEN 80 ELSE 64 END AS head_dim FROM supplier""",
+    "tensor_rows": """SELECT vec_id, 8 AS n, round(embedding[(vec_id % 8) * 8 + 1]::DOUBLE, 6) AS first, 64 AS whole, round(embedding[(vec_id % 8) * 4 + 4]::DOUBLE, 6) AS tap FROM embeddings""",
+    "executor_status": """SELECT s_suppkey, CASE WHEN s_suppkey % 5 = 0 THEN 'error' WHEN s_suppkey % 2 = 0 THEN 'ready' ELSE 'skipped' END AS status,
+      CASE WHEN s_suppkey % 5 = 0 THEN 'failure ' || s_suppkey WHEN s_suppkey % 2 = 0 THEN 'executor-created' ELSE 'executor-conditions-not-met' END AS reason FROM supplier""",
+    "progress_text": """WITH e AS (SELECT event_id AS k, CASE WHEN event_id % 4 = 0 THEN (event_id % 100) / 100 WHEN event_id % 4 = 1 THEN event_id % 100 END AS v FROM events),
+      p AS (SELECT k, CAST(floor(COALESCE(CASE WHEN v <= 1 THEN v * 100 ELSE v END, CASE WHEN k % 5 > 0 THEN (k % 50) / 50 * 100 END) + 0.5) AS INT) AS percent FROM e)
+      SELECT k AS event_id, percent, CASE WHEN k % 3 = 0 THEN 'Loading part-' || k % 7 || '.bin' || COALESCE(' (' || percent || '%)', '…') WHEN k % 2 = 0 THEN 'model: in use now' ELSE 'Preparing model…' END AS shown FROM p""",
+    "chat_log": """WITH u AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), a AS (SELECT conv_id, turn - 1 AS turn, text FROM conversations WHERE role = 'assistant'),
+      said AS (SELECT conv_id, turn, 0 AS nth, 'user' AS role, text FROM u UNION ALL SELECT u.conv_id, u.turn, 1, 'assistant', COALESCE(a.text, 'The answer failed. Ask again.') FROM u LEFT JOIN a USING (conv_id, turn))
+      SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, nth) AS INT) AS ord, role, text FROM said""",
+    "rel_right": "SELECT n_name, n FROM (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 5000 GROUP BY 1) RIGHT JOIN nation ON c_nationkey = n_nationkey",
+    "rel_cube": "SELECT l_returnflag, l_linestatus, count(*) AS n, CAST(grouping(l_returnflag, l_linestatus) AS INT) AS level FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)",
+    "rel_sql": "WITH s AS (SELECT o_custkey, sum(o_totalprice) AS total FROM orders GROUP BY 1) SELECT o_custkey AS c_custkey, round(total, 2) AS total FROM s WHERE total > (SELECT 2 * avg(total) FROM s)",
+    "rel_approx_distinct": "SELECT true AS near, count(DISTINCT o_custkey) AS n_customers FROM orders",
     "scan_text_items": f"WITH {ITEM} SELECT doc_id, page_number, item_ord, text, round(x, 6) AS box_x, round(y, 6) AS box_y, round(w, 6) AS box_width, round(h, 6) AS box_height FROM item",
     "page_records": f"WITH {ITEM} SELECT doc_id, page_number, string_agg(text, ' ' ORDER BY item_ord) AS raw_text, count(*) AS n_items, round(min(x), 6) AS box_x, round(min(y), 6) AS box_y, round(max(x + w) - min(x), 6) AS box_width, round(max(y + h) - min(y), 6) AS box_height FROM item GROUP BY doc_id, page_number",
     "page_analysis": f"""WITH {ITEM}, page AS (SELECT DISTINCT doc_id, CAST(pos // 40 + 1 AS INT) AS page_number FROM split_line)
@@ -242,7 +365,9 @@ SQL: dict[str, str] = {
       SELECT doc_id, CAST(h % 368 AS INT) AS bucket, CAST(sum(n * CASE WHEN plus THEN 1 ELSE -1 END * CASE WHEN length(t) > 5 THEN 28 WHEN length(t) > 3 THEN 20 ELSE 13 END) AS BIGINT) AS weight FROM counted JOIN hashed USING (t) GROUP BY 1, 2""",
     "layout_features": f"{CHUNKS} SELECT doc_id, id, {layout_features()} FROM chunk",
     "query_terms": f"SELECT item_id, array_to_string({distinct_in_order('t')}, ' ') AS terms FROM (SELECT item_id, list_filter({toks('text')}, lambda v: length(v) > 2) AS t FROM benchmark)",
-    "embed_norm": f"{CHUNKS} SELECT doc_id, id, 1.0::DOUBLE AS norm, 384 AS dims, 12 AS words FROM chunk",
+    "embed_norm": f"{EMBEDDED} SELECT doc_id, id, round(list_sum(list_transform(vec, lambda x: x::DOUBLE * x::DOUBLE)), 4) AS norm, CAST(len(vec) AS INT) AS dims, CAST(len(sig) AS INT) AS words FROM c_vec",
+    "embed_vectors": f"{EMBEDDED} SELECT doc_id, id, pos, round(v::DOUBLE, 6) AS v FROM (SELECT doc_id, id, CAST(generate_subscripts(vec, 1) - 1 AS INT) AS pos, unnest(vec) AS v FROM c_vec) WHERE v <> 0",
+    "embed_signatures": f"{EMBEDDED} SELECT doc_id, id, {', '.join(f'sig[{k + 1}] AS word{k:02d}' for k in range(12))} FROM c_vec",
     "pack_signature": f"{VECTORS} SELECT vec_id, sig[1] AS word0, sig[2] AS word1 FROM entry",
     "hamming_matrix": f"{VECTORS} SELECT query_id, vec_id, hamming FROM pair",
     "prefilter_topk": f"{VECTORS} SELECT query_id, vec_id, hamming, CAST(candidate AS INT) AS candidate FROM near",
@@ -280,7 +405,10 @@ SQL: dict[str, str] = {
     "truncate_prompt": f"SELECT doc_id, {truncate('text', 220)} AS short FROM documents",
     "truncated_answer": rf"SELECT conv_id, turn, CASE WHEN s = '' THEN false WHEN {has('s', r'[.!?][' + chr(34) + chr(39) * 2 + r'”’\])}]*$')} THEN false WHEN {has('s', r'[:;,(\[{/-]$')} THEN true ELSE {has('s', r'[A-Za-z0-9\])}]$')} END AS truncated FROM (SELECT conv_id, turn, {strip('text')} AS s FROM conversations)",
     "meta_groups": f"{GROUPED} SELECT doc_id, id, group_ord FROM grouped",
-    "meta_embedding": f"{GROUPED} SELECT doc_id, group_ord, 384 AS dims, 1.0::DOUBLE AS norm FROM grouped GROUP BY doc_id, group_ord",
+    "meta_embedding": f"""{GROUPED}, {embedded("chunk", "doc_id, id", "c")},
+      part AS (SELECT g.doc_id, g.group_ord, greatest(readability, 0.05) AS w, generate_subscripts(vec, 1) - 1 AS pos, unnest(vec)::DOUBLE AS v FROM grouped g JOIN c_vec USING (doc_id, id)),
+      mean AS (SELECT doc_id, group_ord, pos, sum(w * v) / sum(w) AS m FROM part GROUP BY doc_id, group_ord, pos)
+      SELECT doc_id, group_ord, CAST(pos AS INT) AS pos, round(v, 6) AS v FROM (SELECT doc_id, group_ord, pos, m / sqrt(sum(m * m) OVER (PARTITION BY doc_id, group_ord)) AS v FROM mean) WHERE round(v, 6) <> 0""",
     "memory_prompt": f"{PROMPTS} SELECT doc_id, num_groups, memory_prompt FROM prompt",
     "profile_parse": f"{ENTRIES} SELECT doc_id, title_line, ord, page_label, page_number, text FROM entry WHERE text <> ''",
     "profile_rank": f"{RANKED} SELECT doc_id AS query_id, CAST(rank AS INT) AS rank, ord, round(score, 6) AS score FROM ranked",
@@ -294,11 +422,10 @@ SQL: dict[str, str] = {
     "snapshot_latest": "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 10",
     "snapshot_lookup": "SELECT event_id, user_id, event_type FROM events WHERE event_id = 7",
     "key_file_presence": "SELECT n_name AS path, n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900) AS exists FROM nation",
-    "missing_anti_join": "SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)",
     "softmax": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: exp(v::DOUBLE - list_max(embedding)::DOUBLE)) AS e FROM embeddings) SELECT vec_id, CAST(generate_subscripts(e, 1) - 1 AS INT) AS pos, round(unnest(e) / list_sum(e), 6) AS p FROM e",
     "rmsnorm": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings) SELECT vec_id, CAST(generate_subscripts(e, 1) - 1 AS INT) AS pos, round(unnest(e) / sqrt(list_dot_product(e, e) / len(e) + 1e-6), 5) AS x FROM e",
     "dot_products": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings) SELECT vec_id, round(list_dot_product(e, list_reverse(e)), 6) AS dot, round(e[1] + e[-1], 6) AS first_sum FROM e",
-    "matmul": "WITH c AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS v, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS i FROM embeddings) SELECT a.label, a.i, b.i AS j, round(sum(a.v * b.v), 4) + 0.0 AS s FROM c a JOIN c b USING (label, vec_id) WHERE a.i < 8 AND b.i < 8 GROUP BY 1, 2, 3",
+    "matmul": "WITH c AS (SELECT label, vec_id, unnest(embedding)::DOUBLE AS v, CAST(generate_subscripts(embedding, 1) - 1 AS INT) AS i FROM embeddings) SELECT a.label, a.i, b.i AS j, round(sum(a.v * b.v), 4) + 0.0 AS s FROM c a JOIN c b USING (label, vec_id) GROUP BY 1, 2, 3",
     "argmax": "SELECT vec_id, CAST(list_position(embedding, list_max(embedding)) - 1 AS INT) AS place FROM embeddings",
     "clamp_tail": "SELECT doc_id, array_to_string(string_split(text, ' ')[-5:], ' ') AS tail FROM documents",
     "swiglu": "WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings) SELECT vec_id, CAST(k - 1 AS INT) AS pos, round(e[k] / (1 + exp(-e[k])) * e[65 - k], 6) + 0.0 AS x FROM e, range(1, 65) AS r(k)",
@@ -317,14 +444,14 @@ SQL: dict[str, str] = {
     "md_line_class": rf"""SELECT doc_id, CASE WHEN {has("l", f"^{WS}*$")} THEN 'blank' WHEN {has("l", "^```")} THEN 'fence' WHEN {has("l", r"^#{1,6}\s+")} THEN 'heading' WHEN {has("l", r"^\s*>\s?")} THEN 'quote' WHEN {has("l", r"^\s*[-*+]\s+")} THEN 'unordered'
       WHEN {has("l", r"^\s*[0-9]+\.\s+")} THEN 'ordered' WHEN {has("trim(l)", "^---+$")} THEN 'rule' ELSE 'paragraph' END AS kind, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) GROUP BY ALL""",
     "sanitize_generated": f"SELECT conv_id, turn, {collapse('text')} AS clean FROM conversations",
-    "document_titles": f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND {strip('substr(text, 1, 20)')} <> '' THEN {strip('substr(text, 1, 20)')} WHEN doc_id % 2 = 0 THEN doc_id || '.pdf' ELSE 'Untitled' END AS title FROM documents",
+    "document_titles": f"SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND {strip('text')} <> '' THEN {strip('text')} WHEN doc_id % 2 = 0 THEN doc_id || '.pdf' ELSE 'Untitled' END AS title FROM documents",
     "inactivity_sessions": """WITH g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM (SELECT *, CAST(COALESCE(ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) + INTERVAL 90 SECOND, true) AS INT) AS new FROM events))
       SELECT user_id, epoch_us(min(ts)) AS started, epoch_us(max(ts) + INTERVAL 90 SECOND) AS expires, count(*) AS n_events FROM g GROUP BY user_id, s""",
     "event_state": """WITH e AS (SELECT user_id AS request_id, event_id AS seq, event_id % 9 AS k FROM events),
       s AS (SELECT *, CASE WHEN k IN (0, 1) THEN 'loading' WHEN k IN (2, 5, 8) THEN 'ready' WHEN k = 3 THEN 'generating' WHEN k = 7 THEN 'error' END AS st, CASE WHEN k = 2 THEN true WHEN k IN (0, 1, 7) THEN false END AS rd FROM e),
       a AS (SELECT request_id, arg_max(st, seq) FILTER (st IS NOT NULL) AS st, arg_max(rd, seq) FILTER (rd IS NOT NULL) AS rd, max(seq) FILTER (st IS NOT NULL) AS last_at, max(seq) FILTER (k = 6) AS i, count(*) AS n FROM s GROUP BY request_id)
       SELECT request_id, CASE WHEN COALESCE(i > COALESCE(last_at, -1), false) AND COALESCE(rd, false) THEN 'ready' ELSE COALESCE(st, 'idle') END AS status, COALESCE(rd, false) AS ready, n AS n_events FROM a""",
-    "cumulative_text": "SELECT conv_id AS request_id, turn AS seq, string_agg(substr(text, 1, 20), '') OVER (PARTITION BY conv_id ORDER BY turn) AS text_so_far FROM conversations",
+    "cumulative_text": "SELECT conv_id AS request_id, turn AS seq, string_agg(COALESCE(text, ''), '') OVER (PARTITION BY conv_id ORDER BY turn) AS text_so_far FROM conversations",
     "rel_pricing": "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2",
     "rel_joins": "SELECT n_name, count(*) AS n_orders, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1",
     "rel_full_outer": "SELECT COALESCE(c_nationkey, s_nationkey) AS nationkey, n_customers, n_suppliers FROM (SELECT c_nationkey, count(*) AS n_customers FROM customer WHERE c_acctbal > 0 GROUP BY 1) FULL JOIN (SELECT s_nationkey, count(*) AS n_suppliers FROM supplier GROUP BY 1) ON c_nationkey = s_nationkey",

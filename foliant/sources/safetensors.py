@@ -123,6 +123,12 @@ def decoded(dtype: Column, data: Column) -> Column:
     return run(dtype, data)
 
 
+def preview(dtype: Column, data: Column, most: int = 64) -> Column:
+    """The first ``most`` elements of a tensor's bytes; no more bytes than they take are decoded."""
+    width = F.create_map(*[F.lit(x) for k, v in (*DTYPES.items(), ("BF16", "<u2")) for x in (k, np.dtype(v).itemsize)])
+    return decoded(dtype, F.substring(data, F.lit(1), F.coalesce(F.try_element_at(width, dtype), F.lit(0)) * most))
+
+
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(SafetensorsSource)
 

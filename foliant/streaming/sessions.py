@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TIMEOUT_SECONDS = 90
@@ -27,6 +27,47 @@ def cumulative_text(pieces: DataFrame) -> DataFrame:
     return pieces.withColumn("text_so_far", F.array_join(F.collect_list(F.coalesce("text", F.lit(""))).over(w), ""))
 
 
+def progress_percent(value: Column, loaded: Column, total: Column) -> Column:
+    """Whole per cent: of a value (up to 1 it is a share), else of what is loaded; null if neither is known."""
+    scaled = F.when(value <= 1, value * 100).otherwise(value)
+    share = F.when(total > 0, loaded / total * 100)
+    return F.floor(F.coalesce(F.when(value.isNull() | F.isnan(value.cast("double")), None).otherwise(scaled), share) + 0.5).cast("int")
+
+
+def progress_text(file: Column, percent: Column, status: Column, phase: str = "model") -> Column:
+    """What a load shows: the file and its share, else the status, else that it is being prepared."""
+    name = F.element_at(F.split(file, "/"), -1)
+    shown = F.when(name.isNotNull() & percent.isNotNull(), F.concat(F.lit("Loading "), name, F.lit(" ("), percent.cast("string"), F.lit("%)"))).when(name.isNotNull(), F.concat(F.lit("Loading "), name, F.lit("…")))
+    return F.coalesce(shown, F.when(F.trim(status) != "", F.concat(F.lit(f"{phase}: "), F.replace(status, F.lit("_"), F.lit(" ")))), F.lit(f"Preparing {phase}…"))
+
+
+#: What stands in the log for an answer that failed, and for one that made no progress.
+FAILED, STALLED = "The answer failed. Ask again.", "The answer made no progress and was stopped. Ask again, or ask less at once."
+
+
+def chat_log(messages: DataFrame, answers: DataFrame) -> DataFrame:
+    """(conv_id, ord, turn, role, text): each user message followed by its answer, in order.
+
+    Answers meet messages by (conv_id, turn); one that is missing, or whose text is null, is logged as failed, one
+    with ``stalled`` set as stopped.
+    """
+    a = answers.withColumn("stalled", F.lit(False)) if "stalled" not in answers.columns else answers
+    a = a.select("conv_id", "turn", F.col("text").alias("said"), "stalled")
+    both = messages.select("conv_id", "turn", "text").join(a, ["conv_id", "turn"], "left")
+    said = F.when(F.coalesce("stalled", F.lit(False)), STALLED).otherwise(F.coalesce("said", F.lit(FAILED)))
+    rows = F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("text")), F.struct(F.lit("assistant").alias("role"), said.alias("text")))
+    each = both.select("conv_id", "turn", F.posexplode(rows).alias("at", "row")).select("conv_id", "turn", "at", "row.*")
+    return each.withColumn("ord", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "at"))).select("conv_id", "ord", "turn", "role", "text")
+
+
+def append_log(rows: DataFrame, path: str, *, checkpoint: str | None = None):
+    """Append log rows to a table: a batch at once, or a stream exactly once with its own checkpoint folder."""
+    if not rows.isStreaming:
+        rows.write.mode("append").parquet(path)
+        return None
+    return rows.writeStream.outputMode("append").format("parquet").option("path", path).option("checkpointLocation", checkpoint or f"{path}/_checkpoint").trigger(availableNow=True).start()
+
+
 # Event types and the status each leaves; the others leave it as it was.
 STATUS = {"load-start": "loading", "load-progress": "loading", "load-ready": "ready", "load-error": "error", "generate-start": "generating", "generate-complete": "ready", "generate-error": "ready"}
 

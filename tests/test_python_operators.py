@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from foliant import schemas
 from foliant.functions import markdown, vision
 from foliant.functions.tokenizer import BytePairTokenizer, chat_prompt, encode
-from foliant.operators import adapters, decoder, embedding, search
+from foliant.operators import adapters, answer, decoder, embedding, search
 from foliant.sources import files, safetensors
 from foliant.streaming import sessions
 
@@ -234,7 +234,7 @@ def test_engine(spark, tmp_path):
     assert out[3]["mode"] == "fallback" and out[1]["mode"] == "grounded"
     assert "shuffle is a step" in out[1]["text"] and 'on "shuffle"' in out[1]["text"]
     assert any(t.startswith("openPage(pageNumber: 1, bbox: none") for t in out[2]["trace"])
-    assert "couldn’t find" in out[4]["text"]
+    assert answer.NOT_FOUND in out[4]["text"]
     made = e.ask(m, generator=lambda r: r.select("query_id", F.lit(0).alias("pass"), F.lit("Made.").alias("text"), F.lit(False).alias("hit_limit")))
     assert {r["conv_id"]: r["mode"] for r in made.collect()}[1] == "webgpu"
     assert e.profiles().count() == 2 and e.sections().count() >= 2
@@ -263,3 +263,141 @@ def test_continuations_cover_whole_texts(spark):
     folded = {r["query_id"]: r["text"] for r in catalog.continuation_fold(spark, sf).collect()}
     assert folded.keys() == texts.keys()
     assert any(len(t) > 200 and letters(folded[i]) == letters(t) for i, t in texts.items())
+
+
+TEX = {
+    r"\alpha\Gamma": "<mi>&alpha;</mi><mi>Gamma</mi>",
+    r"a \le b \ne c": "<mi>a</mi><mo>&#x2264;</mo><mi>b</mi><mo>&#x2260;</mo><mi>c</mi>",
+    r"\log BP": '<mi mathvariant="normal">log</mi><mi mathvariant="normal">BP</mi>',
+    r"\frac{a}{b}_1": "<msub><mfrac><mrow><mi>a</mi></mrow><mrow><mi>b</mi></mrow></mfrac><mn>1</mn></msub>",
+    r"\frac12": "<mfrac><mn>12</mn><mrow></mrow></mfrac>",
+    r"\sqrt x^2": "<msup><msqrt><mi>x</mi></msqrt><mn>2</mn></msup>",
+    r"\left\{ x \right\}": "<mi>{</mi><mi>x</mi><mi>}</mi>",
+    r"\text{for all , x}": "<mtext>for all, x</mtext>",
+    r"\mathbf{ W } \mathrm{}": '<mi mathvariant="bold">W</mi><mrow></mrow>',
+    r"\mathcal x": "<mrow></mrow><mi>x</mi>",
+    r"x_1_2^3": "<msubsup><mi>x</mi><mn>2</mn><mn>3</mn></msubsup>",
+    r"x_{i_j}": "<msub><mi>x</mi><mrow><msub><mi>i</mi><mi>j</mi></msub></mrow></msub>",
+    r"_a": "<mo>_</mo><mi>a</mi>",
+    r"{a": "<mrow><mi>a</mi></mrow>",
+    r"a}": "<mi>a</mi><mo>}</mo>",
+    r"f'(x) < 1.5": "<mi>f</mi><mo>&#x2032;</mo><mo>(</mo><mi>x</mi><mo>)</mo><mo>&lt;</mo><mn>1.5</mn>",
+    r"\frac{a": "<mfrac><mrow><mi>a</mi></mrow><mrow></mrow></mfrac>",
+    r"a^": "<msup><mi>a</mi><mrow></mrow></msup>",
+    "{" * 5000 + "}" * 5000: "<mrow>" * 5000 + "</mrow>" * 5000,
+}
+
+
+@pytest.mark.parametrize("source", TEX, ids=range(len(TEX)))
+def test_tex(source):
+    assert markdown.mathml(source) == f"<mrow>{TEX[source]}</mrow>"
+
+
+def test_golden_matrix_and_norm(spark):
+    """A product of two 2 by 2 matrices, and the root-mean-square norm of two rows."""
+    from foliant.functions import vectors
+    from foliant.operators import weights
+
+    cells = lambda m, names: spark.createDataFrame([(i, j, float(m[i][j])) for i in range(2) for j in range(2)], names)
+    out = weights.multiply(cells([[1, 2], [3, 4]], "i int, k int, value double"), cells([[5, 6], [7, 8]], "k int, j int, value double"))
+    assert {(r["i"], r["j"]): r["value"] for r in out.collect()} == {(0, 0): 19.0, (0, 1): 22.0, (1, 0): 43.0, (1, 1): 50.0}
+    rows = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0, 4.0])], "row int, v array<double>")
+    normed = rows.select("row", vectors.rms_norm(F.col("v"), F.array(F.lit(1.0), F.lit(1.0))).alias("n")).orderBy("row").collect()
+    assert [r["n"] for r in normed] == [pytest.approx([1 / 2.5**0.5, 2 / 2.5**0.5], abs=1e-6), pytest.approx([3 / 12.5**0.5, 4 / 12.5**0.5], abs=1e-6)]
+
+
+def test_weights_refuse_and_preview(spark):
+    from foliant.operators import weights
+
+    m = spark.createDataFrame([(1, "", 2, 2, 4)], "model int, prefix string, num_hidden_layers int, full_attention_interval int, num_experts int")
+    with pytest.raises(Exception, match="mixtures of experts"):
+        weights.layer_plans(m).collect()
+    assert weights.layer_plans(m.withColumn("num_experts", F.lit(0))).count() == 5 + 9 + 5 + 6
+    with pytest.raises(Exception, match="no convolution of shape 4"):
+        spark.range(1).select(weights.conv_kernel_at(F.array(F.lit(1.0)), F.array(F.lit(4)), F.lit(0), F.lit(0))).collect()
+    data = np.arange(100, dtype="<f4").tobytes()
+    blob = spark.createDataFrame([("F32", bytearray(data)), ("BF16", bytearray(data))], "dtype string, data binary")
+    assert [len(r["p"]) for r in blob.select(safetensors.preview(F.col("dtype"), F.col("data")).alias("p")).collect()] == [64, 64]
+
+
+def test_adapter_in_the_decoder(spark):
+    d = tiny_decoder()
+    plain, caches = d.forward(1, d.caches()), None
+    rows = [(0, p, mat, i, j, 0.5) for p, mat, n, m in (("q", "A", 1, 8), ("q", "B", 16, 1), ("k", "A", 1, 3), ("k", "B", 2, 1)) for i in range(n) for j in range(m)]
+    deltas = adapters.matrices(spark.createDataFrame(rows, "layer int, proj string, mat string, i int, j int, value double"))
+    changed = d.with_adapter(deltas).forward(1, d.caches())
+    assert not np.allclose(plain, changed)
+    assert np.allclose(plain, d.with_adapter({0: {"k": deltas[0]["k"]}}).forward(1, d.caches()))  # sizes that do not fit change nothing
+    assert np.allclose(plain, d.with_adapter(deltas).with_adapter(None).forward(1, d.caches())) and caches is None
+
+
+def test_pages_from_outside(spark, tmp_path):
+    from foliant.operators import layout
+    from foliant.sources import pages
+
+    lines = ['{"doc_id": 1, "page_number": 2, "items": [{"item_ord": 0, "text": "Hello there", "bbox": {"x": 0.1, "y": 0.1, "width": 0.5, "height": 0.02}}, {"item_ord": 1, "text": " "}], "image": "AAEC"}', '{"doc_id": 1}', "broken"]
+    (tmp_path / "p.json").write_text("\n".join(lines))
+    got = pages.read_pages(spark, str(tmp_path)).orderBy("page_number").collect()
+    assert [(r["page_number"], len(r["items"]), r["image"]) for r in got] == [(1, 0, None), (2, 1, bytearray(b"\0\1\2"))]
+    assert layout.analyze(pages.read_pages(spark, str(tmp_path)).select("doc_id", "page_number", "items")).count() == 2
+    files_ = spark.createDataFrame([("x/a.pdf", "a.pdf", bytearray(b"one|two"))], "path string, file_name string, content binary")
+    split_ = lambda content: ({"title": "T"}, content.decode().split("|"))
+    assert [(r["page_number"], r["page_count"], r["title"], r["author"], r["text"]) for r in pages.pdf_bundles(files_, split_).collect()] == [(1, 2, "T", None, "one"), (2, 2, "T", None, "two")]
+    raster = spark.createDataFrame([(1, 1, 2, 1, bytearray([255] * 8))], "doc_id long, page_number int, width int, height int, data binary")
+    r = pages.page_images(raster, 8).first()
+    assert (r["width"], r["height"], set(r["data"])) == (8, 4, {255})
+
+
+def test_log_and_observers(spark, tmp_path):
+    from foliant.streaming import listeners, sessions
+
+    rows = "conv_id long, ord int, role string, text string"
+    sessions.append_log(spark.createDataFrame([(1, 1, "user", "a")], rows), f"{tmp_path}/log")
+    seen, watch = [], listeners.Observers(spark)
+    stop = watch.subscribe(lambda s: seen.append(s["status"]))
+    spark.createDataFrame([(1, 2, "assistant", "b")], rows).write.parquet(f"{tmp_path}/new")
+    q = sessions.append_log(spark.readStream.schema(rows).parquet(f"{tmp_path}/new"), f"{tmp_path}/streamed", checkpoint=f"{tmp_path}/ck")
+    q.awaitTermination(60)
+    assert spark.read.parquet(f"{tmp_path}/log").count() == 1 and spark.read.parquet(f"{tmp_path}/streamed").count() == 1
+    import time
+
+    for _ in range(100):
+        if "ended" in seen:
+            break
+        time.sleep(0.1)
+    stop()
+    watch.close()
+    assert seen[0] == "idle" and "running" in seen and "ended" in seen
+    stalled = spark.createDataFrame([(1, 1, None, True)], "conv_id long, turn int, text string, stalled boolean")
+    asked = spark.createDataFrame([(1, 1, "q"), (1, 3, "r")], "conv_id long, turn int, text string")
+    assert [(r["role"], r["text"]) for r in sessions.chat_log(asked, stalled).orderBy("ord").collect()] == [("user", "q"), ("assistant", sessions.STALLED), ("user", "r"), ("assistant", sessions.FAILED)]
+
+
+def test_encode(spark):
+    from foliant.plans.api import Engine
+
+    text = "\n".join(f"This is sentence number {k} of a document, and it describes something that is defined as thing {k}." for k in range(30))
+    engine = Engine.index(spark.createDataFrame([(1, text, "One"), (2, None, "Two")], "doc_id long, text string, title string"))
+    profiles, none = engine.encode(compile_weights=False)
+    assert none is None and profiles.count() == 2
+    assert {r["doc_id"]: r["status"] for r in engine.profile_status().collect()} == {1: "ready", 2: "ready"}
+    _, made = engine.encode("unknown")
+    assert made.where("doc_id = 1 AND layer = 0 AND proj = 'q' AND mat = 'A'").select("i").distinct().count() == 8
+    with pytest.raises(ValueError, match="no chunks"):
+        Engine(engine.chunks.where("false"), engine.pages, engine.titles).encode()
+
+
+def test_embedding_against_bucket_sums(spark):
+    """The two ways to the text part agree: sums by a grouped aggregate, and vectors in Arrow batches."""
+    from foliant import schemas
+    from foliant.operators import layout
+
+    rows = layout.chunks(layout.lines_of_pages(layout.text_pages(spark.createDataFrame([(1, "Some words, some-words and WORDS again\nÄäß ünïcode x 12.5%"), (2, None)], "doc_id long, text string"))))
+    sums = {}
+    for r in embedding.bucket_sums(rows.select("doc_id", "id", "text"), ["doc_id", "id"]).collect():
+        sums.setdefault(r["doc_id"], np.zeros(schemas.TEXT_DIMS))[r["bucket"]] = r["weight"] / 20
+    for r in embedding.embed(rows).collect():
+        part = np.array(r["vector"][: schemas.TEXT_DIMS], np.float64)
+        own = sums[r["doc_id"]]
+        k = np.argmax(np.abs(own))
+        assert part == pytest.approx(own * part[k] / own[k], abs=1e-6)
