@@ -47,7 +47,7 @@ def line_hashes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", min
 
 def line_runs(scratch: Scratch, *, fanout: int = 4) -> Levels:
     """An index of line hashes: in how many documents a line is found, and the last of them. Documents of different batches are different documents."""
-    return Levels(scratch, "lines", "hash", {"n_docs": "sum", "last_doc": "max"}, fanout=fanout)
+    return Levels(scratch, "lines", ["hash"], {"n_docs": "sum", "last_doc": "max"}, fanout=fanout)
 
 
 def per_line(batch: DataFrame) -> DataFrame:

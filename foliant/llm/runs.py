@@ -16,7 +16,7 @@ COMBINE = {
 
 
 class Levels:
-    """Runs of (key, columns) sorted by key; ``columns`` says how each column combines.
+    """Runs of (keys, columns) sorted by the keys in their order; ``columns`` says how each column combines.
 
     ``add`` takes one row a key. The batch is merge-anti-joined with every run: keys that none of them has
     become the batch's own run at level 0, so a key lies in one run only; what the batch says of known
@@ -24,8 +24,8 @@ class Levels:
     next level, so a key is rewritten a logarithmic number of times; runs are disjoint, so nothing is combined then.
     """
 
-    def __init__(self, scratch: Scratch, name: str, key: str, columns: dict[str, str], *, fanout: int = 4):
-        self.scratch, self.name, self.key, self.columns, self.fanout = scratch, name, key, columns, fanout
+    def __init__(self, scratch: Scratch, name: str, keys: list[str], columns: dict[str, str], *, fanout: int = 4):
+        self.scratch, self.name, self.keys, self.columns, self.fanout = scratch, name, keys, columns, fanout
         self.levels: list[list[tuple[str, DataFrame]]] = []
         self.again: list[tuple[str, DataFrame]] = []
         self.written = 0
@@ -38,10 +38,10 @@ class Levels:
     def _place(self, run: DataFrame, level: int) -> None:
         while len(self.levels) <= level:
             self.levels.append([])
-        self.levels[level].append(self._written(run.sortWithinPartitions(self.key)))
+        self.levels[level].append(self._written(run.sortWithinPartitions(*self.keys)))
         if len(self.levels[level]) >= self.fanout:
             old, self.levels[level] = self.levels[level], []
-            self._place(union([r for _, r in old]).repartition(self.key), level + 1)
+            self._place(union([r for _, r in old]).repartition(*self.keys), level + 1)
             for gone, _ in old:
                 self.scratch.drop(gone)
 
@@ -51,12 +51,12 @@ class Levels:
     def new(self, batch: DataFrame) -> DataFrame:
         """The batch's rows whose key no run has: a merge anti-join with each run."""
         for run in self.runs():
-            batch = batch.join(run.select(self.key).hint("merge"), self.key, "left_anti")
+            batch = batch.join(run.select(*self.keys).hint("merge"), self.keys, "left_anti")
         return batch
 
     def known(self, batch: DataFrame) -> DataFrame:
         """The batch's rows whose key a run has: a merge scan of the runs."""
-        return batch.join(union([r.select(self.key) for r in self.runs()]).hint("merge"), self.key, "left_semi")
+        return batch.join(union([r.select(*self.keys) for r in self.runs()]).hint("merge"), self.keys, "left_semi")
 
     def add(self, batch: DataFrame) -> None:
         if not self.runs():
@@ -72,8 +72,8 @@ class Levels:
         runs = union(self.runs())
         if not self.again:
             return runs
-        later = union([r for _, r in self.again]).groupBy(self.key).agg(*[COMBINE[how][0](c).alias(f"later_{c}") for c, how in self.columns.items()])
-        return runs.join(later, self.key, "left").select(self.key, *[COMBINE[how][1](c, f"later_{c}").alias(c) for c, how in self.columns.items()])
+        later = union([r for _, r in self.again]).groupBy(*self.keys).agg(*[COMBINE[how][0](c).alias(f"later_{c}") for c, how in self.columns.items()])
+        return runs.join(later, self.keys, "left").select(*self.keys, *[COMBINE[how][1](c, f"later_{c}").alias(c) for c, how in self.columns.items()])
 
     def drop(self) -> None:
         for name, _ in [x for level in self.levels for x in level] + self.again:

@@ -1,4 +1,4 @@
-"""Repeated passages by a family of sparse suffix arrays that merge geometrically."""
+"""Repeated passages by a logarithmic family of sparse suffix arrays that are merge-scanned and merged geometrically."""
 
 from __future__ import annotations
 
@@ -117,31 +117,40 @@ def _texts(column: pa.Array) -> list[bytes]:
     return [t.as_buffer().to_pybytes() if t.is_valid else b"" for t in column]
 
 
-def suffix_runs(docs: DataFrame, length: int) -> DataFrame:
-    """(head, region) of every sampled suffix of the one binary column."""
+def leading(data: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each suffix as a signed number that sorts as the bytes do."""
+    eight = np.ascontiguousarray(data[at[:, None] + np.arange(8)])
+    return (eight.view(">u8")[:, 0].astype(np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def suffix_rows(texts: DataFrame, length: int, batches: int) -> DataFrame:
+    """(batch, prefix, head, region) of every sampled suffix of (text_a, body)."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = Sampler(length, min(HEAD, length // 2))
-        for batch in batches:
-            for data, lengths, _, _ in sampler.pieces(_texts(batch.column(0))):
-                head, region, *_ = sampler.runs(data, lengths)
-                yield pa.RecordBatch.from_arrays([pa.array(head.view(np.int64)), pa.array(region.view(np.int64))], names=["head", "region"])
+        for part in parts:
+            of = np.mod(part.column(0).to_numpy(), batches).astype(np.int32)
+            for data, lengths, which, _ in sampler.pieces(_texts(part.column(1))):
+                head, region, first, _, at = sampler.runs(data, lengths)
+                piece = np.searchsorted(np.cumsum(lengths) - lengths, first, side="right") - 1
+                yield pa.RecordBatch.from_arrays([pa.array(of[which[piece]]), pa.array(leading(data, at)), pa.array(head.view(np.int64)), pa.array(region.view(np.int64))], names=["batch", "prefix", "head", "region"])
 
-    return docs.mapInArrow(run, "head long, region long")
+    return texts.select("text_a", "body").mapInArrow(run, "batch int, prefix long, head long, region long")
 
 
 def suffix_family(scratch: Scratch, *, fanout: int = 4) -> Levels:
-    """Levels of sorted runs of sampled suffixes: (head, n, low, high), with the least and greatest region hash.
+    """Levels of sparse suffix arrays: (prefix, head, n, low, high), with the least and greatest region hash.
 
-    Each new batch is merge-scanned against the levels for suffixes they have; those they lack become its own run.
-    Suffixes are ordered by the hash of their head: only equality of passages matters, and hashed order deals
-    hot text evenly.
+    Each batch's sampled suffixes are sorted and merge-scanned against the levels' arrays for heads they have; those
+    they lack become the batch's own array. Order is by the first eight bytes, then by the hash of the 64 of the head:
+    suffixes with a common head, which is what a long match starts from, are neighbours, and the order of those
+    that differ behind the eighth byte tells nothing that the scan needs. Arrays lie in hash partitions, so hot text is dealt evenly.
     """
-    return Levels(scratch, "suffixes", "head", {"n": "sum", "low": "min", "high": "max"}, fanout=fanout)
+    return Levels(scratch, "suffixes", ["prefix", "head"], {"n": "sum", "low": "min", "high": "max"}, fanout=fanout)
 
 
 def per_head(suffixes: DataFrame) -> DataFrame:
-    return suffixes.groupBy("head").agg(F.count(F.lit(1)).alias("n"), F.min("region").alias("low"), F.max("region").alias("high"))
+    return suffixes.groupBy("prefix", "head").agg(F.count(F.lit(1)).alias("n"), F.min("region").alias("low"), F.max("region").alias("high"))
 
 
 def repeated_spans(texts: DataFrame, scratch: Scratch, *, length: int = LENGTH, batches: int = 4, hot_kinds: int = HOT_KINDS) -> DataFrame:
@@ -150,11 +159,13 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, *, length: int = LENGTH,
     ``texts`` has text_a, text_b and body (binary). Three steps: the family counts sampled suffixes over all texts;
     suffixes found more than once are listed with their text (a bit map of bounded size passes them, exact counts
     decide); where all passages around a suffix are the same everywhere the run counts as a whole, and only where
-    they differ are its passages compared one by one.
+    they differ are its passages compared one by one, with their bytes.
     """
     family = suffix_family(scratch)
+    sampled = scratch.write(suffix_rows(texts, length, batches), "sampled", by="batch")  # texts are read for it once
     for b in range(batches):
-        family.add(per_head(suffix_runs(texts.where(F.pmod("text_a", F.lit(batches)) == b).select("body"), length)))
+        family.add(per_head(sampled.where(F.col("batch") == b)))
+    scratch.drop("sampled")
     often = scratch.write(family.all().where("n >= 2"), "often")
     family.drop()
     n_often, n_mixed = often.agg(F.count(F.lit(1)), F.count(F.when(F.col("low") != F.col("high"), 1))).first()
@@ -203,6 +214,29 @@ def repeated_spans(texts: DataFrame, scratch: Scratch, *, length: int = LENGTH,
     return met.groupBy("text_a", "text_b").agg(F.collect_set("span").alias("spans"))  # copies of a text collapse before the shuffle
 
 
+def _same_bytes(bodies: list[bytes], which: np.ndarray, nth: np.ndarray, length: int, group: np.ndarray) -> np.ndarray:
+    """Whether each passage has another of its group (by hash) with the same bytes; all passages of a group are looked at."""
+    data = np.frombuffer(b"".join(bodies), np.uint8)
+    begin = np.cumsum([0, *map(len, bodies)])[which] + nth
+    order = np.argsort(group, kind="stable")
+    first = np.concatenate(([True], group[order][1:] != group[order][:-1]))
+    lead = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+    same = np.ones(len(order), bool)
+    step = max(1, (1 << 22) // length)
+    for a in range(0, len(order), step):
+        own, at = order[a : a + step], np.arange(length)
+        same[a : a + step] = (data[begin[own][:, None] + at] == data[begin[lead[a : a + step]][:, None] + at]).all(1)
+    out = np.ones(len(order), bool)
+    if not same.all():  # hashes that collide: groups again, by the bytes themselves
+        odd = np.isin(group, group[order[~same]])
+        seen: dict[tuple, list[int]] = {}
+        for k in np.flatnonzero(odd).tolist():
+            seen.setdefault((int(group[k]), data[begin[k] : begin[k] + length].tobytes()), []).append(k)
+        for ks in seen.values():
+            out[ks] = len(ks) > 1
+    return out
+
+
 def _passages(sampler: Sampler, leads: np.ndarray, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(surrounding, number of the passage in it, hash) of all passages; the hash holds the suffix's place in the passage."""
     which, nth, hashes = [], [], []
@@ -221,7 +255,7 @@ def _passages(sampler: Sampler, leads: np.ndarray, bodies: list[bytes]) -> tuple
 
 
 def _compared(length: int):
-    """Passages that two surroundings of a suffix share, as runs in those surroundings that occur once."""
+    """Passages that two surroundings of a suffix share, byte by byte, as runs in those surroundings that occur once."""
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -238,7 +272,10 @@ def _compared(length: int):
         keys = mixed(hashes + mixed(head[places].view(np.uint64))[which])
         inverse, counts = np.unique(keys, return_inverse=True, return_counts=True)[1:]
         once = np.isin(region[places], region[~full])
-        hit = (counts[inverse] >= 2) & once[which]
+        shared = np.flatnonzero(counts[inverse] >= 2)
+        if len(shared):
+            shared = shared[_same_bytes(bodies, which[shared], nth[shared], length, inverse[shared])]
+        hit = shared[once[which[shared]]]
         which, nth = which[hit], nth[hit]
         if not len(which):
             return none
@@ -286,6 +323,10 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     * Null texts count as empty; texts below ``length`` bytes lose nothing; a text with nothing left keeps no bytes.
     * Overlaps count, matches never cross documents, and passages are judged on the input.
+    * Passages in differing surroundings are compared by their bytes. Surroundings that occur again as a whole are told
+      by two hashes of 64 bits (in 10**12 sampled suffixes, about 70 TB, a false match is expected 10**-15 times),
+      whole texts by hashes of 64 and 32 bits (in 10**11 texts 10**-7 times). Suffixes in more than HOT_KINDS
+      surroundings are compared by two hashes of 64 bits.
     * Rows that repeat a text are places of their own, so both lose what is long enough. Null keys are kept as they
       are. Empty tables give empty results; other columns are ignored.
     """

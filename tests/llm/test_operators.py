@@ -485,11 +485,41 @@ def test_levels_combine(spark):
     scratch = Scratch(spark)
     family = suffixes.suffix_family(scratch)
     for regions in ([(1, 5), (1, 7), (2, 9)], [(1, 3), (3, 4)], [(3, 8)], []):
-        family.add(suffixes.per_head(spark.createDataFrame(regions, "head long, region long")))
-    assert {tuple(r) for r in family.all().collect()} == {(1, 3, 3, 7), (2, 1, 9, 9), (3, 2, 4, 8)}
+        family.add(suffixes.per_head(spark.createDataFrame([(-h, h, r) for h, r in regions], "prefix long, head long, region long")))
+    assert {tuple(r) for r in family.all().collect()} == {(-1, 1, 3, 3, 7), (-2, 2, 1, 9, 9), (-3, 3, 2, 4, 8)}
     family.drop()
 
 
+def test_suffix_arrays_are_in_suffix_order(spark):
+    """Each array of the family has its suffixes' first eight bytes in the order of the bytes, in every partition."""
+    from foliant.llm.common import Scratch
+
+    bodies = [bytes(np.random.default_rng(k).integers(0, 256, 3000, dtype=np.uint8)) for k in range(6)]
+    texts = spark.createDataFrame([(k, bytearray(b)) for k, b in enumerate(bodies)], "text_a long, body binary")
+    rows = suffixes.suffix_rows(texts, 200, 2)
+    unsigned = lambda p: ((p + 2**63) % 2**64).to_bytes(8, "big")
+    assert {b for b in (unsigned(r["prefix"]) for r in rows.collect())} <= {b[k : k + 8] for b in bodies for k in range(2993)}
+    family = suffixes.suffix_family(Scratch(spark))
+    for b in range(2):
+        family.add(suffixes.per_head(rows.where(F.col("batch") == b)))
+    arrays = family.runs()
+    assert len(arrays) == 2 and sum(a.count() for a in arrays) == rows.select("head").distinct().count()
+    for a in arrays:
+        for part in a.select("prefix", "head", F.spark_partition_id().alias("p")).toPandas().groupby("p"):
+            pairs = list(zip(part[1]["prefix"], part[1]["head"], strict=True))
+            assert pairs == sorted(pairs)
+    data = np.frombuffer(b"\x00\x01abcdef\xff\x80zzzzzzzz", np.uint8)
+    at = np.arange(len(data) - 7)
+    assert np.argsort(suffixes.leading(data, at), kind="stable").tolist() == sorted(at.tolist(), key=lambda k: data[k : k + 8].tobytes())
+
+
+def test_passages_are_compared_byte_by_byte():
+    bodies = [b"abcdabcd", b"xbcdabce", b"abcd"]
+    which, nth = np.array([0, 0, 1, 2]), np.array([0, 4, 0, 0])
+    assert suffixes._same_bytes(bodies, which, nth, 4, np.array([5, 5, 5, 5])).tolist() == [True, True, False, True]
+    assert suffixes._same_bytes(bodies, which, nth, 4, np.array([1, 2, 1, 2])).tolist() == [False, True, False, True]
+
+
 # 9
 
 
