@@ -15,8 +15,9 @@ from foliant.llm.words import features, letters_only, split
 
 WIDTH, STRIDE = 32, 24
 WORD_BITS, GRAM_BITS, WORD_DIMS, GRAM_DIMS, HIDDEN = 15, 13, 8, 8, 8
-#: Bounds of the training sample: documents of each class, and characters of a document that may be drawn.
-SAMPLE_PER_CLASS, SAMPLE_CHARS = 1500, 8000
+#: Bounds of the training sample: documents of each class, and the characters of a clean and of a toxic one. A longer
+#: text is drawn by a window at a place of its hash's choosing; toxic ones have more, as the label holds for some part only.
+SAMPLE_PER_CLASS, SAMPLE_CHARS = 1500, (8000, 64_000)
 EPOCHS, BATCH_DOCS, RATE = 5, 32, 0.004
 #: The share of words whose word vector is left out in training, so that the characters learn too.
 WORD_DROP = 0.15
@@ -156,12 +157,15 @@ def scores(net: Network, texts: pa.Array) -> np.ndarray:
     return 1 / (1 + np.exp(-out.astype(np.float64)))
 
 
-def sample(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", per_class: int = SAMPLE_PER_CLASS, max_chars: int = SAMPLE_CHARS) -> DataFrame:
+def sample(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", per_class: int = SAMPLE_PER_CLASS, max_chars: tuple[int, int] = SAMPLE_CHARS) -> DataFrame:
     """(text, toxic): a bounded, hash-ordered draw of labelled rows that may train."""
     own = labels.where(F.col("toxic").isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key))).groupBy(F.col(key).cast("long").alias("label_id")).agg(F.max("toxic").cast("int").alias("toxic"))
     drawn = own.where("toxic = 1").orderBy(F.xxhash64("label_id"), "label_id").limit(2 * per_class).unionByName(own.where("toxic = 0").orderBy(F.xxhash64("label_id"), "label_id").limit(2 * per_class))
-    rows = docs.select(F.col(key).cast("long").alias("label_id"), F.col(text).alias("text")).where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
+    rows = docs.select(F.col(key).cast("long").alias("label_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
     met = rows.join(F.broadcast(drawn), "label_id")  # at most 4 * per_class ids are sent out
+    most = F.when(F.col("toxic") == 1, max_chars[1]).otherwise(max_chars[0])
+    start = F.pmod(F.xxhash64("label_id", F.length("text")), F.greatest(F.length("text") - most, F.lit(0)) + 1).cast("int")
+    met = met.select("label_id", F.when(F.length("text") > most, F.substring("text", start + 1, most)).otherwise(F.col("text")).alias("text"), "toxic")
     return met.where("toxic = 1").orderBy("label_id", "text").limit(per_class).unionByName(met.where("toxic = 0").orderBy("label_id", "text").limit(per_class))
 
 
