@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import Scratch, checkpoint, n_bytes, partitions
+from foliant.llm.common import HOT_PARTS, Scratch, checkpoint, n_bytes, partitions
 
 #: Copies of one text fall into at most so many cells; a cell moves as one.
 CELLS = 256
@@ -138,9 +138,13 @@ def shard(docs: DataFrame, *, n_shards: int = 24, rounds: int = 6, key: str = "d
     placed = checkpoint(placed)
     mass = placed.groupBy("grp", "shard").agg(F.count(F.lit(1)).alias("mass"))
     home = mass.groupBy("grp").agg(F.max(F.struct("mass", (-F.col("shard")).alias("less"))).alias("top")).select("grp", (-F.col("top.less")).alias("home"))
-    apart = mass.join(home, "grp").where("shard <> home").select("grp", "shard", F.lit(True).alias("cut"))
-    out = _numbered(placed, ["shard"], ["doc_id", "row"], max(n_buckets, -(-at_once // n_shards)), "slot")
-    out = out.join(apart, ["grp", "shard"], "left")
+    cells = checkpoint(mass.join(home, "grp").select("grp", "shard", "mass", (F.col("shard") != F.col("home")).alias("cut")))
+    # Cells of more than a thousandth of all rows are below a thousand: they are sent out, the others meet in a join.
+    large = F.col("mass") * HOT_PARTS > total
+    hot, cold = cells.where(large).drop("mass"), cells.where(~large & F.col("cut")).drop("mass")
+    rest = placed.join(F.broadcast(hot.select("grp", "shard")), ["grp", "shard"], "left_anti").join(cold, ["grp", "shard"], "left")
+    marked = placed.join(F.broadcast(hot), ["grp", "shard"]).unionByName(rest)
+    out = _numbered(marked, ["shard"], ["doc_id", "row"], max(n_buckets, -(-at_once // n_shards)), "slot")
     return out.select(F.col("doc_id").alias(key), "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.coalesce("cut", F.lit(False)).alias("cut"), *([F.col("row").alias(row)] if row else []))
 
 
