@@ -1,4 +1,7 @@
-"""Query rewriting and intents."""
+"""Query rewriting and intents.
+
+The alternatives in each pattern are fixed values: they decide what is found, and so must stay as they are.
+"""
 
 from __future__ import annotations
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from foliant.functions.text import WS, collapse, count_of, cut, has, strip, strip_end, words_of, words_re
 from foliant.functions.vectors import let
 
+# The verbs and phrases that make a passage or a chunk prose, and every threshold and weight below.
 VERBS = ("is", "are", "was", "were", "has", "have", "can", "will", "define", "describe", "explain", "show", "mean", "refer", "state", "present", "propose", "use")
 CHUNK_VERBS = ("is", "are", "was", "were", "has", "have", "can", "will", "define", "present", "describe")
 DEFINES = words_re("is defined as", "refers to", "we define", "means that", "can be described")

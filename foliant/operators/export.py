@@ -62,6 +62,17 @@ def layout_exports(chunk_rows: DataFrame, section_rows: DataFrame, pages: DataFr
     return j.select("doc_id", F.concat(F.regexp_replace("title", r"(?i)\.pdf$", ""), F.lit(".layout.json")).alias("file_name"), payload.alias("payload"))
 
 
+def newest(manifest: DataFrame, most: int | None = None) -> DataFrame:
+    """Snapshots of a manifest, the last saved first, ties by the larger id."""
+    out = manifest.orderBy(F.desc("saved_at"), F.desc("snapshot_id"))
+    return out if most is None else out.limit(most)
+
+
+def snapshot(rows: DataFrame, snapshot_id) -> DataFrame:
+    """The rows of one snapshot; partitioned tables are pruned to it."""
+    return rows.where(F.col("snapshot_id") == F.lit(snapshot_id))
+
+
 class SnapshotStore:
     """Snapshots as Parquet partitioned by id: saving overwrites one partition, loading prunes to it."""
 
@@ -79,8 +90,8 @@ class SnapshotStore:
         df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(f"{self.path}/{name}")
 
     def load(self, name: str, snapshot_id: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}").where(F.col("snapshot_id") == snapshot_id)
+        return snapshot(self.spark.read.parquet(f"{self.path}/{name}"), snapshot_id)
 
     def list(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/snapshots").orderBy(F.desc("saved_at"))
+        return newest(self.spark.read.parquet(f"{self.path}/snapshots"))
 

@@ -457,18 +457,25 @@ def layout_export(spark, d):
     bundles = table(spark, d, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("file_name"), F.lit(1).alias("page_count"), none.alias("author"), none.alias("title"), none.alias("created"), none.alias("modified"))
     documents = export.layout_documents(export.kids(c, pages), bundles)
     out = export.layout_exports(c, layout.sections(c), pages, documents, bundles.select("doc_id", F.col("file_name").alias("title")))
-    return out.select("doc_id", "file_name", F.json_array_length(F.get_json_object("payload", "$.chunks")).alias("n_chunks"), F.json_array_length(F.get_json_object("payload", "$.layoutDocument.kids")).alias("n_kids"), F.json_array_length(F.get_json_object("payload", "$.sectionChunks")).alias("n_sections"))
+    got = lambda path: F.get_json_object("payload", path)
+    counts = {"n_chunks": "$.chunks", "n_kids": "$.layoutDocument.kids", "n_sections": "$.sectionChunks"}
+    fields = {"title": "$.title", "page_count": "$.pageCount", "pdf_name": "$.layoutDocument.file name", "first_id": "$.chunks[0].id", "first_text": "$.chunks[0].text", "first_type": "$.chunks[0].elementType", "first_snippet": "$.chunks[0].snippet", "first_kid": "$.layoutDocument.kids[0].type", "first_summary": "$.pages[0].summary", "first_heading": "$.sectionChunks[0].heading", "first_member": "$.sectionChunks[0].chunkIds[0]"}
+    return out.select("doc_id", "file_name", *[F.json_array_length(got(v)).alias(k) for k, v in counts.items()], *[got(v).alias(k) for k, v in fields.items()])
+
+
+def snapshots_of(spark, d):
+    return table(spark, d, "events").select(F.col("event_id").alias("snapshot_id"), F.col("ts").alias("saved_at"), F.col("user_id").alias("title"), F.col("event_type").alias("page_count"))
 
 
 @query
 def snapshot_latest(spark, d):
-    """Events of one type as a manifest: newest first, the ten to show."""
-    return table(spark, d, "events").select("event_id", "ts").orderBy(F.desc("ts"), F.desc("event_id")).limit(10)
+    """Events as a manifest of snapshots: newest first, the ten to show."""
+    return export.newest(snapshots_of(spark, d), 10).select(F.col("snapshot_id").alias("event_id"), F.col("saved_at").alias("ts"))
 
 
 @query
 def snapshot_lookup(spark, d):
-    return table(spark, d, "events").where("event_id = 7").select("event_id", "user_id", "event_type")
+    return export.snapshot(snapshots_of(spark, d), 7).select(F.col("snapshot_id").alias("event_id"), F.col("title").alias("user_id"), F.col("page_count").alias("event_type"))
 
 
 @query
@@ -656,7 +663,7 @@ def lora_adapters(spark, d):
     from foliant.operators.adapters import derive
 
     e = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("meta"), F.lit(1.0).alias("weight"))
-    return derive(e, layers=2, hidden=32, heads=4, kv_heads=2, head_dim=8).groupBy("layer", "proj", "mat").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.abs("value")), 4).alias("mass"))
+    return derive(e, layers=2, hidden=32, heads=4, kv_heads=2, head_dim=8).groupBy("layer", "proj", "mat").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.abs("value")), 1).alias("mass"))
 
 
 # Tensor catalogues: a model a nation

@@ -282,6 +282,18 @@ shifted AS (SELECT model, max(wide) AS shift FROM there GROUP BY model)"""
 
 
 SQL: dict[str, str] = {
+    "vision_patches": """WITH s AS (SELECT p_partkey, p_size + 3 AS w, p_size * 2 + 1 AS h FROM part), r AS (SELECT p_partkey, greatest(1, CAST(floor(w * (336 / greatest(w, h)) + 0.5) AS BIGINT)) AS w, greatest(1, CAST(floor(h * (336 / greatest(w, h)) + 0.5) AS BIGINT)) AS h FROM s)
+      SELECT p_partkey, CAST(ceil(h / 14) AS INT) AS rows, CAST(ceil(w / 14) AS INT) AS cols, CAST(ceil(h / 14) * ceil(w / 14) AS INT) AS tokens, CAST(ceil(h / 14) * ceil(w / 14) * 14 * 14 * 3 AS INT) AS n_values FROM r""",
+    "lora_adapters": """WITH p AS (SELECT * FROM (VALUES ('q', 32, 64), ('k', 32, 16), ('v', 32, 16), ('o', 32, 32)) AS p(proj, n_in, n_out)),
+      matrix AS (SELECT layer, proj, mat, r, CASE WHEN mat = 'A' THEN n_in ELSE n_out END AS dims, CASE WHEN mat = 'A' THEN 1.0 ELSE 0.1 END AS scale, 'layer_' || layer || proj || '_' || mat || mat || r AS name
+        FROM p, (SELECT unnest(range(0, 2)) AS layer), (SELECT unnest(['A', 'B']) AS mat), (SELECT unnest(range(0, 8)) AS r)),
+      seeded AS (SELECT *, list_reduce(list_transform(string_split(name, ''), lambda c: ascii(c)::BIGINT), lambda h, c: (xor(h, c) * 16777619) & 4294967295, 2166136261::BIGINT) AS seed FROM matrix),
+      place AS (SELECT layer, proj, mat, r, dims, scale, i, list_reduce(list_transform(string_split(i::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda h, c: (xor(h, c) * 16777619) & 4294967295, seed) % dims AS bucket,
+        list_reduce(list_transform(string_split(i::VARCHAR, ''), lambda c: ascii(c)::BIGINT), lambda h, c: (xor(h, c) * 16777619) & 4294967295, (seed + 1) & 4294967295) % 2 = 1 AS plus FROM seeded, (SELECT unnest(range(0, 64)) AS i)),
+      e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS v FROM embeddings),
+      summed AS (SELECT vec_id, layer, proj, mat, r, any_value(scale) AS scale, any_value(dims) AS dims, bucket, sum(CASE WHEN plus THEN v ELSE -v END) AS x FROM e JOIN place USING (i) GROUP BY vec_id, layer, proj, mat, r, bucket),
+      sized AS (SELECT vec_id, layer, proj, mat, r, any_value(dims) AS dims, any_value(scale) * sum(abs(CAST(x / size AS FLOAT)::DOUBLE)) AS mass FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY vec_id, layer, proj, mat, r)) AS size FROM summed) GROUP BY vec_id, layer, proj, mat, r)
+      SELECT CAST(layer AS INT) AS layer, proj, mat, CAST(sum(dims) AS BIGINT) AS n, round(sum(mass), 1) AS mass FROM sized GROUP BY layer, proj, mat""",
     "hybrid_text_search": f"""{EMBEDDED},
       asked AS (SELECT item_id, text, 0.5::DOUBLE AS bx, 0.5::DOUBLE AS b_y, 1.0::DOUBLE AS bw, 1.0::DOUBLE AS bh, 0 AS n, false AS is_fallback FROM benchmark WHERE item_id % 50 = 0),
       {embedded("asked", "item_id", "q", "0")},
@@ -418,7 +430,11 @@ SQL: dict[str, str] = {
       FROM chosen WHERE rank <= 2 AND (score > 0 OR NOT good) GROUP BY doc_id""",
     "absolute_bbox": f'{CHUNKS} SELECT doc_id, id, round(bx * 612.0, 1) AS "left", round(792.0 - (b_y + bh) * 792.0, 1) AS bottom, round((bx + bw) * 612.0, 1) AS "right", round(792.0 - b_y * 792.0, 1) AS top FROM chunk',
     "layout_kids": f"{CHUNKS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_number, chunk_ord) AS INT) AS kid_id, element_type AS type, page_number, CASE WHEN element_type <> 'image' THEN compact END AS content, heading_level FROM chunk",
-    "layout_export": f"{CHUNKS}, s AS (SELECT doc_id, CAST(count(*) FILTER (element_type = 'heading') + CAST(first(element_type ORDER BY page_number, chunk_ord) <> 'heading' AS INT) AS INT) AS n_sections, CAST(count(*) AS INT) AS n FROM chunk GROUP BY doc_id) SELECT doc_id, doc_id || '.layout.json' AS file_name, n AS n_chunks, n AS n_kids, n_sections FROM s",
+    "layout_export": f"""{CHUNKS},
+      s AS (SELECT doc_id, CAST(count(*) FILTER (element_type = 'heading') + CAST(first(element_type ORDER BY page_number, chunk_ord) <> 'heading' AS INT) AS INT) AS n_sections, CAST(count(*) AS INT) AS n, count(DISTINCT page_number) AS pages FROM chunk GROUP BY doc_id),
+      f AS (SELECT * FROM chunk QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page_number, chunk_ord) = 1)
+      SELECT doc_id, doc_id || '.layout.json' AS file_name, s.n AS n_chunks, s.n AS n_kids, n_sections, doc_id || '.pdf' AS title, CAST(pages AS VARCHAR) AS page_count, doc_id || '.pdf' AS pdf_name, id AS first_id, text AS first_text, element_type AS first_type,
+        snippet AS first_snippet, element_type AS first_kid, COALESCE(nullif(snippet, ''), 'Image-heavy page') AS first_summary, CASE WHEN element_type = 'heading' THEN compact END AS first_heading, id AS first_member FROM f JOIN s USING (doc_id)""",
     "snapshot_latest": "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 10",
     "snapshot_lookup": "SELECT event_id, user_id, event_type FROM events WHERE event_id = 7",
     "key_file_presence": "SELECT n_name AS path, n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900) AS exists FROM nation",
