@@ -637,10 +637,12 @@ def cumulative_text(spark, d):
 
 
 @query
-def bpe_encode_count(spark, d):
+def bpe_encode_count(spark, d, tokenizer_path: str | None = None):
+    """Tokens of each turn, by a tokenizer file if one is named, else by the bytes and merges of the example."""
     from foliant.functions.tokenizer import BytePairTokenizer, count_tokens
 
-    return table(spark, d, "conversations").select("conv_id", "turn", count_tokens(BytePairTokenizer.demo(), F.col("text")).alias("n_tokens"))
+    tokenizer = BytePairTokenizer.from_files(tokenizer_path) if tokenizer_path else BytePairTokenizer.demo()
+    return table(spark, d, "conversations").select("conv_id", "turn", count_tokens(tokenizer, F.col("text")).alias("n_tokens"))
 
 
 @query

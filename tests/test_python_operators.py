@@ -1,6 +1,7 @@
 """Tokenizer, tensors, Markdown, vision, adapters, decoder, streams and the engine."""
 
 import json
+import os
 import math
 
 import numpy as np
@@ -401,3 +402,25 @@ def test_embedding_against_bucket_sums(spark):
         own = sums[r["doc_id"]]
         k = np.argmax(np.abs(own))
         assert part == pytest.approx(own * part[k] / own[k], abs=1e-6)
+
+
+def test_tokenizer_against_the_library(spark):
+    """With a public vocabulary of 50,257 entries: the ids of every document are the library's, and decode to its text."""
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    if not os.path.exists(path):
+        pytest.skip("no vocabulary file here")
+    from tokenizers import Tokenizer
+
+    from foliant.functions.tokenizer import BytePairTokenizer
+    from foliant.plans import catalog
+
+    theirs, own = Tokenizer.from_file(path), BytePairTokenizer.from_files(path)
+    theirs.encode_special_tokens = True
+    sf = "/root/testdata/sf0.001"
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect() if r["text"]]
+    for t in [*texts, "  two  spaces\n\n\nlines\t tabs", "it's we'll I'VE 123abc ünï—x 日本語 🙂👍🏽", " trailing "]:
+        ids = own.encode(t)
+        assert ids == theirs.encode(t, add_special_tokens=False).ids and own.decode(ids) == t
+    turns = {(r["conv_id"], r["turn"]): r["text"] for r in spark.read.parquet(f"{sf}/conversations.parquet").collect()}
+    for r in catalog.bpe_encode_count(spark, sf, path).collect():
+        assert r["n_tokens"] == len(theirs.encode(turns[r["conv_id"], r["turn"]], add_special_tokens=False).ids)
