@@ -327,6 +327,25 @@ def test_sharding_hot_group(spark, copies):
     assert sum(n >= 36 for n in hot.values()) >= 4
 
 
+def test_sharding_by_brute_force(spark):
+    """Groups of up to 40 copies among others: the law, and what is cut, counted again from the placement alone."""
+    rng = np.random.default_rng(3)
+    rows = [(k, f"alone {k}") for k in range(900)]
+    for g, n in enumerate(rng.integers(2, 41, 25)):
+        rows += [(len(rows) + k, f"copy {g}") for k in range(n)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    text, where = dict(rows), collections.defaultdict(collections.Counter)
+    for r in out:
+        where[text[r["doc_id"]]][r["shard"]] += 1
+    home = {t: min(c, key=lambda s: (-c[s], s)) for t, c in where.items()}
+    sizes = collections.Counter(r["shard"] for r in out)
+    assert len(out) == len(rows) and set(sizes) == set(range(24)) and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(r["cut"] == (r["shard"] != home[text[r["doc_id"]]]) for r in out)
+    # A plain greedy filling, largest group first, leaves none apart; propagation may leave a tenth of the copies.
+    copies = sum(n for n in (sum(c.values()) for c in where.values()) if n > 1)
+    assert sum(r["cut"] for r in out) <= copies / 10
+
+
 def test_sharding_all_linked(spark):
     rows = [(k, f"text {k // 2}") for k in range(300)]
     check_shards(sharding.shard(awkward(spark, rows)).collect(), 24, rows)
