@@ -215,9 +215,9 @@ def test_sessions_batch_and_stream(spark, tmp_path):
     e = spark.createDataFrame(rows, "user_id long, s long").select("user_id", F.timestamp_seconds("s").alias("ts"))
     got = sorted((r["n_events"], r["expires"].timestamp() - r["started"].timestamp()) for r in sessions.inactivity_sessions(e).collect())
     assert got == [(1, 90.0), (3, 239.0)]
-    e.write.parquet(str(tmp_path / "in"))
+    e.coalesce(1).write.parquet(str(tmp_path / "in"))  # one file: a micro-batch each, in the order of their times
     late = spark.createDataFrame([(2, 10_000)], "user_id long, s long").select("user_id", F.timestamp_seconds("s").alias("ts"))
-    late.write.mode("append").parquet(str(tmp_path / "in"))
+    late.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     s = sessions.stream_sessions(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in")), late="0 seconds")
     q = s.writeStream.format("memory").queryName("sessions").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
