@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm.common import checkpoint, join_hot
@@ -208,8 +208,9 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width:
     chosen = marked.join(repeated, (marked["doc_id"] == repeated["keep_id"]) & (marked["fp"] == repeated["keep_fp"])).groupBy("doc_id").agg(F.min("digest").alias("keep_digest"))
     chosen = chosen.withColumnRenamed("doc_id", "chosen_id")
     wanted = rest.join(chosen, (own == chosen["chosen_id"]) & (digest == chosen["keep_digest"]))
-    wanted = wanted.select(*[docs[c] for c in docs.columns], F.row_number().over(Window.partitionBy(chosen["chosen_id"]).orderBy(F.lit(0))).alias("__nth"))
-    return single.unionByName(wanted.where(F.col("__nth") == 1).drop("__nth"))
+    # One whole row of each; partial sums keep one a task, so no task gathers the rows of a key.
+    wanted = wanted.select(*[docs[c] for c in docs.columns], chosen["chosen_id"].alias("__chosen")).dropDuplicates(["__chosen"])
+    return single.unionByName(wanted.drop("__chosen"))
 
 
 def _keyed(width: int, seed: int):
