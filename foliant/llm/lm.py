@@ -18,7 +18,7 @@ from foliant.llm.words import identity_lower, split
 
 #: The network's words; all others share one class. Words whose counts go to all tasks (bounded, a few megabytes).
 VOCABULARY, FREQUENT = 2047, 131_072
-DIMS, HIDDEN, CLASSES = 16, 16, 48
+DIMS, HIDDEN, CLASSES = 16, 16, 16
 STREAMS, STEPS, EPOCHS, RATE = 64, 20, 2, 0.01
 #: The pass over all training rows: rounds, buckets wanted in each, words of a bucket (least, most), streams and steps.
 ROUNDS, BUCKETS, BUCKET_WORDS, WIDE_STREAMS, WIDE_STEPS = 3, 240, (500_000, 4_000_000), 512, 10
