@@ -186,7 +186,7 @@ class Model:
         begin, length = starts[:-1][order], lengths[order]
         h, out, table = np.zeros((len(order), HIDDEN), np.float32), np.zeros(len(order)), self.gates()
         end, waiting, size = self.ids.get(END, 0), [], 0
-        padded = np.append(ids, end)
+        padded = np.append(ids, ids.dtype.type(end))
         active = np.searchsorted(-length, -np.arange(length[0] + 1 if len(length) else 0), side="right")  # texts of at least t words
         for t in range(len(active)):
             n = active[t]
@@ -321,21 +321,22 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabular
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, often, net = sent.value
         log_often = np.log10(np.append(often, 0) + 1)
-        to_id = np.append(np.array([net.ids.get(w, 0) for w in vocab.to_pylist()], np.int64), 0)
+        to_id = np.array([net.ids.get(w, 0) for w in vocab.to_pylist()] + [0], np.int32)
         table = identity_lower()
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE_DOCS):
                 part = batch.slice(at, SLICE_DOCS)
                 ws = split(part.column(2), table)
-                place = pc.fill_null(pc.index_in(ws.distinct.cast(pa.binary()), value_set=vocab), len(vocab)).to_numpy(zero_copy_only=False).astype(np.int64) if len(ws.distinct) else np.zeros(0, np.int64)
-                owner = np.repeat(np.arange(part.num_rows), np.diff(ws.starts))
+                place = pc.fill_null(pc.index_in(ws.distinct.cast(pa.binary()), value_set=vocab), len(vocab)).to_numpy(zero_copy_only=False).astype(np.int32) if len(ws.distinct) else np.zeros(0, np.int32)
+                owner = np.repeat(np.arange(part.num_rows, dtype=np.int32), np.diff(ws.starts))
                 of = place[ws.ids]
                 ids, rare = to_id[of], of == len(vocab)
                 log_c, n = log_often[of], part.num_rows
                 base = np.bincount(owner, log_c, n)
                 outside = np.bincount(owner, np.where(ids == 0, log_c - rest_log, 0.0), n)
+                del log_c, of  # long arrays make way for the states
                 head = net.score(ids, ws.starts) / np.log(10) + outside
-                pairs, tf = np.unique(owner[rare] * (len(ws.distinct) + 1) + ws.ids[rare], return_counts=True)
+                pairs, tf = np.unique(owner[rare].astype(np.int64) * (len(ws.distinct) + 1) + ws.ids[rare], return_counts=True)
                 whose, word = np.divmod(pairs, len(ws.distinct) + 1)
                 offsets = pa.array(np.searchsorted(whose, np.arange(n + 1)).astype(np.int32))
                 lists = [pa.ListArray.from_arrays(offsets, v) for v in (ws.distinct.cast(pa.binary()).take(pa.array(word)), pa.array(tf.astype(np.int32)))]

@@ -29,16 +29,15 @@ def split(texts: pa.Array, table: np.ndarray) -> Words:
     texts = pc.fill_null(texts.cast(pa.binary()), b"")
     offsets = np.frombuffer(texts.buffers()[1], np.int32, len(texts) + 1, texts.offset * 4)
     raw = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]] if texts.buffers()[2] else np.zeros(0, np.uint8)
-    data = pa.py_buffer(table[raw])
-    mapped = pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer(offsets - offsets[0]), data])
-    parts = pc.ascii_split_whitespace(mapped)
+    parts = pc.ascii_split_whitespace(pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer(offsets - offsets[0]), pa.py_buffer(table[raw])]))
     flat = parts.flatten()
-    full = pc.not_equal(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
-    at = np.concatenate(([0], np.cumsum(full)))
-    edges = parts.offsets.to_numpy() - (parts.offsets[0].as_py() if len(parts.offsets) else 0)
-    flat = flat.filter(pa.array(full))
+    full = pc.not_equal(pc.binary_length(flat), 0)
+    at = np.concatenate(([0], np.cumsum(full.to_numpy(zero_copy_only=False), dtype=np.int32)))
+    starts = at[parts.offsets.to_numpy() - (parts.offsets[0].as_py() if len(parts.offsets) else 0)].astype(np.int64)
+    flat = flat.filter(full)
+    del parts, full, at  # all words are held twice at most
     coded = flat.dictionary_encode()
-    return Words(coded.indices.to_numpy().astype(np.int64), at[edges], coded.dictionary)
+    return Words(coded.indices.to_numpy().astype(np.int64), starts, coded.dictionary)
 
 
 def identity_lower() -> np.ndarray:
