@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.llm import ann, decontamination, lines, lm, mixing, secrets, sharding, simhash, suffixes, toxicity
+from foliant.llm import ann, decontamination, lines, leaderboard, lm, merkle, mixing, secrets, sharding, simhash, suffixes, toxicity, windows
 from foliant.llm import pipeline as corpus
 from foliant.llm.common import table
 
@@ -55,12 +55,28 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text, lower = F.col("text"), F.translate("text", lines.UPPER, lines.LOWER)
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, lower).otherwise(text)
+    out = merkle.manifest(table(spark, sf_dir, "documents"), columns=["doc_id", "source", "lang", "n_chars", "text"], now={"text": tampered})
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), F.col("folded").alias("folded_root"), "verified")
+
+
+def op12_leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaderboard.changes(table(spark, sf_dir, "sale_lines"), table(spark, sf_dir, "items"), table(spark, sf_dir, "vendors"))
+
+
+def op13_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = windows.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.run(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_ann, op3_secrets, op4_simhash, op5_decontamination, op6_sharding, op7_toxicity, op8_line_dedup, op9_lm_scoring, op10_suffix_dedup, pipeline)}
+    return {f.__name__: f for f in (op1_mixing, op2_ann, op3_secrets, op4_simhash, op5_decontamination, op6_sharding, op7_toxicity, op8_line_dedup, op9_lm_scoring, op10_suffix_dedup, op11_merkle, op12_leaderboard, op13_substrings, pipeline)}
 
 
 OP1_SQL = """
@@ -111,6 +127,98 @@ FROM marked GROUP BY doc_id
 """
 
 
+#: CRC-32 of a text of ASCII characters, bit by bit.
+CRC32 = """xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, len({s}) + 1), lambda k: ascii(({s})[k])::BIGINT)),
+  lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda x, y: xor(x >> 1, (x & 1) * 3988292384))))"""
+
+
+def _encoded(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen({column}::VARCHAR) || ':' || {column}::VARCHAR END"
+
+
+_LEAF = "sha256(" + " || ".join(_encoded(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+OP11_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT doc_id, lang, h, claimed, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, h) - 1 AS i FROM (
+    SELECT doc_id, lang, {_LEAF.format(text="text")} AS h, CASE WHEN {CRC32.format(s="doc_id::VARCHAR")} % 3 = 0
+      THEN {_LEAF.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} ELSE {_LEAF.format(text="text")} END AS claimed
+    FROM documents)
+),
+node(l, lang, i, h) AS (
+  SELECT 0, lang, i, h FROM leaves
+  UNION ALL
+  SELECT l + 1, lang, i // 8, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS c FROM node) WHERE c > 1 GROUP BY l, lang, i // 8
+),
+sub AS (SELECT lang, max(l) AS l, arg_max(h, l) AS h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i FROM node GROUP BY lang),
+top(l, i, h) AS (
+  SELECT 0, i, h FROM sub
+  UNION ALL
+  SELECT l + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () AS c FROM top) WHERE c > 1 GROUP BY l, i // 8
+),
+side AS (
+  SELECT a.lang, a.l, a.i, COALESCE(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS before, COALESCE(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS after
+  FROM node a JOIN node b ON a.lang IS NOT DISTINCT FROM b.lang AND a.l = b.l AND a.i // 8 = b.i // 8 JOIN sub ON sub.lang IS NOT DISTINCT FROM a.lang AND a.l < sub.l GROUP BY a.lang, a.l, a.i
+),
+top_side AS (
+  SELECT a.l, a.i, COALESCE(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS before, COALESCE(string_agg(b.h, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS after
+  FROM top a JOIN top b ON a.l = b.l AND a.i // 8 = b.i // 8 WHERE a.l < (SELECT max(l) FROM top) GROUP BY a.l, a.i
+),
+up(doc_id, lang, leaf, l, i, h, proof) AS (
+  SELECT doc_id, lang, h, 0, i, claimed, '' FROM leaves
+  UNION ALL
+  SELECT u.doc_id, u.lang, u.leaf, u.l + 1, u.i // 8, sha256(s.before || u.h || s.after), u.proof || s.before || s.after FROM up u JOIN side s ON s.lang IS NOT DISTINCT FROM u.lang AND s.l = u.l AND s.i = u.i
+),
+done AS (SELECT up.*, sub.h AS subroot, sub.i AS place FROM up JOIN sub ON sub.lang IS NOT DISTINCT FROM up.lang AND sub.l = up.l),
+over(doc_id, leaf, subroot, l, i, h, proof) AS (
+  SELECT doc_id, leaf, subroot, 0, place, h, proof FROM done
+  UNION ALL
+  SELECT o.doc_id, o.leaf, o.subroot, o.l + 1, o.i // 8, sha256(s.before || o.h || s.after), o.proof || s.before || s.after FROM over o JOIN top_side s ON s.l = o.l AND s.i = o.i
+),
+root AS (SELECT l, h FROM top ORDER BY l DESC LIMIT 1)
+SELECT doc_id, leaf, subroot, root.h AS root, sha256(proof) AS proof_sha256, over.h AS folded_root, over.h = root.h AS verified FROM over JOIN root ON over.l = root.l
+"""
+
+OP12_SQL = f"""
+WITH line AS (
+  SELECT l.*, v.nation_id, i.item_id AS found, i.price,
+         {CRC32.format(s="concat(COALESCE(sale_id::VARCHAR, ''), ',', COALESCE(l.item_id::VARCHAR, ''), ',', COALESCE(l.vendor_id::VARCHAR, ''), ',', COALESCE(line_no::VARCHAR, ''))")} AS h
+  FROM sale_lines l LEFT JOIN vendors v ON v.vendor_id = l.vendor_id LEFT JOIN items i ON i.item_id = l.item_id
+),
+dated AS (SELECT *, COALESCE(date_diff('day', DATE '1970-01-01', CAST(shipped_at AS DATE)), 19723 + h % 150) AS s FROM line),
+arrived AS (SELECT *, s + h % 7 + CASE WHEN h % 5 = 0 THEN 20 ELSE 0 END AS a FROM dated),
+batched AS (SELECT *, greatest(1, least(8, 1 + CAST(floor((a - 19723) * 8 / 180) AS BIGINT))) AS batch FROM arrived),
+latest AS (SELECT b.batch, (SELECT max(s) FROM batched x WHERE x.batch < b.batch) AS floor_s FROM (SELECT DISTINCT batch FROM batched) b),
+delta AS (
+  SELECT nation_id, found AS item_id, a, batch, CAST(sum(COALESCE(floor(100 * amount + 0.5), quantity * floor(100 * price + 0.5), 0) * CASE WHEN flag = 'swapped' THEN -1 ELSE 1 END) AS BIGINT) AS cents
+  FROM batched JOIN latest USING (batch) WHERE nation_id IS NOT NULL AND found IS NOT NULL AND (floor_s IS NULL OR s + 15 >= floor_s) GROUP BY ALL
+),
+run AS (
+  SELECT nation_id, item_id, a, CAST(sum(cents) OVER w AS BIGINT) AS revenue, lead(a) OVER w AS until FROM delta WINDOW w AS (PARTITION BY nation_id, item_id ORDER BY a)
+),
+day AS (SELECT nation_id, a, batch, row_number() OVER (PARTITION BY nation_id ORDER BY a) AS k FROM (SELECT DISTINCT nation_id, a, batch FROM delta)),
+held AS (SELECT d.nation_id, d.k, d.a, d.batch, r.item_id, r.revenue FROM day d JOIN run r ON r.nation_id = d.nation_id AND r.a <= d.a AND (r.until IS NULL OR d.a < r.until)),
+board AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY nation_id, k ORDER BY revenue DESC, item_id) AS rank FROM held WHERE revenue > 0) WHERE rank <= 10),
+pairs AS (
+  SELECT COALESCE(n.nation_id, o.nation_id) AS nation_id, COALESCE(n.k, o.k + 1) AS k, COALESCE(n.item_id, o.item_id) AS item_id, o.rank AS old_rank, n.rank AS new_rank
+  FROM board n FULL JOIN board o ON n.nation_id = o.nation_id AND n.k = o.k + 1 AND n.item_id = o.item_id
+)
+SELECT pairs.nation_id, CAST(held.a AS BIGINT) AS arrival_day, pairs.item_id, CAST(held.batch AS INT) AS batch,
+       CASE WHEN old_rank IS NULL THEN 'enter' WHEN new_rank IS NULL THEN 'exit' ELSE 'move' END AS change, CAST(old_rank AS INT) AS old_rank, CAST(new_rank AS INT) AS new_rank, held.revenue
+FROM pairs JOIN held ON held.nation_id = pairs.nation_id AND held.k = pairs.k AND held.item_id = pairs.item_id WHERE old_rank IS DISTINCT FROM new_rank
+"""
+
+OP13_SQL = r"""
+WITH doc AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(COALESCE(text, ''), '[^ 	-
+]+') AS w FROM documents),
+win AS (SELECT r, k, array_to_string(list_slice(w, k, k + 34), ' ') AS s FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS k FROM doc WHERE len(w) >= 35)),
+gone AS (SELECT DISTINCT r, unnest(range(k, k + 35)) AS x FROM win WHERE s IN (SELECT s FROM win GROUP BY s HAVING count(*) > 1)),
+word AS (SELECT r, x, w[x] AS word FROM (SELECT r, w, unnest(range(1, len(w) + 1)) AS x FROM doc)),
+left_ AS (SELECT r, string_agg(word, ' ' ORDER BY x) AS kept FROM word ANTI JOIN gone USING (r, x) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, COALESCE(n, 0) AS n_removed, sha256(COALESCE(kept, '')) AS kept_sha256
+FROM doc LEFT JOIN left_ USING (r) LEFT JOIN (SELECT r, count(*) AS n FROM gone GROUP BY r) USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    out = {"op1_mixing": OP1_SQL, "op5_decontamination": OP5_SQL, "op8_line_dedup": OP8_SQL}
+    out = {"op1_mixing": OP1_SQL, "op5_decontamination": OP5_SQL, "op8_line_dedup": OP8_SQL, "op11_merkle": OP11_SQL, "op12_leaderboard": OP12_SQL, "op13_substrings": OP13_SQL}
     return out | ({"pipeline": corpus.ORACLE_SQL} if corpus.ORACLE_SQL else {})
