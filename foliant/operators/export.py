@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import collapse
+from foliant.operators.store import Store, Version, transact
 
 
 def absolute_box(bbox: Column, width: Column, height: Column) -> Column:
@@ -74,24 +77,28 @@ def snapshot(rows: DataFrame, snapshot_id) -> DataFrame:
 
 
 class SnapshotStore:
-    """Snapshots as Parquet partitioned by id: saving overwrites one partition, loading prunes to it."""
+    """Snapshots of a session's tables. Each save is one commit of a transactional store: it is there as a whole or not at all,
+    readers of a version are not disturbed, and of two writers of one snapshot the second saves on top of the first."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
-
-    def save(self, tables: dict[str, DataFrame], snapshot_id: str, title: str, page_count: int) -> None:
-        """Upsert by id. The manifest row is written last, so a snapshot without one is not listed."""
-        for name, df in tables.items():
-            self._put(df.withColumn("snapshot_id", F.lit(snapshot_id)), name)
-        row = self.spark.range(1).select(F.unix_millis(F.current_timestamp()).alias("saved_at"), F.lit(title).alias("title"), F.lit(page_count).alias("page_count"), F.lit(snapshot_id).alias("snapshot_id"))
-        self._put(row, "snapshots")
-
-    def _put(self, df: DataFrame, name: str) -> None:
-        df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("snapshot_id").parquet(f"{self.path}/{name}")
-
-    def load(self, name: str, snapshot_id: str) -> DataFrame:
-        return snapshot(self.spark.read.parquet(f"{self.path}/{name}"), snapshot_id)
-
-    def list(self) -> DataFrame:
-        return newest(self.spark.read.parquet(f"{self.path}/snapshots"))
-
+        self.spark, self.store = spark, Store(spark, path)
+
+    def save(self, tables: dict[str, DataFrame], snapshot_id: str, title: str, page_count: int) -> Version:
+        """Upsert by id."""
+        facts = {"saved_at": time.time_ns() // 1_000_000, "title": title, "page_count": page_count}
+        return transact(self.store, lambda t: t.put(snapshot_id, tables, **facts))
+
+    def delete(self, snapshot_id: str) -> Version:
+        return transact(self.store, lambda t: t.remove(snapshot_id))
+
+    def load(self, name: str, snapshot_id: str, version: Version | None = None) -> DataFrame:
+        """A table of one snapshot, of the last version or of one that was opened before; without rows if there is no such snapshot."""
+        v = version or self.store.version()
+        if snapshot_id in v.entries:
+            return self.store.read(name, v, snapshot_id).withColumn("snapshot_id", F.lit(snapshot_id))
+        return self.store.read(name, v).limit(0).withColumn("snapshot_id", F.lit(snapshot_id))
+
+    def list(self, version: Version | None = None) -> DataFrame:
+        v = version or self.store.version()
+        rows = [(e["saved_at"], e["title"], e["page_count"], k) for k, e in v.entries.items()]
+        return newest(self.spark.createDataFrame(rows, "saved_at long, title string, page_count long, snapshot_id string"))

@@ -21,11 +21,12 @@ def prefilter_score(distance: Column, boost: Column) -> Column:
 
 
 def _candidates(entries: DataFrame, queries: DataFrame, limit: int, order: list[str], keywords: bool) -> DataFrame:
-    """Each query's ``8 * limit`` entries of least score. The queries are the broadcast side; a group limit cuts each
-    query's rows inside every task, so only the best of each task are shuffled."""
-    pairs = entries.crossJoin(F.broadcast(queries))  # of a size that the caller has checked
+    """Each query's ``8 * limit`` entries of least score, by their ``order`` columns. The queries are the broadcast side. Rows that are sorted
+    hold numbers only; a group limit cuts each query's rows inside every task, so only the best of each task are shuffled."""
+    narrow = entries.select(*order, "signature", *(["text"] if keywords else []))
+    pairs = narrow.crossJoin(F.broadcast(queries))  # of a size that the caller has checked
     boost = keyword_overlap(F.col("q_terms"), F.col("text")) if keywords else F.lit(0.0)
-    scored = pairs.withColumn("hamming", hamming(F.col("signature"), F.col("q_signature"))).withColumn("keyword_boost", boost)
+    scored = pairs.select("query_id", *order, hamming(F.col("signature"), F.col("q_signature")).alias("hamming"), boost.alias("keyword_boost"))
     scored = scored.withColumn("score", prefilter_score(F.col("hamming"), F.col("keyword_boost")))
     ranked = scored.withColumn("candidate", F.row_number().over(Window.partitionBy("query_id").orderBy("score", *order)))
     return ranked.where(F.col("candidate") <= OVERSAMPLE * limit)
@@ -34,14 +35,13 @@ def _candidates(entries: DataFrame, queries: DataFrame, limit: int, order: list[
 def candidates(entries: DataFrame, queries: DataFrame, *, limit: int = LIMIT, order: list[str] | None = None) -> DataFrame:
     """The first stage alone, without keywords: each query's ``8 * limit`` nearest signatures."""
     q = queries.select("query_id", F.col("signature").alias("q_signature"))
-    return _in_parts(entries, q, limit, order or ["doc_id", "page_number", "chunk_ord"], False).drop("q_signature")
+    return _in_parts(entries, q, limit, order or ["doc_id", "page_number", "chunk_ord"], False)
 
 
 def _in_parts(entries: DataFrame, q: DataFrame, limit: int, order: list[str], keywords: bool) -> DataFrame:
     """Measure the queries first; beyond what may be broadcast they meet the entries part by part."""
+    q = q.select("query_id", "q_signature", *(["q_terms"] if keywords else []))
     width = F.size("q_signature") * 8 + 8
-    if "q_vector" in q.columns:
-        width = width + F.size("q_vector") * 8
     if keywords:
         width = width + F.aggregate("q_terms", F.lit(0), lambda s, t: s + F.length(t) + 16)
     size = q.agg(F.coalesce(F.sum(width), F.lit(0)).alias("n")).first()["n"]
@@ -62,7 +62,8 @@ def broadcastable(rows: DataFrame, text: Column | str | None = None) -> DataFram
 def search(entries: DataFrame, queries: DataFrame, *, limit: int = LIMIT, order: list[str] | None = None, per_document: bool = False) -> DataFrame:
     """The ``limit`` best entries of each query, ranked from 1.
 
-    ``entries``: vector, signature, the ``order`` columns (their document order, which breaks ties) and, for keywords, text.
+    ``entries``: vector, signature, the ``order`` columns (their document order, which breaks ties and tells them apart) and, for keywords, text.
+    They are read twice, so they should come from a table: first narrow, then the few candidates with all their columns.
     ``queries``: query_id, vector, signature and, for keywords, terms (with doc_id if ``per_document``: then each
     query searches that document only, a plain join). Queries to be matched with all entries are measured first and
     searched in parts if they are large.
@@ -78,6 +79,7 @@ def search(entries: DataFrame, queries: DataFrame, *, limit: int = LIMIT, order:
         found = scored.withColumn("candidate", F.row_number().over(Window.partitionBy("query_id").orderBy("score", *order))).where(F.col("candidate") <= OVERSAMPLE * limit).drop("q_doc")
     else:
         found = _in_parts(entries, q, limit, order, keywords)
+        found = entries.join(found, order).join(q.select("query_id", "q_vector"), "query_id")
     similarity = dot(F.col("vector"), F.col("q_vector")) + F.lit(RERANK_BOOST) * F.col("keyword_boost")
     ranked = found.withColumn("similarity", similarity).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "candidate")))
     return ranked.where(F.col("rank") <= limit).drop("q_vector", "q_signature", "q_terms")

@@ -22,13 +22,17 @@ class Engine:
     titles: DataFrame
 
     @classmethod
-    def index(cls, docs: DataFrame, *, recognizer=None) -> Engine:
-        """From (doc_id, text, title): narrow up to the chunks; pages are one grouped aggregate."""
+    def index(cls, docs: DataFrame, *, recognizer=None, embed=embedding.embed) -> Engine:
+        """From (doc_id, text, title): narrow up to the chunks; pages are one grouped aggregate. ``embed`` adds vectors and signatures."""
         laid = layout.analyze(layout.text_pages(docs), recognizer)
         counts = docs.select("doc_id", F.ceil(F.size(F.split(F.coalesce("text", F.lit("")), "\n")) / 40).alias("page_count"))
         rows = layout.chunks(layout.lines_of_pages(laid)).join(counts, "doc_id")
-        chunks = embedding.embed(rows, F.col("page_count")).drop("page_count")
-        return cls(chunks, layout.index_pages(chunks), docs.select("doc_id", "title"))
+        chunks = embed(rows, F.col("page_count")).drop("page_count")
+        return cls(chunks, cls.pages_of(chunks), docs.select("doc_id", "title"))
+
+    @staticmethod
+    def pages_of(chunks: DataFrame) -> DataFrame:
+        return layout.index_pages(chunks)
 
     def save(self, path: str) -> Engine:
         """Write the index and go on from the tables: build once, query often."""

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from foliant import schemas
 from foliant.functions import hashing, intents, quality, text as tx, vectors as vx
-from foliant.operators import answer, embedding, export, layout, profile, search, weights
+from foliant.operators import answer, embedding, export, layout, postings, profile, search, signatures, temporal, weights
+from foliant.session import scratch_path
 from foliant.sources import files
 from foliant.streaming import sessions
 
@@ -165,6 +166,14 @@ def prefilter_topk(spark, d):
     return search.candidates(vector_entries(spark, d), vector_queries(spark, d), order=["vec_id"]).select("query_id", "vec_id", "hamming", "candidate")
 
 
+@query
+def prefilter_indexed(spark, d):
+    """The same candidates from the banded index, without a scan."""
+    path = scratch_path(spark, "signatures")
+    index = signatures.SignatureIndex.build(vector_entries(spark, d), path, keys=["vec_id"], words=2)
+    return index.nearest(vector_queries(spark, d), search.OVERSAMPLE * search.LIMIT, path=f"{path}/search").nearest.select("query_id", "vec_id", "hamming", "candidate")
+
+
 @query
 def batch_search(spark, d):
     hits = search.search(vector_entries(spark, d), vector_queries(spark, d), order=["vec_id"])
@@ -190,9 +199,20 @@ def keyword_overlap(spark, d):
     return pairs.where("overlap > 0.5").select("query_id", "doc_id", F.round("overlap", 6).alias("overlap"))
 
 
+@query
+def keyword_postings(spark, d):
+    """The same overlaps from posting lists."""
+    index = postings.TermIndex.build(table(spark, d, "documents").select("doc_id", "text"), scratch_path(spark, "terms"), key="doc_id")
+    q = benchmark_queries(spark, d).select("query_id", hashing.query_terms(F.col("text")).alias("terms"))
+    return index.overlaps(q, above=0.5).select("query_id", "doc_id", F.round("overlap", 6).alias("overlap"))
+
+
 @query
 def hybrid_text_search(spark, d):
-    hits = search.search_texts(embedding.embed(chunks_of(spark, d)), embedding.embed_queries(benchmark_queries(spark, d)))
+    """Chunks are embedded once and written, as an index is; the first stage reads their signatures and texts only."""
+    path = scratch_path(spark, "chunks")
+    embedding.embed(chunks_of(spark, d)).write.parquet(path)
+    hits = search.search_texts(spark.read.parquet(path), embedding.embed_queries(benchmark_queries(spark, d)))
     return hits.select("query_id", "rank", "doc_id", "id", F.round("similarity", 4).alias("similarity"), "snippet")
 
 
@@ -856,5 +876,57 @@ def rel_approx_distinct(spark, d):
     return n.select((F.abs(F.col("a") - F.col("e")) <= F.col("e") / 10).alias("near"), F.col("e").alias("n_customers"))
 
 
+@query
+def incremental_index(spark, d):
+    """An index of earlier texts brought up to date: a third has changed, a fifth is new, some are gone."""
+    from foliant.plans.incremental import LiveIndex
+
+    docs = table(spark, d, "documents").select("doc_id", "text", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("title"))
+    stale = docs.where("doc_id % 5 <> 1").withColumn("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.coalesce("text", F.lit("")), F.lit(" as it was"))).otherwise(F.col("text")))
+    gone = docs.where("doc_id % 7 = 0").withColumn("doc_id", -1 - F.col("doc_id"))
+    index = LiveIndex(spark, scratch_path(spark, "incremental"))
+    index.update(stale.unionByName(gone))
+    return index.table("chunks", index.update(docs)).select("doc_id", "id", "text", "generation")
+
+
+DAY, HOUR = 86_400_000_000, 3_600_000_000
+
+
+@query
+def rel_asof(spark, d):
+    """Each click with its client's latest sale that is not after it."""
+    c = table(spark, d, "clicks").select("click_id", "client_id", "ts", "kind")
+    s = table(spark, d, "sales").select("sale_id", "client_id", "sold_at")
+    m = temporal.as_of(c, s, on={"client_id": "client_id"}, at=("ts", "sold_at"), width=7 * DAY, ties=["sale_id"])
+    return m.select("click_id", "client_id", "kind", "match.sale_id", F.unix_micros(F.col("match.sold_at").cast("timestamp")).alias("sold_at"))
+
+
+@query
+def rel_asof_next(spark, d):
+    """Each sale with its client's first click at most an hour after it."""
+    s = table(spark, d, "sales").select("sale_id", "client_id", "sold_at")
+    c = table(spark, d, "clicks").select("click_id", "client_id", "ts")
+    m = temporal.as_of(s, c, on={"client_id": "client_id"}, at=("sold_at", "ts"), width=7 * DAY, ties=["click_id"], tolerance=HOUR, forward=True)
+    return m.select("sale_id", "client_id", "match.click_id")
+
+
+@query
+def rel_interval(spark, d):
+    """How many of its client's clicks were on their way while a sale was."""
+    s = table(spark, d, "sales").select("sale_id", "client_id", "sold_at", "arrived_at")
+    c = table(spark, d, "clicks").select("click_id", "client_id", "ts", "arrived_at")
+    pairs = temporal.interval_join(s, c, on={"client_id": "client_id"}, left_span=("sold_at", "arrived_at"), right_span=("ts", "arrived_at"), finest=HOUR)
+    return pairs.groupBy(F.col("left.sale_id").alias("sale_id")).agg(F.count(F.lit(1)).alias("n_clicks"), F.min("right.click_id").alias("first_click"))
+
+
+@query
+def rel_range(spark, d):
+    """Customers and suppliers of one nation whose balances differ by 25 at most."""
+    c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
+    s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
+    pairs = temporal.range_join(c, s, on={"c_nationkey": "s_nationkey"}, value=("c_acctbal", "s_acctbal"), within=(-25.0, 25.0))
+    return pairs.select("left.c_custkey", "right.s_suppkey")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

@@ -475,8 +475,19 @@ SQL: dict[str, str] = {
     "rel_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "rel_setops": "SELECT k, 'both' AS part FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) UNION ALL SELECT DISTINCT k, 'more' FROM (SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)",
     "rel_distinct": "SELECT o_orderpriority, count(DISTINCT o_custkey) AS n_customers, CAST(sum(DISTINCT o_custkey % 100) AS BIGINT) AS s FROM orders GROUP BY 1",
+    "incremental_index": f"{CHUNKS} SELECT doc_id, id, text, CAST(CASE WHEN doc_id % 3 = 0 OR doc_id % 5 = 1 THEN 2 ELSE 1 END AS INT) AS generation FROM chunk",
+    "rel_asof": """SELECT c.click_id, c.client_id, c.kind, s.sale_id, epoch_us(s.sold_at) AS sold_at FROM clicks c
+      ASOF LEFT JOIN (SELECT client_id, sold_at, max(sale_id) AS sale_id FROM sales WHERE client_id IS NOT NULL AND sold_at IS NOT NULL GROUP BY 1, 2) s ON c.client_id = s.client_id AND c.ts >= s.sold_at""",
+    "rel_asof_next": """SELECT s.sale_id, s.client_id, CASE WHEN c.ts <= s.sold_at + INTERVAL 1 HOUR THEN c.click_id END AS click_id FROM sales s
+      ASOF LEFT JOIN (SELECT client_id, ts, max(click_id) AS click_id FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2) c ON s.client_id = c.client_id AND s.sold_at <= c.ts""",
+    "rel_interval": """SELECT s.sale_id, count(*) AS n_clicks, min(c.click_id) AS first_click FROM sales s JOIN clicks c ON s.client_id = c.client_id AND s.sold_at <= c.arrived_at AND c.ts <= s.arrived_at
+      WHERE s.sold_at <= s.arrived_at AND c.ts <= c.arrived_at GROUP BY 1""",
+    "rel_range": "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND s_acctbal BETWEEN c_acctbal - 25 AND c_acctbal + 25",
 }
 
+# Other ways to the same rows.
+SQL |= {"prefilter_indexed": SQL["prefilter_topk"], "keyword_postings": SQL["keyword_overlap"]}
+
 
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)
