@@ -78,8 +78,8 @@ class Reader:
     at places of their own, so an anchor occurs at least as often as each of its windows; neighbours mostly share one.
     """
 
-    def __init__(self, words: int):
-        self.words, self.part = words, words // 2 + 1
+    def __init__(self, words: int, *, piece: int = PIECE, slice_bytes: int = SLICE_BYTES):
+        self.words, self.part, self.piece, self.slice_bytes = words, words // 2 + 1, piece, slice_bytes
         self.hashes = Hashes()
 
     def pieces(self, texts: pa.Array) -> Iterator[Piece]:
@@ -88,7 +88,7 @@ class Reader:
         while at < len(texts):
             end = at + 1
             total = sizes[at]
-            while end < len(texts) and total + sizes[end] <= SLICE_BYTES:
+            while end < len(texts) and total + sizes[end] <= self.slice_bytes:
                 total += sizes[end]
                 end += 1
             yield from self._slice(texts.slice(at, end - at), at)
@@ -99,12 +99,12 @@ class Reader:
         lanes = np.frombuffer(b"".join(hashlib.blake2b(w, digest_size=16).digest() for w in found.distinct.cast(pa.binary()).to_pylist()), np.uint64).reshape(-1, 2).T
         starts = found.starts
         counts = np.diff(starts)
-        if starts[-1] <= PIECE or len(counts) > 1:
+        if starts[-1] <= self.piece or len(counts) > 1:
             if starts[-1] >= self.words:
                 yield self._piece(lanes[:, found.ids], np.arange(len(counts)) + first, starts[:-1], counts, np.zeros(len(counts), np.int64))
             return
-        for a in range(0, int(starts[-1]) - self.words + 1, PIECE):  # one long text: each window is in one piece
-            own = found.ids[a : a + PIECE + self.words - 1]
+        for a in range(0, int(starts[-1]) - self.words + 1, self.piece):  # one long text: each window is in one piece
+            own = found.ids[a : a + self.piece + self.words - 1]
             yield self._piece(lanes[:, own], np.array([first]), np.zeros(1, np.int64), np.array([len(own)]), np.array([a]))
 
     def _piece(self, lanes: np.ndarray, text: np.ndarray, begin: np.ndarray, counts: np.ndarray, skipped: np.ndarray) -> Piece:
