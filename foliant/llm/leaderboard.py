@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -268,8 +269,25 @@ def board_changes(sums: DataFrame) -> DataFrame:
 # The stream
 
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Stateful functions need this store. A start has one batch, so tasks close their stores with it; open ones would pile up on
+#: executors, start after start, until maintenance comes round.
+SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
+}
+
+
+@contextmanager
+def stateful(spark: SparkSession) -> Iterator[None]:
+    """Streams that start here take the settings; those that run beside them do not."""
+    before = {k: spark.conf.get(k, None) for k in SETTINGS}
+    for k, v in SETTINGS.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def _move(spark: SparkSession, source: str, target: str) -> bool:
@@ -302,9 +320,7 @@ def changes(lines: DataFrame, items: DataFrame, vendors: DataFrame, *, shard_ite
     written = spark.read.schema(LINES).parquet(f"{root}/lines")
     latest = {r["line_batch"]: r["latest"] for r in written.groupBy("line_batch").agg(F.max("shipped").alias("latest")).collect()}  # eight rows
     shards = max(1, -(-items.count() // shard_items))
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKS)
-    try:
+    with stateful(spark):
         for b in range(1, BATCHES + 1):
             _move(spark, f"{root}/lines/line_batch={b}", f"{root}/feed/line_batch={b}")
             rows = spark.readStream.schema(LINES).parquet(f"{root}/feed").where("nation_id is not null and item_id is not null")
@@ -313,8 +329,6 @@ def changes(lines: DataFrame, items: DataFrame, vendors: DataFrame, *, shard_ite
             out = board_changes(summed(rows, shards)).withColumn("batch", F.lit(b))
             query = out.writeStream.format("parquet").option("path", f"{root}/changes").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start()
             query.awaitTermination()
-    finally:
-        spark.conf.set(PROVIDER, before)
     for gone in ("lines", "feed", "checkpoint"):
         delete(spark, f"{root}/{gone}")
     schema = CHANGES.replace("change string", "batch int, change string")
