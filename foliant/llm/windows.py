@@ -184,59 +184,65 @@ def again_plane(texts: DataFrame, bits: int, words: int) -> np.ndarray:
     return out.reshape(DEPTH, -1)
 
 
-RUNS = "row long, lo long, n int, a long, b long, windows binary"
+RUN = pa.struct([("lo", pa.int64()), ("n", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("windows", pa.binary())])
+RUNS = "array<struct<lo:long,n:int,a:long,b:long,windows:binary>>"
 
 
 def candidate_runs(texts: DataFrame, bits: int, words: int) -> DataFrame:
-    """Runs of neighbouring windows that the sketch takes for repeated: row, lo (first word), n (windows), two hashes of all words of the run,
-    and the hashes of its windows (null where the task has given an equal run before)."""
+    """(doc_id, text, runs): each text with its runs of neighbouring windows that the sketch takes for repeated. lo: first word; n: windows;
+    a, b: hashes of all words of the run; windows: their hashes, null where the task has given an equal run before."""
     sent = texts.sparkSession.sparkContext.broadcast(again_plane(texts, bits, words))
 
+    def found(reader: Reader, p: Piece, planes: np.ndarray, seen: set) -> list[np.ndarray | list]:
+        """(text, lo, n, a, b, windows) of a piece's runs."""
+        maybe = np.ones(len(p.windows), bool)
+        for plane, at in zip(planes, cells(p.key[p.anchor], bits), strict=True):
+            maybe &= plane[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
+        w = p.windows[maybe]
+        if not len(w):
+            return []
+        own = np.searchsorted(p.begin, w, side="right") - 1
+        new = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1] + 1) | (own[1:] != own[:-1]))))
+        first, last = w[new], w[np.concatenate((new[1:] - 1, [len(w) - 1]))]
+        n, own = last - first + 1, own[new]
+        a, b = (reader.hashes.runs(p.prefix[k], k, first, last + words).view(np.int64) for k in range(2))
+        each = np.stack([reader.hashes.runs(p.prefix[k], k, w, w + words) for k in range(2)], axis=1)
+        bodies = []
+        for k, at, size in zip(zip(a.tolist(), b.tolist(), strict=True), new.tolist(), n.tolist(), strict=True):
+            bodies.append(None if k in seen else each[at : at + size].tobytes())
+            seen.add(k)
+        return [p.text[own], first - p.begin[own] + p.skipped[own], n, a, b, bodies]
+
     def list_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, planes, seen = Reader(words), sent.value, set()
         for batch in batches:
-            rows = batch.column(0).to_numpy()
-            for p in reader.pieces(batch.column(1)):
-                if not len(p.windows):
-                    continue
-                maybe = np.ones(len(p.windows), bool)
-                for plane, at in zip(planes, cells(p.key[p.anchor], bits), strict=True):
-                    maybe &= plane[at >> 3] >> (at & 7).astype(np.uint8) & 1 > 0
-                w = p.windows[maybe]
-                if not len(w):
-                    continue
-                own = np.searchsorted(p.begin, w, side="right") - 1
-                new = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1] + 1) | (own[1:] != own[:-1]))))
-                first, last = w[new], w[np.concatenate((new[1:] - 1, [len(w) - 1]))]
-                n, own = last - first + 1, own[new]
-                a, b = (reader.hashes.runs(p.prefix[k], k, first, last + words).view(np.int64) for k in range(2))
-                each = np.stack([reader.hashes.runs(p.prefix[k], k, w, w + words) for k in range(2)], axis=1)
-                bodies = []
-                for k, at, size in zip(zip(a.tolist(), b.tolist(), strict=True), new.tolist(), n.tolist(), strict=True):
-                    bodies.append(None if k in seen else each[at : at + size].tobytes())
-                    seen.add(k)
-                if len(seen) > 200_000:
-                    seen.clear()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(rows[p.text[own]]), pa.array(first - p.begin[own] + p.skipped[own]), pa.array(n.astype(np.int32)), pa.array(a), pa.array(b), pa.array(bodies, pa.binary())],
-                    names=["row", "lo", "n", "a", "b", "windows"],
-                )
-
-    return texts.select("row", "text").mapInArrow(list_runs, RUNS)
-
-
-def repeated_windows(texts: DataFrame, scratch: Scratch, *, words: int = WORDS, bits: int | None = None) -> DataFrame:
-    """(row, spans): first and last start of runs of windows whose words also start elsewhere. ``texts``: row, text (binary).
+            parts = [x for p in reader.pieces(batch.column(1)) if len(p.windows) and (x := found(reader, p, planes, seen))]
+            if len(seen) > 200_000:
+                seen.clear()
+            text, lo, n, a, b = (np.concatenate([x[k] for x in parts]) if parts else np.zeros(0, np.int64) for k in range(5))
+            columns = [pa.array(lo, pa.int64()), pa.array(n.astype(np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([y for x in parts for y in x[5]], pa.binary())]
+            offsets = pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32))
+            runs = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, fields=list(RUN)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), runs], names=["doc_id", "text", "runs"])
+
+    return texts.select("doc_id", "text").mapInArrow(list_runs, f"doc_id long, text binary, runs {RUNS}")
+
+
+def sketch_bits(texts: DataFrame) -> int:
+    size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    bits = MIN_BITS
+    while bits < MAX_BITS and bits < 8 * size // BYTES_PER_ANCHOR:
+        bits *= 2
+    return bits
+
+
+def repeated_windows(read: DataFrame, scratch: Scratch) -> DataFrame:
+    """(row, spans): first and last start of runs of windows whose words also start elsewhere. ``read``: row and the candidate runs.
 
     Runs are grouped first: one that occurs again repeats as a whole, so copies cost one row each. The windows of each distinct run
     are grouped by their 128 bits; only runs that occur once need their counts.
     """
-    if bits is None:
-        size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-        bits = MIN_BITS
-        while bits < MAX_BITS and bits < 8 * size // BYTES_PER_ANCHOR:
-            bits *= 2
-    runs = scratch.write(candidate_runs(texts, bits, words), "runs")
+    runs = read.where(F.size("runs") > 0).select("row", F.explode("runs").alias("r")).select("row", "r.*")
     some = F.first("windows", ignorenulls=True).alias("windows")
     kinds = scratch.write(runs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.first("row").alias("row"), F.first("lo").alias("lo"), F.max("n").alias("n"), some), "kinds")
 
@@ -284,10 +290,11 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     * Empty tables give empty results; other columns are ignored, whatever their names.
     """
     scratch = Scratch(docs.sparkSession)
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"), F.monotonically_increasing_id().alias("row"))
-    rows = scratch.write(rows, "texts")  # gives rows a number that stays
-    spans = scratch.write(repeated_windows(rows, scratch, words=words, bits=bits).withColumnRenamed("row", "in_row"), "spans")
-    for name in ("runs", "kinds", "often"):
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
+    runs = candidate_runs(texts, bits or sketch_bits(texts), words)
+    read = scratch.write(runs.withColumn("row", F.monotonically_increasing_id()), "read")  # gives rows a number that stays
+    spans = scratch.write(repeated_windows(read.select("row", "runs"), scratch).withColumnRenamed("row", "in_row"), "spans")
+    for name in ("kinds", "often"):
         scratch.drop(name)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,8 +311,10 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                 kept.append(left)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    joined = rows.join(spans, rows["row"] == spans["in_row"], "left").select("doc_id", "text", "spans")
-    out = joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
+    none = read.where(F.size("runs") == 0).select("doc_id", "text", F.lit(None).cast("array<struct<lo:long,hi:long>>").alias("spans"))
+    some = read.where(F.size("runs") > 0)  # only texts that may lose words are moved
+    some = some.join(spans, some["row"] == spans["in_row"], "left").select("doc_id", "text", "spans")
+    out = none.unionByName(some).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
     return out.withColumn("kept", F.col("kept").cast("string"))
 
 
