@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliant.llm.common import bitmap, checkpoint
+from foliant.llm.common import HOT_PARTS, bitmap, checkpoint
 
 WINDOW = 13
 #: Shingles that are broadcast as they are (at most 64 bytes each here); beyond it a bit map of fixed size goes out.
@@ -126,7 +126,21 @@ def _verify(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             w, first = bytes(window).split(), len(head) - offset
             ok.append(around[first : first + len(w)] == w)
         hit = p[ok]
-        yield pd.DataFrame({"row": hit["row"], "start": (hit["pos"] - hit["offset"]).astype("int64"), "n": hit["n"].astype("int64"), "item_id": hit["item_id"]})
+        yield pd.DataFrame({"row": hit["row"], "start": (hit["pos"] - hit["offset"]).astype("int64"), "n": hit["n"].astype("int64"), "wid": hit["wid"]})
+
+
+def owned(occurrences: DataFrame, owners: DataFrame, spread: int) -> DataFrame:
+    """Occurrences (row, start, n, wid) with the items of their window (wid, item_id).
+
+    A window in more than a thousandth of all occurrences is hot: fewer than a thousand are, so their names go to all tasks; their
+    occurrences are dealt to ``spread`` salts, their items copied to each.
+    """
+    counts = occurrences.groupBy("wid").agg(F.count(F.lit(1)).alias("times"))
+    hot = F.broadcast(counts.where(F.col("times") * HOT_PARTS > occurrences.count()).select("wid", F.lit(spread).alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = occurrences.join(hot, "wid", "left").withColumn("salt", F.pmod(F.xxhash64("row", "start"), parts).cast("int")).drop("parts")
+    copied = owners.join(hot, "wid", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return dealt.join(copied, ["wid", "salt"]).drop("salt")
 
 
 def hits(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = WINDOW, spread: int = 64) -> DataFrame:
@@ -146,13 +160,14 @@ def hits(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
       document are judged by themselves. Empty tables on either side are fine; other columns are ignored.
 
     What is sent to all tasks is a set of checked size, or beyond that a bit map of fixed size, which
-    lets more words through but loses none. Hot pairs are spread over ``spread`` salted copies of their windows.
+    lets more words through but loses none. Hot pairs are spread over ``spread`` salted copies of their windows, and so are
+    hot windows over copies of their items.
     """
     wins = checkpoint(windows(items, item=item, text=item_text, size=size).dropDuplicates(["item_id", "window"]))
     spots = wins.select("window", "n", F.explode("spots").alias("s")).select("window", "n", "s.offset", "s.shingle").distinct()
     counts = checkpoint(shingle_counts(docs, members(spots.select("shingle").distinct()), text))
     ranked = spots.join(counts.withColumnRenamed("n", "often"), "shingle", "left").withColumn("often", F.coalesce("often", F.lit(0)))
-    prefix = checkpoint(ranked.groupBy("window", "n").agg(F.min(F.struct("often", "shingle", "offset")).alias("rare")).select("window", "n", "rare.shingle", "rare.offset", "rare.often"))
+    prefix = checkpoint(ranked.groupBy("window", "n").agg(F.min(F.struct("often", "shingle", "offset")).alias("rare")).select("window", "n", "rare.shingle", "rare.offset", "rare.often", F.monotonically_increasing_id().alias("wid")))
     chosen = prefix.select("shingle").distinct()
     singles = bool(prefix.where("n = 1").take(1))
     hot = members(prefix.where(F.col("often") > HOT_SHINGLE).select("shingle").distinct())
@@ -165,15 +180,16 @@ def hits(docs: DataFrame, items: DataFrame, *, key: str = "doc_id", text: str =
             salted[hot.found(batch.column(1).to_pylist())] = 1
             at = np.repeat(np.arange(batch.num_rows), np.where(salted, spread, 1))
             salt = np.arange(len(at)) - np.searchsorted(at, at)
-            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(at)) for c in batch.columns], pa.array(salt.astype(np.int32))], names=["n", "shingle", "offset", "window", "salt"])
+            yield pa.RecordBatch.from_arrays([*[c.take(pa.array(at)) for c in batch.columns], pa.array(salt.astype(np.int32))], names=["n", "shingle", "offset", "window", "wid", "salt"])
 
     # The same test as for the places decides which windows get a copy for each salt.
-    salted = prefix.select("n", "shingle", "offset", "window").mapInArrow(dealt, "n int, shingle binary, offset int, window binary, salt int")
+    salted = prefix.select("n", "shingle", "offset", "window", "wid").mapInArrow(dealt, "n int, shingle binary, offset int, window binary, wid long, salt int")
     met = found.join(salted, ["shingle", "salt"]).where((F.col("offset") <= F.col("left")) & (F.col("n") - F.col("offset") <= F.col("right")))
-    seen = met.join(wins.select("item_id", "window"), "window").select("row", "pos", "before", "after", "offset", "window", "n", "item_id")
-    at = checkpoint(seen.mapInPandas(_verify, "row long, start long, n long, item_id long"))
+    # Words are compared before anything is gathered by window.
+    occurrences = checkpoint(met.select("row", "pos", "before", "after", "offset", "window", "n", "wid").mapInPandas(_verify, "row long, start long, n long, wid long"))
+    at = owned(occurrences, wins.select("item_id", "window").join(prefix.select("window", "wid"), "window").select("wid", "item_id"), spread)
     # Words covered: what each occurrence adds behind the farthest end before it.
-    spans = at.select("row", "start", "n").distinct().withColumn("end", F.col("start") + F.col("n"))
+    spans = occurrences.select("row", "start", "n").distinct().withColumn("end", F.col("start") + F.col("n"))
     before = F.max("end").over(Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1))
     added = spans.withColumn("before", F.coalesce(before, F.lit(0))).withColumn("added", F.greatest(F.lit(0), F.col("end") - F.greatest("start", "before")))
     covered = added.groupBy("row").agg(F.sum("added").alias("n_hit"))
