@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import gru
-from foliant.llm.common import Scratch
-from foliant.llm.words import identity_lower, split
+from foliant.llm.common import HOT_PARTS, Scratch
+from foliant.llm.words import identity_lower, short, slices, split
 
 #: The network's words; all others share one class. Words whose counts go to all tasks (bounded, a few megabytes).
 VOCABULARY, FREQUENT = 2047, 131_072
@@ -22,8 +22,8 @@ DIMS, HIDDEN, CLASSES = 16, 16, 16
 STREAMS, STEPS, EPOCHS, RATE = 64, 20, 2, 0.01
 #: The pass over all training rows: rounds, buckets wanted in each, words of a bucket (least, most), streams and steps.
 ROUNDS, BUCKETS, BUCKET_WORDS, WIDE_STREAMS, WIDE_STEPS = 3, 240, (500_000, 4_000_000), 512, 10
-#: Texts that run side by side, and states that wait for the output layer at most (window of carried state).
-SLICE_DOCS, PENDING = 5000, 150_000
+#: Texts and bytes of texts that run side by side, and states that wait for the output layer at most (window of carried state).
+SLICE_DOCS, SLICE_BYTES, PENDING = 5000, 32 << 20, 150_000
 END = b""
 
 
@@ -33,16 +33,16 @@ def held_out(doc_id):
 
 
 def word_counts(docs: DataFrame, *, text: str = "text") -> DataFrame:
-    """(word, n) over all given documents; the end of a text counts as the empty word."""
+    """(word, n) over all given documents; the end of a text counts as the empty word. Long words are named as ``short`` does."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = identity_lower()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_DOCS):
-                part = batch.slice(at, SLICE_DOCS)
+            for at, rows in slices(batch.column(0), SLICE_DOCS, SLICE_BYTES):
+                part = batch.slice(at, rows)
                 words = split(part.column(0), table)
                 counts = np.bincount(words.ids, minlength=len(words.distinct))
-                names = pa.concat_arrays([words.distinct.cast(pa.binary()), pa.array([END], pa.binary())])
+                names = pa.concat_arrays([short(words.distinct), pa.array([END], pa.binary())])
                 yield pa.RecordBatch.from_arrays([names, pa.array(np.append(counts, part.num_rows), pa.int64())], names=["word", "n"])
 
     return docs.select(F.col(text).alias("text")).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
@@ -259,9 +259,9 @@ def fit_all(model: Model, training: DataFrame, n_words: int, *, key: str = "doc_
             net, table, texts = sent.value, identity_lower(), []
             vocab = pa.array(net.words, pa.binary())
             for batch in batches:
-                for at in range(0, batch.num_rows, SLICE_DOCS):
-                    ws = split(batch.column(0).slice(at, SLICE_DOCS), table)
-                    own = pc.fill_null(pc.index_in(ws.distinct.cast(pa.binary()), value_set=vocab), -1).to_numpy(zero_copy_only=False).astype(np.int32) + 1
+                for at, n_rows in slices(batch.column(0), SLICE_DOCS, SLICE_BYTES):
+                    ws = split(batch.column(0).slice(at, n_rows), table)
+                    own = pc.fill_null(pc.index_in(short(ws.distinct), value_set=vocab), -1).to_numpy(zero_copy_only=False).astype(np.int32) + 1
                     ids = own[ws.ids] if len(own) else np.zeros(0, np.int32)
                     texts += [ids[a:b] for a, b in zip(ws.starts, ws.starts[1:], strict=False)]
             if texts:
@@ -297,9 +297,11 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabular
     * Null, empty and blank texts are one end. A null key trains. Repeated rows count and are scored each.
     * Without training rows all counts are 0 and the network stays as initialised. Empty tables give empty results.
 
+    * A word of more than 64 bytes is told by its 128-bit digest, so what is sent and joined is short whatever the texts hold.
+
     Counts and the network's fit cover all training rows, and no text goes to the driver. The most frequent words' counts
-    are sent to all tasks (a bounded table), the other words of each text meet their counts in a join, in which no word
-    is frequent.
+    are sent to all tasks (131,072 words of 64 bytes at most), the other words of each text meet their counts in a join. In it a word
+    is frequent only if it occurs in held-out rows alone; such words have no row on the other side and are left out before.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     training = docs.where(~held_out(F.col(key)))
@@ -324,10 +326,11 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabular
         to_id = np.array([net.ids.get(w, 0) for w in vocab.to_pylist()] + [0], np.int32)
         table = identity_lower()
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_DOCS):
-                part = batch.slice(at, SLICE_DOCS)
+            for at, n_rows in slices(batch.column(2), SLICE_DOCS, SLICE_BYTES):
+                part = batch.slice(at, n_rows)
                 ws = split(part.column(2), table)
-                place = pc.fill_null(pc.index_in(ws.distinct.cast(pa.binary()), value_set=vocab), len(vocab)).to_numpy(zero_copy_only=False).astype(np.int32) if len(ws.distinct) else np.zeros(0, np.int32)
+                names = short(ws.distinct)
+                place = pc.fill_null(pc.index_in(names, value_set=vocab), len(vocab)).to_numpy(zero_copy_only=False).astype(np.int32) if len(ws.distinct) else np.zeros(0, np.int32)
                 owner = np.repeat(np.arange(part.num_rows, dtype=np.int32), np.diff(ws.starts))
                 of = place[ws.ids]
                 ids, rare = to_id[of], of == len(vocab)
@@ -339,7 +342,7 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabular
                 pairs, tf = np.unique(owner[rare].astype(np.int64) * (len(ws.distinct) + 1) + ws.ids[rare], return_counts=True)
                 whose, word = np.divmod(pairs, len(ws.distinct) + 1)
                 offsets = pa.array(np.searchsorted(whose, np.arange(n + 1)).astype(np.int32))
-                lists = [pa.ListArray.from_arrays(offsets, v) for v in (ws.distinct.cast(pa.binary()).take(pa.array(word)), pa.array(tf.astype(np.int32)))]
+                lists = [pa.ListArray.from_arrays(offsets, v) for v in (names.take(pa.array(word)), pa.array(tf.astype(np.int32)))]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(1), pa.array(np.diff(ws.starts) + 1), pa.array(np.bincount(owner, ~rare, n).astype(np.int64)), pa.array(base), pa.array(head), *lists],
                     names=["row", "doc_id", "n_tokens", "known", "base", "head", "words", "times"],
@@ -349,7 +352,11 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabular
     rows = scratch.write(slim.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, base double, head double, words array<binary>, times array<int>"), "rows")
     few = counts.where(F.length("word") > 0) if least is None else counts.where((F.col("n") < least) & (F.length("word") > 0))
     each = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    met = each.join(few, "word", "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 1)).alias("rare"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("rare_known"))
+    # Words that no training row has count 0 and add log10(1); hot ones of them do not go to the join.
+    n_each = rows.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    often = each.groupBy("word").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") * HOT_PARTS > n_each)
+    each = each.join(F.broadcast(often.join(few, "word", "left_anti").select("word")), "word", "left_anti")  # fewer than HOT_PARTS words
+    met = each.join(few, "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare"), F.sum("times").alias("rare_known"))
     out = rows.select("row", "doc_id", "n_tokens", "known", "base", "head").join(met, "row", "left")
     rare, end_log, end_known = F.coalesce("rare", F.lit(0.0)), float(np.log10((ends[0]["n"] if ends else 0) + 1)), int(bool(ends))
     return out.select(

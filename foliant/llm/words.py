@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,6 +42,30 @@ def split(texts: pa.Array, table: np.ndarray) -> Words:
     return Words(coded.indices.to_numpy().astype(np.int64), starts, coded.dictionary)
 
 
+#: Words of more bytes are named by a digest; see ``short``.
+MAX_WORD_BYTES = 64
+
+
+def short(distinct: pa.Array) -> pa.Array:
+    """Words as binaries of bounded length: one of more than MAX_WORD_BYTES becomes a space, which no word holds, and its 128-bit digest."""
+    distinct = distinct.cast(pa.binary())
+    long = pc.greater(pc.binary_length(distinct), MAX_WORD_BYTES)
+    if not len(distinct) or not pc.any(long).as_py():
+        return distinct
+    return pa.array([b" " + hashlib.blake2b(w, digest_size=16).digest() if len(w) > MAX_WORD_BYTES else w for w in distinct.to_pylist()], pa.binary())
+
+
+def slices(texts: pa.Array, rows: int, size: int) -> Iterator[tuple[int, int]]:
+    """(start, length) of parts of at most ``rows`` texts and ``size`` bytes; a longer text is a part of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        before = ends[at - 1] if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
+        yield at, end - at
+        at = end
+
+
 def identity_lower() -> np.ndarray:
     """A-Z to a-z; all else stays."""
     table = np.arange(256, dtype=np.uint8)
