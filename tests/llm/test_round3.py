@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.llm import common, leaderboard, merkle, queries, windows
+from foliant.llm import common, decontamination, leaderboard, lm, merkle, queries, windows
 
 SF = "/root/testdata/sf0.001"
 DDL = "doc_id bigint, text string, lang string, source string, n_chars bigint, tree long, idx string, row string, path string, spans string"
@@ -317,3 +317,42 @@ def test_anchors_occur_as_often_as_their_windows():
 
 def test_new_queries_are_registered():
     assert {"op11_merkle", "op12_leaderboard", "op13_substrings"} <= set(queries.queries()) & set(queries.oracle_sql())
+
+
+# What earlier operators do with long words and hot windows
+
+
+def test_long_words_are_told_by_digests(spark):
+    """A word of 50 MB, two that differ in their last byte, and none of them sent out whole."""
+    big = "z" * 50_000_000
+    rows = [(1, big), (3, big + " " + "y" * 100), (4, "y" * 99 + "x y"), (5, "y" * 64)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    counts = {bytes(r["word"]): r["n"] for r in lm.word_counts(df).collect()}
+    assert max(map(len, counts)) <= 64 and sorted(counts.values()) == [1, 1, 1, 1, 2, 4]  # and four ends
+    out = {r["doc_id"]: r for r in lm.score(df).collect()}
+    known = {k: (zlib.crc32(str(k).encode()) % 7 == 2) for k in out}
+    assert all(r["held_out"] == known[k] for k, r in out.items())
+    n = sum(len(t.split()) + 1 for k, t in rows if not known[k])
+    assert all(r["train_tokens"] == n for r in out.values())
+
+
+def test_a_held_out_document_many_times(spark):
+    """Its words have no counts in training, however many rows repeat it: nothing is gathered, all rows score alike."""
+    (held,) = [k for k in range(40) if zlib.crc32(str(k).encode()) % 7 == 2][:1]
+    free = [k for k in range(40) if zlib.crc32(str(k).encode()) % 7 != 2]
+    df = spark.range(10_000).select(F.lit(held).cast("long").alias("doc_id"), F.lit("unseen words only here").alias("text")).unionByName(spark.createDataFrame([(k, f"some training text {k}") for k in free], "doc_id long, text string"))
+    out = lm.score(df).where(F.col("doc_id") == held).groupBy("n_tokens", "n_known", F.round("score", 9).alias("s"), F.round("base_score", 9).alias("b")).count().collect()
+    assert [(r["n_tokens"], r["n_known"], r["count"]) for r in out] == [(5, 1, 10_000)]
+
+
+def test_a_window_in_half_of_all_documents(spark):
+    """Occurrences of a hot window are dealt to salts, so no task gets them all; results stay."""
+    passage = "a licence passage of thirteen words that stands in very many of the texts"
+    rows = [(k, f"text {k} says {passage} and more") if k % 2 else (k, f"clean text {k}") for k in range(2000)]
+    df, items = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, passage), (2, passage), (3, "another item")], "item_id long, text string")
+    out = decontamination.hits(df, items).groupBy("n_hit", "n_items", "contaminated").count().collect()
+    assert sorted(tuple(r) for r in out) == [(0, 0, False, 1000), (14, 2, True, 1000)]
+    occurrences = spark.range(2000).select(F.col("id").alias("row"), F.lit(3).cast("long").alias("start"), F.lit(13).cast("long").alias("n"), F.when(F.col("id") % 2 == 0, 7).otherwise(F.col("id")).alias("wid"))
+    owners = spark.createDataFrame([(7, 1), (7, 2), (9, 1)], "wid long, item_id long")
+    dealt = decontamination.owned(occurrences, owners, 16)
+    assert dealt.count() == dealt.select("row", "item_id").distinct().count() == 2003  # 1001 rows with two items, one with one
