@@ -50,6 +50,13 @@ class TermIndex:
         grams = terms.select("term", F.explode(F.array_distinct(_parts(F.col("term")))).alias("gram")).join(self.frequencies, "gram", "left")
         return grams.groupBy("term").agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), "gram")).alias("gram"), F.min(F.coalesce("n", F.lit(0))).alias("n")).where("n > 0")
 
+    def chosen(self, queries: DataFrame, *, above: float) -> DataFrame:
+        """(query_id, gram, n): the lists that ``overlaps`` reads."""
+        own = queries.select("query_id", F.size("terms").alias("size"), F.explode("terms").alias("term"))
+        rare = own.join(self.rarest(own.select("term").distinct()), "term", "left").withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("n", F.lit(0)), "term")))
+        needed = rare.where((F.col("nth") <= F.col("size") - F.floor(F.col("size") * above)) & F.col("gram").isNotNull())
+        return needed.select("query_id", "gram", "n").distinct()
+
     def overlaps(self, queries: DataFrame, *, above: float) -> DataFrame:
         """(query_id, key, overlap) of texts that contain more than the share ``above`` of a query's terms: (query_id, terms).
 
@@ -60,10 +67,7 @@ class TermIndex:
         * Queries without terms and texts that are null have no overlap. Repeated query ids are one query.
         """
         q = queries.where(F.size("terms") > 0).select("query_id", "terms").dropDuplicates(["query_id"])
-        own = q.select("query_id", F.size("terms").alias("size"), F.explode("terms").alias("term"))
-        rare = own.join(self.rarest(own.select("term").distinct()), "term", "left").withColumn("nth", F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("n", F.lit(0)), "term")))
-        needed = rare.where((F.col("nth") <= F.col("size") - F.floor(F.col("size") * above)) & F.col("gram").isNotNull())
-        found = needed.select("query_id", "gram").distinct().join(self.postings, "gram").select("query_id", "key").distinct()
+        found = self.chosen(q, above=above).select("query_id", "gram").join(self.postings, "gram").select("query_id", "key").distinct()
         met = found.join(self.texts, "key").join(q, "query_id")
         share = F.size(F.filter("terms", lambda t: F.contains(F.col("low"), t))) / F.size("terms")
         return met.select("query_id", F.col("key").alias(self.key), share.alias("overlap")).where(F.col("overlap") > above)

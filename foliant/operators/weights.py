@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.text import format_bytes
+from foliant.operators.matrices import multiply  # noqa: F401  beside the tensors it multiplies
 
 # Tensor names by role, and the largest load that counts as interactive.
 FIRST_NORM = "layers.0.input_layernorm.weight"
@@ -153,13 +154,6 @@ def executor_status(made: Column, error: Column) -> Column:
     return F.struct(status.alias("status"), F.coalesce(error, F.when(made, "executor-created").otherwise("executor-conditions-not-met")).alias("reason"))
 
 
-def multiply(a: DataFrame, b: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(by, i, j, value) of two matrices in coordinates, (by, i, k, value) and (by, k, j, value): one join and one partial sum."""
-    by = by or []
-    right = b.select(*by, "k", "j", F.col("value").alias("_w"))
-    return a.join(right, [*by, "k"]).groupBy(*by, "i", "j").agg(F.sum(F.col("value").cast("double") * F.col("_w").cast("double")).alias("value"))
-
-
 def adapter_summary(adapters: DataFrame, sections: DataFrame) -> DataFrame:
     """(doc_id, layers, bytes, memory, label) of adapters in long form; ``sections``: doc_id, num_groups and encoding_ms."""
     sums = adapters.groupBy("doc_id").agg((F.max("layer") + 1).alias("layers"), (F.count(F.lit(1)) * 4).alias("bytes"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from foliant import schemas
 from foliant.functions import hashing, intents, quality, text as tx, vectors as vx
-from foliant.operators import answer, embedding, export, layout, postings, profile, search, signatures, temporal, weights
+from foliant.operators import answer, embedding, export, layout, postings, profile, search, signatures, sketches, temporal, weights
 from foliant.session import scratch_path
 from foliant.sources import files
 from foliant.streaming import sessions
@@ -921,12 +921,55 @@ def rel_interval(spark, d):
 
 @query
 def rel_range(spark, d):
-    """Customers and suppliers of one nation whose balances differ by 25 at most."""
+    """Customers and suppliers of one nation whose balances differ by 250 at most."""
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal")
     s = table(spark, d, "supplier").select("s_suppkey", "s_nationkey", "s_acctbal")
-    pairs = temporal.range_join(c, s, on={"c_nationkey": "s_nationkey"}, value=("c_acctbal", "s_acctbal"), within=(-25.0, 25.0))
+    pairs = temporal.range_join(c, s, on={"c_nationkey": "s_nationkey"}, value=("c_acctbal", "s_acctbal"), within=(-250.0, 250.0))
     return pairs.select("left.c_custkey", "right.s_suppkey")
 
 
+@query
+def sketch_distinct(spark, d):
+    """Clients a month and kind of click: states of single days, merged."""
+    c = table(spark, d, "clicks").withColumn("day", F.to_date("ts"))
+    days = sketches.distinct_state(c, ["kind", "day"], "client_id").withColumn("month", F.date_format("day", "yyyy-MM"))
+    merged = sketches.distinct_estimate(sketches.merge_distinct(days, ["kind", "month"]), ["kind", "month"])
+    exact = c.groupBy("kind", F.date_format("day", "yyyy-MM").alias("month")).agg(F.countDistinct("client_id").alias("exact"))
+    same = F.col("kind").eqNullSafe(F.col("k")) & F.col("month").eqNullSafe(F.col("m"))
+    return exact.withColumnsRenamed({"kind": "k", "month": "m"}).join(merged, same).select("kind", "month", F.round("estimate", 6).alias("estimate"), "exact", (F.abs(F.col("estimate") - F.col("exact")) <= 0.07 * F.col("exact") + 1).alias("near"))
+
+
+@query
+def sketch_quantiles(spark, d):
+    """Quantiles of what sales of each status cost: counts of single days, merged."""
+    s = table(spark, d, "sales").withColumn("day", F.to_date("sold_at"))
+    merged = sketches.merge_counts(sketches.quantile_state(s, ["status", "day"], "total"), ["status"], ["sign", "bucket"])
+    return sketches.quantiles(merged, ["status"], [0.01, 0.5, 0.9, 0.99]).select("status", "share", F.round("value", 6).alias("value"))
+
+
+@query
+def sketch_counts(spark, d):
+    """How often items were sold, at least: counts of single flags, merged, for every hundredth item."""
+    lines = table(spark, d, "sale_lines")
+    merged = sketches.merge_counts(sketches.count_state(lines, ["flag"], "item_id"), [], ["line", "cell"])
+    asked = table(spark, d, "items").where("item_id % 100 = 0").select("item_id")
+    return sketches.count_estimate(merged, [], asked, "item_id").select("item_id", "estimate")
+
+
+@query
+def rel_bottom_k(spark, d):
+    """Twenty sales of each status, drawn by hash: samples of both halves of the table, merged."""
+    s = table(spark, d, "sales").select("sale_id", "status", "total")
+    a, b = (sketches.bottom_k(s.where(c), 20, strata=["status"], identity=["sale_id"]) for c in ("sale_id % 2 = 0", "sale_id % 2 = 1"))
+    return sketches.merge_samples(a, b, 20, strata=["status"], identity=["sale_id"]).select("status", "sale_id", "total", "sample_rank")
+
+
+@query
+def rel_pivot(spark, d):
+    """Clients by nation and segment, a column a segment."""
+    wide = table(spark, d, "clients").groupBy("nation_id").pivot("segment", ["online", "public", "retail", "wholesale"]).agg(F.count(F.lit(1)))
+    return wide.select("nation_id", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("online", "public", "retail", "wholesale")])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)

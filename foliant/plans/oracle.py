@@ -475,6 +475,23 @@ SQL: dict[str, str] = {
     "rel_rollup": "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)",
     "rel_setops": "SELECT k, 'both' AS part FROM (SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000) UNION ALL SELECT DISTINCT k, 'more' FROM (SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier WHERE s_acctbal > 5000)",
     "rel_distinct": "SELECT o_orderpriority, count(DISTINCT o_custkey) AS n_customers, CAST(sum(DISTINCT o_custkey % 100) AS BIGINT) AS s FROM orders GROUP BY 1",
+    "sketch_distinct": """WITH c AS (SELECT kind, strftime(ts, '%Y-%m') AS month, client_id, md5('0|' || client_id) AS h FROM clicks),
+      x AS (SELECT kind, month, ('0x' || substr(h, 1, 3))::INT AS register, ('0x' || substr(h, 4, 12))::BIGINT AS rest FROM c WHERE client_id IS NOT NULL),
+      r AS (SELECT kind, month, register, max(CASE WHEN rest = 0 THEN 49 ELSE 48 - length(bin(rest)) + 1 END) AS rank FROM x GROUP BY ALL),
+      m AS (SELECT kind, month, 4096.0 - count(*) AS empty, sum(2.0 ** (-rank)) AS mass FROM r GROUP BY ALL),
+      e AS (SELECT kind, month, empty, 0.7213 / (1 + 1.079 / 4096.0) * 4096.0 * 4096.0 / (mass + empty) AS raw FROM m),
+      n AS (SELECT kind, month, CASE WHEN raw <= 2.5 * 4096 AND empty > 0 THEN 4096.0 * ln(4096.0 / empty) ELSE raw END AS estimate FROM e),
+      t AS (SELECT kind, month, count(DISTINCT client_id) AS exact FROM c GROUP BY ALL)
+      SELECT t.kind, t.month, round(estimate, 6) AS estimate, exact, true AS near FROM t JOIN n ON t.kind IS NOT DISTINCT FROM n.kind AND t.month IS NOT DISTINCT FROM n.month""",
+    "sketch_quantiles": """WITH b AS (SELECT status, CAST(sign(total) AS INT) AS s, CAST(CASE WHEN total = 0 THEN 0 ELSE ceil(ln(abs(total)) / ln(1.01 / 0.99)) END AS INT) AS bucket, count(*) AS n FROM sales WHERE total IS NOT NULL AND NOT isnan(total) GROUP BY ALL),
+      r AS (SELECT *, sum(n) OVER (PARTITION BY status ORDER BY s, s * bucket) AS upto, sum(n) OVER (PARTITION BY status) AS total FROM b)
+      SELECT status, share, round(CASE WHEN s = 0 THEN 0.0 ELSE s * 2 * (1.01 / 0.99) ** bucket / (1.01 / 0.99 + 1) END, 6) AS value FROM r, (VALUES (0.01::DOUBLE), (0.5::DOUBLE), (0.9::DOUBLE), (0.99::DOUBLE)) q(share)
+      WHERE upto >= greatest(1, ceil(share * total)) AND upto - n < greatest(1, ceil(share * total))""",
+    "sketch_counts": """WITH cell AS (SELECT line, item_id, ('0x' || substr(md5((line + 1) || '|' || item_id), 1, 8))::BIGINT % 4096 AS cell FROM (SELECT DISTINCT item_id FROM sale_lines WHERE item_id IS NOT NULL UNION SELECT item_id FROM items WHERE item_id % 100 = 0), range(0, 4) AS l(line)),
+      state AS (SELECT line, cell, sum(n) AS n FROM cell JOIN (SELECT item_id, count(*) AS n FROM sale_lines GROUP BY 1) USING (item_id) GROUP BY ALL)
+      SELECT item_id, CAST(min(COALESCE(n, 0)) AS BIGINT) AS estimate FROM cell LEFT JOIN state USING (line, cell) WHERE item_id IN (SELECT item_id FROM items WHERE item_id % 100 = 0) GROUP BY 1""",
+    "rel_bottom_k": "SELECT status, sale_id, total, CAST(row_number() OVER (PARTITION BY status ORDER BY ('0x' || substr(md5('0|' || sale_id), 1, 12))::BIGINT, sale_id) AS INT) AS sample_rank FROM sales QUALIFY sample_rank <= 20",
+    "rel_pivot": "SELECT nation_id, " + ", ".join(f"count(*) FILTER (segment = '{c}') AS {c}" for c in ("online", "public", "retail", "wholesale")) + " FROM clients GROUP BY 1",
     "incremental_index": f"{CHUNKS} SELECT doc_id, id, text, CAST(CASE WHEN doc_id % 3 = 0 OR doc_id % 5 = 1 THEN 2 ELSE 1 END AS INT) AS generation FROM chunk",
     "rel_asof": """SELECT c.click_id, c.client_id, c.kind, s.sale_id, epoch_us(s.sold_at) AS sold_at FROM clicks c
       ASOF LEFT JOIN (SELECT client_id, sold_at, max(sale_id) AS sale_id FROM sales WHERE client_id IS NOT NULL AND sold_at IS NOT NULL GROUP BY 1, 2) s ON c.client_id = s.client_id AND c.ts >= s.sold_at""",
@@ -482,7 +499,7 @@ SQL: dict[str, str] = {
       ASOF LEFT JOIN (SELECT client_id, ts, max(click_id) AS click_id FROM clicks WHERE client_id IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2) c ON s.client_id = c.client_id AND s.sold_at <= c.ts""",
     "rel_interval": """SELECT s.sale_id, count(*) AS n_clicks, min(c.click_id) AS first_click FROM sales s JOIN clicks c ON s.client_id = c.client_id AND s.sold_at <= c.arrived_at AND c.ts <= s.arrived_at
       WHERE s.sold_at <= s.arrived_at AND c.ts <= c.arrived_at GROUP BY 1""",
-    "rel_range": "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND s_acctbal BETWEEN c_acctbal - 25 AND c_acctbal + 25",
+    "rel_range": "SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_nationkey = s_nationkey AND s_acctbal BETWEEN c_acctbal - 250 AND c_acctbal + 250",
 }
 
 # Other ways to the same rows.
