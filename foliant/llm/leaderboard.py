@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 from bisect import bisect_left, insort
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
@@ -169,16 +169,31 @@ def _gathered(rows: Iterator[pd.DataFrame], columns: list[str]) -> list[np.ndarr
     return [np.concatenate([p[c].to_numpy() for p in parts]) for c in columns]
 
 
-class ShardBoards(StatefulProcessor):
-    """Per nation and shard: replays the days of a batch and reports what changes on the shard's board, whose ten hold the nation's ten.
+def board_diff(day: int, before: list[int], now: list[int], revenue: Callable[[int], int]) -> Iterator[tuple]:
+    """(day, item, change, old rank, new rank, revenue) of items whose rank differs between two boards."""
+    old, new = {i: k + 1 for k, i in enumerate(before)}, {i: k + 1 for k, i in enumerate(now)}
+    for i in dict.fromkeys([*before, *now]):
+        if old.get(i) != new.get(i):
+            yield day, i, "enter" if i not in old else "exit" if i not in new else "move", old.get(i), new.get(i), revenue(i)
+
+
+def _changes(nation: int, rows: list[tuple]) -> Iterator[pd.DataFrame]:
+    if rows:
+        days, items, change, old_rank, new_rank, cents = zip(*rows, strict=True)
+        yield pd.DataFrame({
+            "nation_id": np.int32(nation), "arrival_day": np.array(days, np.int64), "item_id": np.array(items, np.int64), "change": change,
+            "old_rank": pd.array(old_rank, "Int32"), "new_rank": pd.array(new_rank, "Int32"), "revenue": np.array(cents, np.int64),
+        })
 
-    A row is an item of the board whose revenue is new, or one that has left it with what it has afterwards.
-    """
+
+class _Ledgers(StatefulProcessor):
+    """Revenues in a map state, a chunk of items an entry, and the replay of a batch's days over them."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.revenues = handle.getMapState("revenues", "chunk int", "packed binary")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+    def replay(self, rows: Iterator[pd.DataFrame]) -> tuple[ShardLedger, Iterator[int]]:
+        """The ledger as it was before the batch, and an iterator that adds one day at each step and gives its number; then state is saved."""
         day, item, cents = (x.astype(np.int64) for x in _gathered(rows, ["day", "item_id", "cents"]))
         order = np.lexsort((item, day))
         day, item, cents = day[order], item[order], cents[order]
@@ -187,25 +202,59 @@ class ShardBoards(StatefulProcessor):
         packed = [np.frombuffer(bytes(v[0]), np.int64).reshape(2, -1) for _, v in self.revenues.iterator()]
         known = np.concatenate(packed, axis=1) if packed else np.zeros((2, 0), np.int64)
         ledger = ShardLedger(known[0], known[1], item)
-        board = ledger.ranking.board()
-        out = []
-        ends = np.concatenate((np.flatnonzero(day[1:] != day[:-1]) + 1, [len(day)])).tolist()
-        for a, b in zip([0, *ends[:-1]], ends, strict=True):
-            ledger.add(item[a:b], cents[a:b])
-            now, d = ledger.ranking.board(), int(day[a])
+
+        def days() -> Iterator[int]:
+            ends = np.concatenate((np.flatnonzero(day[1:] != day[:-1]) + 1, [len(day)])).tolist()
+            for a, b in zip([0, *ends[:-1]], ends, strict=True):
+                ledger.add(item[a:b], cents[a:b])
+                yield int(day[a])
+            chunk = _chunk(ledger.items)
+            for c in np.unique(_chunk(item)).tolist():
+                own = chunk == c
+                self.revenues.updateValue((int(c),), (np.stack((ledger.items[own], ledger.revenue[own])).tobytes(),))
+
+        return ledger, days()
+
+    def close(self) -> None:
+        pass
+
+
+class WholeBoards(_Ledgers):
+    """Per nation, where its items fit one group: days are replayed over its revenues, and each day's board is diffed with the saved one."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.board = handle.getValueState("board", "items binary")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        ledger, days = self.replay(rows)
+        saved = self.board.get()
+        board, out = np.frombuffer(bytes(saved[0]), np.int64).tolist() if saved is not None else [], []
+        for day in days:
+            now = list(ledger.ranking.board())
+            out += board_diff(day, board, now, ledger.of)
+            board = now
+        self.board.update((np.array(board, np.int64).tobytes(),))
+        yield from _changes(key[0], out)
+
+
+class ShardBoards(_Ledgers):
+    """Per nation and shard of its items: reports what changes on the shard's board, whose ten hold those of the nation's ten that are of the shard.
+
+    A row is an item of the board whose revenue is new, or one that has left it with what it has afterwards.
+    """
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        ledger, days = self.replay(rows)
+        board, out = ledger.ranking.board(), []
+        for d in days:
+            now = ledger.ranking.board()
             out += [(d, i, r, True) for i, r in now.items() if board.get(i) != r]
             out += [(d, i, ledger.of(i), False) for i in board if i not in now]
             board = now
-        chunk = _chunk(ledger.items)
-        for c in np.unique(_chunk(item)).tolist():
-            own = chunk == c
-            self.revenues.updateValue((int(c),), (np.stack((ledger.items[own], ledger.revenue[own])).tobytes(),))
         if out:
-            days, items, revenue, there = zip(*out, strict=True)
-            yield pd.DataFrame({"nation_id": np.int32(key[0]), "day": np.array(days, np.int32), "item_id": items, "revenue": revenue, "on_board": there})
-
-    def close(self) -> None:
-        pass
+            numbers, items, revenue, there = zip(*out, strict=True)
+            yield pd.DataFrame({"nation_id": np.int32(key[0]), "day": np.array(numbers, np.int32), "item_id": items, "revenue": revenue, "on_board": there})
 
 
 class NationBoards(StatefulProcessor):
@@ -237,11 +286,7 @@ class NationBoards(StatefulProcessor):
                     gone[i] = r
                 at += 1
             now = list(ranking.board())
-            old, new = {i: k + 1 for k, i in enumerate(board)}, {i: k + 1 for k, i in enumerate(now)}
-            for i in dict.fromkeys([*board, *now]):
-                if old.get(i) != new.get(i):
-                    change = "enter" if i not in old else "exit" if i not in new else "move"
-                    out.append((int(today), i, change, old.get(i), new.get(i), held[i] if i in held else gone[i]))
+            out += board_diff(int(today), board, now, lambda i, gone=gone: held[i] if i in held else gone[i])
             board = now
         for i in before.keys() - held.keys():
             self.revenues.removeKey((i,))
@@ -249,21 +294,18 @@ class NationBoards(StatefulProcessor):
             if before.get(i) != r:
                 self.revenues.updateValue((i,), (r,))
         self.board.update((np.array(board, np.int64).tobytes(),))
-        if out:
-            days, items, change, old_rank, new_rank, cents = zip(*out, strict=True)
-            yield pd.DataFrame({
-                "nation_id": np.int32(key[0]), "arrival_day": np.array(days, np.int64), "item_id": np.array(items, np.int64), "change": change,
-                "old_rank": pd.array(old_rank, "Int32"), "new_rank": pd.array(new_rank, "Int32"), "revenue": np.array(cents, np.int64),
-            })
+        yield from _changes(key[0], out)
 
     def close(self) -> None:
         pass
 
 
-def board_changes(sums: DataFrame) -> DataFrame:
+def board_changes(sums: DataFrame, shards: int) -> DataFrame:
     """The stateful part: (nation_id, shard, day, item_id, cents) of one batch of arrival days to changes of nations' boards."""
-    shards = sums.groupBy("nation_id", "shard").transformWithStateInPandas(ShardBoards(), SHARD_ROWS, "Append", "None")
-    return shards.groupBy("nation_id").transformWithStateInPandas(NationBoards(), CHANGES, "Append", "None")
+    if shards == 1:
+        return sums.groupBy("nation_id").transformWithStateInPandas(WholeBoards(), CHANGES, "Append", "None")
+    own = sums.groupBy("nation_id", "shard").transformWithStateInPandas(ShardBoards(), SHARD_ROWS, "Append", "None")
+    return own.groupBy("nation_id").transformWithStateInPandas(NationBoards(), CHANGES, "Append", "None")
 
 
 # The stream
@@ -302,8 +344,9 @@ def changes(lines: DataFrame, items: DataFrame, vendors: DataFrame, *, shard_ite
 
     The lines are cut into eight batches of arrival days in the shared folder. A batch's files are moved into the folder that
     a stream reads, and the stream is started anew on one checkpoint: state and what has been read go on from there.
-    Tasks sum their lines by nation, day and item, groups of a nation's items (``shard_items`` each) keep revenues and report
-    changes of their own ten best, and each nation merges those: no task has more than a shard's items, or ten rows a shard and day.
+    Tasks sum their lines by nation, day and item. A nation whose items fit one group is one; with more than ``shard_items`` items, groups of
+    so many each keep revenues and report changes of their own ten best, and each nation merges those: no task has more than a shard's
+    items, or ten rows a shard and day.
 
     Returns nation_id, arrival_day, item_id, batch, change (enter, exit, move), old_rank, new_rank, revenue (cents, afterwards).
 
@@ -326,7 +369,7 @@ def changes(lines: DataFrame, items: DataFrame, vendors: DataFrame, *, shard_ite
             rows = spark.readStream.schema(LINES).parquet(f"{root}/feed").where("nation_id is not null and item_id is not null")
             if earlier := [latest[k] for k in latest if k < b]:
                 rows = rows.where(F.col("shipped") + LATE_DAYS >= max(earlier))
-            out = board_changes(summed(rows, shards)).withColumn("batch", F.lit(b))
+            out = board_changes(summed(rows, shards), shards).withColumn("batch", F.lit(b))
             query = out.writeStream.format("parquet").option("path", f"{root}/changes").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start()
             query.awaitTermination()
     for gone in ("lines", "feed", "checkpoint"):
