@@ -72,9 +72,16 @@ class Levels:
         runs = union(self.runs())
         if not self.again:
             return runs
-        later = union([r for _, r in self.again]).groupBy(*self.keys).agg(*[COMBINE[how][0](c).alias(f"later_{c}") for c, how in self.columns.items()])
+        later = self._said_again().select(*self.keys, *[F.col(c).alias(f"later_{c}") for c in self.columns])
         return runs.join(later, self.keys, "left").select(*self.keys, *[COMBINE[how][1](c, f"later_{c}").alias(c) for c, how in self.columns.items()])
 
+    def _said_again(self) -> DataFrame:
+        return union([r for _, r in self.again]).groupBy(*self.keys).agg(*[COMBINE[how][0](c).alias(c) for c, how in self.columns.items()])
+
+    def written_again(self) -> tuple[str, DataFrame]:
+        """What later batches said of known keys, written as one run."""
+        return self._written(self._said_again().sortWithinPartitions(*self.keys))
+
     def drop(self) -> None:
         for name, _ in [x for level in self.levels for x in level] + self.again:
             self.scratch.drop(name)

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from foliant.llm import common, decontamination, leaderboard, lm, merkle, queries, windows
+from foliant.llm import common, decontamination, leaderboard, lines, lm, merkle, queries, windows
 
 SF = "/root/testdata/sf0.001"
 DDL = "doc_id bigint, text string, lang string, source string, n_chars bigint, tree long, idx string, row string, path string, spans string"
@@ -356,3 +356,26 @@ def test_a_window_in_half_of_all_documents(spark):
     owners = spark.createDataFrame([(7, 1), (7, 2), (9, 1)], "wid long, item_id long")
     dealt = decontamination.owned(occurrences, owners, 16)
     assert dealt.count() == dealt.select("row", "item_id").distinct().count() == 2003  # 1001 rows with two items, one with one
+
+
+def test_line_index_is_kept_between_calls(spark, tmp_path):
+    """Batches added one by one, each by an index opened anew, give what one pass over all rows gives; two levels are in use."""
+    line = lambda k: f"a line of more than twenty characters number {k}"
+    rows = [(k, "\n".join(line(x) for x in {k % 5, k % 3 + 10, 100 + k})) for k in range(60)] + [(60, None), (61, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(map(tuple, lines.dedup_lines(df).collect()))
+    assert sum(r[2] for r in want) == 112
+    for b in range(7):
+        lines.LineIndex(spark, str(tmp_path), fanout=2).add(df.where(F.col("doc_id") % 7 == b))
+    index = lines.LineIndex(spark, str(tmp_path), fanout=2)
+    assert sum(bool(level) for level in index.runs().levels) >= 2 and len(index.runs().levels) >= 2
+    assert sorted(map(tuple, index.dedup(df).collect())) == want
+    held = index.runs().all().count()
+    assert held == index.runs().all().select("hash").distinct().count() == 68
+    before = index.store.version()
+    some = spark.createDataFrame([(100 + k, line(999)) for k in range(3)], "doc_id long, text string")
+    assert sorted(r["n_dropped"] for r in index.dedup(some).collect()) == [0, 0, 0]
+    index.add(some)
+    assert sorted(r["n_dropped"] for r in index.dedup(some).collect()) == [0, 1, 1]
+    assert index.runs(before).all().count() == held  # the older version is whole
+    assert lines.LineIndex(spark, str(tmp_path / "new")).dedup(some).agg(F.sum("n_dropped")).first()[0] == 0
