@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from foliant.functions.intents import PROFILE_STOPWORDS
+from foliant.operators.answer import NO_DOCUMENT, NOT_FOUND
 
 WS = r"[\s\x0b\p{Z}\x{feff}]"
 
@@ -211,11 +212,11 @@ def byte_units() -> str:
     return out + " END"
 
 
-def layout_values(n_blocks: str = "greatest(n, 1)") -> list[str]:
+def layout_values(n_blocks: str = "greatest(n, 1)", ratio: str = "0.0") -> list[str]:
     flag = lambda w, v: f"CASE WHEN contains(text, '{w}') THEN {v} ELSE 0.0 END"
     share = lambda p: f"CASE WHEN length(text) > 0 THEN {count_re('text', p)} / length(text) ELSE 0.0 END"
     f = [
-        "bx", "b_y", "bw", "bh", "0.0", "least(length(text) / 700, 1.0)", share("[0-9]"), share("[A-Z]"), f"least({n_blocks} / 18, 1.0)", "least(n / 32, 1.0)",
+        "bx", "b_y", "bw", "bh", ratio, "least(length(text) / 700, 1.0)", share("[0-9]"), share("[A-Z]"), f"least({n_blocks} / 18, 1.0)", "least(n / 32, 1.0)",
         "CASE WHEN is_fallback THEN 1.0 ELSE 0.0 END", flag("table", 0.7), flag("figure", 0.6), flag("%", 0.3), flag("$", 0.3), f"least(len({toks('text')}) / 64, 1.0)",
     ]
     return [f"CAST({v} AS DOUBLE)" for v in f]
@@ -225,7 +226,7 @@ def layout_features() -> str:
     return ", ".join(f"round({v}, 6) AS f{k:02d}" for k, v in enumerate(layout_values()))
 
 
-def embedded(source: str, key: str, name: str, n_blocks: str = "greatest(n, 1)") -> str:
+def embedded(source: str, key: str, name: str, n_blocks: str = "greatest(n, 1)", ratio: str = "0.0") -> str:
     """CTEs from ``source`` (key, text, box, n, is_fallback) to ``name``_vec: key, vec (floats) and sig (12 words)."""
     return f"""
 {name}_tok AS (SELECT {key}, t, count(*) AS times FROM (SELECT {key}, unnest({toks("text")}) AS t FROM {source}) GROUP BY {key}, t),
@@ -233,7 +234,7 @@ def embedded(source: str, key: str, name: str, n_blocks: str = "greatest(n, 1)")
   CASE WHEN list_sum(list_transform(string_split(t, ''), lambda c: ascii(c) % 2)) % 2 = 1 THEN 1 ELSE -1 END * CASE WHEN length(t) > 5 THEN 28 WHEN length(t) > 3 THEN 20 ELSE 13 END AS weight FROM (SELECT DISTINCT t FROM {name}_tok)),
 {name}_bucket AS (SELECT {key}, CAST(bucket AS INT) AS bucket, CAST(sum(times * weight) AS DOUBLE) / 20.0 AS w FROM {name}_tok JOIN {name}_hash USING (t) GROUP BY {key}, bucket),
 {name}_map AS (SELECT {key}, MAP(list(bucket), list(w)) AS m FROM {name}_bucket GROUP BY {key}),
-{name}_raw AS (SELECT {key}, list_concat(list_transform(range(0, 368), lambda k: COALESCE(m[k::INT], 0.0::DOUBLE)), [{", ".join(layout_values(n_blocks))}]) AS raw FROM {source} LEFT JOIN {name}_map USING ({key})),
+{name}_raw AS (SELECT {key}, list_concat(list_transform(range(0, 368), lambda k: COALESCE(m[k::INT], 0.0::DOUBLE)), [{", ".join(layout_values(n_blocks, ratio))}]) AS raw FROM {source} LEFT JOIN {name}_map USING ({key})),
 {name}_unit AS (SELECT {key}, list_transform(raw, lambda x: CAST(x / size AS FLOAT)) AS vec FROM (SELECT {key}, raw, sqrt(list_sum(list_transform(raw, lambda x: x * x))) AS size FROM {name}_raw)),
 {name}_vec AS (SELECT {key}, vec, list_transform(range(0, 12), lambda w: CAST(list_sum(list_transform(range(0, 32), lambda b: CASE WHEN vec[w * 32 + b + 1] >= 0 THEN 1::BIGINT << b ELSE 0 END)) AS BIGINT)) AS sig FROM {name}_unit)"""
 
@@ -281,7 +282,45 @@ there AS (SELECT model, name, ord, ord * 70000 * (model + 1) AS bytes, name LIKE
 shifted AS (SELECT model, max(wide) AS shift FROM there GROUP BY model)"""
 
 
+#: Hits of every user turn in its document, in place of HITS: search, or the named page's summary.
+ASKED = f"""
+{CHUNKS}, {RESOLVED.replace("WITH m AS", "m AS").strip()},
+resolved AS (SELECT conv_id, turn, conv_id || '/' || turn AS query_id, conv_id AS doc_id, text AS prompt, CASE WHEN {FOLLOW} AND n_messages > 2 THEN COALESCE(last_substantive, text) ELSE text END AS question FROM m WHERE role = 'user'),
+paged AS (SELECT *, doc_id IN (SELECT doc_id FROM documents) AS indexed, TRY_CAST(nullif(regexp_extract(prompt, '(?i)\\bpage\\s+([0-9]+)\\b', 1), '') AS INT) AS explicit_page FROM resolved),
+routed AS (SELECT *, CASE WHEN explicit_page IS NULL THEN {clean_query("question")} ELSE '' END AS search_query, {flags("prompt")["navigation"]} OR {flags("prompt")["pointing"]} AS navigates FROM paged),
+sized AS (SELECT doc_id, ceil(len(string_split(COALESCE(text, ''), chr(10))) / 40) AS page_count FROM documents),
+whole AS (SELECT chunk.*, page_number / page_count AS page_ratio FROM chunk JOIN sized USING (doc_id)),
+{embedded("whole", "doc_id, id", "c", ratio="page_ratio")},
+asked AS (SELECT query_id, search_query AS text, 0.5::DOUBLE AS bx, 0.5::DOUBLE AS b_y, 1.0::DOUBLE AS bw, 1.0::DOUBLE AS bh, 0 AS n, false AS is_fallback FROM routed WHERE indexed AND search_query <> ''),
+{embedded("asked", "query_id", "q", "0")},
+term AS (SELECT query_id, {distinct_in_order("t")} AS terms FROM (SELECT query_id, list_filter({toks("text")}, lambda v: length(v) > 2) AS t FROM asked)),
+pair AS (SELECT r.query_id, r.search_query AS query, c.doc_id, c.id, c.page_number, c.chunk_ord, c.text, c_vec.vec, q_vec.vec AS qv, list_sum(list_transform(range(1, 13), lambda k: bit_count(xor(c_vec.sig[k], q_vec.sig[k])))) AS h,
+  CASE WHEN len(terms) > 0 THEN len(list_filter(terms, lambda t: contains(lower(c.text), t))) / len(terms) ELSE 0.0 END AS boost
+  FROM routed r JOIN q_vec USING (query_id) JOIN term USING (query_id) JOIN whole c ON c.doc_id = r.doc_id JOIN c_vec ON c_vec.doc_id = c.doc_id AND c_vec.id = c.id),
+near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY h - 12.0 * boost, doc_id, page_number, chunk_ord) AS candidate FROM pair QUALIFY candidate <= 96),
+rated AS (SELECT *, list_dot_product(list_transform(vec, lambda x: x::DOUBLE), list_transform(qv, lambda x: x::DOUBLE)) + 0.18 * boost AS similarity FROM near),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, candidate) AS rank, {collapse("text")} AS t FROM rated QUALIFY rank <= 12),
+placed AS (SELECT *, instr(lower(t), lower(query)) - 1 AS p FROM best),
+summed AS (SELECT doc_id, page_number, COALESCE(nullif(first(snippet ORDER BY chunk_ord), ''), 'Image-heavy page') AS summary FROM chunk GROUP BY doc_id, page_number),
+hit AS (
+  SELECT query_id, rank, id, page_number, CASE WHEN query = '' OR p < 0 THEN substr(t, 1, 180)
+    ELSE CASE WHEN p > 60 THEN '...' ELSE '' END || substr(t, greatest(0, p - 60) + 1, least(length(t), p + length(query) + 90) - greatest(0, p - 60)) || CASE WHEN p + length(query) + 90 < length(t) THEN '...' ELSE '' END END AS snippet FROM placed
+  UNION ALL SELECT query_id, 1, NULL, page_number, summary FROM routed JOIN summed ON summed.doc_id = routed.doc_id AND page_number = explicit_page
+)"""
+ANSWERED = POOLED.replace(HITS, ASKED)
+
+
 SQL: dict[str, str] = {
+    "ask_conversations": f"""{ANSWERED},
+      cites AS (SELECT query_id, string_agg(cite, ' ' ORDER BY k) AS sources FROM (SELECT query_id, cite, min(k) AS k FROM said GROUP BY query_id, cite) GROUP BY query_id),
+      folded AS (SELECT query_id, string_agg(c, chr(10) || chr(10) ORDER BY k) AS summary, string_agg('• ' || cite || ' ' || substr(c, 1, 200), chr(10) ORDER BY k) AS listed, first(cite || ' ' || c ORDER BY k) AS lead,
+        string_agg('• ' || cite || ' ' || substr(c, 1, 160), chr(10) ORDER BY k) FILTER (k BETWEEN 2 AND 3 AND NOT f) AS related FROM said GROUP BY query_id),
+      about AS (SELECT *, nullif({strip("regexp_extract(question, '(?i)what is (?:a |an |the )?([^" + chr(92) + "n" + chr(92) + "r]+?)[?.]*$', 1)")}, '') AS topic FROM routed),
+      led AS (SELECT *, CASE WHEN topic IS NOT NULL THEN 'From the document on "' || topic || '":' || chr(10) || chr(10) ELSE 'From the document:' || chr(10) || chr(10) END AS preamble FROM about),
+      worded AS (SELECT led.*, CASE WHEN lead IS NULL THEN '{NOT_FOUND}' WHEN {flags("question")["summary"]} THEN preamble || summary || chr(10) || chr(10) || 'Sources: ' || sources WHEN {flags("question")["list"]} THEN preamble || listed
+        ELSE CASE WHEN {flags("question")["definition"]} THEN preamble ELSE '' END || lead || COALESCE(chr(10) || chr(10) || 'Related:' || chr(10) || related, '') END AS answer FROM led LEFT JOIN folded USING (query_id) LEFT JOIN cites USING (query_id))
+      SELECT conv_id, turn, CASE WHEN indexed THEN 'grounded' ELSE 'fallback' END AS mode, CASE WHEN indexed THEN 'The language model is not loaded yet, so this answer uses retrieval only.' || chr(10) || chr(10) || answer ELSE '{NO_DOCUMENT}' END AS text,
+        CASE WHEN indexed THEN CAST(2 + (explicit_page IS NOT NULL)::INT + (search_query <> '')::INT + (navigates AND query_id IN (SELECT query_id FROM hit))::INT AS INT) ELSE 0 END AS n_trace FROM worded""",
     "vision_patches": """WITH s AS (SELECT p_partkey, p_size + 3 AS w, p_size * 2 + 1 AS h FROM part), r AS (SELECT p_partkey, greatest(1, CAST(floor(w * (336 / greatest(w, h)) + 0.5) AS BIGINT)) AS w, greatest(1, CAST(floor(h * (336 / greatest(w, h)) + 0.5) AS BIGINT)) AS h FROM s)
       SELECT p_partkey, CAST(ceil(h / 14) AS INT) AS rows, CAST(ceil(w / 14) AS INT) AS cols, CAST(ceil(h / 14) * ceil(w / 14) AS INT) AS tokens, CAST(ceil(h / 14) * ceil(w / 14) * 14 * 14 * 3 AS INT) AS n_values FROM r""",
     "lora_adapters": """WITH p AS (SELECT * FROM (VALUES ('q', 32, 64), ('k', 32, 16), ('v', 32, 16), ('o', 32, 32)) AS p(proj, n_in, n_out)),
