@@ -42,11 +42,21 @@ def fingerprint(*columns: str) -> Column:
     return F.crc32(F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]).cast("binary"))
 
 
-def prepared(lines: DataFrame, items: DataFrame, vendors: DataFrame) -> DataFrame:
+def nations(vendors: DataFrame) -> DataFrame:
+    """(vendor_id, nation_id), a vendor once; those without a nation are left out."""
+    return vendors.where("vendor_id is not null and nation_id is not null").groupBy("vendor_id").agg(F.min("nation_id").cast("int").alias("nation_id"))
+
+
+def prices(items: DataFrame) -> DataFrame:
+    """(item_id, each, known), an item once; each: cents, null without a price."""
+    return items.where("item_id is not null").groupBy("item_id").agg(F.max(F.floor(100 * F.col("price") + 0.5)).cast("long").alias("each"), F.lit(True).alias("known"))
+
+
+def prepared(lines: DataFrame, price: DataFrame, nation: DataFrame) -> DataFrame:
     """Every line with its batch, arrival day, shipping day, nation, item (null if there is no such item) and cents.
 
-    Both joins are sort-merge joins of narrow rows, never broadcasts: the tables grow with the lines. Hot vendors and
-    items are split by adaptive execution, which may do so as the sides' keys are unique.
+    Both joins are sort-merge joins of narrow rows, never broadcasts: the tables grow with the lines. ``price`` and ``nation`` are tables that
+    have been written, so both sides of a join come straight from a shuffle and adaptive execution splits hot vendors and items.
     """
     h = fingerprint("sale_id", "item_id", "vendor_id", "line_no")
     shipped = F.coalesce(F.unix_date(F.col("shipped_at").cast("date")), (F.lit(FIRST_DAY) + h % NULL_DAYS).cast("int"))
@@ -55,8 +65,6 @@ def prepared(lines: DataFrame, items: DataFrame, vendors: DataFrame) -> DataFram
         "vendor_id", "item_id", shipped.alias("shipped"), (h % 7 + F.when(h % 5 == 0, 20).otherwise(0)).cast("int").alias("lag"),
         (F.floor(100 * F.col("amount") + 0.5) * sign).cast("long").alias("own"), F.when(F.col("amount").isNull(), F.col("quantity") * sign).cast("long").alias("pieces"),
     )
-    nation = vendors.where("vendor_id is not null and nation_id is not null").groupBy("vendor_id").agg(F.min("nation_id").cast("int").alias("nation_id"))
-    price = items.where("item_id is not null").groupBy("item_id").agg(F.max(F.floor(100 * F.col("price") + 0.5)).cast("long").alias("each"), F.lit(True).alias("known"))
     rows = rows.join(nation.hint("merge"), "vendor_id", "left").drop("vendor_id").join(price.hint("merge"), "item_id", "left")
     day = F.col("shipped") + F.col("lag")
     batch = F.greatest(F.lit(1), F.least(F.lit(BATCHES), 1 + F.floor((day - FIRST_DAY) * BATCHES / SPAN))).cast("int")
@@ -359,10 +367,14 @@ def changes(lines: DataFrame, items: DataFrame, vendors: DataFrame, *, shard_ite
     """
     spark = lines.sparkSession
     root = f"{checkpoint_dir(spark).rstrip('/')}/foliant-board-{uuid.uuid4().hex}"
-    prepared(lines, items, vendors).write.partitionBy("line_batch").option("compression", "zstd").parquet(f"{root}/lines")
+    found = []
+    for name, table in (("prices", prices(items)), ("nations", nations(vendors))):
+        table.write.parquet(f"{root}/{name}")
+        found.append(spark.read.schema(table.schema).parquet(f"{root}/{name}"))
+    prepared(lines, *found).write.partitionBy("line_batch").option("compression", "zstd").parquet(f"{root}/lines")
     written = spark.read.schema(LINES).parquet(f"{root}/lines")
     latest = {r["line_batch"]: r["latest"] for r in written.groupBy("line_batch").agg(F.max("shipped").alias("latest")).collect()}  # eight rows
-    shards = max(1, -(-items.count() // shard_items))
+    shards = max(1, -(-found[0].count() // shard_items))
     with stateful(spark):
         for b in range(1, BATCHES + 1):
             _move(spark, f"{root}/lines/line_batch={b}", f"{root}/feed/line_batch={b}")
@@ -372,7 +384,7 @@ def changes(lines: DataFrame, items: DataFrame, vendors: DataFrame, *, shard_ite
             out = board_changes(summed(rows, shards), shards).withColumn("batch", F.lit(b))
             query = out.writeStream.format("parquet").option("path", f"{root}/changes").option("checkpointLocation", f"{root}/checkpoint").outputMode("append").trigger(availableNow=True).start()
             query.awaitTermination()
-    for gone in ("lines", "feed", "checkpoint"):
+    for gone in ("prices", "nations", "lines", "feed", "checkpoint"):
         delete(spark, f"{root}/{gone}")
     schema = CHANGES.replace("change string", "batch int, change string")
     return spark.read.schema(CHANGES + ", batch int").parquet(f"{root}/changes").select(*[c.split()[0] for c in schema.split(", ")])

@@ -196,7 +196,7 @@ def test_lines_are_prepared(spark):
     lines = spark.createDataFrame(rows, "sale_id long, line_no int, item_id long, vendor_id long, quantity int, amount double, flag string, shipped_at timestamp_ntz")
     items = spark.createDataFrame([(1, 2.5), (1, 2.0), (2, None), (None, 1.0)], "item_id long, price double")
     vendors = spark.createDataFrame([(1, 4), (1, 3), (2, None), (None, 1)], "vendor_id long, nation_id int")
-    out = [(r["nation_id"], r["item_id"], r["cents"]) for r in leaderboard.prepared(lines, items, vendors).collect()]
+    out = [(r["nation_id"], r["item_id"], r["cents"]) for r in leaderboard.prepared(lines, leaderboard.prices(items), leaderboard.nations(vendors)).collect()]
     assert sorted(out, key=repr) == sorted([(3, 1, 13), (3, 1, 13), (3, 1, -750), (3, 2, 0), (3, None, 100), (None, None, 100)], key=repr)
 
 
