@@ -477,10 +477,22 @@ def layout_export(spark, d):
     bundles = table(spark, d, "documents").select("doc_id", F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("file_name"), F.lit(1).alias("page_count"), none.alias("author"), none.alias("title"), none.alias("created"), none.alias("modified"))
     documents = export.layout_documents(export.kids(c, pages), bundles)
     out = export.layout_exports(c, layout.sections(c), pages, documents, bundles.select("doc_id", F.col("file_name").alias("title")))
-    got = lambda path: F.get_json_object("payload", path)
-    counts = {"n_chunks": "$.chunks", "n_kids": "$.layoutDocument.kids", "n_sections": "$.sectionChunks"}
-    fields = {"title": "$.title", "page_count": "$.pageCount", "pdf_name": "$.layoutDocument.file name", "first_id": "$.chunks[0].id", "first_text": "$.chunks[0].text", "first_type": "$.chunks[0].elementType", "first_snippet": "$.chunks[0].snippet", "first_kid": "$.layoutDocument.kids[0].type", "first_summary": "$.pages[0].summary", "first_heading": "$.sectionChunks[0].heading", "first_member": "$.sectionChunks[0].chunkIds[0]"}
-    return out.select("doc_id", "file_name", *[F.json_array_length(got(v)).alias(k) for k, v in counts.items()], *[got(v).alias(k) for k, v in fields.items()])
+    read = out.select("doc_id", "file_name", F.from_json("payload", PAYLOAD).alias("p"))  # parsed once
+    whole = lambda rows, *fields: F.md5(F.array_join(F.transform(rows, lambda x: F.concat_ws("|", *[F.coalesce(x[f].cast("string"), F.lit("-")) for f in fields])), "\n").cast("binary"))
+    chunk, section = F.get("p.chunks", F.lit(0)), F.get("p.sectionChunks", F.lit(0))
+    return read.select(
+        "doc_id", "file_name", F.size("p.chunks").alias("n_chunks"), F.size("p.layoutDocument.kids").alias("n_kids"), F.size("p.sectionChunks").alias("n_sections"), "p.title", F.col("p.pageCount").cast("string").alias("page_count"),
+        F.col("p.layoutDocument.`file name`").alias("pdf_name"), chunk["id"].alias("first_id"), chunk["text"].alias("first_text"), chunk["elementType"].alias("first_type"), chunk["snippet"].alias("first_snippet"),
+        F.get("p.layoutDocument.kids", F.lit(0))["type"].alias("first_kid"), F.get("p.pages", F.lit(0))["summary"].alias("first_summary"), section["heading"].alias("first_heading"), F.get(section["chunkIds"], F.lit(0)).alias("first_member"),
+        whole(F.col("p.chunks"), "id", "pageNumber", "elementType", "headingLevel", "snippet", "text").alias("chunks_md5"), whole(F.col("p.pages"), "pageNumber", "summary", "blockCount").alias("pages_md5"),
+    )
+
+
+#: What the query reads of an export.
+PAYLOAD = (
+    "title string, pageCount int, layoutDocument struct<`file name`: string, kids: array<struct<type: string>>>, sectionChunks array<struct<heading: string, chunkIds: array<string>>>, "
+    "pages array<struct<pageNumber: int, summary: string, blockCount: bigint>>, chunks array<struct<id: string, pageNumber: int, elementType: string, headingLevel: int, snippet: string, text: string>>"
+)
 
 
 def snapshots_of(spark, d):

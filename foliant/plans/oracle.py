@@ -471,9 +471,12 @@ SQL: dict[str, str] = {
     "layout_kids": f"{CHUNKS} SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY page_number, chunk_ord) AS INT) AS kid_id, element_type AS type, page_number, CASE WHEN element_type <> 'image' THEN compact END AS content, heading_level FROM chunk",
     "layout_export": f"""{CHUNKS},
       s AS (SELECT doc_id, CAST(count(*) FILTER (element_type = 'heading') + CAST(first(element_type ORDER BY page_number, chunk_ord) <> 'heading' AS INT) AS INT) AS n_sections, CAST(count(*) AS INT) AS n, count(DISTINCT page_number) AS pages FROM chunk GROUP BY doc_id),
-      f AS (SELECT * FROM chunk QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page_number, chunk_ord) = 1)
-      SELECT doc_id, doc_id || '.layout.json' AS file_name, s.n AS n_chunks, s.n AS n_kids, n_sections, doc_id || '.pdf' AS title, CAST(pages AS VARCHAR) AS page_count, doc_id || '.pdf' AS pdf_name, id AS first_id, text AS first_text, element_type AS first_type,
-        snippet AS first_snippet, element_type AS first_kid, COALESCE(nullif(snippet, ''), 'Image-heavy page') AS first_summary, CASE WHEN element_type = 'heading' THEN compact END AS first_heading, id AS first_member FROM f JOIN s USING (doc_id)""",
+      f AS (SELECT * FROM chunk QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY page_number, chunk_ord) = 1),
+      cs AS (SELECT doc_id, md5(string_agg(concat_ws('|', id, page_number, element_type, COALESCE(heading_level::VARCHAR, '-'), snippet, text), chr(10) ORDER BY page_number, chunk_ord)) AS chunks_md5 FROM chunk GROUP BY doc_id),
+      pg AS (SELECT doc_id, page_number, COALESCE(nullif(first(snippet ORDER BY chunk_ord), ''), 'Image-heavy page') AS summary, sum(greatest(n, 1)) AS blocks FROM chunk GROUP BY doc_id, page_number),
+      ps AS (SELECT doc_id, md5(string_agg(page_number || '|' || summary || '|' || blocks, chr(10) ORDER BY page_number)) AS pages_md5 FROM pg GROUP BY doc_id)
+      SELECT doc_id, chunks_md5, pages_md5, doc_id || '.layout.json' AS file_name, s.n AS n_chunks, s.n AS n_kids, n_sections, doc_id || '.pdf' AS title, CAST(pages AS VARCHAR) AS page_count, doc_id || '.pdf' AS pdf_name, id AS first_id, text AS first_text, element_type AS first_type,
+        snippet AS first_snippet, element_type AS first_kid, COALESCE(nullif(snippet, ''), 'Image-heavy page') AS first_summary, CASE WHEN element_type = 'heading' THEN compact END AS first_heading, id AS first_member FROM f JOIN s USING (doc_id) JOIN cs USING (doc_id) JOIN ps USING (doc_id)""",
     "snapshot_latest": "SELECT event_id, ts FROM events ORDER BY ts DESC, event_id DESC LIMIT 10",
     "snapshot_lookup": "SELECT event_id, user_id, event_type FROM events WHERE event_id = 7",
     "key_file_presence": "SELECT n_name AS path, n_nationkey IN (SELECT c_nationkey FROM customer WHERE c_acctbal > 9900) AS exists FROM nation",
