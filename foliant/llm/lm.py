@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliant.llm import gru
-from foliant.llm.common import HOT_PARTS, Scratch
+from foliant.llm.common import Scratch
 from foliant.llm.words import identity_lower, short, slices, split
 
 #: The network's words; all others share one class. Words whose counts go to all tasks (bounded, a few megabytes).
@@ -23,7 +23,7 @@ STREAMS, STEPS, EPOCHS, RATE = 64, 20, 2, 0.01
 #: The pass over all training rows: rounds, buckets wanted in each, words of a bucket (least, most), streams and steps.
 ROUNDS, BUCKETS, BUCKET_WORDS, WIDE_STREAMS, WIDE_STEPS = 3, 240, (500_000, 4_000_000), 512, 10
 #: Texts and bytes of texts that run side by side, and states that wait for the output layer at most (window of carried state).
-SLICE_DOCS, SLICE_BYTES, PENDING = 5000, 32 << 20, 150_000
+SLICE_DOCS, SLICE_BYTES, PENDING = 5000, 8 << 20, 150_000
 END = b""
 
 
@@ -301,7 +301,7 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabular
 
     Counts and the network's fit cover all training rows, and no text goes to the driver. The most frequent words' counts
     are sent to all tasks (131,072 words of 64 bytes at most), the other words of each text meet their counts in a join. In it a word
-    is frequent only if it occurs in held-out rows alone; such words have no row on the other side and are left out before.
+    is frequent only if it occurs in held-out rows alone; adaptive execution splits those.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
     training = docs.where(~held_out(F.col(key)))
@@ -326,6 +326,8 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabular
         to_id = np.array([net.ids.get(w, 0) for w in vocab.to_pylist()] + [0], np.int32)
         table = identity_lower()
         for batch in batches:
+            sizes = pc.fill_null(pc.binary_length(batch.column(2)), 0).to_numpy(zero_copy_only=False)
+            batch = batch.take(pa.array(np.argsort(sizes, kind="stable")))  # texts of like length side by side: few steps with few texts
             for at, n_rows in slices(batch.column(2), SLICE_DOCS, SLICE_BYTES):
                 part = batch.slice(at, n_rows)
                 ws = split(part.column(2), table)
@@ -352,10 +354,8 @@ def score(docs: DataFrame, *, key: str = "doc_id", text: str = "text", vocabular
     rows = scratch.write(slim.mapInArrow(run, "row long, doc_id long, n_tokens long, known long, base double, head double, words array<binary>, times array<int>"), "rows")
     few = counts.where(F.length("word") > 0) if least is None else counts.where((F.col("n") < least) & (F.length("word") > 0))
     each = rows.select("row", F.explode(F.arrays_zip("words", "times")).alias("w")).select("row", F.col("w.words").alias("word"), F.col("w.times").alias("times"))
-    # Words that no training row has count 0 and add log10(1); hot ones of them do not go to the join.
-    n_each = rows.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
-    often = each.groupBy("word").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") * HOT_PARTS > n_each)
-    each = each.join(F.broadcast(often.join(few, "word", "left_anti").select("word")), "word", "left_anti")  # fewer than HOT_PARTS words
+    # Words that no training row has count 0 and add log10(1), so an inner join does; both its sides come straight from a
+    # shuffle, so a hot one of them is split like any skewed key.
     met = each.join(few, "word").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("rare"), F.sum("times").alias("rare_known"))
     out = rows.select("row", "doc_id", "n_tokens", "known", "base", "head").join(met, "row", "left")
     rare, end_log, end_known = F.coalesce("rare", F.lit(0.0)), float(np.log10((ends[0]["n"] if ends else 0) + 1)), int(bool(ends))
