@@ -184,12 +184,11 @@ def again_plane(texts: DataFrame, bits: int, words: int) -> np.ndarray:
     return out.reshape(DEPTH, -1)
 
 
-RUN = pa.struct([("lo", pa.int64()), ("n", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("windows", pa.binary())])
-RUNS = "array<struct<lo:long,n:int,a:long,b:long,windows:binary>>"
+RUNS = "text_a long, text_b int, lo long, n int, a long, b long, windows binary"
 
 
 def candidate_runs(texts: DataFrame, bits: int, words: int) -> DataFrame:
-    """(doc_id, text, runs): each text with its runs of neighbouring windows that the sketch takes for repeated. lo: first word; n: windows;
+    """Runs of neighbouring windows that the sketch takes for repeated, of (text_a, text_b, text). lo: first word; n: windows;
     a, b: hashes of all words of the run; windows: their hashes, null where the task has given an equal run before."""
     sent = texts.sparkSession.sparkContext.broadcast(again_plane(texts, bits, words))
 
@@ -216,16 +215,17 @@ def candidate_runs(texts: DataFrame, bits: int, words: int) -> DataFrame:
     def list_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, planes, seen = Reader(words), sent.value, set()
         for batch in batches:
-            parts = [x for p in reader.pieces(batch.column(1)) if len(p.windows) and (x := found(reader, p, planes, seen))]
+            for p in reader.pieces(batch.column(2)):
+                if not len(p.windows) or not (parts := found(reader, p, planes, seen)):
+                    continue
+                text, lo, n, a, b, bodies = parts
+                at = pa.array(text)
+                columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(lo, pa.int64()), pa.array(n.astype(np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bodies, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["text_a", "text_b", "lo", "n", "a", "b", "windows"])
             if len(seen) > 200_000:
                 seen.clear()
-            text, lo, n, a, b = (np.concatenate([x[k] for x in parts]) if parts else np.zeros(0, np.int64) for k in range(5))
-            columns = [pa.array(lo, pa.int64()), pa.array(n.astype(np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([y for x in parts for y in x[5]], pa.binary())]
-            offsets = pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32))
-            runs = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(columns, fields=list(RUN)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), runs], names=["doc_id", "text", "runs"])
 
-    return texts.select("doc_id", "text").mapInArrow(list_runs, f"doc_id long, text binary, runs {RUNS}")
+    return texts.select("text_a", "text_b", "text").mapInArrow(list_runs, RUNS)
 
 
 def sketch_bits(texts: DataFrame) -> int:
@@ -236,32 +236,37 @@ def sketch_bits(texts: DataFrame) -> int:
     return bits
 
 
-def repeated_windows(read: DataFrame, scratch: Scratch) -> DataFrame:
-    """(row, spans): first and last start of runs of windows whose words also start elsewhere. ``read``: row and the candidate runs.
+def repeated_windows(texts: DataFrame, scratch: Scratch, *, words: int, bits: int) -> DataFrame:
+    """(text_a, text_b, spans): first and last start of runs of windows whose words also start elsewhere.
 
     Runs are grouped first: one that occurs again repeats as a whole, so copies cost one row each. The windows of each distinct run
     are grouped by their 128 bits; only runs that occur once need their counts.
     """
-    runs = read.where(F.size("runs") > 0).select("row", F.explode("runs").alias("r")).select("row", "r.*")
+    runs = scratch.write(candidate_runs(texts, bits, words), "runs")
     some = F.first("windows", ignorenulls=True).alias("windows")
-    kinds = scratch.write(runs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.first("row").alias("row"), F.first("lo").alias("lo"), F.max("n").alias("n"), some), "kinds")
+    kinds = runs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("times"), F.first("text_a").alias("text_a"), F.first("text_b").alias("text_b"), F.first("lo").alias("lo"), F.max("n").alias("n"), some)
+    kinds = scratch.write(kinds, "kinds")
+    runs = scratch.write(runs.drop("windows"), "places")
+    scratch.drop("runs")
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for times, row, lo, body in zip(*[batch.column(k).to_pylist() for k in range(3)], batch.column(3), strict=True):
+            for times, text_a, text_b, lo, body in zip(*[batch.column(k).to_pylist() for k in range(4)], batch.column(4), strict=True):
                 each = np.frombuffer(body.as_buffer(), np.int64).reshape(-1, 2)
                 for at in range(0, len(each), 100_000):
                     part = each[at : at + 100_000]
-                    start = np.arange(at, at + len(part)) + lo
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), -1 if times > 1 else row)), pa.array(start), pa.array(part[:, 0]), pa.array(part[:, 1])], names=["row", "lo", "g", "h"])
+                    start = np.arange(at, at + len(part)) + lo if times == 1 else np.full(len(part), -1)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(part), text_a)), pa.array(np.full(len(part), text_b, np.int32)), pa.array(start), pa.array(part[:, 0]), pa.array(part[:, 1])], names=["text_a", "text_b", "lo", "g", "h"]
+                    )
 
-    each = kinds.select("times", "row", "lo", "windows").mapInArrow(explode, "row long, lo long, g long, h long")
+    each = kinds.select("times", "text_a", "text_b", "lo", "windows").mapInArrow(explode, "text_a long, text_b int, lo long, g long, h long")
     often = scratch.write(each.groupBy("g", "h").agg(F.count(F.lit(1)).alias("n")).where("n >= 2"), "often")
     totals = kinds.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("windows"), F.coalesce(F.sum("times"), F.lit(0)).alias("runs")).first()
-    single = join_hot(each.where("row >= 0"), often, ["g", "h"], "n", totals["windows"]).select("row", "lo", F.col("lo").alias("hi"))
-    copied = join_hot(runs.select("row", "lo", "n", "a", "b"), kinds.where("times >= 2").select("a", "b", "times"), ["a", "b"], "times", totals["runs"])
-    spans = single.unionByName(copied.select("row", "lo", (F.col("lo") + F.col("n") - 1).alias("hi")))
-    return spans.groupBy("row").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    single = join_hot(each.where("lo >= 0"), often, ["g", "h"], "n", totals["windows"]).select("text_a", "text_b", "lo", F.col("lo").alias("hi"))
+    copied = join_hot(runs, kinds.where("times >= 2").select("a", "b", "times"), ["a", "b"], "times", totals["runs"])
+    spans = single.unionByName(copied.select("text_a", "text_b", "lo", (F.col("lo") + F.col("n") - 1).alias("hi")))
+    return spans.groupBy("text_a", "text_b").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))  # copies of a text collapse before the shuffle
 
 
 def kept_words(text: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[int, int, bytes]:
@@ -285,16 +290,15 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
     * Null texts have no words, as have texts of white space; texts below ``words`` words lose nothing.
     * Matches never cross documents, overlaps count, and windows are judged on the input.
-    * Windows are told by 128 bits: two of 10**13 differing ones (about 70 TB) are taken for equal with odds of 10**-13.
+    * Windows are told by 128 bits: two of 10**13 differing ones (about 70 TB) are taken for equal with odds of 10**-13. Whole texts are told
+      by hashes of 64 and 32 bits (in 10**11 texts two meet with odds of 10**-7).
     * Rows that repeat a text or a key are documents of their own. Null keys stay as they are. Bytes that are not UTF-8 are parts of words.
     * Empty tables give empty results; other columns are ignored, whatever their names.
     """
     scratch = Scratch(docs.sparkSession)
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    runs = candidate_runs(texts, bits or sketch_bits(texts), words)
-    read = scratch.write(runs.withColumn("row", F.monotonically_increasing_id()), "read")  # gives rows a number that stays
-    spans = scratch.write(repeated_windows(read.select("row", "runs"), scratch).withColumnRenamed("row", "in_row"), "spans")
-    for name in ("kinds", "often"):
+    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_a"), F.hash(text).alias("text_b"), F.col(text).cast("binary").alias("text"))
+    spans = scratch.write(repeated_windows(texts, scratch, words=words, bits=bits or sketch_bits(texts)), "spans")
+    for name in ("kinds", "places", "often"):
         scratch.drop(name)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -311,10 +315,8 @@ def remove_repeats(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
                 kept.append(left)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary())], names=["doc_id", "n_words", "n_removed", "kept"])
 
-    none = read.where(F.size("runs") == 0).select("doc_id", "text", F.lit(None).cast("array<struct<lo:long,hi:long>>").alias("spans"))
-    some = read.where(F.size("runs") > 0)  # only texts that may lose words are moved
-    some = some.join(spans, some["row"] == spans["in_row"], "left").select("doc_id", "text", "spans")
-    out = none.unionByName(some).mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
+    joined = texts.join(spans, ["text_a", "text_b"], "left").select("doc_id", "text", "spans")
+    out = joined.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept binary")
     return out.withColumn("kept", F.col("kept").cast("string"))
 
 
