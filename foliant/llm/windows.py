@@ -21,7 +21,7 @@ from foliant.llm.words import split
 #: Words of a window.
 WORDS = 35
 #: Bytes of texts, and words of one text, that are hashed at once; bound the memory of a task.
-SLICE_BYTES, PIECE = 4 << 20, 1 << 19
+SLICE_BYTES, PIECE = 2 << 20, 1 << 18
 #: Rows of the sketch; bits of a row at least and at most (64 MB), and of a slice, the unit in which partial sketches are merged.
 DEPTH, MIN_BITS, MAX_BITS, SLICE_BITS = 2, 1 << 18, 1 << 29, 1 << 20
 #: Bytes of text for one counted anchor, about: an anchor every nine or ten words.
@@ -44,7 +44,7 @@ class Hashes:
 
     def grow(self, n: int) -> None:
         if len(self.powers[0]) <= n:
-            n = max(n, 1 << 16) * 2
+            n = max(n + n // 4, 1 << 16)
             step = lambda b: np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(n, b, np.uint64))), dtype=np.uint64)
             self.powers, self.inverse = [step(b) for b in _BASES], [step(pow(b, -1, 2**64)) for b in _BASES]
 
@@ -118,6 +118,7 @@ class Reader:
         grid = ranked.reshape(-1, width)
         ahead = np.minimum.accumulate(grid, axis=1).ravel()
         behind = np.ascontiguousarray(np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1]).ravel()
+        del at, ranked, grid  # long arrays make way for the next
         ends = np.repeat(begin + counts, counts)
         windows = np.flatnonzero(np.arange(n - self.words + 1) + self.words <= ends[: n - self.words + 1])
         anchor = (low - (np.minimum(behind[windows], ahead[windows + width - 1]) & low)).astype(np.int64)
@@ -172,6 +173,7 @@ def again_plane(texts: DataFrame, bits: int, words: int) -> np.ndarray:
             for p in reader.pieces(batch.column(0)):
                 places = p.anchor[np.concatenate(([True], p.anchor[1:] != p.anchor[:-1]))] if len(p.anchor) else p.anchor
                 sketch.add(p.key[places])
+            pa.default_memory_pool().release_unused()
         for k, packed in sketch.slices():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([packed], pa.binary())], names=["slice", "packed"])
 
@@ -222,8 +224,9 @@ def candidate_runs(texts: DataFrame, bits: int, words: int) -> DataFrame:
                 at = pa.array(text)
                 columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(lo, pa.int64()), pa.array(n.astype(np.int32)), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bodies, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["text_a", "text_b", "lo", "n", "a", "b", "windows"])
-            if len(seen) > 200_000:
+            if len(seen) > 50_000:
                 seen.clear()
+            pa.default_memory_pool().release_unused()
 
     return texts.select("text_a", "text_b", "text").mapInArrow(list_runs, RUNS)
 
