@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from foliant.functions.hashing import keyword_overlap
 from foliant.functions.text import snippet_for
@@ -14,6 +20,8 @@ OVERSAMPLE, PREFILTER_BOOST, RERANK_BOOST = 8, 12.0, 0.18
 LIMIT = 6
 #: Bytes of queries that are sent to every task; more are searched in parts.
 MAX_QUERY_BYTES = 64_000_000
+#: Queries that meet an Arrow batch of entries at a time.
+QUERIES_AT_A_TIME = 256
 
 
 def prefilter_score(distance: Column, boost: Column) -> Column:
@@ -22,16 +30,67 @@ def prefilter_score(distance: Column, boost: Column) -> Column:
 
 def _candidates(entries: DataFrame, queries: DataFrame, limit: int, order: list[str], keywords: bool) -> DataFrame:
     """Each query's ``8 * limit`` entries of least score, by their ``order`` columns. The queries are the broadcast side. Rows that are sorted
-    hold numbers only; a group limit cuts each query's rows inside every task, so only the best of each task are shuffled."""
-    narrow = entries.select(*order, "signature", *(["text"] if keywords else []))
-    pairs = narrow.crossJoin(F.broadcast(queries))  # of a size that the caller has checked
-    boost = keyword_overlap(F.col("q_terms"), F.col("text")) if keywords else F.lit(0.0)
-    scored = pairs.select("query_id", *order, hamming(F.col("signature"), F.col("q_signature")).alias("hamming"), boost.alias("keyword_boost"))
+    hold numbers only; a group limit cuts each query's rows inside every task (without keywords: inside every batch, before any sort)."""
+    if keywords:
+        pairs = entries.select(*order, "signature", "text").crossJoin(F.broadcast(queries))  # of a size that the caller has checked
+        boost = keyword_overlap(F.col("q_terms"), F.col("text"))
+        scored = pairs.select("query_id", *order, hamming(F.col("signature"), F.col("q_signature")).alias("hamming"), boost.alias("keyword_boost"))
+    else:
+        scored = near_rows(entries, queries, OVERSAMPLE * limit, order).withColumn("keyword_boost", F.lit(0.0))
     scored = scored.withColumn("score", prefilter_score(F.col("hamming"), F.col("keyword_boost")))
     ranked = scored.withColumn("candidate", F.row_number().over(Window.partitionBy("query_id").orderBy("score", *order)))
     return ranked.where(F.col("candidate") <= OVERSAMPLE * limit)
 
 
+def _distances(signatures: np.ndarray, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """(words, rows) of arrays of words, and which rows have that many."""
+    whole = np.array([s is not None and len(s) == words for s in signatures], bool)
+    out = np.zeros((words, len(signatures)), np.int64)
+    if whole.any():
+        out[:, whole] = np.stack(signatures[whole]).T
+    return out, whole
+
+
+def near_rows(entries: DataFrame, queries: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """(query_id, order columns, hamming): of every Arrow batch of entries each query's ``n`` of least distance, ties by ``order``.
+
+    These hold each query's ``n`` nearest of all, so a task never sorts or keeps more than a batch's pairs with a few queries, and of
+    a batch ``n`` rows a query are left. ``queries``: query_id and q_signature, of a size that the caller has checked. As in a
+    comparison of arrays, a pair of which one has no whole signature has no distance and comes first.
+    """
+    asked = queries.select("query_id", "q_signature").toPandas()
+    sizes = {len(s) for s in asked["q_signature"] if s is not None}
+    words = max(sizes, default=0)
+    if len(sizes) > 1:  # no common width: pair by pair
+        pairs = entries.select(*order, "signature").crossJoin(F.broadcast(queries))
+        return pairs.select("query_id", *order, hamming(F.col("signature"), F.col("q_signature")).alias("hamming"))
+    shared = entries.sparkSession.sparkContext.broadcast((asked["query_id"].to_numpy(), *_distances(asked["q_signature"].to_numpy(), words)))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, q_words, q_whole = shared.value
+        for part in parts:
+            part = part.sort_values(order, na_position="first", ignore_index=True)
+            own, whole = _distances(part["signature"].to_numpy(), words)
+            rows, keep = len(part), min(n, len(part))
+            for a in range(0, len(ids), QUERIES_AT_A_TIME):
+                some = slice(a, a + QUERIES_AT_A_TIME)
+                d = np.zeros((len(ids[some]), rows), np.int64)
+                for k in range(words):
+                    d += np.bitwise_count(q_words[k, some, None] ^ own[k])
+                d[~q_whole[some]], d[:, ~whole] = -1, -1
+                places = d * rows + np.arange(rows)  # by distance, then by order
+                best = np.argpartition(places, keep - 1, axis=1)[:, :keep] if keep < rows else np.broadcast_to(np.arange(rows), d.shape)
+                out = part[order].take(best.ravel()).reset_index(drop=True)
+                out.insert(0, "query_id", np.repeat(ids[some], keep))
+                got = np.take_along_axis(d, best, axis=1).ravel()
+                out["hamming"] = pd.array(got, "Int32")
+                out.loc[got < 0, "hamming"] = pd.NA
+                yield out
+
+    schema = StructType([StructField("query_id", queries.schema["query_id"].dataType), *[StructField(c, entries.schema[c].dataType) for c in order], StructField("hamming", IntegerType())])
+    return entries.select(*order, "signature").mapInPandas(run, schema)
+
+
 def candidates(entries: DataFrame, queries: DataFrame, *, limit: int = LIMIT, order: list[str] | None = None) -> DataFrame:
     """The first stage alone, without keywords: each query's ``8 * limit`` nearest signatures."""
     q = queries.select("query_id", F.col("signature").alias("q_signature"))
@@ -40,16 +99,18 @@ def candidates(entries: DataFrame, queries: DataFrame, *, limit: int = LIMIT, or
 
 def _in_parts(entries: DataFrame, q: DataFrame, limit: int, order: list[str], keywords: bool) -> DataFrame:
     """Measure the queries first; beyond what may be broadcast they meet the entries part by part."""
-    q = q.select("query_id", "q_signature", *(["q_terms"] if keywords else []))
+    found = [_candidates(entries, part, limit, order, keywords) for part in query_parts(q.select("query_id", "q_signature", *(["q_terms"] if keywords else [])))]
+    return reduce(DataFrame.unionByName, found)
+
+
+def query_parts(q: DataFrame) -> list[DataFrame]:
+    """Queries (query_id, q_signature and maybe q_terms) in parts that may be sent to every task: one unless they are large."""
     width = F.size("q_signature") * 8 + 8
-    if keywords:
+    if "q_terms" in q.columns:
         width = width + F.aggregate("q_terms", F.lit(0), lambda s, t: s + F.length(t) + 16)
     size = q.agg(F.coalesce(F.sum(width), F.lit(0)).alias("n")).first()["n"]
     parts = max(1, -(-size // MAX_QUERY_BYTES))
-    found = _candidates(entries, q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == 0) if parts > 1 else q, limit, order, keywords)
-    for k in range(1, parts):
-        found = found.unionByName(_candidates(entries, q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k), limit, order, keywords))
-    return found
+    return [q] if parts == 1 else [q.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == k) for k in range(parts)]
 
 
 def broadcastable(rows: DataFrame, text: Column | str | None = None) -> DataFrame:
