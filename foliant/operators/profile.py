@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,13 +30,33 @@ def meta_groups(chunk_rows: DataFrame, most: int = MAX_GROUPS) -> DataFrame:
 
 
 def meta_embeddings(grouped: DataFrame) -> DataFrame:
-    """The readability-weighted mean of each group's vectors, of unit length."""
-    parts = grouped.where(F.size("vector") > 0).select("doc_id", "group_ord", F.greatest("readability", F.lit(0.05)).alias("w"), F.posexplode("vector").alias("pos", "v"))
-    mean = parts.groupBy("doc_id", "group_ord", "pos").agg((F.sum(F.col("w") * F.col("v").cast("double")) / F.sum("w")).alias("m"))
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"])
-    from foliant.functions.vectors import l2_normalize
-
-    return mean.groupBy("doc_id", "group_ord").agg(ordered.alias("raw")).select("doc_id", "group_ord", l2_normalize(F.col("raw")).alias("meta"))
+    """The readability-weighted mean of each group's vectors, of unit length. Vectors are of one length.
+
+    Rows of a group that lie side by side are summed where they are, as arrays; a row for each such run is moved, never one a component.
+    """
+    parts = grouped.where(F.size("vector") > 0).select("doc_id", "group_ord", F.greatest("readability", F.lit(0.05)).cast("double").alias("w"), "vector")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = [pc.dictionary_encode(batch.column(c), null_encoding="encode").indices.to_numpy(zero_copy_only=False) for c in ("doc_id", "group_ord")]
+            starts = np.flatnonzero(np.concatenate(([True], (np.diff(own[0]) != 0) | (np.diff(own[1]) != 0))))
+            w, v = batch.column("w").to_numpy(zero_copy_only=False), batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            sums = np.empty((len(starts), v.shape[1]))
+            for k, (a, z) in enumerate(zip(starts, [*starts[1:], batch.num_rows], strict=True)):
+                sums[k] = w[a:z] @ v[a:z].astype(np.float64)
+            lists = pa.ListArray.from_arrays(np.arange(len(starts) + 1, dtype=np.int32) * v.shape[1], sums.ravel())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(starts)) for c in ("doc_id", "group_ord")), pa.array(np.add.reduceat(w, starts)), lists], names=["doc_id", "group_ord", "w", "s"])
+
+    kind = {c: grouped.schema[c].dataType.simpleString() for c in ("doc_id", "group_ord")}
+    runs = parts.mapInArrow(run, f"doc_id {kind['doc_id']}, group_ord {kind['group_ord']}, w double, s array<double>")
+    from foliant.functions.vectors import add, l2_normalize, let
+
+    made = runs.groupBy("doc_id", "group_ord").agg(F.sum("w").alias("w"), F.collect_list("s").alias("s"))
+    total = F.aggregate(F.slice("s", F.lit(2), F.size("s")), F.get("s", F.lit(0)), add)
+    mean = let(F.col("w"), lambda w: F.transform(total, lambda x: x / w))
+    return made.select("doc_id", "group_ord", mean.alias("raw")).select("doc_id", "group_ord", l2_normalize(F.col("raw")).alias("meta"))
 
 
 def memory_prompts(grouped: DataFrame, titles: DataFrame) -> DataFrame:
