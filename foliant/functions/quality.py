@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliant.functions.text import WS, collapse, count_of, cut, has, strip, strip_end, words_of, words_re
+from foliant.functions.text import WS, collapse, count_of, cut, has, strip, strip_end, strip_start, words_of, words_re
 from foliant.functions.vectors import let
 
 # The verbs and phrases that make a passage or a chunk prose, and every threshold and weight below.
@@ -57,21 +57,35 @@ def truncate_for_prompt(text: Column, n: int = 220) -> Column:
     return F.when(F.length(clean) <= n, clean).otherwise(F.concat(strip_end(cut(clean, n)), F.lit("…")))
 
 
+#: Characters of an answer's end that tell whether it breaks off, if they are not all white space and closing signs.
+END = 200
+CLOSERS = "\"'”’\\])}"
+NOT_WS = rf"[^{WS[1:-1]}]"
+
+
 def looks_truncated(text: Column) -> Column:
     """Whether a generated answer breaks off: no sentence end, and a dangling sign or letter."""
-    s = strip(F.coalesce(text, F.lit("")))
-    return F.when(s == "", False).when(has(s, "[.!?][\"'”’\\])}]*$"), False).when(has(s, r"[:;,(\[{/-]$"), True).otherwise(has(s, r"[A-Za-z0-9\])}]$"))
+    told = lambda e: has(e, rf"[^{WS[1:-1]}\x{{85}}{CLOSERS}]")  # noqa: E731  then the rest of the text does not matter
+    dangles = lambda s: F.when(s == "", False).when(has(s, rf"[.!?][{CLOSERS}]*$"), False).when(has(s, r"[:;,(\[{/-]$"), True).otherwise(has(s, r"[A-Za-z0-9\])}]$"))
+    return let(F.coalesce(text, F.lit("")), lambda t: let(let(F.right(t, F.lit(END)), lambda e: strip(F.when(told(e), e).otherwise(t))), dangles))
 
 
 def merge_continuation(left: Column, right: Column) -> Column:
-    """Append a continuation without the words it repeats (an overlap of 12 to 80 characters, case-blind)."""
-    left, right = F.coalesce(left, F.lit("")), F.coalesce(right, F.lit(""))
-    tail = F.regexp_replace(right, f"^{WS}+", "")
-    # Only the ends that may overlap are compared, cut from the texts once.
-    ends = F.struct(F.right(left, F.lit(80)).alias("a"), F.left(tail, F.lit(80)).alias("b"))
+    """Append a continuation without the words it repeats (an overlap of 12 to 80 characters, case-blind).
+
+    Each value is bound once, and white space is looked for at the ends only.
+    """
+    blank = lambda t: ~has(t, NOT_WS)
     most = lambda e: F.least(F.length(e["a"]), F.length(e["b"]))
     sizes = lambda e: F.when(most(e) >= 12, F.sequence(most(e), F.lit(12), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-    overlap = let(ends, lambda e: F.coalesce(F.get(F.filter(sizes(e), lambda n: F.lower(F.right(e["a"], n)) == F.lower(F.left(e["b"], n))), F.lit(0)), F.lit(0)))
-    rest = F.when(overlap > 0, F.regexp_replace(F.substring(tail, overlap + 1, F.length(tail)), f"^{WS}+", "")).otherwise(tail)
-    joined = F.when(has(rest, r"^[,.;:!?)/\]}]") | has(left, f"{WS}$") | has(right, f"^{WS}"), F.concat(left, rest)).otherwise(F.concat(left, F.lit(" "), rest))
-    return F.when(strip(left) == "", tail).when(strip(right) == "", left).when(rest == "", left).otherwise(joined)
+    # Only the ends that may overlap are compared.
+    ends = lambda p: F.struct(F.right(p["left"], F.lit(80)).alias("a"), F.left(p["tail"], F.lit(80)).alias("b"))
+    overlap = lambda p: let(ends(p), lambda e: F.coalesce(F.get(F.filter(sizes(e), lambda n: F.lower(F.right(e["a"], n)) == F.lower(F.left(e["b"], n))), F.lit(0)), F.lit(0)))
+    rest = lambda p: let(overlap(p), lambda n: F.when(n > 0, strip_start(F.substring(p["tail"], n + 1, F.length(p["tail"])))).otherwise(p["tail"]))
+
+    def joined(p: Column, r: Column) -> Column:
+        no_space = has(r, r"^[,.;:!?)/\]}]") | has(F.right(p["left"], F.lit(3)), f"{WS}$") | has(p["right"], f"^{WS}")
+        return F.when(blank(p["left"]), p["tail"]).when(blank(p["right"]), p["left"]).when(r == "", p["left"]).when(no_space, F.concat(p["left"], r)).otherwise(F.concat(p["left"], F.lit(" "), r))
+
+    both = let(F.struct(F.coalesce(left, F.lit("")).alias("left"), F.coalesce(right, F.lit("")).alias("right")), lambda p: F.struct(p["left"].alias("left"), p["right"].alias("right"), strip_start(p["right"]).alias("tail")))
+    return let(both, lambda p: let(rest(p), lambda r: joined(p, r)))
