@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import cmp_to_key
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant import schemas
 from foliant.functions.text import WS, collapse, count_of, has, snippet, strip, words_of
+from foliant.functions.vectors import let
 
 FALLBACK_TEXT = "[Image page — no text layer detected]"
 PENDING_TEXT = "[Image-only page pending text recognition]"
@@ -56,11 +58,11 @@ def text_pages(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> D
 
     Pages stay in their document's row until they are exploded, so nothing is shuffled. A null text has one page without items.
     """
-    lines = F.split(F.coalesce(F.col(text), F.lit("")), "\n")
     n = schemas.PAGE_LINES
-    pages = F.transform(F.sequence(F.lit(0), F.ceil(F.size(lines) / n).cast("int") - 1), lambda p: F.slice(lines, p * n + 1, n))
+    paged = lambda lines: F.transform(F.sequence(F.lit(0), F.ceil(F.size(lines) / n).cast("int") - 1), lambda p: F.slice(lines, p * n + 1, n))
+    pages = let(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), paged)  # split once a document, not once a page
     out = docs.select(F.col(key).alias("doc_id"), F.posexplode(pages).alias("p", "part"))
-    items = F.transform("part", lambda t, i: F.struct(i.cast("int").alias("item_ord"), collapse(t).alias("text"), box(F.lit(0.08), i / n, F.least(F.lit(0.84), F.length(collapse(t)) / 100), F.lit(0.015)).alias("bbox")))
+    items = F.transform(F.transform("part", collapse), lambda t, i: F.struct(i.cast("int").alias("item_ord"), t.alias("text"), box(F.lit(0.08), i / n, F.least(F.lit(0.84), F.length(t) / 100), F.lit(0.015)).alias("bbox")))
     return out.select("doc_id", (F.col("p") + 1).cast("int").alias("page_number"), F.filter(items, lambda x: x["text"] != "").alias("items"))
 
 
@@ -88,34 +90,55 @@ def analyze(pages: DataFrame, recognizer=None) -> DataFrame:
     return pages.withColumn("document_box", union_boxes(F.transform("items", lambda i: i["bbox"])))
 
 
+def _in_order(xs: np.ndarray, ys: np.ndarray) -> np.ndarray:
+    """Places of items (given by item_ord) by row and column. Where rows lie apart, the tolerant order is a total one and two plain sorts say it."""
+    by_y = np.argsort(ys, kind="stable")
+    row = np.concatenate(([0], np.cumsum(np.diff(ys[by_y]) > SAME_ROW)))
+    firsts = np.flatnonzero(np.concatenate(([True], np.diff(row) > 0)))
+    lasts = np.concatenate((firsts[1:] - 1, [len(ys) - 1]))
+    if (ys[by_y[lasts]] - ys[by_y[firsts]] <= SAME_ROW).all() and not np.isnan(xs).any():
+        of = np.empty(len(ys), np.int64)
+        of[by_y] = row
+        return np.lexsort((xs, of))
+
+    def order(a: int, b: int) -> float:
+        dy = ys[a] - ys[b]
+        return dy if abs(dy) > SAME_ROW else xs[a] - xs[b]
+
+    return np.array(sorted(range(len(ys)), key=cmp_to_key(order)))
+
+
 def _lines_of_page(items: pd.DataFrame) -> pd.DataFrame:
-    def order(a: dict, b: dict) -> float:
-        dy = a["bbox"]["y"] - b["bbox"]["y"]
-        return dy if abs(dy) > SAME_ROW else a["bbox"]["x"] - b["bbox"]["x"]
-
-    rows = sorted(items.sort_values("item_ord").to_dict("records"), key=cmp_to_key(order))
-    lines: list[dict] = []
-    for r in rows:
-        b = dict(r["bbox"])
-        if not lines or abs(b["y"] - lines[-1]["anchor"]) > SAME_LINE:
-            lines.append({"anchor": b["y"], "texts": [r["text"]], "bbox": b})
+    given = np.argsort(items["item_ord"].to_numpy(), kind="stable")
+    sides = np.stack([items[c].to_numpy()[given] for c in ("x", "y", "width", "height")], axis=1)
+    at = _in_order(sides[:, 0], sides[:, 1])
+    lines: list[list] = []  # anchor, texts, box
+    texts, boxes = items["text"].to_numpy()[given[at]].tolist(), sides[at].tolist()
+    for text, (x, y, w, h) in zip(texts, boxes, strict=True):
+        if not lines or abs(y - lines[-1][0]) > SAME_LINE:
+            lines.append([y, [text], (x, y, w, h)])
             continue
         own = lines[-1]
-        own["texts"].append(r["text"])
-        a = own["bbox"]
-        x, y = min(a["x"], b["x"]), min(a["y"], b["y"])
-        own["bbox"] = {"x": x, "y": y, "width": max(a["x"] + a["width"], b["x"] + b["width"]) - x, "height": max(a["y"] + a["height"], b["y"] + b["height"]) - y}
-    first = items.iloc[0]
-    return pd.DataFrame([{"doc_id": first["doc_id"], "page_number": first["page_number"], "line_ord": k, "text": " ".join(" ".join(x["texts"]).split()), "bbox": x["bbox"]} for k, x in enumerate(lines)])
+        own[1].append(text)
+        ax, ay, aw, ah = own[2]
+        lx, ly = min(ax, x), min(ay, y)
+        own[2] = (lx, ly, max(ax + aw, x + w) - lx, max(ay + ah, y + h) - ly)
+    boxed = np.array([line[2] for line in lines])
+    own_page = {c: np.repeat(items[c].to_numpy()[:1], len(lines)) for c in ("doc_id", "page_number")}
+    own_lines = {"line_ord": np.arange(len(lines)), "text": [" ".join(" ".join(line[1]).split()) for line in lines]}
+    return pd.DataFrame(own_page | own_lines | {c: boxed[:, k] for k, c in enumerate(("x", "y", "width", "height"))})
 
 
 def group_lines(items: DataFrame) -> DataFrame:
     """Items sorted by row and column with tolerances, then joined to lines by the height of a line's first item.
 
     The order is no total order and a line's anchor is its first item, so neither a sort nor a window says it:
-    each page is folded in Arrow batches.
+    each page is folded in Arrow batches, with boxes as plain columns.
     """
-    return items.groupBy("doc_id", "page_number").applyInPandas(_lines_of_page, schemas.LINES)
+    sides = ["x", "y", "width", "height"]
+    flat = items.select("doc_id", "page_number", "item_ord", "text", *[F.col("bbox")[c].alias(c) for c in sides])
+    lines = flat.groupBy("doc_id", "page_number").applyInPandas(_lines_of_page, "doc_id bigint, page_number int, line_ord int, text string, x double, y double, width double, height double")
+    return lines.select("doc_id", "page_number", "line_ord", "text", box(*[F.col(c) for c in sides]).alias("bbox"))
 
 
 def pages_of_lines(lines: DataFrame) -> DataFrame:
