@@ -11,6 +11,10 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 #: Parts of a split bucket.
 PARTS = 32
+#: Cells in which interval buckets are counted before those of full cells are told apart.
+CELLS = 16 * HOT_SHARE
+#: One in so many intervals of a side may be longer than the bucket, and is cut into 2**REACH pieces at most or filed by a wider one.
+REST, REACH = 16, 10
 
 
 def _micros(df: DataFrame, column: str) -> Column:
@@ -104,32 +108,68 @@ def _levelled(df: DataFrame, on: list[str], start: str, end: str, finest: int, n
     return rows.withColumn("_level", level)
 
 
-def _at_level(rows: DataFrame, level: Column) -> DataFrame:
-    """A row for each bucket of 2**level that an interval touches: two at most, as no interval is longer than its level's bucket."""
-    size = F.pow(F.lit(2.0), level.cast("double"))
+def _widths(sides: list[dict[int, int]]) -> dict[int, int]:
+    """The width (a power of two) at which the intervals of each level are filed, from each side's numbers of intervals by level.
+
+    A width is the least that is not below all but a REST of each side's intervals that are left; longer ones are cut there too, shortest
+    first, while that makes no more pieces than there are intervals, of REACH doublings at most. What is left then gets a width of its own. So
+    there are log(intervals) / log(REST) widths at most, however far lengths lie apart, and one as a rule.
+    """
+    total, width = sum(sum(s.values()) for s in sides), {}
+    left = [dict(s) for s in sides]
+    while any(left):
+        at = max(next(k for k in sorted(s) if sum(n for m, n in s.items() if m > k) * REST <= sum(s.values())) for s in left if s)
+        pieces = 0
+        for k in sorted({k for s in left for k in s}):
+            pieces += sum(s.get(k, 0) for s in left) * 2 ** (k - at) if k > at else 0
+            if k > at + REACH or pieces > total:
+                break
+            width[k] = at
+        left = [{k: n for k, n in s.items() if k not in width} for s in left]
+    return width
+
+
+def _at_width(rows: DataFrame, width: Column) -> DataFrame:
+    """A row for each bucket of 2**width that an interval touches."""
+    size = F.pow(F.lit(2.0), width.cast("double"))
     first, last = F.floor(F.col("_lo").cast("double") / size), F.floor(F.col("_hi").cast("double") / size)
     return rows.withColumn("_bucket", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
 
 
-def _met(few: DataFrame, many: DataFrame, levels: list[int], total: int, *, same: bool) -> DataFrame:
-    """Pairs of an interval of ``few`` at its own level with those of ``many`` of that level (``same``) or shorter ones.
+def _hot(asked: DataFrame, held: DataFrame, keys: list[str], total: int) -> DataFrame:
+    """Buckets with more than a thousandth of ``total`` rows, and the parts that each side's rows there are dealt to.
 
-    Hot buckets are salted: their rows of ``many`` are dealt to parts, those of ``few`` copied to each part.
+    Buckets are counted in CELLS cells first; only those of full cells are told apart, so next to nothing is shuffled.
     """
-    held = _at_level(few, F.col("_level")).select("_key", F.col("_level").alias("_at_level"), "_bucket", F.col("_lo").alias("_from"), F.col("_hi").alias("_to"), F.col("_row").alias("_held"))
-    asked = many.withColumn("_at_level", F.explode(F.array(*[F.lit(k) for k in levels])))
-    asked = asked.where(F.col("_at_level") >= F.col("_level") if same else F.col("_at_level") > F.col("_level"))
-    asked = _at_level(asked, F.col("_at_level"))
-    keys = ["_key", "_at_level", "_bucket"]
-    hot = asked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") * HOT_SHARE > total)
-    hot = F.broadcast(hot.select(*keys, F.lit(PARTS).alias("_parts")))  # below HOT_SHARE * 2 * levels rows
-    parts = F.coalesce("_parts", F.lit(1))
-    asked = asked.join(hot, keys, "left").withColumn("_salt", F.pmod(F.xxhash64("_lo", "_hi", "_row"), parts).cast("int")).drop("_parts")
-    held = held.join(hot, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-    pairs = asked.join(held, [*keys, "_salt"]).where((F.col("_lo") <= F.col("_to")) & (F.col("_from") <= F.col("_hi")))
-    size = F.pow(F.lit(2.0), F.col("_at_level").cast("double"))
+    rows = asked.select(*keys, F.lit(1).alias("_a"), F.lit(0).alias("_h")).unionByName(held.select(*keys, F.lit(0).alias("_a"), F.lit(1).alias("_h")))
+    rows = rows.withColumn("_cell", F.pmod(F.xxhash64(*keys), F.lit(CELLS)))
+    full = rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * HOT_SHARE > total).select("_cell")
+    counted = rows.join(F.broadcast(full), "_cell").groupBy(*keys).agg(F.sum("_a").alias("_a"), F.sum("_h").alias("_h"))
+    parts = [F.least(F.lit(PARTS), F.greatest(F.lit(1), F.ceil(F.col(n) * HOT_SHARE / F.lit(total)))).cast("int").alias(f"{n}_parts") for n in ("_a", "_h")]
+    return counted.where((F.col("_a") + F.col("_h")) * HOT_SHARE > total).select(*keys, *parts)
+
+
+def _salted(rows: DataFrame, hot: DataFrame, keys: list[str], own: str, other: str) -> DataFrame:
+    """Rows of hot buckets are dealt to their own side's parts and copied to each of the other side's."""
+    parts = {n: F.coalesce(f"{n}_parts", F.lit(1)) for n in (own, other)}
+    rows = rows.join(F.broadcast(hot), keys, "left").withColumn(f"{own}_salt", F.pmod(F.xxhash64("_lo", "_hi", "_row"), parts[own]).cast("int"))
+    return rows.withColumn(f"{other}_salt", F.explode(F.sequence(F.lit(0), parts[other] - 1))).drop("_a_parts", "_h_parts")
+
+
+def _met(few: DataFrame, many: DataFrame, widths: list[int], total: int, *, same: bool) -> DataFrame:
+    """Pairs of an interval of ``few``, of one of ``widths``, with those of ``many`` of that width (``same``) or smaller ones."""
+    held = _at_width(few.where(F.col("_width").isin(widths)), F.col("_width")).select("_key", F.col("_width").alias("_at_width"), "_bucket", "_lo", "_hi", "_row")
+    asked = many.withColumn("_at_width", F.explode(F.array(*[F.lit(k) for k in widths])))
+    asked = asked.where(F.col("_at_width") >= F.col("_width") if same else F.col("_at_width") > F.col("_width"))
+    asked = _at_width(asked, F.col("_at_width")).select("_key", "_at_width", "_bucket", "_lo", "_hi", "_row")
+    keys = ["_key", "_at_width", "_bucket"]
+    hot = _hot(asked, held, keys, total)  # below HOT_SHARE rows for each copy that an interval has
+    asked = _salted(asked, hot, keys, "_a", "_h")
+    held = _salted(held, hot, keys, "_h", "_a").withColumnsRenamed({"_lo": "_from", "_hi": "_to", "_row": "_held"})
+    pairs = asked.join(held, [*keys, "_a_salt", "_h_salt"]).where((F.col("_lo") <= F.col("_to")) & (F.col("_from") <= F.col("_hi")))
+    size = F.pow(F.lit(2.0), F.col("_at_width").cast("double"))
     begins = F.floor(F.greatest("_lo", "_from").cast("double") / size).cast("long")
-    return pairs.where(begins == F.col("_bucket"))  # two that share both buckets meet in the one where their overlap begins
+    return pairs.where(begins == F.col("_bucket"))  # two that share several buckets meet in the one where their overlap begins
 
 
 def interval_join(left: DataFrame, right: DataFrame, *, on: dict[str, str] | None = None, left_span: tuple[str, str], right_span: tuple[str, str], finest: float = 1.0) -> DataFrame:
@@ -138,9 +178,9 @@ def interval_join(left: DataFrame, right: DataFrame, *, on: dict[str, str] | Non
     ``left_span`` and ``right_span`` name start and end columns (the same column twice for points); without ``on`` all rows have one
     key. ``finest``: the shortest bucket, in microseconds for times.
 
-    An interval lies in one or two buckets of the power of two that is not below its length; the other side's intervals that are not longer
-    look up those of each level that occurs, so long intervals are never cut into many short ones and a plan has equality joins only.
-    Buckets of more than a thousandth of all lookups are salted.
+    Intervals are filed in buckets of one width, which all but a few are no longer than; those few are cut into several, or where they are too
+    long or too many for it have a wider width, at which the other side's shorter ones look them up. So a row is moved about once, whatever its
+    length, and a plan has equality joins only. Buckets of more than a thousandth of all rows are dealt to parts.
 
     Returns ``left`` and ``right``, structs of the rows.
 
@@ -150,14 +190,17 @@ def interval_join(left: DataFrame, right: DataFrame, *, on: dict[str, str] | Non
     base, on = math.floor(math.log2(finest)), on or {}
     a = _levelled(left, list(on), *left_span, base, list(on))
     b = _levelled(right, list(on.values()), *right_span, base, list(on))
-    of = [sorted(r[0] for r in side.select("_level").distinct().collect()) for side in (a, b)]  # some sixty numbers at most
+    of = [dict(side.groupBy("_level").agg(F.count(F.lit(1))).collect()) for side in (a, b)]  # some sixty numbers at most
     if not of[0] or not of[1]:
         return a.limit(0).select(F.col("_row").alias("left")).join(b.limit(0).select(F.col("_row").alias("right")), F.lit(False))
-    n = a.count() + b.count()
-    longer = _met(b, a, of[1], n, same=True).select(F.col("_row").alias("left"), F.col("_held").alias("right"))
-    if max(of[0]) <= min(of[1]):
+    width, n = _widths(of), sum(sum(side.values()) for side in of)
+    at = F.create_map(*[F.lit(x) for pair in width.items() for x in pair])[F.col("_level")]
+    a, b = a.withColumn("_width", at), b.withColumn("_width", at)
+    own = [sorted({width[k] for k in side}) for side in of]  # both have the smallest width
+    longer = _met(b, a, own[1], n, same=True).select(F.col("_row").alias("left"), F.col("_held").alias("right"))
+    if not own[0][1:]:
         return longer
-    return longer.unionByName(_met(a, b, of[0], n, same=False).select(F.col("_held").alias("left"), F.col("_row").alias("right")))
+    return longer.unionByName(_met(a, b, own[0][1:], n, same=False).select(F.col("_held").alias("left"), F.col("_row").alias("right")))
 
 
 def range_join(left: DataFrame, right: DataFrame, *, on: dict[str, str] | None = None, value: tuple[str, str], within: tuple[float, float], finest: float | None = None) -> DataFrame:
