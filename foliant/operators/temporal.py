@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 #: Parts of a split bucket.
 PARTS = 32
+#: A part of an interval bucket has so many thousandths of all rows, or more where there are PARTS: each part copies the other side.
+PART_SHARE = 4
 #: Cells in which interval buckets are counted before those of full cells are told apart.
 CELLS = 16 * HOT_SHARE
 #: One in so many intervals of a side may be longer than the bucket, and is cut into 2**REACH pieces at most or filed by a wider one.
@@ -145,7 +147,7 @@ def _hot(asked: DataFrame, held: DataFrame, keys: list[str], total: int) -> Data
     rows = rows.withColumn("_cell", F.pmod(F.xxhash64(*keys), F.lit(CELLS)))
     full = rows.groupBy("_cell").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") * HOT_SHARE > total).select("_cell")
     counted = rows.join(F.broadcast(full), "_cell").groupBy(*keys).agg(F.sum("_a").alias("_a"), F.sum("_h").alias("_h"))
-    parts = [F.least(F.lit(PARTS), F.greatest(F.lit(1), F.ceil(F.col(n) * HOT_SHARE / F.lit(total)))).cast("int").alias(f"{n}_parts") for n in ("_a", "_h")]
+    parts = [F.least(F.lit(PARTS), F.greatest(F.lit(1), F.ceil(F.col(n) * HOT_SHARE / F.lit(PART_SHARE * total)))).cast("int").alias(f"{n}_parts") for n in ("_a", "_h")]
     return counted.where((F.col("_a") + F.col("_h")) * HOT_SHARE > total).select(*keys, *parts)
 
 
@@ -180,7 +182,7 @@ def interval_join(left: DataFrame, right: DataFrame, *, on: dict[str, str] | Non
 
     Intervals are filed in buckets of one width, which all but a few are no longer than; those few are cut into several, or where they are too
     long or too many for it have a wider width, at which the other side's shorter ones look them up. So a row is moved about once, whatever its
-    length, and a plan has equality joins only. Buckets of more than a thousandth of all rows are dealt to parts.
+    length, and a plan has equality joins only. Buckets with more than four thousandths of all rows on a side are dealt to parts.
 
     Returns ``left`` and ``right``, structs of the rows.
 

@@ -173,4 +173,4 @@ def test_hot_intervals_are_dealt(spark):
         assert got.count() == few * many + 1000
         keyed = [x.selectExpr("struct(k) as _key", "0 as _at_width", "0 as _bucket") for x in (a, b)]
         parts = {r["_key"]["k"]: (r["_a_parts"], r["_h_parts"]) for r in temporal._hot(*keyed, ["_key", "_at_width", "_bucket"], few + many + 2000).collect()}
-        assert parts == {1: tuple(min(temporal.PARTS, -(-n * 1000 // (few + many + 2000))) for n in (few, many))}
+        assert parts == {1: tuple(min(temporal.PARTS, -(-n * 250 // (few + many + 2000))) for n in (few, many))}
