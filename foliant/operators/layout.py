@@ -76,6 +76,12 @@ def page_records(items: DataFrame) -> DataFrame:
     return items.groupBy("doc_id", "page_number").agg(F.array_join(F.transform(ordered, lambda i: i["text"]), " ").alias("raw_text"), union_box(F.col("bbox")).alias("aggregate_box"), F.count(F.lit(1)).alias("n_items"))
 
 
+def recognized(pages: DataFrame, recognizer) -> DataFrame:
+    """Pages with items as they are, those without as ``recognizer`` gives them."""
+    empty = F.size("items") == 0
+    return pages.where(~empty).unionByName(recognizer(pages.where(empty)))
+
+
 def analyze(pages: DataFrame, recognizer=None) -> DataFrame:
     """Blocks of a page: its items, or one placeholder over most of the page if it has none.
 
@@ -83,7 +89,7 @@ def analyze(pages: DataFrame, recognizer=None) -> DataFrame:
     """
     empty = F.size("items") == 0
     if recognizer is not None:
-        pages = pages.where(~empty).unionByName(recognizer(pages.where(empty)))
+        pages = recognized(pages, recognizer)
     placeholder = F.array(F.struct(F.lit(0).alias("item_ord"), F.lit(PENDING_TEXT).alias("text"), fallback_box().alias("bbox")))
     source = F.when(empty, "pdf.js-fallback").otherwise("pdf.js-text-layer")
     pages = pages.withColumn("source", source).withColumn("items", F.when(empty, placeholder).otherwise(F.col("items")))
